@@ -59,8 +59,11 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     group_cols = list(group_cols)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     nb = _n_buckets(df, n_buckets)
-    part = df.repartitionByRange(nb, *[F.col(g) for g in group_cols], *order_cols) \
-             .withColumn(_BUCKET, F.spark_partition_id())
+    # Range bounds come from sampling, and a re-executed sample may draw other
+    # bounds; the bucket ids are therefore materialised once so every branch
+    # below (bucket totals and in-bucket sums) sees the same assignment.
+    part = materialize(df.repartitionByRange(nb, *[F.col(g) for g in group_cols], *order_cols)
+                       .withColumn(_BUCKET, F.spark_partition_id()))
 
     tot = part.groupBy(*group_cols, _BUCKET).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
     wb = Window.partitionBy(*group_cols).orderBy(_BUCKET) if group_cols else Window.orderBy(_BUCKET)
@@ -97,14 +100,14 @@ def value_ranks(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
     ``cnt`` and ``start`` (0-based rank of its first copy), plus the small
     bucket table used to route rank lookups.  Nulls are ignored.
 
-    The rank table is checkpointed (reliable, in ``spark.checkpoint.dir``):
-    every lookup reads it instead of re-deriving the upstream plan.
+    The bucketed input is checkpointed (reliable, in ``spark.checkpoint.dir``)
+    inside ``running_totals``: every lookup starts from it.
     """
     group_cols = list(group_cols)
     vc = (df.where(F.col(value_col).isNotNull())
             .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("cnt")))
     rows, _ = running_totals(vc, group_cols, [value_col], ["cnt"], n_buckets=n_buckets, with_buckets=True)
-    rows = materialize(rows.withColumn("start", F.col("cum_cnt") - F.col("cnt")).drop("cum_cnt"))
+    rows = rows.withColumn("start", F.col("cum_cnt") - F.col("cnt")).drop("cum_cnt")
     buckets = rows.groupBy(*group_cols, _BUCKET).agg(F.min("start").alias("b_start"),
                                                       F.max(F.col("start") + F.col("cnt")).alias("b_end"))
     return rows, buckets
@@ -188,3 +191,36 @@ def kth_values(df: DataFrame, value_col: str, ranks: dict[str, Column], group_co
     aggs = [F.max(F.when(F.col("stat") == name, F.col(value_col))).alias(name) for name in ranks]
     got = vals.groupBy(*group_cols).agg(*aggs) if group_cols else vals.agg(*aggs)
     return n.join(got, group_cols, "left") if group_cols else n.crossJoin(got)
+
+
+def rolling_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], value_col: str,
+                 k: int, n_buckets: int | None = None) -> DataFrame:
+    """Trailing ``k``-row frame statistics per group in (order_cols) order:
+    ``roll_n`` (rows in frame), ``roll_mean``, ``roll_std`` (sample).
+
+    A plain ``Window.partitionBy(group)`` would put a hot group -- a third of
+    all rows -- into one task.  Instead rows are range-bucketed by (group,
+    order); every bucket also receives the last ``k - 1`` rows of the bucket
+    before it (a halo), so a window over (group, bucket) sees complete frames
+    while each task holds one bucket.
+    """
+    group_cols = list(group_cols)
+    one = "_rl_one"
+    rt, buckets = running_totals(df.withColumn(one, F.lit(1)), group_cols, order_cols, [one],
+                                 n_buckets=n_buckets, with_buckets=True)
+    ends = buckets.select(*group_cols, _BUCKET, (F.col(f"_off_{one}") + F.col(f"_tot_{one}")).alias("_b_end"))
+    rt = rt.join(F.broadcast(ends), [*group_cols, _BUCKET]) \
+           .withColumn("_idx", F.col(f"cum_{one}") - 1)
+    # a row is copied into every later bucket of its group whose first position
+    # is within k-1 rows after it (candidates and buckets are both small tables)
+    starts = buckets.select(*group_cols, F.col(_BUCKET).alias("_tb"), F.col(f"_off_{one}").alias("_tstart"))
+    cand = rt.where(F.col("_idx") >= F.col("_b_end") - (k - 1))
+    cand = cand.join(F.broadcast(starts), group_cols) if group_cols else cand.crossJoin(F.broadcast(starts))
+    halo = cand.where((F.col("_tb") > F.col(_BUCKET)) & (F.col("_tstart") <= F.col("_idx") + (k - 1))) \
+               .withColumn(_BUCKET, F.col("_tb")).drop("_tb", "_tstart").withColumn("_halo", F.lit(True))
+    allrows = rt.withColumn("_halo", F.lit(False)).unionByName(halo)
+    w = Window.partitionBy(*group_cols, _BUCKET).orderBy("_idx").rowsBetween(-(k - 1), 0)
+    out = allrows.select("*", F.count(value_col).over(w).alias("roll_n"),
+                         F.avg(value_col).over(w).alias("roll_mean"),
+                         F.stddev_samp(value_col).over(w).alias("roll_std"))
+    return out.where(~F.col("_halo")).drop(_BUCKET, "_halo", "_b_end", one, f"cum_{one}")

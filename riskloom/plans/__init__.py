@@ -1,4 +1,4 @@
 """Registered query catalogue (Spark plans + DuckDB oracle SQL)."""
 
-from riskloom.plans import q_core, q_eval  # noqa: F401  (registration side effects)
+from riskloom.plans import q_core, q_eval, q_monitor  # noqa: F401  (registration side effects)
 from riskloom.plans.registry import ORACLE, QUERIES  # noqa: F401

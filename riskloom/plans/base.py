@@ -11,7 +11,11 @@ from riskloom.operators.scoring import score_claims
 from riskloom.operators.ordering import materialize
 from riskloom.operators.split import temporal_split
 from riskloom.sources.tables import (claims_view, doctors_view, hospitals_view, parts_view,
-                                     patients_view, prediction_log_view)
+                                     patients_view, prediction_log_view, read_table)
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return read_table(spark, d, name)
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
