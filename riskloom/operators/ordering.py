@@ -224,3 +224,16 @@ def rolling_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
                          F.avg(value_col).over(w).alias("roll_mean"),
                          F.stddev_samp(value_col).over(w).alias("roll_std"))
     return out.where(~F.col("_halo")).drop(_BUCKET, "_halo", "_b_end", one, f"cum_{one}")
+
+
+def with_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], cols: Sequence[str],
+                  prefix: str = "prev_", n_buckets: int | None = None) -> DataFrame:
+    """``lag`` without a per-group window: rows get their exact position per
+    group (balanced running totals), then an equi-join on (group, position - 1)
+    brings the previous row's ``cols``.  A hot group is spread over many tasks."""
+    group_cols = list(group_cols)
+    one = "_rl_one"
+    rt = running_totals(df.withColumn(one, F.lit(1)), group_cols, order_cols, [one], n_buckets=n_buckets) \
+        .withColumn("_pos", F.col(f"cum_{one}")).drop(one, f"cum_{one}")
+    prev = rt.select(*group_cols, (F.col("_pos") + 1).alias("_pos"), *[F.col(c).alias(prefix + c) for c in cols])
+    return rt.join(prev, [*group_cols, "_pos"], "left").drop("_pos")
