@@ -20,6 +20,7 @@ first (e.g. ``groupBy(value).count()``) so repeated values cost one row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,12 +33,18 @@ _BUCKET = "_rl_bucket"
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage where a result fans out to several consumers.
 
-    ``checkpoint`` writes to the shared folder named by ``spark.checkpoint.dir``
-    (set by the cluster; tests set their own), so the data survives executor
-    loss and later plans start from it instead of re-deriving -- and
-    re-planning -- the whole upstream for every consumer.
+    The result is written once as a Parquet table under the shared folder
+    named by ``spark.checkpoint.dir`` (set by the cluster; only tests set
+    their own) and read back: it survives executor loss, later plans start
+    from a file scan with column pruning and filter pushdown, and the
+    upstream is computed exactly once (an RDD checkpoint without persist
+    would compute it twice).
     """
-    return df.checkpoint(eager=True)
+    from riskloom.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskloom-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _n_buckets(df: DataFrame, n: int | None) -> int:
@@ -46,6 +53,22 @@ def _n_buckets(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_limit(spark) -> int:
+    """Largest per-group distinct-value count (or row count) handled by the
+    single-task exact paths; above it the range-bucketed paths take over.
+    Configurable with ``riskloom.exact.smallLimit``."""
+    return int(spark.conf.get("riskloom.exact.smallLimit", "1000000"))
+
+
+def _max_group_rows(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Size check of a (materialised) table: rows of its largest group."""
+    group_cols = list(group_cols)
+    if not group_cols:
+        return df.count()
+    r = df.groupBy(*group_cols).count().agg(F.max("count")).collect()[0][0]
+    return int(r or 0)
+
+
 def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
                    sum_cols: Sequence[str], prefix: str = "cum_", n_buckets: int | None = None,
                    with_buckets: bool = False):
@@ -88,29 +111,41 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
 
 def global_index(df: DataFrame, order_cols: Sequence[Column | str], name: str = "idx",
                  n_buckets: int | None = None) -> DataFrame:
-    """0-based position of every row in ``order_cols`` order (must be a total order)."""
+    """0-based position of every row in ``order_cols`` order (must be a total order).
+
+    Size-checked: up to ``small_limit`` rows a single ordered window numbers
+    them (bounded by the check); beyond it the balanced range-bucketed
+    running totals do.
+    """
+    src = materialize(df)
+    if src.count() <= small_limit(df.sparkSession):
+        w = Window.orderBy(*[F.col(c) if isinstance(c, str) else c for c in order_cols])
+        return src.withColumn(name, F.row_number().over(w) - 1)
     one = "_rl_one"
-    out = running_totals(df.withColumn(one, F.lit(1)), [], order_cols, [one], n_buckets=n_buckets)
+    out = running_totals(src.withColumn(one, F.lit(1)), [], order_cols, [one], n_buckets=n_buckets)
     return out.withColumn(name, F.col(f"cum_{one}") - 1).drop(one, f"cum_{one}")
 
 
+def _ranks_from_compressed(vc: DataFrame, value_col: str, group_cols: Sequence[str],
+                           n_buckets: int | None = None):
+    group_cols = list(group_cols)
+    rows, _ = running_totals(vc, group_cols, [value_col], ["cnt"], n_buckets=n_buckets, with_buckets=True)
+    rows = rows.withColumn("start", F.col("cum_cnt") - F.col("cnt")).drop("cum_cnt")
+    buckets = rows.groupBy(*group_cols, _BUCKET).agg(F.min("start").alias("b_start"),
+                                                      F.max(F.col("start") + F.col("cnt")).alias("b_end"))
+    return rows, buckets
+
+
 def value_ranks(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
                 n_buckets: int | None = None):
     """Compressed rank table: one row per (group, distinct value) with
     ``cnt`` and ``start`` (0-based rank of its first copy), plus the small
     bucket table used to route rank lookups.  Nulls are ignored.
 
-    The bucketed input is checkpointed (reliable, in ``spark.checkpoint.dir``)
-    inside ``running_totals``: every lookup starts from it.
+    The bucketed input is materialised inside ``running_totals``: every
+    lookup starts from it.
     """
-    group_cols = list(group_cols)
-    vc = (df.where(F.col(value_col).isNotNull())
-            .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("cnt")))
-    rows, _ = running_totals(vc, group_cols, [value_col], ["cnt"], n_buckets=n_buckets, with_buckets=True)
-    rows = rows.withColumn("start", F.col("cum_cnt") - F.col("cnt")).drop("cum_cnt")
-    buckets = rows.groupBy(*group_cols, _BUCKET).agg(F.min("start").alias("b_start"),
-                                                      F.max(F.col("start") + F.col("cnt")).alias("b_end"))
-    return rows, buckets
+    return _ranks_from_compressed(_compressed(df, value_col, group_cols), value_col, group_cols, n_buckets)
 
 
 def _lookup(rows: DataFrame, buckets: DataFrame, value_col: str, targets: DataFrame,
@@ -147,14 +182,32 @@ def values_at_ranks(df: DataFrame, value_col: str, targets: DataFrame, group_col
     return _lookup(rows, buckets, value_col, targets, group_cols)
 
 
+def _compressed(df: DataFrame, value_col: str, group_cols: Sequence[str]) -> DataFrame:
+    return materialize(df.where(F.col(value_col).isNotNull())
+                         .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("cnt")))
+
+
 def quantiles(df: DataFrame, value_col: str, probs: dict[str, float], group_cols: Sequence[str] = (),
               n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy/pandas default, SQL
     ``quantile_cont``) per group, one column per entry of ``probs``.
     Groups without values produce no row.
+
+    Values are first compressed to (value, count).  When the largest group
+    has at most ``small_limit`` distinct values, Spark's exact
+    frequency-weighted ``percentile`` runs on the compressed table (its
+    per-group state is bounded by that check); otherwise ranks come from the
+    range-bucketed running totals.
     """
     group_cols = list(group_cols)
-    rows, buckets = value_ranks(df, value_col, group_cols, n_buckets)
+    vc = _compressed(df, value_col, group_cols)
+    if _max_group_rows(vc, group_cols) <= small_limit(df.sparkSession):
+        # one aggregate for all probabilities: the value map is built and sorted once
+        pct = F.percentile(F.col(value_col), F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("cnt"))
+        g = vc.groupBy(*group_cols).agg(pct.alias("_q")) if group_cols else vc.agg(pct.alias("_q"))
+        return g.where(F.col("_q").isNotNull()).select(
+            *group_cols, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+    rows, buckets = _ranks_from_compressed(vc, value_col, group_cols, n_buckets)
     n = _sizes(buckets, group_cols)
     targets = None
     for name, p in probs.items():
@@ -179,9 +232,26 @@ def kth_values(df: DataFrame, value_col: str, ranks: dict[str, Column], group_co
 
     Example: ``{"q1": F.floor(F.col("n") / 4)}`` is the reference's
     ``sorted(x)[len(x)//4]``.  Returns group_cols, ``n`` and one column per rank.
+    Small groups (distinct values <= ``small_limit``) walk their sorted
+    (value, count) list once; larger ones use the range-bucketed ranks.
     """
     group_cols = list(group_cols)
-    rows, buckets = value_ranks(df, value_col, group_cols, n_buckets)
+    vc = _compressed(df, value_col, group_cols)
+    if _max_group_rows(vc, group_cols) <= small_limit(df.sparkSession):
+        agg = [F.array_sort(F.collect_list(F.struct(F.col(value_col).alias("v"), F.col("cnt").alias("c")))).alias("xs"),
+               F.sum("cnt").alias("n")]
+        g = vc.groupBy(*group_cols).agg(*agg) if group_cols else vc.agg(*agg).where(F.col("n") > 0)
+        cols = []
+        for name, expr in ranks.items():
+            k = expr.cast("long")
+            walk = F.aggregate("xs", F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("double").alias("hit")),
+                               lambda acc, x: F.struct(
+                                   (acc["cum"] + x["c"]).alias("cum"),
+                                   F.when(acc["hit"].isNull() & (acc["cum"] + x["c"] > k), x["v"].cast("double"))
+                                    .otherwise(acc["hit"]).alias("hit")))
+            cols.append(walk["hit"].alias(name))
+        return g.select(*group_cols, F.col("n").cast("long").alias("n"), *cols)
+    rows, buckets = _ranks_from_compressed(vc, value_col, group_cols, n_buckets)
     n = _sizes(buckets, group_cols)
     targets = None
     for name, expr in ranks.items():

@@ -14,14 +14,6 @@ from riskloom.sources.tables import (claims_view, doctors_view, hospitals_view,
                                      patients_view, prediction_log_view, read_table)
 
 
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return read_table(spark, d, name)
-
-
-def claims(spark: SparkSession, d: str) -> DataFrame:
-    return claims_view(spark, d)
-
-
 _VIEWS: dict = {}
 
 
@@ -40,6 +32,17 @@ def view(spark: SparkSession, d: str, name: str, build) -> DataFrame:
     return df
 
 
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return read_table(spark, d, name)
+
+
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    """The de-duplicated claims table, materialised once: every derivation
+    (split, graph, quality) starts from its Parquet copy instead of repeating
+    the de-duplication aggregate and the orders join."""
+    return view(spark, d, "claims", lambda: claims_view(spark, d))
+
+
 def claims_split(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "claims_split",
                 lambda: temporal_split(claims(spark, d), "claim_date", "claim_id"))
