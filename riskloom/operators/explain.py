@@ -187,3 +187,143 @@ def explanation_rows(scored: DataFrame, top_long: DataFrame, key: str = "predict
         key, "fraud_score", label.alias("label"), (F.lit(2.0) * F.abs(s - 0.5)).alias("confidence"), "top_factors",
         F.concat(F.lit("Claim assessed as "), label, F.lit(" (score "), F.format_number(s, 2),
                  F.lit("); main factors: "), F.concat_ws(", ", "top_factors"), F.lit(".")).alias("explanation"))
+
+
+# Fixed values of the rule-based explainers: counterfactual target 0.2, 50 steps,
+# score x 0.7 per change; what-if weights 0.4 (mean change) and 0.1 (risky
+# increase), direction band 0.05, advice band 0.1, feasibility 0.7 / 0.4;
+# sensitivity factor 0.3 (x 1.5 for frequency features); anchor shifts
+# -30 %, -10 %, 0, +10 %, +30 %, variance cut 0.01, precision cut 0.15.
+RISKY = ("doctor_frequency", "claim_frequency", "claim_amount")
+FREQUENCY = ("doctor_frequency", "claim_frequency")
+
+
+def counterfactual(df: DataFrame, key: str, score: str, cols: Sequence[str], ranges: DataFrame,
+                   target: float = 0.2, max_steps: int = 50) -> DataFrame:
+    """IX-16 in closed form.  Per feature the best candidate target is the
+    range minimum or min + 25 % of the range (largest move, first wins ties;
+    moves <= 0.01 are not candidates).  The greedy loop takes features by
+    decreasing move (first feature wins ties) and multiplies the score by 0.7
+    per step while it is above ``target`` -- so the changed set is the top-k
+    features by move, k = min(eligible, steps needed, 50).  ``ranges``: one
+    row with ``{c}__min`` / ``{c}__max``."""
+    x = df.crossJoin(F.broadcast(ranges))
+    items = []
+    for i, c in enumerate(cols):
+        v, lo, hi = F.col(c).cast("double"), F.col(f"{c}__min"), F.col(f"{c}__max")
+        t1, t2 = lo, lo + (hi - lo) * 0.25
+        d1, d2 = F.abs(t1 - v), F.abs(t2 - v)
+        g1 = F.when(d1 > 0.01, d1).otherwise(F.lit(0.0))
+        g2 = F.when(d2 > 0.01, d2).otherwise(F.lit(0.0))
+        best_t = F.when(g2 > g1, t2).otherwise(t1)
+        items.append(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"), v.alias("old"),
+                              best_t.alias("new"), F.greatest(g1, g2).alias("gain")))
+    long = x.select(key, F.col(score).alias("_s"), F.explode(F.array(*items)).alias("f")).select(key, "_s", "f.*")
+    w = Window.partitionBy(key).orderBy(F.col("gain").desc(), F.col("pos"))
+    long = long.withColumn("rank", F.row_number().over(w))
+    n_steps = F.aggregate(F.sequence(F.lit(0), F.lit(max_steps - 1)), F.lit(0),
+                          lambda acc, j: acc + F.when(F.col("_s") * F.pow(F.lit(0.7), j) > F.lit(target), 1)
+                          .otherwise(0))
+    per = long.groupBy(key, "_s").agg(F.count_if(F.col("gain") > 0).alias("eligible"))
+    per = per.withColumn("k", F.least(F.col("eligible"), n_steps))
+    j = long.join(per.select(key, "k"), key).where(F.col("rank") <= F.col("k"))
+    changed = j.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "feature"))).alias("_c"),
+        F.sum(F.abs(F.col("new") - F.col("old"))).alias("_dist"))
+    out = per.join(changed, key, "left")
+    return out.select(key, F.col("_s").alias("original_score"), F.col("k").alias("num_changes"),
+                      F.coalesce(F.transform("_c", lambda s: s["feature"]), F.array().cast("array<string>"))
+                      .alias("changed_features"),
+                      (F.coalesce(F.col("_dist"), F.lit(0.0)) / len(cols)).alias("change_distance"),
+                      F.greatest(F.lit(0.5), F.lit(1.0) - F.col("k") * 0.15).alias("confidence"))
+
+
+def what_if(df: DataFrame, key: str, score: str, factors: dict[str, float]) -> DataFrame:
+    """IX-17: every row modified by ``factors`` (new = old * factor)."""
+    mags = [F.abs(F.col(c) * f - F.col(c)) for c, f in factors.items()]
+    avg = sum(mags, F.lit(0.0)) / len(factors)
+    risky = sum((F.when((F.lit(c in RISKY)) & (F.col(c) * f > F.col(c)), 1).otherwise(0) for c, f in factors.items()),
+                F.lit(0))
+    extreme = None
+    for c in factors:
+        e = (F.col(c) > 1.5) | (F.col(c) < 0)
+        extreme = e if extreme is None else (extreme | e)
+    base = F.col(score)
+    mod = F.least(F.greatest(base + avg * 0.4 + risky * 0.1, F.lit(0.0)), F.lit(1.0))
+    ch = mod - base
+    return df.select(key, base.alias("original_prediction"), mod.alias("modified_prediction"), ch.alias("change"),
+                     F.when(ch > 0.05, F.lit("Increases risk")).when(ch < -0.05, F.lit("Decreases risk"))
+                      .otherwise(F.lit("No significant change")).alias("change_direction"),
+                     F.when(extreme, F.lit(0.4)).otherwise(F.lit(0.7)).alias("feasibility"),
+                     F.when(ch > 0.1, F.lit("increases fraud risk")).when(ch < -0.1, F.lit("reduces fraud risk"))
+                      .otherwise(F.lit("minimal impact")).alias("recommendation"))
+
+
+def sensitivity(df: DataFrame, key: str, score: str, feature: str, steps: int = 5) -> DataFrame:
+    """IX-18: value * (0.5 + i/steps) for i < steps; prediction = clamp(score + 0.3 |change|)."""
+    mult = 1.5 if feature in FREQUENCY else 1.0
+    x = df.select(key, F.col(score).alias("_s"), F.col(feature).cast("double").alias("_v"),
+                  F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    val = F.col("_v") * (F.lit(0.5) + F.col("step") / F.lit(float(steps)))
+    pred = F.least(F.greatest(F.col("_s") + F.abs(val - F.col("_v")) * 0.3 * mult, F.lit(0.0)), F.lit(1.0))
+    return x.select(key, "step", val.alias("value"), pred.alias("prediction"), (pred - F.col("_s")).alias("change"))
+
+
+def decision_regions(ranges: DataFrame, feature: str) -> DataFrame:
+    """IX-19: five points across the feature's range; likelihood = min(v / max, 1)."""
+    lo, hi = F.col(f"{feature}__min"), F.col(f"{feature}__max")
+    x = ranges.select(lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    v = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("i") / 4.0)
+    lk = F.least(v / F.col("hi"), F.lit(1.0))
+    return x.select(F.lit(feature).alias("feature"), "i", v.alias("value"), lk.alias("fraud_likelihood"),
+                    F.when(lk < 0.33, F.lit("Low Risk")).when(lk < 0.67, F.lit("Medium Risk"))
+                     .otherwise(F.lit("High Risk")).alias("region"))
+
+
+def anchor_noise(sample, feature_pos):
+    """Deterministic perturbation in [-0.2, 0.2) for (sample, feature position)."""
+    return F.lit(-0.2) + F.lit(0.4) * F.pmod(sample * 31 + feature_pos * 17, F.lit(100)) / 100.0
+
+
+def anchors(df: DataFrame, key: str, score: str, cols: Sequence[str], threshold: float = 0.5,
+            samples: int = 100) -> DataFrame:
+    """IX-15: spread of each feature over the +-10/30 % shifts is 0.6 |v|;
+    features with spread > 0.01, top 5 by spread (first wins ties) form the
+    anchor; the rule uses the top 3; precision = share of perturbed samples
+    whose mean absolute change stays < 0.15; coverage = min(0.4 + 0.3 p, 1)."""
+    items = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"),
+                      (F.abs(F.col(c).cast("double")) * 0.6).alias("spread")) for i, c in enumerate(cols)]
+    arr = F.array(*items)
+    imp = F.filter(arr, lambda t: t["spread"] > 0.01)
+    top = F.slice(F.array_sort(imp, lambda a, b: F.when(a["spread"] > b["spread"], -1)
+                                 .when(a["spread"] < b["spread"], 1)
+                                 .otherwise(a["pos"] - b["pos"])), 1, 5)
+    fraud = F.col("_s") > threshold
+    x = df.select(key, F.col(score).alias("_s"), *[F.col(c).cast("double").alias(c) for c in cols],
+                  top.alias("_top"))
+    rule = F.array_join(F.transform(F.slice("_top", 1, 3), lambda t: F.when(
+        fraud, F.concat(t["feature"], F.lit(" > "), F.format_string("%.2f", t["v"] * 0.8)))
+        .otherwise(F.concat(t["feature"], F.lit(" <= "), F.format_string("%.2f", t["v"] * 1.2)))), " AND ")
+    names = F.transform("_top", lambda t: t["feature"])
+
+    def dev(s):
+        tot = F.lit(0.0)
+        for i, c in enumerate(cols):
+            tot = tot + F.when(F.array_contains(names, F.lit(c)), F.lit(0.0)) \
+                         .otherwise(F.abs(F.col(c) * anchor_noise(s, F.lit(i))))
+        return tot / len(cols)
+    hits = F.aggregate(F.sequence(F.lit(0), F.lit(samples - 1)), F.lit(0),
+                       lambda acc, s: acc + F.when(dev(s) < 0.15, 1).otherwise(0))
+    precision = hits / float(samples)
+    return x.select(key, names.alias("anchor_features"),
+                    F.when(F.size("_top") > 0, rule).otherwise(F.lit("Default rule")).alias("rule"),
+                    precision.alias("precision"), F.least(F.lit(0.4) + precision * 0.3, F.lit(1.0)).alias("coverage"))
+
+
+def factor_overlap(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
+    """ST-4 / IX-9 / JN-9: common and differing top factors of two explanations."""
+    x = a.select(F.col("top_factors").alias("fa")).where(F.col(key_a)).crossJoin(
+        b.select(F.col("top_factors").alias("fb")).where(F.col(key_b)))
+    return x.select(F.array_sort(F.array_intersect("fa", "fb")).alias("common_factors"),
+                    F.array_sort(F.array_except("fa", "fb")).alias("only_first"),
+                    F.array_sort(F.array_except("fb", "fa")).alias("only_second"))

@@ -198,3 +198,149 @@ def explanations(spark, d):
     """IX-7: explanation rows for every test claim."""
     sc = test_features(spark, d).select(F.col("claim_id").alias("prediction_id"), "fraud_score")
     return ix.explanation_rows(sc, ix.top_contributions(attributions(spark, d), 5))
+
+
+# ---------------------------------------------------------------- rule-based explainers (IX-15 .. IX-19)
+from riskloom.operators.encode import apply_scaler, fit_scaler  # noqa: E402
+
+XF = XCOLS   # standardised with train mean / population std, as the model sees them
+WHATIF = {"claim_amount": 1.5, "num_procedures": 0.5}
+
+
+def scaled(spark, d):
+    def build():
+        f = base.features(spark, d).select("claim_id", "split", *XF)
+        sc = fit_scaler(f.where("split = 'train'"), XF)
+        return apply_scaler(f, sc, XF)
+    return base.view(spark, d, "scaled_features", build)
+
+
+def scaled_test(spark, d):
+    s = base.scored(spark, d).select("claim_id", "fraud_score")
+    return scaled(spark, d).where("split = 'test'").join(s, "claim_id")
+
+
+def ranges(spark, d):
+    tr = scaled(spark, d).where("split = 'train'")
+    return tr.agg(*[F.min(c).alias(f"{c}__min") for c in XF], *[F.max(c).alias(f"{c}__max") for c in XF])
+
+
+SCALED_SQL = SCORED_W.rstrip("\n") + ",\n" + _FEAT_CTES + """,
+scs AS (SELECT """ + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}"
+                               for c in XF) + """ FROM f WHERE split = 'train'),
+xs AS (SELECT claim_id, split, """ + ", ".join(
+    f"(CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END AS {c}"
+    for c in XF) + """ FROM f CROSS JOIN scs),
+rng AS (SELECT """ + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in XF) + """ FROM xs WHERE split = 'train'),
+tst AS (SELECT xs.*, s.fraud_score FROM xs JOIN scored s USING (claim_id) WHERE xs.split = 'test')
+"""
+
+_CF_VALUES = ", ".join(f"({i}, '{c}', {c}, lo_{c}, lo_{c} + (hi_{c} - lo_{c}) * 0.25)" for i, c in enumerate(XF))
+
+
+@query("counterfactual_steps", SCALED_SQL + f""",
+fl0 AS (SELECT claim_id, fraud_score AS s, x.pos, x.feature, x.v, x.t1, x.t2,
+               CASE WHEN abs(x.t1 - x.v) > 0.01 THEN abs(x.t1 - x.v) ELSE 0.0 END AS g1,
+               CASE WHEN abs(x.t2 - x.v) > 0.01 THEN abs(x.t2 - x.v) ELSE 0.0 END AS g2
+        FROM tst CROSS JOIN rng CROSS JOIN LATERAL (VALUES {_CF_VALUES}) x(pos, feature, v, t1, t2)),
+fl AS (SELECT claim_id, s, pos, feature, v, CASE WHEN g2 > g1 THEN t2 ELSE t1 END AS new, greatest(g1, g2) AS gain
+       FROM fl0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY gain DESC, pos) AS rank FROM fl),
+per AS (SELECT claim_id, s, count(*) FILTER (WHERE gain > 0) AS eligible FROM fl GROUP BY claim_id, s),
+per2 AS (SELECT *, least(eligible, (SELECT count(*) FROM range(50) r(j) WHERE s * pow(0.7, j) > 0.2)) AS k FROM per)
+SELECT p.claim_id, p.s AS original_score, CAST(p.k AS BIGINT) AS num_changes,
+       coalesce(list(r.feature ORDER BY r.rank) FILTER (WHERE r.rank <= p.k), []) AS changed_features,
+       coalesce(sum(abs(r.new - r.v)) FILTER (WHERE r.rank <= p.k), 0.0) / {len(XF)} AS change_distance,
+       greatest(0.5, 1.0 - p.k * 0.15) AS confidence
+FROM per2 p JOIN rk r USING (claim_id) GROUP BY p.claim_id, p.s, p.k""")
+def counterfactual_steps(spark, d):
+    """IX-16: greedy counterfactual in closed form for every test claim."""
+    return ix.counterfactual(scaled_test(spark, d), "claim_id", "fraud_score", XF, ranges(spark, d)) \
+             .withColumn("num_changes", F.col("num_changes").cast("long"))
+
+
+@query("what_if", SCALED_SQL + """,
+w AS (SELECT claim_id, fraud_score AS b,
+             (abs(claim_amount * 1.5 - claim_amount) + abs(num_procedures * 0.5 - num_procedures)) / 2 AS avg_change,
+             CASE WHEN claim_amount * 1.5 > claim_amount THEN 1 ELSE 0 END AS risky,
+             claim_amount > 1.5 OR claim_amount < 0 OR num_procedures > 1.5 OR num_procedures < 0 AS extreme FROM tst),
+m AS (SELECT *, least(greatest(b + avg_change * 0.4 + risky * 0.1, 0.0), 1.0) AS modp FROM w)
+SELECT claim_id, b AS original_prediction, modp AS modified_prediction, modp - b AS change,
+       CASE WHEN modp - b > 0.05 THEN 'Increases risk' WHEN modp - b < -0.05 THEN 'Decreases risk'
+            ELSE 'No significant change' END AS change_direction,
+       CASE WHEN extreme THEN 0.4 ELSE 0.7 END AS feasibility,
+       CASE WHEN modp - b > 0.1 THEN 'increases fraud risk' WHEN modp - b < -0.1 THEN 'reduces fraud risk'
+            ELSE 'minimal impact' END AS recommendation
+FROM m""")
+def what_if(spark, d):
+    """IX-17: every test claim with amount x1.5 and procedures x0.5."""
+    return ix.what_if(scaled_test(spark, d), "claim_id", "fraud_score", WHATIF)
+
+
+@query("sensitivity_sweep", SCALED_SQL + """
+SELECT claim_id, CAST(i AS INTEGER) AS step, claim_amount * (0.5 + i / 5.0) AS value,
+       least(greatest(fraud_score + abs(claim_amount * (0.5 + i / 5.0) - claim_amount) * 0.3, 0.0), 1.0) AS prediction,
+       least(greatest(fraud_score + abs(claim_amount * (0.5 + i / 5.0) - claim_amount) * 0.3, 0.0), 1.0) - fraud_score
+         AS change
+FROM tst CROSS JOIN range(5) r(i)""")
+def sensitivity_sweep(spark, d):
+    """IX-18: five scalings of the claim amount per test claim."""
+    return ix.sensitivity(scaled_test(spark, d), "claim_id", "fraud_score", "claim_amount")
+
+
+@query("decision_regions", SCALED_SQL + """
+SELECT 'claim_amount' AS feature, CAST(i AS INTEGER) AS i, lo_claim_amount + (hi_claim_amount - lo_claim_amount) * (i / 4.0) AS value,
+       least((lo_claim_amount + (hi_claim_amount - lo_claim_amount) * (i / 4.0)) / hi_claim_amount, 1.0) AS fraud_likelihood,
+       CASE WHEN least((lo_claim_amount + (hi_claim_amount - lo_claim_amount) * (i / 4.0)) / hi_claim_amount, 1.0) < 0.33
+            THEN 'Low Risk'
+            WHEN least((lo_claim_amount + (hi_claim_amount - lo_claim_amount) * (i / 4.0)) / hi_claim_amount, 1.0) < 0.67
+            THEN 'Medium Risk' ELSE 'High Risk' END AS region
+FROM rng CROSS JOIN range(5) r(i)""")
+def decision_regions(spark, d):
+    """IX-19: five points across the training range of the claim amount."""
+    return ix.decision_regions(ranges(spark, d), "claim_amount")
+
+
+_AN_VALUES = ", ".join(f"({i}, '{c}', {c})" for i, c in enumerate(XF))
+
+
+@query("anchor_rules", SCALED_SQL + f""",
+fv AS (SELECT claim_id, fraud_score AS s, x.pos, x.feature, x.v, abs(x.v) * 0.6 AS spread
+       FROM tst CROSS JOIN LATERAL (VALUES {_AN_VALUES}) x(pos, feature, v)),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY spread DESC, pos) AS rank
+                      FROM fv WHERE spread > 0.01) WHERE rank <= 5),
+nm AS (SELECT claim_id, list(feature ORDER BY rank) AS anchor_features,
+              string_agg(CASE WHEN s > 0.5 THEN feature || ' > ' || printf('%.2f', v * 0.8)
+                              ELSE feature || ' <= ' || printf('%.2f', v * 1.2) END, ' AND ' ORDER BY rank)
+                FILTER (WHERE rank <= 3) AS rule FROM tp GROUP BY claim_id),
+dv AS (SELECT fv.claim_id, r.smp, sum(CASE WHEN tp.feature IS NULL
+                                           THEN abs(fv.v * (-0.2 + 0.4 * ((r.smp * 31 + fv.pos * 17) % 100) / 100.0))
+                                           ELSE 0.0 END) / {len(XF)} AS dev
+       FROM fv CROSS JOIN range({100}) r(smp) LEFT JOIN tp ON tp.claim_id = fv.claim_id AND tp.feature = fv.feature
+       GROUP BY fv.claim_id, r.smp),
+pr AS (SELECT claim_id, count(*) FILTER (WHERE dev < 0.15) / 100.0 AS precision FROM dv GROUP BY claim_id)
+SELECT t.claim_id, coalesce(nm.anchor_features, []) AS anchor_features, coalesce(nm.rule, 'Default rule') AS rule,
+       pr.precision, least(0.4 + pr.precision * 0.3, 1.0) AS coverage
+FROM tst t LEFT JOIN nm USING (claim_id) JOIN pr USING (claim_id)""")
+def anchor_rules(spark, d):
+    """IX-15: anchor features, rule, perturbation precision and coverage per test claim."""
+    return ix.anchors(scaled_test(spark, d), "claim_id", "fraud_score", XF)
+
+
+@query("explanation_compare", ATTR_SQL + """,
+tops AS (SELECT prediction_id, list(feature ORDER BY rank) AS f FROM top5 WHERE rank <= 3 GROUP BY prediction_id),
+a AS (SELECT f FROM tops WHERE prediction_id = (SELECT min(prediction_id) FROM tops)),
+b AS (SELECT f FROM tops WHERE prediction_id = (SELECT max(prediction_id) FROM tops))
+SELECT list_sort(list_intersect(a.f, b.f)) AS common_factors,
+       list_sort(list_filter(a.f, lambda x: NOT list_contains(b.f, x))) AS only_first,
+       list_sort(list_filter(b.f, lambda x: NOT list_contains(a.f, x))) AS only_second
+FROM a CROSS JOIN b""")
+def explanation_compare(spark, d):
+    """IX-9 / IX-20 / ST-4: top-3 factors of the first and last test claims compared."""
+    t = ix.top_contributions(attributions(spark, d), 3)
+    tops = t.groupBy("prediction_id").agg(F.sort_array(F.collect_list(F.struct("rank", "feature"))).alias("x")) \
+            .select("prediction_id", F.transform("x", lambda s: s["feature"]).alias("top_factors"))
+    ends = tops.agg(F.min("prediction_id").alias("lo"), F.max("prediction_id").alias("hi"))
+    x = tops.crossJoin(F.broadcast(ends))
+    return ix.factor_overlap(x.withColumn("is_a", F.col("prediction_id") == F.col("lo")),
+                             x.withColumn("is_b", F.col("prediction_id") == F.col("hi")), "is_a", "is_b")
