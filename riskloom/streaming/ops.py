@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.operators.scoring import feed_summary, score_claims
-from riskloom.session import ensure_checkpoint_dir
+from riskloom.session import ensure_checkpoint_dir, ship_package
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -94,7 +94,10 @@ def _ring_roll(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     """SM-3 state function: keep the last 20 values of the stream, emit the
     trailing-20 count / mean / sample stdev for every arriving row."""
     buf = list(state.get[0]) if state.exists else []
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
+    parts = [p for p in pdfs if len(p)]
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
     out_n, out_m, out_s = [], [], []
     for v in rows["value"].tolist():
         buf.append(float(v))
@@ -111,5 +114,6 @@ def _ring_roll(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator
 
 def stream_rolling(events: DataFrame) -> DataFrame:
     """SM-3: per event stream, a ring buffer of the last 20 values in keyed state."""
+    ship_package(events.sparkSession)
     return events.groupBy("event_type").applyInPandasWithState(
         _ring_roll, ROLL_OUT, ROLL_STATE, "append", GroupStateTimeout.NoTimeout)
