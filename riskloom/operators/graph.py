@@ -11,9 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from riskloom.operators.ordering import global_index, materialize
+from riskloom.operators.ordering import global_index, materialize, top_k_per_group
 
 EDGE_COLS = ["src_type", "src", "relation", "dst_type", "dst"]
 
@@ -101,14 +100,9 @@ def sample_neighbors(edges: DataFrame, seeds: DataFrame, relation: str, fanout:
     at most ``salts * fanout`` rows.
     """
     e = edges.where(F.col("relation") == relation).select(F.col("src").alias("node"), F.col("dst").alias("nbr"))
-    j = seeds.select("node").distinct().join(e, "node")
-    h = F.xxhash64(F.col("node"), F.col("nbr"), F.lit(seed_salt))
-    j = j.withColumn("_h", h).withColumn("_salt", F.pmod(F.col("_h"), F.lit(salts)))
-    w1 = Window.partitionBy("node", "_salt").orderBy("_h", "nbr")
-    first = j.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= fanout)
-    w2 = Window.partitionBy("node").orderBy("_h", "nbr")
-    return first.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= fanout) \
-                .select("node", "nbr", F.col("_r").alias("rank"))
+    j = seeds.select("node").distinct().join(e, "node") \
+             .withColumn("_h", F.xxhash64(F.col("node"), F.col("nbr"), F.lit(seed_salt)))
+    return top_k_per_group(j, ["node"], ["_h", "nbr"], fanout, salts).select("node", "nbr", "rank")
 
 
 def entity_degree(edges: DataFrame) -> DataFrame:

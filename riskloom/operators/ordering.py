@@ -307,3 +307,19 @@ def with_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
         .withColumn("_pos", F.col(f"cum_{one}")).drop(one, f"cum_{one}")
     prev = rt.select(*group_cols, (F.col("_pos") + 1).alias("_pos"), *[F.col(c).alias(prefix + c) for c in cols])
     return rt.join(prev, [*group_cols, "_pos"], "left").drop("_pos")
+
+
+def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str], k: int,
+                    salts: int = 16, rank_col: str = "rank") -> DataFrame:
+    """Top ``k`` rows per group in ``order_cols`` order (a total order within
+    the group), without handing a hot group to one task: rows are first cut
+    to the top ``k`` per (group, salt) -- the salt is a hash of the row --
+    then ranked again per group on at most ``salts * k`` survivors."""
+    group_cols = list(group_cols)
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    salted = df.withColumn("_rl_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
+    w1 = Window.partitionBy(*group_cols, "_rl_salt").orderBy(*order)
+    first = salted.withColumn("_rl_r", F.row_number().over(w1)).where(F.col("_rl_r") <= k)
+    w2 = Window.partitionBy(*group_cols).orderBy(*order)
+    return first.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k) \
+                .drop("_rl_salt", "_rl_r")

@@ -59,10 +59,9 @@ def job_status(spark, d):
                                      (F.col("num_procedures") > 45).alias("bad"))
     g = s.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("bad")).alias("successful"),
                                 F.count_if("bad").alias("failed"))
-    from pyspark.sql.window import Window
-    w = Window.partitionBy("job_id").orderBy("claim_id")
-    errs = s.where("bad").withColumn("r", F.row_number().over(w)).where("r <= 10") \
-            .groupBy("job_id").agg(F.sort_array(F.collect_list("claim_id")).alias("first_errors"))
+    from riskloom.operators.ordering import top_k_per_group
+    errs = top_k_per_group(s.where("bad").select("job_id", "claim_id"), ["job_id"], ["claim_id"], 10) \
+        .groupBy("job_id").agg(F.sort_array(F.collect_list("claim_id")).alias("first_errors"))
     return g.join(errs, "job_id", "left").select(
         "job_id", "total", F.col("total").alias("processed"), "successful", "failed",
         (F.col("total") * 100.0 / F.greatest(F.col("total"), F.lit(1))).alias("progress"),
