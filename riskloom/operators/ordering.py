@@ -120,7 +120,7 @@ def global_index(df: DataFrame, order_cols: Sequence[Column | str], name: str =
     src = materialize(df)
     if src.count() <= small_limit(df.sparkSession):
         w = Window.orderBy(*[F.col(c) if isinstance(c, str) else c for c in order_cols])
-        return src.withColumn(name, F.row_number().over(w) - 1)
+        return src.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
     one = "_rl_one"
     out = running_totals(src.withColumn(one, F.lit(1)), [], order_cols, [one], n_buckets=n_buckets)
     return out.withColumn(name, F.col(f"cum_{one}") - 1).drop(one, f"cum_{one}")

@@ -276,9 +276,9 @@ st AS (SELECT (SELECT count(DISTINCT user_id) FROM cur) AS total_users_with_cons
               (SELECT count(*) FROM {POLICIES_SQL}) AS retention_policies,
               (SELECT count(*) FROM dsr WHERE status = 'pending') AS pending_data_subject_requests,
               (SELECT count(*) FROM dsr WHERE status = 'processed') AS processed_data_subject_requests)
-SELECT *, greatest(100.0 - CASE WHEN retention_policies = 0 THEN 20 ELSE 0 END
+SELECT *, CAST(greatest(100.0 - CASE WHEN retention_policies = 0 THEN 20 ELSE 0 END
                          - CASE WHEN pending_data_subject_requests > 0 THEN 10 ELSE 0 END
-                         - CASE WHEN total_users_with_consent = 0 THEN 30 ELSE 0 END, 0.0) AS compliance_score,
+                         - CASE WHEN total_users_with_consent = 0 THEN 30 ELSE 0 END, 0.0) AS DOUBLE) AS compliance_score,
        list_filter([CASE WHEN retention_policies = 0 THEN 'Define data retention policies' END,
                     CASE WHEN pending_data_subject_requests > 0 THEN 'Process pending data subject requests' END,
                     CASE WHEN total_users_with_consent = 0 THEN 'Record user consent' END], lambda x: x IS NOT NULL)

@@ -100,7 +100,8 @@ SELECT claim_id, split, fraud_label, claim_amount, num_procedures, days_in_hospi
        claim_amount / (patient_avg_amount + 1) AS amount_vs_patient_avg,
        claim_amount / (doctor_avg_amount + 1) AS amount_vs_doctor_avg,
        claim_amount / (hosp_avg_amount + 1) AS amount_vs_hosp_avg,
-       month(claim_date) AS claim_month, isodow(claim_date) - 1 AS claim_dayofweek, day(claim_date) AS claim_day
+       CAST(month(claim_date) AS INTEGER) AS claim_month, CAST(isodow(claim_date) - 1 AS INTEGER) AS claim_dayofweek,
+       CAST(day(claim_date) AS INTEGER) AS claim_day
 FROM f"""
 
 FEATURE_OUT = ["claim_id", "split", "fraud_label", "claim_amount", "num_procedures", "days_in_hospital",
@@ -159,8 +160,8 @@ def impute_median_mode(spark, d):
 
 
 @query("calendar_and_ratio_features", FEATURES_SQL + """
-SELECT claim_id, month(claim_date) AS claim_month, isodow(claim_date) - 1 AS claim_dayofweek,
-       day(claim_date) AS claim_day,
+SELECT claim_id, CAST(month(claim_date) AS INTEGER) AS claim_month, CAST(isodow(claim_date) - 1 AS INTEGER) AS claim_dayofweek,
+       CAST(day(claim_date) AS INTEGER) AS claim_day,
        claim_amount / (patient_avg_amount + 1) AS amount_vs_patient_avg,
        claim_amount / (doctor_avg_amount + 1) AS amount_vs_doctor_avg,
        claim_amount / (hosp_avg_amount + 1) AS amount_vs_hosp_avg

@@ -51,7 +51,8 @@ def metrics_long(spark, d) -> DataFrame:
 
 
 METRICS_LONG_SQL = TEST_W.rstrip("\n") + """,
-ms AS (SELECT * FROM (VALUES ('hybrid'), ('heuristic'), ('rule')) m(model) CROSS JOIN range(5) s(seed)),
+ms AS (SELECT model, CAST(seed AS INTEGER) AS seed FROM (VALUES ('hybrid'), ('heuristic'), ('rule')) m(model)
+       CROSS JOIN range(5) s(seed)),
 v AS (
   SELECT model, seed, fraud_label,
          (CASE model WHEN 'hybrid' THEN fraud_score WHEN 'heuristic' THEN ml_score ELSE rule_score END
@@ -276,7 +277,8 @@ def paired_effect_size(spark, d):
 @query("model_ranking", METRICS_LONG_SQL.rstrip("\n") + """,
 per AS (SELECT model, metric, avg(value) AS value FROM mlong GROUP BY model, metric),
 msc AS (SELECT model, avg(value) AS mean_score FROM per GROUP BY model)
-SELECT per.model, metric, value, row_number() OVER (PARTITION BY metric ORDER BY value DESC, per.model) AS rank,
+SELECT per.model, metric, value,
+       CAST(row_number() OVER (PARTITION BY metric ORDER BY value DESC, per.model) AS INTEGER) AS rank,
        mean_score, row_number() OVER (PARTITION BY metric ORDER BY value DESC, per.model) = 1 AS is_best_for_metric,
        (SELECT arg_min(model, (-mean_score, model)) FROM msc) AS best_overall
 FROM per JOIN msc USING (model)""")

@@ -27,8 +27,8 @@ al AS (SELECT prediction_id, v.feature, v.value, v.importance FROM tf CROSS JOIN
        CROSS JOIN LATERAL (VALUES """ + ", ".join(
     f"('{c}', CAST({c} AS DOUBLE), coalesce(w_{c}, 0.0) * (CAST({c} AS DOUBLE) - m_{c}) / "
     f"CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END)" for c in XCOLS) + """) v(feature, value, importance)),
-top5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY abs(importance) DESC, feature)
-                        AS rank FROM al) WHERE rank <= 5)
+top5 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY prediction_id ORDER BY abs(importance) DESC,
+                        feature) AS INTEGER) AS rank FROM al) WHERE rank <= 5)
 """
 
 
@@ -67,7 +67,7 @@ sc AS (SELECT al.*, importance / CASE WHEN sum(abs(importance)) OVER (PARTITION
                     * CASE WHEN tf.fraud_score < 0.5 THEN 1.0 - tf.fraud_score ELSE tf.fraud_score END AS shap_value
        FROM al JOIN tf USING (prediction_id))
 SELECT prediction_id, feature, value, shap_value,
-       row_number() OVER w AS rank, sum(abs(shap_value)) OVER (w ROWS UNBOUNDED PRECEDING) AS cumulative_contribution,
+       CAST(row_number() OVER w AS INTEGER) AS rank, sum(abs(shap_value)) OVER (w ROWS UNBOUNDED PRECEDING) AS cumulative_contribution,
        CASE WHEN shap_value > 0 THEN 'increases fraud' ELSE 'decreases fraud' END AS direction
 FROM sc WINDOW w AS (PARTITION BY prediction_id ORDER BY abs(shap_value) DESC, feature)""")
 def contribution_breakdown(spark, d):
@@ -179,7 +179,8 @@ def importance_group_shares(spark, d):
 x AS (SELECT floor(tf.fraud_score / 0.1) AS bin, top5.feature FROM top5 JOIN tf USING (prediction_id)),
 c AS (SELECT bin, feature, count(*) AS count FROM x GROUP BY bin, feature)
 SELECT printf('%.1f', bin * 0.1) || '-' || printf('%.1f', (bin + 1) * 0.1) AS score_bin, feature, count, rank
-FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY count DESC, feature) AS rank FROM c) WHERE rank <= 5""")
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY bin ORDER BY count DESC, feature) AS INTEGER) AS rank FROM c)
+WHERE rank <= 5""")
 def score_bins(spark, d):
     """WN-6: top-5 features inside each 0.1 score bin."""
     t = ix.top_contributions(attributions(spark, d), 5)
@@ -251,7 +252,7 @@ per2 AS (SELECT *, least(eligible, (SELECT count(*) FROM range(50) r(j) WHERE s
 SELECT p.claim_id, p.s AS original_score, CAST(p.k AS BIGINT) AS num_changes,
        coalesce(list(r.feature ORDER BY r.rank) FILTER (WHERE r.rank <= p.k), []) AS changed_features,
        coalesce(sum(abs(r.new - r.v)) FILTER (WHERE r.rank <= p.k), 0.0) / {len(XF)} AS change_distance,
-       greatest(0.5, 1.0 - p.k * 0.15) AS confidence
+       CAST(greatest(0.5, 1.0 - p.k * 0.15) AS DOUBLE) AS confidence
 FROM per2 p JOIN rk r USING (claim_id) GROUP BY p.claim_id, p.s, p.k""")
 def counterfactual_steps(spark, d):
     """IX-16: greedy counterfactual in closed form for every test claim."""
@@ -268,7 +269,7 @@ m AS (SELECT *, least(greatest(b + avg_change * 0.4 + risky * 0.1, 0.0), 1.0) AS
 SELECT claim_id, b AS original_prediction, modp AS modified_prediction, modp - b AS change,
        CASE WHEN modp - b > 0.05 THEN 'Increases risk' WHEN modp - b < -0.05 THEN 'Decreases risk'
             ELSE 'No significant change' END AS change_direction,
-       CASE WHEN extreme THEN 0.4 ELSE 0.7 END AS feasibility,
+       CAST(CASE WHEN extreme THEN 0.4 ELSE 0.7 END AS DOUBLE) AS feasibility,
        CASE WHEN modp - b > 0.1 THEN 'increases fraud risk' WHEN modp - b < -0.1 THEN 'reduces fraud risk'
             ELSE 'minimal impact' END AS recommendation
 FROM m""")

@@ -46,7 +46,7 @@ def prediction_feedback(spark, d):
 
 @query("job_status", SCORED_W + """
 SELECT job_id, count(*) AS total, count(*) AS processed, count(*) FILTER (WHERE NOT bad) AS successful,
-       count(*) FILTER (WHERE bad) AS failed, 100.0 AS progress, 'completed' AS status,
+       count(*) FILTER (WHERE bad) AS failed, CAST(100.0 AS DOUBLE) AS progress, 'completed' AS status,
        list(claim_id ORDER BY claim_id) FILTER (WHERE bad)[1:10] AS first_errors
 FROM (SELECT strftime(claim_date, '%Y-%m') AS job_id, claim_id, num_procedures > 45 AS bad FROM scored)
 GROUP BY job_id""")
@@ -86,8 +86,8 @@ def sample_claims(spark, d):
 
 
 @query("features_json", SCORED_W + """
-SELECT claim_id, to_json(struct_pack(claim_amount := claim_amount, num_procedures := num_procedures,
-                                     days_in_hospital := days_in_hospital)) AS features FROM scored""")
+SELECT claim_id, CAST(to_json(struct_pack(claim_amount := claim_amount, num_procedures := num_procedures,
+                                     days_in_hospital := days_in_hospital)) AS VARCHAR) AS features FROM scored""")
 def features_json(spark, d):
     """FN-15: the logged request features as a JSON column."""
     s = base.scored(spark, d)

@@ -144,7 +144,7 @@ def entity_degree(spark, d):
 @query("co_visit_incidence", with_(CLAIMS) + """,
 v AS (SELECT DISTINCT patient_id, doctor_id FROM claims),
 dg AS (SELECT doctor_id, count(*) AS deg FROM v GROUP BY doctor_id)
-SELECT patient_id AS patient, count(*) AS n_doctors, sum(deg - 1) AS co_visit_incidence
+SELECT patient_id AS patient, count(*) AS n_doctors, CAST(sum(deg - 1) AS BIGINT) AS co_visit_incidence
 FROM v JOIN dg USING (doctor_id) GROUP BY patient_id""")
 def co_visit_incidence(spark, d):
     """GR-9: shared-doctor incidences per patient, computed from degrees (no pair list)."""

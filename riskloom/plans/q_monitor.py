@@ -32,7 +32,7 @@ spine AS (SELECT period, CAST(i AS INTEGER) AS bin FROM (SELECT DISTINCT period
 full_ AS (SELECT period, bin, coalesce(n, 0) AS n FROM spine LEFT JOIN cnt USING (period, bin)),
 hist AS (SELECT period, bin, n, CASE WHEN sum(n) OVER (PARTITION BY period) > 0
                                      THEN n / sum(n) OVER (PARTITION BY period) ELSE 0.0 END AS p,
-                sum(n) OVER (PARTITION BY period) AS total FROM full_)
+                CAST(sum(n) OVER (PARTITION BY period) AS BIGINT) AS total FROM full_)
 """
 
 
@@ -75,7 +75,7 @@ def kl_js_drift(spark, d):
 
 @query("drift_alert_rows", KLJS_SQL + f"""
 SELECT {AS_OF_SQL} AS ts, 'concept_drift' AS drift_type, 'prediction_distribution' AS drift_metric,
-       kl AS drift_score, 0.15 AS threshold, ['fraud_score'] AS affected_features, 'alert_sent' AS action_taken,
+       kl AS drift_score, CAST(0.15 AS DOUBLE) AS threshold, ['fraud_score'] AS affected_features, 'alert_sent' AS action_taken,
        false AS resolved
 FROM r WHERE enough AND (kl > 0.15 OR js > 0.10)""")
 def drift_alert_rows(spark, d):

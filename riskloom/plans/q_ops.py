@@ -46,7 +46,7 @@ def cache_hit_rate(spark, d):
 
 @query("bottleneck_rules", HIT_SQL.rstrip("\n") + ",\n" + LAT_SQL[len(LOG_W.rstrip("\n")) + 2:].strip("\n") + """
 SELECT * FROM (
-  SELECT 'high_average_latency' AS issue, avg_ms AS value, 200.0 AS threshold FROM lat WHERE avg_ms > 200.0
+  SELECT 'high_average_latency' AS issue, avg_ms AS value, CAST(200.0 AS DOUBLE) AS threshold FROM lat WHERE avg_ms > 200.0
   UNION ALL SELECT 'high_p99_latency', p99_ms, 500.0 FROM lat WHERE p99_ms > 500.0
   UNION ALL SELECT 'low_cache_hit_rate', hit_rate, 0.30 FROM hit WHERE hit_rate < 0.30)""")
 def bottleneck_rules(spark, d):
@@ -114,7 +114,7 @@ wide AS (SELECT model, seed, max(value) FILTER (WHERE metric = 'f1') AS f1,
                 max(value) FILTER (WHERE metric = 'accuracy') AS accuracy FROM mlong GROUP BY model, seed),
 regs AS (SELECT model || '_v' || CAST(seed AS VARCHAR) AS version, 'register' AS event, model AS model_type,
                 coalesce(f1, 0.0) AS f1, coalesce(precision, 0.0) AS precision, coalesce(recall, 0.0) AS recall,
-                0.0 AS roc_auc, coalesce(accuracy, 0.0) AS accuracy,
+                CAST(0.0 AS DOUBLE) AS roc_auc, coalesce(accuracy, 0.0) AS accuracy,
                 TIMESTAMP '2024-01-01' + to_days(CAST(seed AS INTEGER))
                   + to_hours(CASE model WHEN 'heuristic' THEN 0 WHEN 'hybrid' THEN 1 ELSE 2 END) AS ts FROM wide),
 best AS (SELECT model || '_v' || CAST(arg_max(seed, (f1, -seed)) AS VARCHAR) AS version,

@@ -112,7 +112,7 @@ SELECT claim_id, coalesce(CASE WHEN claim_id % 7 = 0 THEN NULL ELSE claim_amount
        coalesce(CASE WHEN claim_id % 11 = 0 THEN NULL ELSE num_procedures END, 1) AS procedures,
        coalesce(days_in_hospital, 0) AS stay_days,
        coalesce(CASE WHEN claim_id % 5 = 0 THEN NULL ELSE insurance_type END, 'Unknown') AS insurance_type,
-       0.0 AS age
+       CAST(0.0 AS DOUBLE) AS age
 FROM claims""")
 def schema_map_and_defaults(spark, d):
     """PR-22 + PR-23 + PR-24: rename to the request layout, fill defaults, align
