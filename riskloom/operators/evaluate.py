@@ -251,7 +251,34 @@ def paired_effect(long: DataFrame, model_a: str, model_b: str, metric: str) -> D
         F.when(~enough, F.lit(None)).when(pooled == 0, F.lit(0.0))
          .otherwise(F.col("mean_difference") / pooled).alias("cohens_d_pooled"),
         F.when(~enough | (F.col("sd_diff") == 0), F.lit(None))
-         .otherwise(F.col("mean_difference") / (F.col("sd_diff") / F.sqrt(F.col("n_seeds")))).alias("t_statistic"))
+         .otherwise(F.col("mean_difference") / (F.col("sd_diff") / F.sqrt(F.col("n_seeds")))).alias("t_statistic")) \
+        .withColumn("p_value", F.when(F.col("t_statistic").isNull(), F.lit(None))
+                    .otherwise(t_two_sided_p(F.col("t_statistic"), F.col("n_seeds") - 1))) \
+        .withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
+
+
+def t_two_sided_p(t: Column, nu: Column) -> Column:
+    """Two-sided p-value of Student's t with integer degrees of freedom ``nu``:
+    1 - A(|t|, nu) with theta = atan(|t| / sqrt(nu)) and the finite series
+      nu even: A = sin(theta) * sum_{k=0}^{(nu-2)/2} a_k cos^{2k}(theta),   a_k = a_{k-1} (2k-1)/(2k)
+      nu odd:  A = 2/pi (theta + sin(theta) * sum_{k=0}^{(nu-3)/2} b_k cos^{2k+1}(theta)), b_k = b_{k-1} 2k/(2k+1)
+    (nu = 1: A = 2 theta / pi)."""
+    th = F.atan(F.abs(t) / F.sqrt(nu.cast("double")))
+    c, sn = F.cos(th), F.sin(th)
+
+    def series(last, ratio, power):
+        init = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("s"))
+        return F.aggregate(
+            F.sequence(F.lit(0), last), init,
+            lambda acc, k: F.struct(
+                F.when(k == 0, F.lit(1.0)).otherwise(acc["a"] * ratio(k)).alias("a"),
+                (acc["s"] + F.when(k == 0, F.lit(1.0)).otherwise(acc["a"] * ratio(k)) * F.pow(c, power(k))).alias("s")))["s"]
+
+    even = sn * series(((nu - 2) / 2).cast("int"), lambda k: (2 * k - 1) / (2.0 * k), lambda k: 2 * k)
+    odd = F.lit(2 / 3.141592653589793) * (th + sn * series(((nu - 3) / 2).cast("int"),
+                                                          lambda k: (2.0 * k) / (2 * k + 1), lambda k: 2 * k + 1))
+    a = F.when(nu % 2 == 0, even).when(nu == 1, th * F.lit(2 / 3.141592653589793)).otherwise(odd)
+    return F.lit(1.0) - a
 
 
 def rank_models(long: DataFrame) -> DataFrame:

@@ -135,3 +135,13 @@ def graph_stats(edges: DataFrame, flagged: DataFrame) -> DataFrame:
               .select(F.concat(F.lit("edges:"), "relation").alias("stat"), "n")
     fl = flagged.agg(F.count(F.lit(1)).alias("n")).select(F.lit("flagged_claims").alias("stat"), "n")
     return nn.unionByName(ne).unionByName(fl)
+
+
+def node_features(nodes: DataFrame, key: str, node_type: str, flags: dict, numeric: Sequence[str]) -> DataFrame:
+    """GR-1 + PR-19: numeric node features -- boolean flags as 0/1 doubles
+    (e.g. gender == 'M', chronic condition != 'None') plus z-scored numbers."""
+    out = nodes.select(F.col(key).cast("long").alias("node"),
+                       *[F.coalesce(pred, F.lit(False)).cast("double").alias(name) for name, pred in flags.items()],
+                       *[F.col(c).cast("double").alias(c) for c in numeric])
+    out = zscore_columns(out, list(numeric)) if numeric else out
+    return out.withColumn("node_type", F.lit(node_type))

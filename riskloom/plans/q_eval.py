@@ -263,12 +263,30 @@ SELECT 'hybrid' AS model_a, 'heuristic' AS model_b, 'f1' AS metric, n_seeds, mea
        CASE WHEN n_seeds < 2 THEN NULL WHEN sd_diff = 0 THEN 0.0 ELSE mean_difference / sd_diff END AS cohens_d_paired,
        CASE WHEN n_seeds < 2 THEN NULL WHEN sqrt((sd_a * sd_a + sd_b * sd_b) / 2.0) = 0 THEN 0.0
             ELSE mean_difference / sqrt((sd_a * sd_a + sd_b * sd_b) / 2.0) END AS cohens_d_pooled,
-       CASE WHEN n_seeds < 2 OR sd_diff = 0 THEN NULL ELSE mean_difference / (sd_diff / sqrt(n_seeds)) END AS t_statistic
-FROM (SELECT count(*) AS n_seeds, avg(a - b) AS mean_difference, stddev_samp(a - b) AS sd_diff,
+       CASE WHEN n_seeds < 2 OR sd_diff = 0 THEN NULL ELSE mean_difference / (sd_diff / sqrt(n_seeds)) END AS t_statistic,
+       CASE WHEN n_seeds < 2 OR sd_diff = 0 THEN NULL ELSE 1.0 - (
+         CASE WHEN (n_seeds - 1) % 2 = 0
+              THEN sin(th) * (SELECT sum(exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * pow(cos(th), 2 * k))
+                              FROM range(0, (n_seeds - 1) // 2) r(k))
+              WHEN n_seeds - 1 = 1 THEN 2 * th / pi()
+              ELSE 2 / pi() * (th + sin(th) * (SELECT sum(1.0 / ((2 * k + 1) * exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1)
+                                                                                   - k * ln(4))) * pow(cos(th), 2 * k + 1))
+                                               FROM range(0, (n_seeds - 2) // 2 + 1) r(k))) END) END AS p_value,
+       coalesce(CASE WHEN n_seeds < 2 OR sd_diff = 0 THEN NULL ELSE 1.0 - (
+         CASE WHEN (n_seeds - 1) % 2 = 0
+              THEN sin(th) * (SELECT sum(exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * pow(cos(th), 2 * k))
+                              FROM range(0, (n_seeds - 1) // 2) r(k))
+              WHEN n_seeds - 1 = 1 THEN 2 * th / pi()
+              ELSE 2 / pi() * (th + sin(th) * (SELECT sum(1.0 / ((2 * k + 1) * exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1)
+                                                                                   - k * ln(4))) * pow(cos(th), 2 * k + 1))
+                                               FROM range(0, (n_seeds - 2) // 2 + 1) r(k))) END) END < 0.05, false)
+         AS significant
+FROM (SELECT *, CASE WHEN n_seeds >= 2 AND sd_diff > 0
+                     THEN atan(abs(mean_difference / (sd_diff / sqrt(n_seeds))) / sqrt(n_seeds - 1)) END AS th FROM (SELECT count(*) AS n_seeds, avg(a - b) AS mean_difference, stddev_samp(a - b) AS sd_diff,
              stddev_samp(a) AS sd_a, stddev_samp(b) AS sd_b
       FROM (SELECT seed, value AS a FROM mlong WHERE model = 'hybrid' AND metric = 'f1')
       JOIN (SELECT seed, value AS b FROM mlong WHERE model = 'heuristic' AND metric = 'f1') USING (seed)
-      WHERE a IS NOT NULL AND b IS NOT NULL)""")
+      WHERE a IS NOT NULL AND b IS NOT NULL))""")
 def paired_effect_size(spark, d):
     """EV-7, EV-8, EV-9 (t statistic) hybrid vs heuristic F1 over seeds."""
     return ev.paired_effect(metrics_long(spark, d), "hybrid", "heuristic", "f1")

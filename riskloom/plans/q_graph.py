@@ -187,3 +187,38 @@ def graph_view_stats(spark, d):
     """GR-7 statistics (nodes, edges, flagged claims) over the whole graph."""
     flagged = base.claims(spark, d).where("fraud_label = 1")
     return gr.graph_stats(edges_view(spark, d), flagged)
+
+
+NODE_SQL = with_(CLAIMS) + """,
+pat AS (SELECT c_custkey AS node, CAST(c_mktsegment = 'MACHINERY' AS DOUBLE) AS flag_a,
+               CAST(c_mktsegment <> 'HOUSEHOLD' AS DOUBLE) AS flag_b,
+               coalesce((c_acctbal - avg(c_acctbal) OVER ()) / (coalesce(stddev_pop(c_acctbal) OVER (), 0) + 1e-8), 0) AS num_a,
+               'patient' AS node_type FROM customer),
+doc AS (SELECT s_suppkey AS node, CAST(s_acctbal > 0 AS DOUBLE) AS flag_a, CAST(NULL AS DOUBLE) AS flag_b,
+               coalesce((s_acctbal - avg(s_acctbal) OVER ()) / (coalesce(stddev_pop(s_acctbal) OVER (), 0) + 1e-8), 0) AS num_a,
+               'doctor' AS node_type FROM supplier),
+hos AS (SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(n_regionkey = 0 AS DOUBLE) AS flag_a, CAST(NULL AS DOUBLE) AS flag_b,
+               coalesce((n_regionkey - avg(n_regionkey) OVER ()) / (coalesce(stddev_pop(n_regionkey) OVER (), 0) + 1e-8), 0)
+                 AS num_a, 'hospital' AS node_type FROM nation)
+"""
+
+
+@query("graph_node_features", NODE_SQL + """
+SELECT * FROM pat UNION ALL SELECT * FROM doc UNION ALL SELECT * FROM hos""")
+def graph_node_features(spark, d):
+    """GR-1 + PR-19: patient, doctor and hospital node tables with boolean
+    flags as 0/1 and z-scored numbers (claim nodes: ``claim_node_features``).
+    Patient flags: segment == 'MACHINERY' (the reference's gender == 'M'),
+    segment != 'HOUSEHOLD' (its chronic condition != 'None')."""
+    cu = base.read(spark, d, "customer")
+    su = base.read(spark, d, "supplier")
+    na = base.read(spark, d, "nation")
+    p = gr.node_features(cu.withColumnRenamed("c_acctbal", "num_a"), "c_custkey", "patient",
+                         {"flag_a": F.col("c_mktsegment") == "MACHINERY", "flag_b": F.col("c_mktsegment") != "HOUSEHOLD"},
+                         ["num_a"])
+    dd = gr.node_features(su.withColumnRenamed("s_acctbal", "num_a"), "s_suppkey", "doctor",
+                          {"flag_a": F.col("num_a") > 0}, ["num_a"]).withColumn("flag_b", F.lit(None).cast("double"))
+    h = gr.node_features(na.withColumnRenamed("n_regionkey", "num_a"), "n_nationkey", "hospital",
+                         {"flag_a": F.col("num_a") == 0}, ["num_a"]).withColumn("flag_b", F.lit(None).cast("double"))
+    cols = ["node", "flag_a", "flag_b", "num_a", "node_type"]
+    return p.select(*cols).unionByName(dd.select(*cols)).unionByName(h.select(*cols))

@@ -154,3 +154,41 @@ def test_stream_equals_batch_rolling(spark, tmp_path):
     for r in ref:
         assert got[r["event_id"]][0] == r["roll_n"]
         assert got[r["event_id"]][1] == pytest.approx(r["roll_mean"], rel=1e-12)
+
+
+@pytest.mark.parametrize("t,nu", [(12.706, 1), (4.303, 2), (3.182, 3), (2.776, 4), (2.571, 5)])
+def test_t_p_value_at_critical_values(spark, t, nu):
+    from riskloom.operators.evaluate import t_two_sided_p
+    df = spark.createDataFrame([(t, nu)], "t double, nu int")
+    assert df.select(t_two_sided_p(F.col("t"), F.col("nu"))).first()[0] == pytest.approx(0.05, abs=2e-4)
+
+
+def test_entity_csv_reader_keeps_none_string(spark, tmp_path):
+    from riskloom.sources.sinks import ENTITY_SCHEMAS, load_entities
+    rows = {
+        "hospitals": "hospital_id,hospital_name,specialty,state,num_beds,is_accredited,fraud_prone\nH0001,A,Cardio,CA,120,True,False\n",
+        "doctors": "doctor_id,doctor_name,specialty,hospital_id,years_experience,avg_claims_per_month,license_valid,"
+                   "fraud_prone,ring_id\nD0001,B,Cardio,H0001,10,40,True,False,0\n",
+        "patients": "patient_id,age,gender,chronic_condition,insurance_type,state,member_since_years,fraud_prone,ring_id\n"
+                    "P00001,50,M,None,HMO,CA,3,False,0\nP00002,61,F,,PPO,NY,,False,0\n",
+        "claims": "claim_id,patient_id,doctor_id,hospital_id,claim_date,claim_amount,num_procedures,procedure_code,"
+                  "diagnosis_code,days_in_hospital,approved,fraud_label,ring_id\n"
+                  "C000001,P00001,D0001,H0001,2023-05-01,1200.5,2,PC1,DX1,0,True,0,0\n",
+    }
+    for name, text in rows.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    t = load_entities(spark, str(tmp_path))
+    assert set(t) == set(ENTITY_SCHEMAS)
+    pats = sorted((r["patient_id"], r["chronic_condition"]) for r in t["patients"].collect())
+    assert pats == [("P00001", "None"), ("P00002", None)]
+    c = t["claims"].first()
+    assert c["claim_date"] == dt.date(2023, 5, 1) and c["claim_amount"] == 1200.5
+
+
+def test_provider_reader_missing_family_is_an_error(spark, tmp_path):
+    from riskloom.sources.sinks import load_provider_tables
+    (tmp_path / "Train_Inpatientdata-1.csv").write_text("ClaimID,Provider\nCLM1,PRV1\n")
+    t = load_provider_tables(spark, str(tmp_path), {"inpatient": "Train_Inpatientdata-*.csv"})
+    assert t["inpatient"].count() == 1
+    with pytest.raises(FileNotFoundError):
+        load_provider_tables(spark, str(tmp_path), {"outpatient": "Train_Outpatientdata-*.csv"})
