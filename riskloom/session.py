@@ -24,6 +24,29 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (~100 TB input, ~1000 executors), passed to
+# spark-submit or SparkSession.builder by the deployment:
+#   * start from many shuffle partitions and let AQE coalesce to ~256 MB each,
+#     so a 100 TB shuffle gets ~400k tasks and small stages shrink on their own;
+#   * 256 MB input splits keep scan tasks well inside executor memory;
+#   * skewed partitions (5x the median and over 512 MB) are split by AQE;
+#   * the runtime broadcast threshold stays at 64 MB -- anything larger is
+#     sort-merge joined; explicit broadcasts in the library are only used for
+#     tables bounded by construction (one-row profiles, bucket tables, ...).
+CLUSTER_CONF = {
+    **DEFAULT_CONF,
+    "spark.sql.shuffle.partitions": "400000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64MB",
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512MB",
+    "spark.sql.parquet.filterPushdown": "true",
+    # riskloom.exact.smallLimit keeps its 1M default: groups above it use the
+    # range-bucketed exact paths
+}
+
+
 def get_session(app: str = "riskloom", cpus: int | str = "*", shuffle_partitions: int = 8,
                 extra: dict | None = None) -> SparkSession:
     """Local session for tests and benchmarks (cluster jobs get theirs from spark-submit)."""
