@@ -88,10 +88,11 @@ class Constraint:
     allowed: tuple | None = None
 
 
-def constraint_alerts(spec: Sequence[Constraint], allowed_cols: Mapping[str, str] | None = None) -> Column:
+def constraint_alerts(spec: Sequence[Constraint], allowed_flags: Mapping[str, str] | None = None) -> Column:
     """DQ-8: required missing -> critical (no further checks on that field);
-    below min / above max / not allowed -> warning.  ``allowed_cols`` maps a
-    field to an array column of learned categories (DQ-7)."""
+    below min / above max / not allowed -> warning.  ``allowed_flags`` maps a
+    field to a boolean column telling whether its value is a learned category
+    (see ``mark_allowed``)."""
     out = []
     for c in spec:
         v = F.col(c.field)
@@ -107,22 +108,28 @@ def constraint_alerts(spec: Sequence[Constraint], allowed_cols: Mapping[str, str
             out.append(F.when(present & (v.cast("double") > c.max),
                               _alert("warning", "invalid", c.field, F.lit(f"{c.field} above maximum"),
                                      v, F.lit(c.max))))
-        allowed = None
+        ok = None
         if c.allowed is not None:
-            allowed = F.array(*[F.lit(a) for a in c.allowed])
-        elif allowed_cols and c.field in allowed_cols:
-            allowed = F.col(allowed_cols[c.field])
-        if allowed is not None:
-            out.append(F.when(present & ~F.array_contains(allowed, v.cast("string")),
+            ok = v.cast("string").isin(*c.allowed)
+        elif allowed_flags and c.field in allowed_flags:
+            ok = F.coalesce(F.col(allowed_flags[c.field]), F.lit(False))
+        if ok is not None:
+            out.append(F.when(present & ~ok,
                               _alert("warning", "invalid", c.field, F.lit(f"{c.field} not in allowed values"),
                                      F.lit(None), F.lit(None))))
     return F.array(*out)
 
 
 def learn_categories(df: DataFrame, col: str) -> DataFrame:
-    """DQ-7: one row holding the sorted distinct categories (bounded by cardinality)."""
-    return df.where(F.col(col).isNotNull()).select(col).distinct() \
-             .agg(F.sort_array(F.collect_list(col)).alias(f"{col}__allowed"))
+    """DQ-7: the distinct categories of a field (a table, never a collected list)."""
+    return df.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias(f"{col}__category")).distinct()
+
+
+def mark_allowed(df: DataFrame, col: str, categories: DataFrame) -> DataFrame:
+    """Flag ``{col}__allowed``: the value is among the learned categories.  A
+    left join on the category (AQE broadcasts it only when measured small)."""
+    cats = categories.withColumn(f"{col}__allowed", F.lit(True))
+    return df.join(cats, F.col(col).cast("string") == F.col(f"{col}__category"), "left").drop(f"{col}__category")
 
 
 def quality_score(alerts: Column) -> Column:

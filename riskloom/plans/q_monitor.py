@@ -343,7 +343,7 @@ def quality_checked(spark, d):
         "num_procedures", "days_in_hospital",
         F.when(F.pmod(cid, F.lit(37)) == 0, F.lit("X-UNKNOWN")).otherwise(F.col("insurance_type"))
          .alias("insurance_type"))
-    dirty = dq.attach_profile(dirty, prof, QCOLS).crossJoin(F.broadcast(cats))
+    dirty = dq.mark_allowed(dq.attach_profile(dirty, prof, QCOLS), "insurance_type", cats)
     return dq.with_quality(dirty, dq.constraint_alerts(CONSTRAINTS, {"insurance_type": "insurance_type__allowed"}),
                            dq.anomaly_alerts(dirty, prof, QCOLS))
 
