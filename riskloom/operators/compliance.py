@@ -68,7 +68,7 @@ def audit_report(log: DataFrame, as_of: dt.datetime, days: int = 30, top_k: int
     """CP-6: totals over the last ``days``; counts by action and by user; top users."""
     w = log.where((F.col("ts") > F.lit(as_of - dt.timedelta(days=days))) & (F.col("ts") <= F.lit(as_of)))
     by_action = w.groupBy("action").agg(F.count(F.lit(1)).alias("n")) \
-                 .agg(F.map_from_entries(F.collect_list(F.struct("action", "n"))).alias("by_action"))
+                 .agg(F.map_from_entries(F.collect_list(F.struct("action", "n"))).alias("by_action"))  # one entry per action type
     users = w.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
     top = users.orderBy(F.col("n").desc(), F.col("user")).limit(top_k) \
                .agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("user")))).alias("t")) \

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.ordering import running_totals
+from riskloom.operators.ordering import materialize, running_totals
 
 # Score histogram edges are numpy's linspace(0, 1, 11) -- i * 0.1
 # for the inner edges, last bin closed; divergence smoothing 1e-10; drift when
@@ -82,10 +82,11 @@ def prediction_drift(log: DataFrame, as_of: dt.datetime, days: int = 7, ts: str
     base_lo = as_of - dt.timedelta(days=2 * days)
     w = log.where((F.col(ts) >= F.lit(base_lo)) & (F.col(ts) < F.lit(as_of)))   # pushed to the scan
     w = w.withColumn("period", F.when(F.col(ts) >= F.lit(cur_lo), F.lit("current")).otherwise(F.lit("baseline")))
-    h = score_histogram(w, score, "period")
-    h = h.cache()  # 20-row table read by three consumers
-    sizes = w.groupBy().agg(F.count_if(F.col("period") == "baseline").alias("n_baseline"),
-                            F.count_if(F.col("period") == "current").alias("n_current"))
+    # the 20-row histogram feeds several consumers: materialise it once so the
+    # divergence arithmetic does not re-plan the log scan for every reference
+    h = materialize(score_histogram(w, score, "period"))
+    sizes = w.agg(F.count_if(F.col("period") == "baseline").alias("n_baseline"),
+                  F.count_if(F.col("period") == "current").alias("n_current"))
     dv = divergences(h.where(F.col("period") == "baseline"), h.where(F.col("period") == "current"))
     r = sizes.crossJoin(dv)
     enough = (F.col("n_baseline") >= MIN_ROWS) & (F.col("n_current") >= MIN_ROWS)
