@@ -11,7 +11,7 @@ from riskloom.operators import evaluate as ev
 from riskloom.operators import quality as dq
 from riskloom.plans import base
 from riskloom.plans.registry import query
-from riskloom.plans.sql_base import LOG_W, SCORED_W, SPLIT_W, with_, CLAIMS, SPLIT, PROFILE, SCORED, LOG
+from riskloom.plans.sql_base import CLAIMS, LOG_W, SCORED_W, SPLIT, SPLIT_W, with_
 
 # The log covers January 2024; monitoring queries take an explicit as-of time.
 AS_OF = dt.datetime(2024, 1, 31)
