@@ -192,3 +192,31 @@ def test_provider_reader_missing_family_is_an_error(spark, tmp_path):
     assert t["inpatient"].count() == 1
     with pytest.raises(FileNotFoundError):
         load_provider_tables(spark, str(tmp_path), {"outpatient": "Train_Outpatientdata-*.csv"})
+
+
+def test_train_stats_do_not_see_val_test(spark):
+    """Leak test: changing amounts of val/test claims leaves every train-fitted feature of train rows unchanged."""
+    from riskloom.operators.features import apply_entity_stats
+    from riskloom.operators.split import temporal_split
+    base = dt.date(2024, 1, 1)
+    rows = [(i, i % 4, i % 3, i % 2, base + dt.timedelta(days=i), float(100 + i), i % 5) for i in range(40)]
+    sch = ("claim_id long, patient_id long, doctor_id long, hospital_id long, claim_date date, claim_amount double, "
+           "num_procedures int")
+    a = temporal_split(spark.createDataFrame(rows, sch), "claim_date", "claim_id")
+    # rows >= 24 are val/test: change their amounts and procedures
+    changed = [(*r[:5], r[5] * (1 if r[0] < 24 else 50), r[6] * (1 if r[0] < 24 else 9)) for r in rows]
+    b = temporal_split(spark.createDataFrame(changed, sch), "claim_date", "claim_id")
+
+    def feats(s):
+        f = apply_entity_stats(s, s.where("split = 'train'")).where("split = 'train'")
+        return sorted(tuple(r) for r in f.drop("split").collect())
+    assert feats(a) == feats(b)
+
+
+def test_js_is_symmetric(spark):
+    p = spark.createDataFrame([(x / 10,) for x in range(10)] * 3 + [(0.95,)] * 7, "s double")
+    q = spark.createDataFrame([(x / 20,) for x in range(20)], "s double")
+    hp, hq = dr.score_histogram(p, "s"), dr.score_histogram(q, "s")
+    a, b = dr.divergences(hp, hq).first(), dr.divergences(hq, hp).first()
+    assert a["js_divergence"] == pytest.approx(b["js_divergence"], rel=1e-12)
+    assert a["kl_divergence"] != pytest.approx(b["kl_divergence"], rel=1e-6)   # KL is not symmetric
