@@ -124,3 +124,12 @@ def prediction_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("inference_time_ms"),
         "props",
     )
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has
+    cores (e.g. one large row group) before CPU-heavy per-row work such as
+    regex scanning.  Large inputs already have many splits and are returned
+    untouched, so no shuffle is added at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
