@@ -24,7 +24,7 @@ def view(spark: SparkSession, d: str, name: str, build) -> DataFrame:
     executor loss and every consumer starts from it instead of re-planning
     the derivation.
     """
-    key = (id(spark.sparkContext), d.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, d.rstrip("/"), name)   # unique per SparkContext
     df = _VIEWS.get(key)
     if df is None:
         df = materialize(build())
