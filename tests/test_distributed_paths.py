@@ -115,3 +115,14 @@ def test_range_impact_with_ties(distributed):
     high = np.mean([p for _, p in srt[3 * n // 4:]])
     assert r["low_range_avg_prediction"] == pytest.approx(low, rel=1e-12)
     assert r["high_range_avg_prediction"] == pytest.approx(high, rel=1e-12)
+
+
+def test_top_k_per_group_matches_window_on_hot_group(spark):
+    from riskloom.operators.ordering import top_k_per_group
+    rows = [("hot" if i % 10 else f"g{i % 7}", (i * 7919) % 1009, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v long, id long")
+    got = sorted((r["g"], r["rank"], r["v"], r["id"]) for r in top_k_per_group(df, ["g"], ["v", "id"], 5).collect())
+    w = Window.partitionBy("g").orderBy("v", "id")
+    ref = sorted((r["g"], r["rank"], r["v"], r["id"]) for r in
+                 df.withColumn("rank", F.row_number().over(w)).where("rank <= 5").collect())
+    assert got == ref
