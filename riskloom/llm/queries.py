@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from riskloom.llm.common import read
+from pyspark.sql import functions as F
+
+from riskloom.llm import langid
+from riskloom.llm.common import crc_mod, read
 from riskloom.llm.exactdedup import exact_dedup
 
 QUERIES: dict = {}
@@ -30,3 +33,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 @query("op3_exact_dedup", OP3_SQL)
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
+
+
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 5) == 0
+    model = langid.fit_documents(docs, held)
+    found = langid.predict(docs, model)
+    return found.withColumn("held_out", F.coalesce(held, F.lit(False)))
