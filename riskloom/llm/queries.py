@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid
+from riskloom.llm import langid, quality
 from riskloom.llm.common import crc_mod, read
 from riskloom.llm.exactdedup import exact_dedup
 
@@ -42,3 +42,11 @@ def op1_language_id(spark, sf_dir):
     model = langid.fit_documents(docs, held)
     found = langid.predict(docs, model)
     return found.withColumn("held_out", F.coalesce(held, F.lit(False)))
+
+
+@query("op8_quality")
+def op8_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 3) == 1
+    trees = quality.fit(docs, read(spark, sf_dir, "labels"), ~held)
+    return quality.predict(docs, trees).withColumn("held_out", F.coalesce(held, F.lit(False)))
