@@ -90,7 +90,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _table(name: str):
-    if not _tables:
+    if name not in _tables:
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
         white = np.zeros(256, bool)

@@ -40,7 +40,7 @@ _cache: dict = {}
 
 def _letters() -> np.ndarray:
     if "letters" not in _cache:
-        _cache["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        _cache["letters"] = np.char.isalpha(np.arange(0x110000, dtype=np.uint32).view("U1"))
     return _cache["letters"]
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, quality
+import public_tokenizers
+from riskloom.llm import bpe, langid, packing, quality
 from riskloom.llm.common import crc_mod, read
 from riskloom.llm.exactdedup import exact_dedup
 
@@ -50,3 +51,19 @@ def op8_quality(spark, sf_dir):
     held = crc_mod("doc_id", 3) == 1
     trees = quality.fit(docs, read(spark, sf_dir, "labels"), ~held)
     return quality.predict(docs, trees).withColumn("held_out", F.coalesce(held, F.lit(False)))
+
+
+@query("op4_packing")
+def op4_packing(spark, sf_dir, tokenizer: str | None = None):
+    coder = packing.read_tokenizer(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(read(spark, sf_dir, "documents"), coder)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark, sf_dir, ranks: str | None = None):
+    coder = bpe.read_ranks(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    tokens = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), coder), coder)
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                         F.sha2("decoded", 256).alias("decoded_sha256"))
