@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from riskloom.llm import bpe, chat, langid, linededup, packing, quality
+from riskloom.llm import ann, bpe, chat, langid, linededup, packing, quality
 from riskloom.llm.common import crc_mod, read
 from riskloom.llm.exactdedup import exact_dedup
 
@@ -114,3 +114,8 @@ FROM d GROUP BY doc_id
 def op5_line_dedup(spark, sf_dir):
     out = linededup.line_dedup(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op10_ann")
+def op10_ann(spark, sf_dir):
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
