@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from riskloom.llm import ann, bpe, chat, langid, linededup, packing, quality
+from riskloom.llm import ann, bpe, chat, langid, linededup, lm, packing, quality
 from riskloom.llm.common import crc_mod, read
 from riskloom.llm.exactdedup import exact_dedup
 
@@ -119,3 +119,9 @@ def op5_line_dedup(spark, sf_dir):
 @query("op10_ann")
 def op10_ann(spark, sf_dir):
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op2_lm_score")
+def op2_lm_score(spark, sf_dir):
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    return lm.score(read(spark, sf_dir, "documents"), crc % 7 == 2, F.floor(crc / 7) % lm.FOLD)
