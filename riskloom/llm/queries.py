@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from riskloom.llm import ann, bpe, chat, langid, linededup, lm, packing, quality
+from riskloom.llm import ann, bpe, chat, jaccard, langid, linededup, lm, packing, quality
 from riskloom.llm.common import crc_mod, read
 from riskloom.llm.exactdedup import exact_dedup
 
@@ -125,3 +125,8 @@ def op10_ann(spark, sf_dir):
 def op2_lm_score(spark, sf_dir):
     crc = F.crc32(F.col("doc_id").cast("string"))
     return lm.score(read(spark, sf_dir, "documents"), crc % 7 == 2, F.floor(crc / 7) % lm.FOLD)
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_groups(read(spark, sf_dir, "documents"))
