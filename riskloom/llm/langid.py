@@ -268,8 +268,9 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     first language in name order.  ``keep`` names further columns to pass on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in keep or [] if c not in (id_col, text_col)]
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in kept])
+    kept = [c for c in keep or [] if c != id_col]
+    source = {c: "text" if c == text_col else f"k_{c}" for c in kept}
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *[F.col(c).alias(k) for c, k in source.items() if k != "text"])
     id_type = dict(rows.dtypes)["_id"]
 
     def run(batches):
@@ -290,11 +291,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                 out = {"doc_id": part.column("_id"), "lang_pred": pa.array(names, pa.string()), "score": np.where(n > 0, score, 0.0),
                        "rejected": pa.array(reject, pa.bool_()), "cross_entropy": low}
                 for c in kept:
-                    out[f"k_{c}"] = part.column(f"k_{c}")
+                    out[f"k_{c}"] = part.column(source[c])
                 yield pa.record_batch(out)
 
     schema = f"doc_id {id_type}, lang_pred string, score double, rejected boolean, cross_entropy double"
-    schema += "".join(f", `k_{c}` {dict(rows.dtypes)[f'k_{c}']}" for c in kept)
+    schema += "".join(f", `k_{c}` {dict(rows.dtypes)[source[c]]}" for c in kept)
     done = rows.mapInArrow(run, schema)
     return done.select("doc_id", "lang_pred", "score", "rejected", "cross_entropy", *[F.col(f"k_{c}").alias(c) for c in kept])
 

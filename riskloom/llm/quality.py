@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id",
 
     got = rows.mapInArrow(run, f"lid {dict(rows.dtypes)['lid']}, y int, x array<double>").toArrow().sort_by([("lid", "ascending"), ("y", "ascending")])
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return grow(x.reshape(got.num_rows, -1), got.column("y").to_numpy().astype(float))
+    return grow(x.reshape(got.num_rows, FEATURES), got.column("y").to_numpy().astype(float))
 
 
 def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -187,7 +187,8 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
     ``keep`` names further columns to pass on."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     kept = [c for c in keep or [] if c != id_col]
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"k_{c}") for c in kept])
+    source = {c: "_text" if c == text_col else f"k_{c}" for c in kept}
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in source.items() if k != "_text"])
 
     def run(batches):
         for batch in batches:
@@ -195,8 +196,8 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
             for part in row_groups(batch, np.diff(off), WINDOW):
                 score = shared.value.score(statistics(part.column("_text")))
                 out = {"doc_id": part.column("_id"), "score": score, "predicted": (score >= 0.5).astype(np.int32)}
-                yield pa.record_batch(out | {f"k_{c}": part.column(f"k_{c}") for c in kept})
+                yield pa.record_batch(out | {f"k_{c}": part.column(source[c]) for c in kept})
 
     types = dict(rows.dtypes)
-    schema = f"doc_id {types['_id']}, score double, predicted int" + "".join(f", `k_{c}` {types[f'k_{c}']}" for c in kept)
+    schema = f"doc_id {types['_id']}, score double, predicted int" + "".join(f", `k_{c}` {types[source[c]]}" for c in kept)
     return rows.mapInArrow(run, schema).select("doc_id", "score", "predicted", *[F.col(f"k_{c}").alias(c) for c in kept])
