@@ -29,8 +29,8 @@ def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """PR-2: fill numeric nulls with the column median (exact, linear interpolation).
 
-    The medians come from the distributed exact-quantile operator (one row),
-    then a one-row broadcast + ``coalesce``.
+    The medians come from the distributed exact-quantile operator (always one
+    row: a column without values stays null), then a one-row broadcast + ``coalesce``.
     """
     out = df
     for c in cols:
@@ -67,9 +67,9 @@ def to_num(df: DataFrame, name: str, default: float = 0.0) -> Column:
     return F.coalesce(F.col(name).cast("string").try_cast("double"), F.lit(default))
 
 
-def nonnull_count(df: DataFrame, prefix: str) -> Column:
-    """PR-6: count of non-null columns in a numbered family (``prefix_1`` .. ``prefix_n``)."""
-    cols = [c for c in df.columns if c.startswith(prefix)]
+def nonnull_count(df: DataFrame, prefix: str, n: int) -> Column:
+    """PR-6: non-null values among the columns ``{prefix}1`` .. ``{prefix}n`` that exist."""
+    cols = [c for c in (f"{prefix}{i}" for i in range(1, n + 1)) if c in df.columns]
     if not cols:
         return F.lit(0)
     return sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))

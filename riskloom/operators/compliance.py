@@ -124,19 +124,21 @@ def gdpr_status(consent: DataFrame, policies: DataFrame, dsr: DataFrame) -> Data
     return j.withColumn("compliance_score", F.greatest(score, F.lit(0.0)))
 
 
-# Recommendation texts keyed by the status condition.
-RECOMMENDATIONS = (
-    ("retention_policies", "Define data retention policies"),
-    ("pending_data_subject_requests", "Process pending data subject requests"),
-    ("total_users_with_consent", "Record user consent"),
-)
+# Recommendation texts, in checking order.
+CRITICAL_SCORE = 70
+LOW_SCORE = "CRITICAL: Compliance score below 70%. Immediate action required."
+PENDING = ("Process ", " pending data subject requests within 30 days.")
+NO_CONSENT = "No consent records found. Implement consent tracking system."
+NO_POLICIES = "Define data retention policies for each data type."
 
 
 def gdpr_recommendations(status: DataFrame) -> DataFrame:
     """CP-11: recommendation list from the status row."""
-    recs = [F.when(F.col("retention_policies") == 0, F.lit(RECOMMENDATIONS[0][1])),
-            F.when(F.col("pending_data_subject_requests") > 0, F.lit(RECOMMENDATIONS[1][1])),
-            F.when(F.col("total_users_with_consent") == 0, F.lit(RECOMMENDATIONS[2][1]))]
+    pending = F.col("pending_data_subject_requests")
+    recs = [F.when(F.col("compliance_score") < CRITICAL_SCORE, F.lit(LOW_SCORE)),
+            F.when(pending > 0, F.concat(F.lit(PENDING[0]), pending.cast("string"), F.lit(PENDING[1]))),
+            F.when(F.col("total_users_with_consent") == 0, F.lit(NO_CONSENT)),
+            F.when(F.col("retention_policies") == 0, F.lit(NO_POLICIES))]
     return status.withColumn("recommendations", F.array_compact(F.array(*recs)))
 
 

@@ -9,6 +9,7 @@ totals (``ordering.running_totals``), never a global sort.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ BINS = 10
 INNER_EDGES = [i * (1.0 / BINS) for i in range(1, BINS)]
 EPS = 1e-10
 KL_THRESHOLD, JS_THRESHOLD, MIN_ROWS = 0.15, 0.10, 10
+SMALL_LAMBDA = 1.18
 LATENCY_BUCKETS = (10, 25, 50, 100, 250, 500, 1000)
 SCORE_BUCKETS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
@@ -110,6 +112,18 @@ def drift_alerts(drift: DataFrame) -> DataFrame:
         F.lit("alert_sent").alias("action_taken"), F.lit(False).alias("resolved"))
 
 
+def kolmogorov_p(lam: Column) -> Column:
+    """Tail of the Kolmogorov distribution.  Its alternating series does not
+    converge for small arguments, where the theta-function form is used."""
+    def series(term, n):
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0.0), lambda acc, k: acc + term(k.cast("double")))
+    tail = F.lit(2.0) * series(lambda k: F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam), 100)
+    low = F.lit(1.0) - F.lit(math.sqrt(2 * math.pi)) / lam * series(
+        lambda k: F.exp(-F.pow(2 * k - 1, F.lit(2.0)) * (math.pi ** 2 / 8) / (lam * lam)), 20)
+    p = F.when(lam < SMALL_LAMBDA, low).otherwise(tail)
+    return F.when(lam <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
+
+
 def ks_statistics(base: DataFrame, cur: DataFrame, cols: Sequence[str], min_rows: int = 5) -> DataFrame:
     """DR-6: two-sample KS statistic per feature (both samples > ``min_rows``),
     with the asymptotic Kolmogorov p-value.  Unpivot -> per (feature, value)
@@ -121,19 +135,16 @@ def ks_statistics(base: DataFrame, cur: DataFrame, cols: Sequence[str], min_rows
     both = long(base, 1).unionByName(long(cur, 2))
     vc = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == 1).alias("c1"),
                                               F.count_if(F.col("side") == 2).alias("c2"))
-    rt = running_totals(vc, ["feature"], ["value"], ["c1", "c2"])
-    n = vc.groupBy("feature").agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
-    d = rt.join(F.broadcast(n), "feature") \
+    rt = running_totals(vc, ["feature"], ["value"], ["c1", "c2"], totals="all_")
+    d = rt.select("feature", "cum_c1", "cum_c2", F.col("all_c1").alias("n1"), F.col("all_c2").alias("n2")) \
           .groupBy("feature", "n1", "n2") \
           .agg(F.max(F.abs(F.col("cum_c1") / F.col("n1") - F.col("cum_c2") / F.col("n2"))).alias("ks_statistic"))
     en = F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))
     lam = F.sqrt(en) * F.col("ks_statistic")
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
-                         lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(F.lit(-2.0) * k * k * lam * lam))
-    p = F.least(F.greatest(F.lit(2.0) * series, F.lit(0.0)), F.lit(1.0))
+    p = kolmogorov_p(lam)
     return d.where((F.col("n1") > min_rows) & (F.col("n2") > min_rows)) \
             .select("feature", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"),
-                    "ks_statistic", F.when(F.col("ks_statistic") == 0, F.lit(1.0)).otherwise(p).alias("p_value"))
+                    "ks_statistic", p.alias("p_value"))
 
 
 # Retraining gates.

@@ -224,7 +224,7 @@ def ring_unit_recall(df: DataFrame, pred: str, doctor: str = "doctor_id", label:
 def seed_summary(long: DataFrame) -> DataFrame:
     """EV-6 + EV-10: per (model, metric) over seeds -- mean, sample std, n and
     the 95% interval mean +- 1.96 s / sqrt(n) on finite values (n = 1 -> (m, m))."""
-    v = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    v = long.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
     g = v.groupBy("model", "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                          F.count("value").alias("n"))
     margin = F.when(F.col("n") > 1, F.lit(1.96) * F.col("std") / F.sqrt(F.col("n"))).otherwise(F.lit(0.0))

@@ -96,9 +96,8 @@ def range_impact(df: DataFrame, feature: str, pred: str) -> DataFrame:
     the compressed (feature, prediction) pairs."""
     pairs = df.where(F.col(feature).isNotNull() & F.col(pred).isNotNull()) \
               .groupBy(F.col(feature).alias("f"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    rt = running_totals(pairs, [], ["f", "p"], ["c"])
-    n = pairs.agg(F.sum("c").alias("n"))
-    x = rt.crossJoin(F.broadcast(n)).withColumn("q1", F.floor(F.col("n") / 4)).withColumn("q3", F.floor(F.col("n") * 3 / 4))
+    rt = running_totals(pairs, [], ["f", "p"], ["c"], totals="all_").withColumnRenamed("all_c", "n")
+    x = rt.withColumn("q1", F.floor(F.col("n") / 4)).withColumn("q3", F.floor(F.col("n") * 3 / 4))
     before = F.col("cum_c") - F.col("c")
     low_k = F.greatest(F.least(F.col("c"), F.col("q1") - before), F.lit(0))
     high_k = F.greatest(F.least(F.col("c"), F.col("cum_c") - F.col("q3")), F.lit(0))

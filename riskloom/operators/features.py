@@ -89,6 +89,7 @@ def ratio_and_calendar(df: DataFrame) -> DataFrame:
         *calendar_features(F.col("claim_date")))
 
 
+# Percentile points and names of the claim profile.
 PROFILE_PROBS = {"p50_claim": 0.50, "p75_claim": 0.75, "p95_claim": 0.95, "p99_claim": 0.99}
 
 
@@ -111,6 +112,7 @@ def train_profile(train: DataFrame) -> DataFrame:
     return means.crossJoin(pick)
 
 
+# Feature names in trained order.
 FEATURE_COLUMNS = [
     "claim_amount", "num_procedures", "days_in_hospital",
     "patient_total_claims", "patient_total_amount", "patient_avg_amount", "patient_max_amount",

@@ -22,17 +22,20 @@ def _edge(df: DataFrame, src_type: str, src: str, rel: str, dst_type: str, dst:
                      F.lit(dst_type).alias("dst_type"), F.col(dst).cast("long").alias("dst"))
 
 
-def build_edges(claims: DataFrame, doctors: DataFrame) -> DataFrame:
+def build_edges(claims: DataFrame, doctors: DataFrame, patients: DataFrame, hospitals: DataFrame) -> DataFrame:
     """GR-2 + JN-5 + ST-5: filed_claim (patient->claim), treated_by (claim->doctor),
-    works_at (doctor->hospital, only doctors that exist), visited (distinct patient->doctor)."""
-    filed = _edge(claims.where(F.col("patient_id").isNotNull()), "patient", "patient_id", "filed_claim", "claim",
-                  "claim_id")
-    treated = _edge(claims.where(F.col("doctor_id").isNotNull()), "claim", "claim_id", "treated_by", "doctor",
-                    "doctor_id")
-    works = _edge(doctors.where(F.col("hospital_id").isNotNull()), "doctor", "doctor_id", "works_at", "hospital",
-                  "hospital_id")
-    visited = _edge(claims.select("patient_id", "doctor_id").where("patient_id IS NOT NULL AND doctor_id IS NOT NULL")
-                    .distinct(), "patient", "patient_id", "visited", "doctor", "doctor_id")
+    works_at (doctor->hospital), visited (distinct patient->doctor).  An edge
+    needs both ends: ids that are in no node table have none.  The node tables
+    grow with the data, so the semi-joins are shuffled joins that AQE may turn
+    into broadcasts when a side measures small."""
+    def known(df: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+        return df.join(nodes.select(key).where(F.col(key).isNotNull()), key, "left_semi")
+    own = claims.select("claim_id", "patient_id", "doctor_id")
+    filed = _edge(known(own, patients, "patient_id"), "patient", "patient_id", "filed_claim", "claim", "claim_id")
+    treated = _edge(known(own, doctors, "doctor_id"), "claim", "claim_id", "treated_by", "doctor", "doctor_id")
+    works = _edge(known(doctors.where("doctor_id IS NOT NULL"), hospitals, "hospital_id"), "doctor", "doctor_id", "works_at", "hospital", "hospital_id")
+    pairs = known(known(own.select("patient_id", "doctor_id").distinct(), patients, "patient_id"), doctors, "doctor_id")
+    visited = _edge(pairs, "patient", "patient_id", "visited", "doctor", "doctor_id")
     return filed.unionByName(treated).unionByName(works).unionByName(visited)
 
 

@@ -1,266 +1,159 @@
 """Exact order-dependent computations without a global window.
 
-The reference computes ranks, cumulative counts and order statistics on
-sorted in-memory arrays.  On a cluster a single ``Window.orderBy`` would pull
-the whole table into one task, and the exact ``percentile`` aggregate merges a
-full value->count map in one task.  The primitive here is a two-level prefix
-sum:
-
-1. range-partition rows by (group, order) into B buckets -- the bucket id is
-   order preserving, and sampling keeps buckets balanced;
-2. bucket totals per group: a small table (at most B + #groups rows), prefix
-   summed with a window on that small table;
-3. running sums inside each bucket: a window partitioned by (group, bucket),
-   so no task holds more than one bucket.
+A single ``Window.orderBy`` would pull a whole group into one task, and the exact
+``percentile`` aggregate merges a full value->count map in one task.  The
+primitive here is a two-level prefix sum, the same at every size:
+
+1. range-partition rows by (group, order) -- the partition number is an
+   order-preserving bucket id, sampling keeps buckets balanced, and adaptive
+   execution merges small ones;
+2. bucket totals per group: one row per (group, bucket) that occurs, prefix
+   summed by a window per group;
+3. running sums inside each bucket: a window per (group, bucket), so no task
+   holds more than one bucket.
 
 Everything else -- exact quantiles, k-th order statistics, row positions,
-ROC/PR curves, KS statistics -- is built on top.  Inputs should be compressed
-first (e.g. ``groupBy(value).count()``) so repeated values cost one row.
+ROC/PR curves, KS statistics, lags and rolling frames -- is built on top.  Inputs
+should be compressed first (e.g. ``groupBy(value).count()``) so repeated values
+cost one row.  The bucket table grows with the number of groups, so it is joined
+on (group, bucket) without a hint: the rows are already dealt by these keys.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskloom.session import derived_path
+
 _BUCKET = "_rl_bucket"
+_KEY = "_rl_key"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage where a result fans out to several consumers.
 
     The result is written once as a Parquet table under the shared folder
-    named by ``spark.checkpoint.dir`` (set by the cluster; only tests set
-    their own) and read back: it survives executor loss, later plans start
-    from a file scan with column pruning and filter pushdown, and the
-    upstream is computed exactly once (an RDD checkpoint without persist
-    would compute it twice).
+    named by ``spark.checkpoint.dir`` and read back: it survives executor loss,
+    later plans start from a file scan with column pruning and filter pushdown,
+    and the upstream is computed exactly once.  ``session.drop_derived_tables``
+    deletes these tables; it also runs when the driver's Python ends.
     """
-    from riskloom.session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskloom-tables/{uuid.uuid4().hex}"
+    path = derived_path(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def _n_buckets(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _columns(cols: Sequence[Column | str]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def small_limit(spark) -> int:
-    """Largest per-group distinct-value count (or row count) handled by the
-    single-task exact paths; above it the range-bucketed paths take over.
-    Configurable with ``riskloom.exact.smallLimit``."""
-    return int(spark.conf.get("riskloom.exact.smallLimit", "1000000"))
+def _key(group_cols: Sequence[str]) -> Column:
+    """The group as one non-null value: null groups are groups like any other."""
+    return F.struct(*group_cols) if group_cols else F.struct(F.lit(0).alias("all"))
 
 
-def _max_group_rows(df: DataFrame, group_cols: Sequence[str]) -> int:
-    """Size check of a (materialised) table: rows of its largest group."""
-    group_cols = list(group_cols)
-    if not group_cols:
-        return df.count()
-    r = df.groupBy(*group_cols).count().agg(F.max("count")).collect()[0][0]
-    return int(r or 0)
+def _bucketed(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], n_buckets: int | None) -> DataFrame:
+    """Rows with their group key and bucket.  Range bounds come from sampling, and
+    a sample drawn again may give other bounds; the bucket ids are therefore
+    stored once, so every branch sees the same assignment."""
+    by = [*_columns(group_cols), *order_cols]
+    dealt = df.repartitionByRange(n_buckets, *by) if n_buckets else df.repartitionByRange(*by)
+    return materialize(dealt.withColumn(_BUCKET, F.spark_partition_id())).withColumn(_KEY, _key(group_cols))
+
+
+def _bucket_totals(part: DataFrame, sum_cols: Sequence[str], last: Column | None = None) -> DataFrame:
+    """Per (group, bucket): totals, the sums of all buckets before, and the group's sums."""
+    aggs = [F.sum(c).alias(f"_tot_{c}") for c in sum_cols]
+    tot = part.groupBy(_KEY, _BUCKET).agg(*aggs, *([last] if last is not None else []))
+    w = Window.partitionBy(_KEY).orderBy(_BUCKET)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return tot.select("*", *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
+                      *[F.sum(f"_tot_{c}").over(whole).alias(f"_all_{c}") for c in sum_cols])
 
 
 def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
                    sum_cols: Sequence[str], prefix: str = "cum_", n_buckets: int | None = None,
-                   with_buckets: bool = False):
-    """Add inclusive running sums ``{prefix}{c}`` of ``sum_cols`` in ``order_cols`` order per group.
+                   totals: str | None = None) -> DataFrame:
+    """Add inclusive running sums ``{prefix}{c}`` of ``sum_cols`` in ``order_cols`` order per group,
+    and with ``totals`` the group's sums ``{totals}{c}``.
 
     ``order_cols`` must order rows totally within a group (ties would make the
-    running sum depend on the physical order).  Returns the DataFrame, or
-    ``(rows, buckets)`` with ``with_buckets`` where ``buckets`` holds per
-    (group, bucket) the exclusive offsets ``_off_{c}`` and totals ``_tot_{c}``.
+    running sum depend on the physical order).
     """
-    group_cols = list(group_cols)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    nb = _n_buckets(df, n_buckets)
-    # Range bounds come from sampling, and a re-executed sample may draw other
-    # bounds; the bucket ids are therefore materialised once so every branch
-    # below (bucket totals and in-bucket sums) sees the same assignment.
-    part = materialize(df.repartitionByRange(nb, *[F.col(g) for g in group_cols], *order_cols)
-                       .withColumn(_BUCKET, F.spark_partition_id()))
-
-    tot = part.groupBy(*group_cols, _BUCKET).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    wb = Window.partitionBy(*group_cols).orderBy(_BUCKET) if group_cols else Window.orderBy(_BUCKET)
-    wb = wb.rowsBetween(Window.unboundedPreceding, -1)
-    buckets = tot.select(*group_cols, _BUCKET, *[F.col(f"_tot_{c}") for c in sum_cols],
-                         *[F.coalesce(F.sum(f"_tot_{c}").over(wb), F.lit(0)).alias(f"_off_{c}")
-                           for c in sum_cols])
-
-    wi = Window.partitionBy(*group_cols, _BUCKET).orderBy(*order_cols) \
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = part.select("*", *[F.sum(c).over(wi).alias(f"_in_{c}") for c in sum_cols])
-    # The bucket table has at most (#buckets + #groups) rows: broadcasting it
-    # is bounded by the bucket count, not by the data.
-    out = within.join(F.broadcast(buckets.select(*group_cols, _BUCKET, *[f"_off_{c}" for c in sum_cols])),
-                      [*group_cols, _BUCKET])
-    out = out.select(*[c for c in within.columns if not c.startswith("_in_")],
-                     *[(F.col(f"_off_{c}") + F.col(f"_in_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
-    if with_buckets:
-        return out, buckets
-    return out.drop(_BUCKET)
+    order = _columns(order_cols)
+    part = _bucketed(df, group_cols, order, n_buckets)
+    buckets = _bucket_totals(part, sum_cols).drop(*[f"_tot_{c}" for c in sum_cols])
+    w = Window.partitionBy(_KEY, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = part.select("*", *[F.sum(c).over(w).alias(f"_in_{c}") for c in sum_cols])
+    out = within.join(buckets, [_KEY, _BUCKET])
+    return out.select(*df.columns, *[(F.col(f"_off_{c}") + F.col(f"_in_{c}")).alias(f"{prefix}{c}") for c in sum_cols],
+                      *[F.col(f"_all_{c}").alias(f"{totals}{c}") for c in sum_cols if totals])
 
 
 def global_index(df: DataFrame, order_cols: Sequence[Column | str], name: str = "idx",
                  n_buckets: int | None = None) -> DataFrame:
-    """0-based position of every row in ``order_cols`` order (must be a total order).
-
-    Size-checked: up to ``small_limit`` rows a single ordered window numbers
-    them (bounded by the check); beyond it the balanced range-bucketed
-    running totals do.
-    """
-    src = materialize(df)
-    if src.count() <= small_limit(df.sparkSession):
-        w = Window.orderBy(*[F.col(c) if isinstance(c, str) else c for c in order_cols])
-        return src.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    """0-based position of every row in ``order_cols`` order (must be a total order)."""
     one = "_rl_one"
-    out = running_totals(src.withColumn(one, F.lit(1)), [], order_cols, [one], n_buckets=n_buckets)
+    out = running_totals(df.withColumn(one, F.lit(1).cast("long")), [], order_cols, [one], n_buckets=n_buckets)
     return out.withColumn(name, F.col(f"cum_{one}") - 1).drop(one, f"cum_{one}")
 
 
-def _ranks_from_compressed(vc: DataFrame, value_col: str, group_cols: Sequence[str],
-                           n_buckets: int | None = None):
-    group_cols = list(group_cols)
-    rows, _ = running_totals(vc, group_cols, [value_col], ["cnt"], n_buckets=n_buckets, with_buckets=True)
-    rows = rows.withColumn("start", F.col("cum_cnt") - F.col("cnt")).drop("cum_cnt")
-    buckets = rows.groupBy(*group_cols, _BUCKET).agg(F.min("start").alias("b_start"),
-                                                      F.max(F.col("start") + F.col("cnt")).alias("b_end"))
-    return rows, buckets
-
+def _value_ranks(df: DataFrame, value_col: str, group_cols: Sequence[str], n_buckets: int | None) -> DataFrame:
+    """One row per (group, distinct non-null value): rank of its first copy
+    ``_first`` and of the one after its last ``_end``, and the group's size ``n``."""
+    vc = materialize(df.where(F.col(value_col).isNotNull()).groupBy(*group_cols, F.col(value_col).alias("_v"))
+                     .agg(F.count(F.lit(1)).alias("_c")))
+    rt = running_totals(vc, group_cols, ["_v"], ["_c"], prefix="_cum", n_buckets=n_buckets, totals="_all")
+    return rt.select(*group_cols, "_v", (F.col("_cum_c") - F.col("_c")).alias("_first"), F.col("_cum_c").alias("_end"), F.col("_all_c").alias("n"))
 
-def value_ranks(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
-                n_buckets: int | None = None):
-    """Compressed rank table: one row per (group, distinct value) with
-    ``cnt`` and ``start`` (0-based rank of its first copy), plus the small
-    bucket table used to route rank lookups.  Nulls are ignored.
-
-    The bucketed input is materialised inside ``running_totals``: every
-    lookup starts from it.
-    """
-    return _ranks_from_compressed(_compressed(df, value_col, group_cols), value_col, group_cols, n_buckets)
 
+def _at(rank: Column, value: Column) -> Column:
+    """The value that covers ``rank`` (one row of a group does)."""
+    return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_end")), value))
 
-def _lookup(rows: DataFrame, buckets: DataFrame, value_col: str, targets: DataFrame,
-            group_cols: Sequence[str]) -> DataFrame:
-    """Resolve ``targets`` (group_cols, stat, rank, ...) to the value at that rank.
 
-    Each target is routed to its range bucket on the small bucket table, then
-    equi-joined on (group, bucket): no non-equi join ever touches the data.
-    """
-    group_cols = list(group_cols)
-    # targets x buckets: both tiny (statistics x buckets), never the data.
-    routed = (targets.join(F.broadcast(buckets), group_cols, "inner") if group_cols
-              else targets.crossJoin(F.broadcast(buckets))) \
-        .where((F.col("rank") >= F.col("b_start")) & (F.col("rank") < F.col("b_end"))) \
-        .drop("b_start", "b_end")
-    hit = rows.join(F.broadcast(routed), [*group_cols, _BUCKET]) \
-        .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("cnt")))
-    return hit.drop(_BUCKET, "cnt", "start")
-
-
-def _sizes(buckets: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Group sizes from the bucket table (no extra pass over the data)."""
-    group_cols = list(group_cols)
-    agg = F.max("b_end").alias("n")
-    s = buckets.groupBy(*group_cols).agg(agg) if group_cols else buckets.agg(agg)
-    return s.where(F.col("n") > 0)
-
-
-def values_at_ranks(df: DataFrame, value_col: str, targets: DataFrame, group_cols: Sequence[str] = (),
-                    n_buckets: int | None = None) -> DataFrame:
-    """Value of the ``rank``-th smallest non-null element (0-based) per target row
-    (``targets``: group_cols + ``rank`` + payload; small)."""
-    rows, buckets = value_ranks(df, value_col, group_cols, n_buckets)
-    return _lookup(rows, buckets, value_col, targets, group_cols)
-
-
-def _compressed(df: DataFrame, value_col: str, group_cols: Sequence[str]) -> DataFrame:
-    return materialize(df.where(F.col(value_col).isNotNull())
-                         .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("cnt")))
+def _per_group(df: DataFrame, group_cols: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    return df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
 
 
 def quantiles(df: DataFrame, value_col: str, probs: dict[str, float], group_cols: Sequence[str] = (),
               n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy/pandas default, SQL
-    ``quantile_cont``) per group, one column per entry of ``probs``.
-    Groups without values produce no row.
-
-    Values are first compressed to (value, count).  When the largest group
-    has at most ``small_limit`` distinct values, Spark's exact
-    frequency-weighted ``percentile`` runs on the compressed table (its
-    per-group state is bounded by that check); otherwise ranks come from the
-    range-bucketed running totals.
+    ``quantile_cont``) per group, one double column per entry of ``probs``:
+    ``lo + (hi - lo) * frac`` between the neighbouring order statistics.
+
+    Without ``group_cols`` there is always one row (nulls if the column has no
+    values); groups without values have no row.  One aggregation with
+    map-side combining reads all ranks.
     """
-    group_cols = list(group_cols)
-    vc = _compressed(df, value_col, group_cols)
-    if _max_group_rows(vc, group_cols) <= small_limit(df.sparkSession):
-        # one aggregate for all probabilities: the value map is built and sorted once
-        pct = F.percentile(F.col(value_col), F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("cnt"))
-        g = vc.groupBy(*group_cols).agg(pct.alias("_q")) if group_cols else vc.agg(pct.alias("_q"))
-        return g.where(F.col("_q").isNotNull()).select(
-            *group_cols, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-    rows, buckets = _ranks_from_compressed(vc, value_col, group_cols, n_buckets)
-    n = _sizes(buckets, group_cols)
-    targets = None
+    rows = _value_ranks(df, value_col, group_cols, n_buckets)
+    aggs = []
     for name, p in probs.items():
         pos = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        for side, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            t = n.select(*group_cols, F.lit(name).alias("stat"), F.lit(side).alias("side"),
-                         r.cast("long").alias("rank"), (pos - F.floor(pos)).alias("frac"))
-            targets = t if targets is None else targets.unionByName(t)
-    vals = _lookup(rows, buckets, value_col, targets, group_cols)
-    aggs = []
-    for name in probs:
-        lo = F.max(F.when((F.col("stat") == name) & (F.col("side") == "lo"), F.col(value_col)))
-        hi = F.max(F.when((F.col("stat") == name) & (F.col("side") == "hi"), F.col(value_col)))
-        fr = F.max(F.when(F.col("stat") == name, F.col("frac")))
-        aggs.append((lo + (hi - lo) * fr).alias(name))
-    return vals.groupBy(*group_cols).agg(*aggs) if group_cols else vals.agg(*aggs)
+        value = F.col("_v").cast("double")
+        aggs += [_at(F.floor(pos), value).alias(f"_lo_{name}"), _at(F.ceil(pos), value).alias(f"_hi_{name}"),
+                 F.max(pos - F.floor(pos)).alias(f"_fr_{name}")]
+    got = _per_group(rows, group_cols, aggs)
+    return got.select(*group_cols, *[(F.col(f"_lo_{p}") + (F.col(f"_hi_{p}") - F.col(f"_lo_{p}")) * F.col(f"_fr_{p}")).alias(p) for p in probs])
 
 
 def kth_values(df: DataFrame, value_col: str, ranks: dict[str, Column], group_cols: Sequence[str] = (),
                n_buckets: int | None = None) -> DataFrame:
     """k-th order statistics with k given as an expression of the group size ``n``.
 
-    Example: ``{"q1": F.floor(F.col("n") / 4)}`` is the reference's
-    ``sorted(x)[len(x)//4]``.  Returns group_cols, ``n`` and one column per rank.
-    Small groups (distinct values <= ``small_limit``) walk their sorted
-    (value, count) list once; larger ones use the range-bucketed ranks.
+    Example: ``{"q1": F.floor(F.col("n") / 4)}`` is ``sorted(x)[len(x)//4]``.
+    Returns group_cols, ``n`` and one column per rank, of the value's own type.
+    Without ``group_cols`` there is always one row (``n`` 0 and nulls if the column has no values).
     """
-    group_cols = list(group_cols)
-    vc = _compressed(df, value_col, group_cols)
-    if _max_group_rows(vc, group_cols) <= small_limit(df.sparkSession):
-        agg = [F.array_sort(F.collect_list(F.struct(F.col(value_col).alias("v"), F.col("cnt").alias("c")))).alias("xs"),
-               F.sum("cnt").alias("n")]
-        g = vc.groupBy(*group_cols).agg(*agg) if group_cols else vc.agg(*agg).where(F.col("n") > 0)
-        cols = []
-        for name, expr in ranks.items():
-            k = expr.cast("long")
-            walk = F.aggregate("xs", F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("double").alias("hit")),
-                               lambda acc, x: F.struct(
-                                   (acc["cum"] + x["c"]).alias("cum"),
-                                   F.when(acc["hit"].isNull() & (acc["cum"] + x["c"] > k), x["v"].cast("double"))
-                                    .otherwise(acc["hit"]).alias("hit")))
-            cols.append(walk["hit"].alias(name))
-        return g.select(*group_cols, F.col("n").cast("long").alias("n"), *cols)
-    rows, buckets = _ranks_from_compressed(vc, value_col, group_cols, n_buckets)
-    n = _sizes(buckets, group_cols)
-    targets = None
-    for name, expr in ranks.items():
-        t = n.select(*group_cols, F.lit(name).alias("stat"), expr.cast("long").alias("rank"))
-        targets = t if targets is None else targets.unionByName(t)
-    vals = _lookup(rows, buckets, value_col, targets, group_cols)
-    aggs = [F.max(F.when(F.col("stat") == name, F.col(value_col))).alias(name) for name in ranks]
-    got = vals.groupBy(*group_cols).agg(*aggs) if group_cols else vals.agg(*aggs)
-    return n.join(got, group_cols, "left") if group_cols else n.crossJoin(got)
+    rows = _value_ranks(df, value_col, group_cols, n_buckets)
+    aggs = [F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n")]
+    aggs += [_at(expr.cast("long"), F.col("_v")).alias(name) for name, expr in ranks.items()]
+    return _per_group(rows, group_cols, aggs)
 
 
 def rolling_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], value_col: str,
@@ -268,45 +161,42 @@ def rolling_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     """Trailing ``k``-row frame statistics per group in (order_cols) order:
     ``roll_n`` (rows in frame), ``roll_mean``, ``roll_std`` (sample).
 
-    A plain ``Window.partitionBy(group)`` would put a hot group -- a third of
-    all rows -- into one task.  Instead rows are range-bucketed by (group,
-    order); every bucket also receives the last ``k - 1`` rows of the bucket
-    before it (a halo), so a window over (group, bucket) sees complete frames
-    while each task holds one bucket.
+    Rows are range-bucketed by (group, order); every bucket also receives the
+    ``k - 1`` rows before its first one (a halo), so a window over (group,
+    bucket) sees complete frames while each task holds one bucket.  Each bucket
+    asks for its halo by position, so the halo has at most ``k - 1`` rows per bucket.
     """
-    group_cols = list(group_cols)
-    one = "_rl_one"
-    rt, buckets = running_totals(df.withColumn(one, F.lit(1)), group_cols, order_cols, [one],
-                                 n_buckets=n_buckets, with_buckets=True)
-    ends = buckets.select(*group_cols, _BUCKET, (F.col(f"_off_{one}") + F.col(f"_tot_{one}")).alias("_b_end"))
-    rt = rt.join(F.broadcast(ends), [*group_cols, _BUCKET]) \
-           .withColumn("_idx", F.col(f"cum_{one}") - 1)
-    # a row is copied into every later bucket of its group whose first position
-    # is within k-1 rows after it (candidates and buckets are both small tables)
-    starts = buckets.select(*group_cols, F.col(_BUCKET).alias("_tb"), F.col(f"_off_{one}").alias("_tstart"))
-    cand = rt.where(F.col("_idx") >= F.col("_b_end") - (k - 1))
-    cand = cand.join(F.broadcast(starts), group_cols) if group_cols else cand.crossJoin(F.broadcast(starts))
-    halo = cand.where((F.col("_tb") > F.col(_BUCKET)) & (F.col("_tstart") <= F.col("_idx") + (k - 1))) \
-               .withColumn(_BUCKET, F.col("_tb")).drop("_tb", "_tstart").withColumn("_halo", F.lit(True))
-    allrows = rt.withColumn("_halo", F.lit(False)).unionByName(halo)
-    w = Window.partitionBy(*group_cols, _BUCKET).orderBy("_idx").rowsBetween(-(k - 1), 0)
-    out = allrows.select("*", F.count(value_col).over(w).alias("roll_n"),
-                         F.avg(value_col).over(w).alias("roll_mean"),
-                         F.stddev_samp(value_col).over(w).alias("roll_std"))
-    return out.where(~F.col("_halo")).drop(_BUCKET, "_halo", "_b_end", one, f"cum_{one}")
+    one, idx = "_rl_one", "_rl_idx"
+    part = _bucketed(df.withColumn(one, F.lit(1).cast("long")), group_cols, _columns(order_cols), n_buckets)
+    buckets = _bucket_totals(part, [one])
+    w = Window.partitionBy(_KEY, _BUCKET).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = part.withColumn("_in", F.sum(one).over(w)).join(buckets, [_KEY, _BUCKET]) \
+        .withColumn(idx, F.col(f"_off_{one}") + F.col("_in") - 1) \
+        .withColumn("_to_end", F.col(f"_tot_{one}") - F.col("_in"))
+    rows = rows.select(*part.columns, idx, "_to_end")
+    # positions that a bucket needs from the buckets before it
+    first = F.col(f"_off_{one}")
+    asked = buckets.where(first > 0).select(_KEY, F.col(_BUCKET).alias("_target"), F.explode(F.sequence(F.greatest(first - (k - 1), F.lit(0).cast("long")), first - 1)).alias(idx)) \
+        if k > 1 else buckets.where(F.lit(False)).select(_KEY, F.col(_BUCKET).alias("_target"), first.alias(idx))
+    halo = rows.where(F.col("_to_end") < k - 1).join(asked, [_KEY, idx]).withColumn(_BUCKET, F.col("_target")).withColumn("_halo", F.lit(True))
+    both = rows.withColumn("_halo", F.lit(False)).unionByName(halo.select(*rows.columns, "_halo"))
+    frame = Window.partitionBy(_KEY, _BUCKET).orderBy(idx).rowsBetween(-(k - 1), 0)
+    out = both.select("*", F.count(value_col).over(frame).alias("roll_n"), F.avg(value_col).over(frame).alias("roll_mean"),
+                      F.stddev_samp(value_col).over(frame).alias("roll_std"))
+    return out.where(~F.col("_halo")).select(*df.columns, "roll_n", "roll_mean", "roll_std")
 
 
 def with_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], cols: Sequence[str],
                   prefix: str = "prev_", n_buckets: int | None = None) -> DataFrame:
-    """``lag`` without a per-group window: rows get their exact position per
-    group (balanced running totals), then an equi-join on (group, position - 1)
-    brings the previous row's ``cols``.  A hot group is spread over many tasks."""
-    group_cols = list(group_cols)
-    one = "_rl_one"
-    rt = running_totals(df.withColumn(one, F.lit(1)), group_cols, order_cols, [one], n_buckets=n_buckets) \
-        .withColumn("_pos", F.col(f"cum_{one}")).drop(one, f"cum_{one}")
-    prev = rt.select(*group_cols, (F.col("_pos") + 1).alias("_pos"), *[F.col(c).alias(prefix + c) for c in cols])
-    return rt.join(prev, [*group_cols, "_pos"], "left").drop("_pos")
+    """``lag`` without a per-group window: inside (group, bucket) by a window, and a
+    bucket's first row gets the last row of the group's bucket before it.  A hot
+    group is spread over many tasks."""
+    part = _bucketed(df, group_cols, _columns(order_cols), n_buckets)
+    tail = F.max_by(F.struct(*cols), F.struct(*order_cols)).alias("_tail")
+    buckets = _bucket_totals(part, [], tail).select(_KEY, _BUCKET, F.lag("_tail").over(Window.partitionBy(_KEY).orderBy(_BUCKET)).alias("_before"))
+    w = Window.partitionBy(_KEY, _BUCKET).orderBy(*order_cols)
+    rows = part.withColumn("_lag", F.lag(F.struct(*cols)).over(w)).join(buckets, [_KEY, _BUCKET])
+    return rows.withColumn("_prev", F.coalesce("_lag", "_before")).select(*df.columns, *[F.col("_prev")[c].alias(prefix + c) for c in cols])
 
 
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str], k: int,

@@ -20,11 +20,12 @@ def register(versions: DataFrame) -> DataFrame:
 
 
 def promote(events: DataFrame, requests: DataFrame) -> DataFrame:
-    """RG-2 / RG-5: promote (or roll back to) registered versions; requests for
-    unknown versions are dropped into ``rejected`` by the caller via anti join."""
-    known = events.where(F.col("event") == "register").select("version", "model_type", *METRICS)
-    return requests.join(known, "version").select("version", F.lit("promote").alias("event"), "model_type",
-                                                  *METRICS, "ts")
+    """RG-2 / RG-5: promote (or roll back to) registered versions.  A request for
+    a version that is not registered becomes a ``rejected`` event; it changes no state."""
+    known = events.where(F.col("event") == "register").select("version", "model_type", *METRICS, F.lit(True).alias("_known"))
+    asked = requests.join(known, "version", "left")
+    return asked.select("version", F.when(F.col("_known"), F.lit("promote")).otherwise(F.lit("rejected")).alias("event"),
+                        "model_type", *METRICS, "ts")
 
 
 def registry_state(events: DataFrame) -> DataFrame:

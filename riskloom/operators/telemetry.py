@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.ordering import global_index, kth_values
 
-# Bottleneck rules (average > 200 ms, p99 > 500 ms, cache hit rate < 30 %),
+# Average request > 200 ms, average inference > 150 ms, p99 > 500 ms, cache hit rate < 30 %,
 # slow query threshold 100 ms, summary over the newest 1000 requests, batches of 32.
-AVG_LIMIT, P99_LIMIT, HIT_RATE_MIN, SLOW_MS, WINDOW_N, BATCH = 200.0, 500.0, 0.30, 100.0, 1000, 32
+AVG_LIMIT, INFERENCE_LIMIT, P99_LIMIT, HIT_RATE_MIN, SLOW_MS, WINDOW_N, BATCH = 200.0, 150.0, 500.0, 0.30, 100.0, 1000, 32
 
 
 def latest(log: DataFrame, n: int, ts: str = "ts", key: str = "prediction_id") -> DataFrame:
@@ -26,18 +26,23 @@ def latency_summary(log: DataFrame, col: str = "inference_time_ms", n: int = WIN
     return agg.crossJoin(ks.select(F.col("p95").alias("p95_ms"), F.col("p99").alias("p99_ms")))
 
 
-def bottlenecks(summary: DataFrame, hit_rate: DataFrame) -> DataFrame:
-    """PF-2: one row per triggered rule (issue, value, threshold)."""
-    x = summary.crossJoin(hit_rate)
-    rules = F.array(
-        F.when(F.col("avg_ms") > AVG_LIMIT, F.struct(F.lit("high_average_latency").alias("issue"),
-                                                     F.col("avg_ms").alias("value"), F.lit(AVG_LIMIT).alias("threshold"))),
-        F.when(F.col("p99_ms") > P99_LIMIT, F.struct(F.lit("high_p99_latency").alias("issue"),
-                                                     F.col("p99_ms").alias("value"), F.lit(P99_LIMIT).alias("threshold"))),
-        F.when(F.col("hit_rate") < HIT_RATE_MIN, F.struct(F.lit("low_cache_hit_rate").alias("issue"),
-                                                          F.col("hit_rate").alias("value"),
-                                                          F.lit(HIT_RATE_MIN).alias("threshold"))))
-    return x.select(F.explode(F.array_compact(rules)).alias("b")).select("b.*")
+# Rule name, severity and threshold of each bottleneck rule, in checking order.
+BOTTLENECK_RULES = (
+    ("high_latency", "warning", "avg_ms", AVG_LIMIT),
+    ("slow_inference", "warning", "avg_inference_ms", INFERENCE_LIMIT),
+    ("low_cache_hits", "info", "hit_rate", HIT_RATE_MIN),
+    ("outlier_latency", "warning", "p99_ms", P99_LIMIT),
+)
+
+
+def bottlenecks(summary: DataFrame, inference: DataFrame, hit_rate: DataFrame) -> DataFrame:
+    """PF-2: one row per triggered rule (type, severity, value, threshold).  Average
+    and p99 request time, average inference time, cache hit rate (0..1)."""
+    x = summary.crossJoin(inference).crossJoin(hit_rate)
+    rules = [F.when(F.col(c) < limit if c == "hit_rate" else F.col(c) > limit,
+                    F.struct(F.lit(name).alias("type"), F.lit(severity).alias("severity"), F.col(c).alias("value"), F.lit(limit).alias("threshold")))
+             for name, severity, c, limit in BOTTLENECK_RULES]
+    return x.select(F.explode(F.array_compact(F.array(*rules))).alias("b")).select("b.*")
 
 
 def query_stats(log: DataFrame, key: str = "endpoint", col: str = "inference_time_ms", top: int = 10) -> DataFrame:

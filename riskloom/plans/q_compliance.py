@@ -272,19 +272,24 @@ def subject_request_state(spark, d):
                                              "processed_at")
 
 
-@query("gdpr_status", "WITH " + CONSENT_CTE + "," + REQ_SQL.strip() + f""",
+GDPR_SQL = "WITH " + CONSENT_CTE + "," + REQ_SQL.strip() + f""",
 st AS (SELECT (SELECT count(DISTINCT user_id) FROM cur) AS total_users_with_consent,
               (SELECT count(*) FROM {POLICIES_SQL}) AS retention_policies,
               (SELECT count(*) FROM dsr WHERE status = 'pending') AS pending_data_subject_requests,
-              (SELECT count(*) FROM dsr WHERE status = 'processed') AS processed_data_subject_requests)
-SELECT *, CAST(greatest(100.0 - CASE WHEN retention_policies = 0 THEN 20 ELSE 0 END
+              (SELECT count(*) FROM dsr WHERE status = 'processed') AS processed_data_subject_requests),
+st2 AS (SELECT *, CAST(greatest(100.0 - CASE WHEN retention_policies = 0 THEN 20 ELSE 0 END
                          - CASE WHEN pending_data_subject_requests > 0 THEN 10 ELSE 0 END
-                         - CASE WHEN total_users_with_consent = 0 THEN 30 ELSE 0 END, 0.0) AS DOUBLE) AS compliance_score,
-       list_filter([CASE WHEN retention_policies = 0 THEN 'Define data retention policies' END,
-                    CASE WHEN pending_data_subject_requests > 0 THEN 'Process pending data subject requests' END,
-                    CASE WHEN total_users_with_consent = 0 THEN 'Record user consent' END], lambda x: x IS NOT NULL)
+                         - CASE WHEN total_users_with_consent = 0 THEN 30 ELSE 0 END, 0.0) AS DOUBLE) AS compliance_score FROM st)
+SELECT *,
+       list_filter([CASE WHEN compliance_score < 70 THEN 'CRITICAL: Compliance score below 70%. Immediate action required.' END,
+                    CASE WHEN pending_data_subject_requests > 0 THEN 'Process ' || pending_data_subject_requests || ' pending data subject requests within 30 days.' END,
+                    CASE WHEN total_users_with_consent = 0 THEN 'No consent records found. Implement consent tracking system.' END,
+                    CASE WHEN retention_policies = 0 THEN 'Define data retention policies for each data type.' END], lambda x: x IS NOT NULL)
          AS recommendations
-FROM st""")
+FROM st2"""
+
+
+@query("gdpr_status", GDPR_SQL)
 def gdpr_status(spark, d):
     """CP-10 + CP-11."""
     cur = cp.current_consent(consent_events(spark, d))
@@ -292,6 +297,15 @@ def gdpr_status(spark, d):
     return cp.gdpr_recommendations(cp.gdpr_status(cur, pol, subject_requests(spark, d)))
 
 
+@query("gdpr_status_bare", GDPR_SQL.replace("(SELECT count(DISTINCT user_id) FROM cur)", "(SELECT count(DISTINCT user_id) FROM cur WHERE user_id < 0)")
+       .replace(f"(SELECT count(*) FROM {POLICIES_SQL})", f"(SELECT count(*) FROM {POLICIES_SQL} WHERE retention_days < 0)"))
+def gdpr_status_bare(spark, d):
+    """CP-10 + CP-11 without consents and policies: the score falls below 70."""
+    cur = cp.current_consent(consent_events(spark, d)).where("user_id < 0")
+    pol = spark.createDataFrame(POLICIES, "data_type string, retention_days int").where("retention_days < 0")
+    return cp.gdpr_recommendations(cp.gdpr_status(cur, pol, subject_requests(spark, d)))
+
+
 @query("erase_with_audit", f"""
 SELECT {AS_OF_SQL} AS ts, 'DATA_DELETE' AS action, 'dpo' AS "user",
        'data:orders:' || CAST(o_custkey AS VARCHAR) AS resource, 'success' AS status

@@ -121,7 +121,7 @@ def role_counts(spark, d):
 
 @query("family_nonnull_counts", CLAIMS_W.rstrip("\n") + """,
 fam AS (SELECT claim_id, """ + ", ".join(
-    f"CASE WHEN num_procedures >= {i} THEN part_id + {i} END AS ClmProcedureCode_{i}" for i in range(1, 7)) + ", " +
+    f"CASE WHEN num_procedures >= {i} THEN part_id + {i} END AS ClmProcedureCode_{i}" for i in range(1, 9)) + ", " +
     ", ".join(f"CASE WHEN patient_id % {i + 1} = 0 THEN '1' ELSE '2' END AS ChronicCond_{i}" for i in range(1, 6)) + """
         FROM claims)
 SELECT claim_id, """ + " + ".join(f"CAST(ClmProcedureCode_{i} IS NOT NULL AS INTEGER)" for i in range(1, 7)) +
@@ -133,10 +133,10 @@ def family_nonnull_counts(spark, d):
     c = base.claims(spark, d)
     fam = c.select("claim_id",
                    *[F.when(F.col("num_procedures") >= i, F.col("part_id") + i).alias(f"ClmProcedureCode_{i}")
-                     for i in range(1, 7)],
+                     for i in range(1, 9)],      # two columns beyond the family
                    *[F.when(F.pmod("patient_id", F.lit(i + 1)) == 0, F.lit("1")).otherwise(F.lit("2"))
                       .alias(f"ChronicCond_{i}") for i in range(1, 6)])
-    return fam.select("claim_id", clean.nonnull_count(fam, "ClmProcedureCode_").alias("n_procedure_codes"),
+    return fam.select("claim_id", clean.nonnull_count(fam, "ClmProcedureCode_", 6).alias("n_procedure_codes"),
                       clean.chronic_count(fam, "ChronicCond_").alias("n_chronic"))
 
 

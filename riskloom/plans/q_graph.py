@@ -9,20 +9,35 @@ from riskloom.operators import graph as gr
 from riskloom.plans import base
 from riskloom.plans.registry import query
 from riskloom.plans.sql_base import SCORED_W, SPLIT_W, with_, CLAIMS
+from riskloom.sources.tables import doctors_view, hospitals_view, patients_view
 
-EDGES_CTE = """
+def _edges_cte(patients: str, doctors: str, hospitals: str) -> str:
+    return f"""
 edges AS (
   SELECT 'patient' AS src_type, patient_id AS src, 'filed_claim' AS relation, 'claim' AS dst_type, claim_id AS dst FROM claims
-  UNION ALL SELECT 'claim', claim_id, 'treated_by', 'doctor', doctor_id FROM claims
-  UNION ALL SELECT 'doctor', s_suppkey, 'works_at', 'hospital', CAST(s_nationkey AS BIGINT) FROM supplier
-  UNION ALL SELECT DISTINCT 'patient', patient_id, 'visited', 'doctor', doctor_id FROM claims)"""
+  WHERE patient_id IN (SELECT c_custkey FROM {patients})
+  UNION ALL SELECT 'claim', claim_id, 'treated_by', 'doctor', doctor_id FROM claims WHERE doctor_id IN (SELECT s_suppkey FROM {doctors})
+  UNION ALL SELECT 'doctor', s_suppkey, 'works_at', 'hospital', CAST(s_nationkey AS BIGINT) FROM {doctors}
+  WHERE s_nationkey IN (SELECT n_nationkey FROM {hospitals})
+  UNION ALL SELECT DISTINCT 'patient', patient_id, 'visited', 'doctor', doctor_id FROM claims
+  WHERE patient_id IN (SELECT c_custkey FROM {patients}) AND doctor_id IN (SELECT s_suppkey FROM {doctors}))"""
+
+
+EDGES_CTE = _edges_cte("customer", "supplier", "nation")
 
 
 def edges(spark, d):
-    c = base.claims(spark, d)
-    doctors = base.read(spark, d, "supplier").select(F.col("s_suppkey").alias("doctor_id"),
-                                                     F.col("s_nationkey").alias("hospital_id"))
-    return gr.build_edges(c, doctors)
+    return gr.build_edges(base.claims(spark, d), doctors_view(spark, d), patients_view(spark, d), hospitals_view(spark, d))
+
+
+@query("graph_edges_unknown_ends", with_(CLAIMS, _edges_cte("(SELECT * FROM customer WHERE c_custkey % 7 <> 0)", "(SELECT * FROM supplier WHERE s_suppkey % 5 <> 0)",
+                                                            "(SELECT * FROM nation WHERE n_nationkey % 3 <> 0)")) + """
+SELECT relation, count(*) AS n_edges, sum(src) AS src_sum, sum(dst) AS dst_sum FROM edges GROUP BY relation""")
+def graph_edges_unknown_ends(spark, d):
+    """JN-5: node tables that lack some ids; edges to them do not exist."""
+    e = gr.build_edges(base.claims(spark, d), doctors_view(spark, d).where("doctor_id % 5 <> 0"),
+                       patients_view(spark, d).where("patient_id % 7 <> 0"), hospitals_view(spark, d).where("hospital_id % 3 <> 0"))
+    return e.groupBy("relation").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("src").cast("decimal(38,0)").alias("src_sum"), F.sum("dst").cast("decimal(38,0)").alias("dst_sum"))
 
 
 def edges_view(spark, d):
@@ -115,7 +130,7 @@ def neighbor_features(spark, d):
                                       F.max("claim_amount").alias("doc_max_claim_amount"),
                                       F.sum("claim_amount").alias("doc_sum_claim_amount"))
     pat = tr.groupBy("patient_id").agg(F.avg("claim_amount").alias("pa"))
-    e = gr.build_edges(tr, tr.select("doctor_id", "hospital_id").distinct())
+    e = gr.build_edges(tr, tr.select("doctor_id", "hospital_id").distinct(), tr.select("patient_id").distinct(), tr.select("hospital_id").distinct())
     r2 = gr.neighbor_aggregates(e.where("relation = 'visited'").select(
         F.col("dst").alias("src"), F.lit("visited_by").alias("relation"), F.col("src").alias("dst")),
         pat.withColumnRenamed("patient_id", "p"), "visited_by", "p", ["pa"], "r2") \

@@ -99,10 +99,12 @@ rt AS (SELECT *, sum(c1) OVER (PARTITION BY feature ORDER BY value ROWS UNBOUNDE
                  sum(c1) OVER (PARTITION BY feature) AS n1, sum(c2) OVER (PARTITION BY feature) AS n2 FROM vc),
 d AS (SELECT feature, n1, n2, max(abs(k1 / n1 - k2 / n2)) AS ks FROM rt GROUP BY feature, n1, n2)
 SELECT feature, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, ks AS ks_statistic,
-       CASE WHEN ks = 0 THEN 1.0 ELSE least(greatest(2.0 * (
-         SELECT sum(pow(-1.0, k - 1) * exp(-2.0 * k * k * (sqrt(n1 * n2 / (n1 + n2)) * ks) * (sqrt(n1 * n2 / (n1 + n2)) * ks)))
-         FROM range(1, 101) r(k)), 0.0), 1.0) END AS p_value
-FROM d WHERE n1 > 5 AND n2 > 5""")
+       CASE WHEN lam <= 0 THEN 1.0
+            WHEN lam < 1.18 THEN least(greatest(1.0 - sqrt(2 * pi()) / lam * (
+              SELECT sum(exp(-(2 * k - 1) * (2 * k - 1) * pi() * pi() / 8 / (lam * lam))) FROM range(1, 21) r(k)), 0.0), 1.0)
+            ELSE least(greatest(2.0 * (SELECT sum(pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) r(k)), 0.0), 1.0)
+       END AS p_value
+FROM (SELECT *, sqrt(n1 * n2 / (n1 + n2)) * ks AS lam FROM d) WHERE n1 > 5 AND n2 > 5""")
 def ks_feature_drift(spark, d):
     """DR-6: train vs test claims per feature."""
     s = base.claims_split(spark, d)

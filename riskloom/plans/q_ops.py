@@ -10,7 +10,7 @@ from riskloom.operators import registry as rg
 from riskloom.operators import telemetry as pf
 from riskloom.plans import base
 from riskloom.plans.q_eval import METRICS_LONG_SQL, metrics_long
-from riskloom.plans.q_scoring import score_new_only
+from riskloom.plans.q_scoring import TTL_CTE, score_new_only
 from riskloom.plans.registry import query
 from riskloom.plans.sql_base import LOG_W
 
@@ -29,11 +29,8 @@ def latency_percentiles(spark, d):
     return pf.latency_summary(base.prediction_log(spark, d))
 
 
-HIT_SQL = LOG_W.rstrip("\n") + """,
-k AS (SELECT prediction_id, ts, md5(concat_ws('|', CAST(user_id AS VARCHAR), model_version)) AS request_key FROM log),
-p AS (SELECT *, lag(ts) OVER (PARTITION BY request_key ORDER BY ts, prediction_id) AS prev_ts FROM k),
-hr AS (SELECT count(*) AS requests, count(*) FILTER (WHERE NOT (prev_ts IS NULL OR epoch(ts) - epoch(prev_ts) >= 600))
-              AS hits FROM p),
+HIT_SQL = TTL_CTE.rstrip("\n") + """,
+hr AS (SELECT count(*) AS requests, count(*) FILTER (WHERE NOT is_new) AS hits FROM walk),
 hit AS (SELECT *, CASE WHEN requests > 0 THEN hits / requests ELSE 0.0 END AS hit_rate FROM hr)
 """
 
@@ -44,14 +41,17 @@ def cache_hit_rate(spark, d):
     return pf.hit_rate(score_new_only(spark, d))
 
 
-@query("bottleneck_rules", HIT_SQL.rstrip("\n") + ",\n" + LAT_SQL[len(LOG_W.rstrip("\n")) + 2:].strip("\n") + """
+@query("bottleneck_rules", HIT_SQL.rstrip("\n") + ",\n" + LAT_SQL[len(LOG_W.rstrip("\n")) + 2:].strip("\n") + """,
+inf AS (SELECT avg(inference_time_ms) AS avg_inference_ms FROM log)
 SELECT * FROM (
-  SELECT 'high_average_latency' AS issue, avg_ms AS value, CAST(200.0 AS DOUBLE) AS threshold FROM lat WHERE avg_ms > 200.0
-  UNION ALL SELECT 'high_p99_latency', p99_ms, 500.0 FROM lat WHERE p99_ms > 500.0
-  UNION ALL SELECT 'low_cache_hit_rate', hit_rate, 0.30 FROM hit WHERE hit_rate < 0.30)""")
+  SELECT 'high_latency' AS type, 'warning' AS severity, avg_ms AS value, CAST(200.0 AS DOUBLE) AS threshold FROM lat WHERE avg_ms > 200.0
+  UNION ALL SELECT 'slow_inference', 'warning', avg_inference_ms, 150.0 FROM inf WHERE avg_inference_ms > 150.0
+  UNION ALL SELECT 'low_cache_hits', 'info', hit_rate, 0.30 FROM hit WHERE hit_rate < 0.30
+  UNION ALL SELECT 'outlier_latency', 'warning', p99_ms, 500.0 FROM lat WHERE p99_ms > 500.0)""")
 def bottleneck_rules(spark, d):
-    """PF-2."""
-    return pf.bottlenecks(pf.latency_summary(base.prediction_log(spark, d)),
+    """PF-2: all four rules."""
+    log = base.prediction_log(spark, d)
+    return pf.bottlenecks(pf.latency_summary(log), log.agg(F.avg("inference_time_ms").alias("avg_inference_ms")),
                           pf.hit_rate(score_new_only(spark, d)).select("hit_rate"))
 
 
@@ -86,6 +86,7 @@ T0 = dt.datetime(2024, 1, 1)
 PROMOTE_AT = dt.datetime(2024, 2, 1)
 ROLLBACK_AT = dt.datetime(2024, 3, 1)
 ROLLBACK_TO = "hybrid_v0"
+UNKNOWN = "hybrid_v99"          # asked for, never registered
 
 
 def model_events(spark, d):
@@ -103,7 +104,7 @@ def model_events(spark, d):
     best = wide.groupBy("model").agg(F.max_by("seed", F.struct("f1", -F.col("seed"))).alias("seed")) \
                .select(F.concat("model", F.lit("_v"), F.col("seed").cast("string")).alias("version"),
                        (F.lit(PROMOTE_AT) + F.make_dt_interval(F.lit(0), idx[F.col("model")])).alias("ts"))
-    back = spark.createDataFrame([(ROLLBACK_TO, ROLLBACK_AT)], "version string, ts timestamp")
+    back = spark.createDataFrame([(ROLLBACK_TO, ROLLBACK_AT), (UNKNOWN, ROLLBACK_AT)], "version string, ts timestamp")
     return regs.unionByName(rg.promote(regs, best.unionByName(back)))
 
 
@@ -158,3 +159,11 @@ def newest_versions(spark, d):
     """RG-3 / SL-2: newest three registered versions."""
     return state(spark, d).orderBy(F.col("registered_at").desc(), F.col("version").desc()).limit(3) \
                           .select("version", "model_type", "registered_at")
+
+
+@query("rejected_promotions", EVENTS_SQL + """
+SELECT version, 'rejected' AS event, ts FROM (SELECT version, ts FROM best UNION ALL SELECT 'hybrid_v99', TIMESTAMP '2024-03-01')
+WHERE version NOT IN (SELECT version FROM regs)""")
+def rejected_promotions(spark, d):
+    """RG-2: a promotion of an unknown version is an error row, not a lost request."""
+    return model_events(spark, d).where("event = 'rejected'").select("version", "event", "ts")

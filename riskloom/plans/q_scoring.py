@@ -8,8 +8,8 @@ from riskloom.functions.tiers import alert_action, alert_level
 from riskloom.operators import clean
 from riskloom.operators.encode import apply_labels, apply_scaler, fit_labels, fit_scaler
 from riskloom.operators.features import CATEGORICALS
-from riskloom.operators.ordering import with_previous
 from riskloom.operators.scoring import prediction_summary as prediction_summary_op
+from riskloom.operators.ttl import mark_scored
 from riskloom.plans import base
 from riskloom.plans.q_core import FEATURES_SQL
 from riskloom.plans.registry import query
@@ -85,21 +85,37 @@ def prediction_summary(spark, d):
     return prediction_summary_op(base.prediction_log(spark, d))
 
 
-@query("score_new_only", LOG_W.rstrip("\n") + """,
+TTL_CTE = LOG_W.rstrip("\n").replace("WITH", "WITH RECURSIVE", 1) + """,
 k AS (SELECT prediction_id, ts, md5(concat_ws('|', CAST(user_id AS VARCHAR), model_version)) AS request_key FROM log),
-p AS (SELECT *, lag(ts) OVER (PARTITION BY request_key ORDER BY ts, prediction_id) AS prev_ts FROM k)
-SELECT prediction_id, request_key,
-       prev_ts IS NULL OR epoch(ts) - epoch(prev_ts) >= 600 AS is_new FROM p""")
-def score_new_only(spark, d):
-    """ML-11 + FN-10: a request is new unless an identical request (same
-    canonical key) came in the previous 600 s.  The previous request comes
-    from a balanced positional self-join, not a per-key window."""
+o AS (SELECT *, row_number() OVER (PARTITION BY request_key ORDER BY ts, prediction_id) AS r FROM k),
+walk AS (SELECT request_key, r, prediction_id, ts, ts AS scored_at, true AS is_new FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.request_key, o.r, o.prediction_id, o.ts,
+         CASE WHEN o.ts > w.scored_at + INTERVAL 600 SECOND THEN o.ts ELSE w.scored_at END,
+         o.ts > w.scored_at + INTERVAL 600 SECOND
+  FROM walk w JOIN o ON o.request_key = w.request_key AND o.r = w.r + 1)
+"""
+
+
+def request_log(spark, d):
     log = base.prediction_log(spark, d)
-    k = log.select("prediction_id", "ts",
-                   F.md5(F.concat_ws("|", F.col("user_id").cast("string"), F.col("model_version"))).alias("request_key"))
-    p = with_previous(k, ["request_key"], ["ts", "prediction_id"], ["ts"])
-    gap = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("prev_ts").cast("timestamp"))
-    return p.select("prediction_id", "request_key", (F.col("prev_ts").isNull() | (gap >= 600)).alias("is_new"))
+    return log.select("prediction_id", "ts",
+                      F.md5(F.concat_ws("|", F.col("user_id").cast("string"), F.col("model_version"))).alias("request_key"))
+
+
+@query("score_new_only", TTL_CTE + "SELECT prediction_id, request_key, is_new FROM walk")
+def score_new_only(spark, d):
+    """ML-11 + FN-10: a request is scored unless its key was scored at most 600 s
+    ago (the entry's creation counts; a hit does not renew it)."""
+    return mark_scored(request_log(spark, d), "request_key", "ts", "prediction_id").select("prediction_id", "request_key", "is_new")
+
+
+@query("score_new_only_steady", TTL_CTE.replace("concat_ws('|', CAST(user_id AS VARCHAR), model_version)", "model_version")
+       + "SELECT prediction_id, request_key, is_new FROM walk")
+def score_new_only_steady(spark, d):
+    """ML-11 on five keys with steady traffic: long chains in bursts without a pause."""
+    log = base.prediction_log(spark, d).select("prediction_id", "ts", F.md5("model_version").alias("request_key"))
+    return mark_scored(log, "request_key", "ts", "prediction_id").select("prediction_id", "request_key", "is_new")
 
 
 # mapping between the claim layout and the request layout (PR-24) and request defaults (PR-22)

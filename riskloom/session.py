@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -42,8 +46,6 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512MB",
     "spark.sql.parquet.filterPushdown": "true",
-    # riskloom.exact.smallLimit keeps its 1M default: groups above it use the
-    # range-bucketed exact paths
 }
 
 
@@ -66,13 +68,16 @@ def get_session(app: str = "riskloom", cpus: int | str = "*", shuffle_partitions
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder comes from the session configuration (a shared
-    file system path).  Only when it is unset -- local tests -- do we create a
-    scratch folder of our own.
+    On a cluster the folder must come from the session configuration (a path
+    that driver and executors share); without one this raises, because a
+    folder of the driver's own machine would lose what executors write.  Only a
+    local master, as in tests, gets a scratch folder.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="riskloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
@@ -80,30 +85,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-_SHIPPED: set = set()
+def _derived_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskloom-tables/{spark.sparkContext.applicationId}"
+
+
+_CLEANED: set = set()
+
+
+def derived_path(spark: SparkSession) -> str:
+    """A new path for a derived table of this application, in the shared folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _CLEANED:
+        _CLEANED.add(app)
+        atexit.register(drop_derived_tables, spark)
+    return f"{_derived_root(spark)}/{uuid.uuid4().hex}"
+
+
+def drop_derived_tables(spark: SparkSession) -> None:
+    """Delete the derived tables that this application has written (nothing else)."""
+    sc = spark.sparkContext
+    if sc._jsc is None:           # already stopped
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(_derived_root(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``riskloom`` importable in Python workers (needed where a Python
-    function runs on executors, e.g. ``applyInPandasWithState``).  The package
-    is zipped once per SparkContext into the shared checkpoint folder and added
-    with ``addPyFile`` -- the in-job equivalent of ``--py-files``."""
-    import os
-    import uuid
-    import zipfile
-
+    function runs on executors).  The package is zipped once per SparkContext;
+    Spark's own file server gives it to the executors, wherever the shared folder is."""
     sc = spark.sparkContext
-    key = sc.applicationId
-    if key in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg)
-    out = os.path.join(ensure_checkpoint_dir(spark), f"riskloom-{uuid.uuid4().hex}.zip")
+    out = os.path.join(tempfile.mkdtemp(prefix="riskloom-zip-"), "riskloom.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     p = os.path.join(d, f)
-                    z.write(p, os.path.relpath(p, root))
+                    z.write(p, os.path.relpath(p, os.path.dirname(pkg)))
     sc.addPyFile(out)
-    _SHIPPED.add(key)
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set = set()
