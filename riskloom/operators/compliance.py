@@ -1,12 +1,15 @@
 """Compliance records as tables (CP-1 .. CP-15).
 
-The audit log is append-only with a SHA-256 hash chain.  A hash chain is
-sequential by definition, so chains are made *bounded*: entries are chained
-within (chain_key, block) where a block holds at most ``BLOCK`` consecutive
-entries of a chain; each block's first entry links to the block's genesis
-value ``sha256(chain_key || block)``.  Positions come from the balanced
-running-totals index, so a hot chain key never lands in one task, and every
-group that is collected holds at most ``BLOCK`` entries.
+The audit log is append-only with a SHA-256 hash chain.  Hashing one entry after
+the other is sequential by definition, so a chain is hashed in blocks of
+``BLOCK`` entries, side by side: an entry's hash covers the entry and the hash before it
+in its block, the first one starts from ``sha256(chain # level # block)``.  The
+last hashes of the blocks are the entries of the next level, hashed the same
+way, until one block is left; its last hash and the number of entries are the
+chain's *head*, stored apart from the log.  Every entry, with its details, is
+under the head: changing, removing, adding or cutting off entries or whole
+blocks changes it.  Positions come from the balanced running totals, so a hot
+chain key never lands in one task, and a group that is gathered has at most ``BLOCK`` entries.
 """
 
 from __future__ import annotations
@@ -19,62 +22,119 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom.functions.masking import PII_PATTERNS, mask_frame
-from riskloom.operators.ordering import running_totals
+from riskloom.operators.ordering import materialize, running_totals
 
 BLOCK = 512
 
+# Actions of the entry kinds.
+PREDICTION, ACCESS, EXPORT, DELETE = "PREDICTION_MADE", "DATA_ACCESS", "DATA_EXPORT", "DATA_DELETE"
+
 
 def entry_string(*cols: Column) -> Column:
     """Canonical text of an entry (null-safe, fixed field order)."""
     return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
 
 
-def sequence_entries(log: DataFrame, chain_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
-    """0-based ``seq`` per chain in order, and its ``block``."""
-    one = "_rl_one"
-    rt = running_totals(log.withColumn(one, F.lit(1)), chain_cols, order_cols, [one])
-    return rt.withColumn("seq", F.col(f"cum_{one}") - 1).drop(one, f"cum_{one}") \
-             .withColumn("block", F.floor(F.col("seq") / BLOCK))
-
-
-def genesis(chain_key: Column, block: Column) -> Column:
-    return F.sha2(F.concat(chain_key.cast("string"), F.lit("#"), block.cast("string")), 256)
-
+def details_text(details: Column) -> Column:
+    """Canonical text of a details map: ``key=value`` in key order (null value: empty)."""
+    return F.array_join(F.transform(F.array_sort(F.map_keys(details)), lambda k: F.concat(k, F.lit("="), F.coalesce(details[k], F.lit("")))), ";")
 
-def chain_hash(seq_log: DataFrame, chain_key: str, entry_col: str = "entry") -> DataFrame:
-    """CP-4: ``hash = sha256(previous hash || entry)`` within each bounded block."""
-    grp = seq_log.groupBy(chain_key, "block").agg(
-        F.sort_array(F.collect_list(F.struct("seq", F.col(entry_col).alias("e")))).alias("xs"))
-    hashes = F.aggregate(
-        "xs", F.array().cast("array<string>"),
-        lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(
-            F.coalesce(F.try_element_at(acc, F.lit(-1)), genesis(F.col(chain_key), F.col("block"))), x["e"]), 256))))
-    z = grp.select(chain_key, "block", F.arrays_zip(F.col("xs.seq").alias("seq"), hashes.alias("hash")).alias("z"))
-    h = z.select(chain_key, "block", F.explode("z").alias("p")).select(chain_key, "block", "p.seq", "p.hash")
-    return seq_log.join(h, [chain_key, "block", "seq"])
 
-
-def verify_chain(log: DataFrame, chain_key: str, entry_col: str = "entry") -> DataFrame:
-    """CP-5 / WN-11: recompute each hash from the stored previous hash (lag in
-    the bounded block) and the entry; ``ok`` is false where they differ.
-    Entry 0 of a block is checked against the block genesis."""
-    w = Window.partitionBy(chain_key, "block").orderBy("seq")
-    prev = F.coalesce(F.lag("hash").over(w), genesis(F.col(chain_key), F.col("block")))
-    return log.withColumn("expected", F.sha2(F.concat(prev, F.col(entry_col)), 256)) \
-              .withColumn("ok", F.col("expected") == F.col("hash"))
+def sequence_entries(log: DataFrame, chain_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+    """0-based ``seq`` per chain in order."""
+    one = "_rl_one"
+    rt = running_totals(log.withColumn(one, F.lit(1).cast("long")), chain_cols, order_cols, [one])
+    return rt.withColumn("seq", F.col(f"cum_{one}") - 1).drop(one, f"cum_{one}")
+
+
+def genesis(chain_key: Column, level: int, block: Column) -> Column:
+    return F.sha2(F.concat_ws("#", chain_key.cast("string"), F.lit(str(level)), block.cast("string")), 256)
+
+
+def _hash_level(rows: DataFrame, level: int, block: int) -> DataFrame:
+    """(chain, seq, text) -> (chain, block, entries: array of (seq, hash)), one row per block."""
+    grp = rows.withColumn("block", F.floor(F.col("seq") / block)).groupBy("chain", "block").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("xs"))
+    # the hashes of a block, each over the one before it
+    hashes = F.aggregate("xs", F.array(genesis(F.col("chain"), level, F.col("block"))),
+                         lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x["text"]), 256))))
+    return grp.select("chain", "block", F.arrays_zip(F.col("xs.seq").alias("seq"), F.slice(hashes, 2, F.size("xs")).alias("hash")).alias("entries"))
+
+
+def _head(blocks: DataFrame, block: int, levels: int) -> DataFrame:
+    """(chain, digest) from the blocks of level 0."""
+    for level in range(1, levels):
+        rows = blocks.select("chain", F.col("block").alias("seq"), F.element_at("entries", -1)["hash"].alias("text"))
+        blocks = _hash_level(rows, level, block)
+    return blocks.select("chain", F.element_at("entries", -1)["hash"].alias("digest"))
+
+
+def chain_levels(longest: int, block: int = BLOCK) -> int:
+    """Levels until the longest chain is one block."""
+    levels = 1
+    while longest > block ** levels:
+        levels += 1
+    return levels
+
+
+def seal(seq_log: DataFrame, chain_key: str, entry_col: str = "entry", block: int = BLOCK, levels: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """CP-4: the log with each entry's ``hash``, and the heads (chain_key, n_entries, head).
+
+    ``levels`` is fixed for all chains by the longest one, unless given (it must suffice)."""
+    rows = seq_log.select(F.col(chain_key).alias("chain"), "seq", F.col(entry_col).alias("text"))
+    if levels is None:
+        levels = chain_levels((seq_log.agg(F.max("seq")).first()[0] or 0) + 1, block)
+    blocks = materialize(_hash_level(rows, 0, block))
+    hashes = blocks.select(F.col("chain").alias(chain_key), F.explode("entries").alias("e")).select(chain_key, "e.seq", "e.hash")
+    counts = rows.groupBy("chain").agg(F.count(F.lit(1)).alias("n_entries"))
+    heads = _head(blocks, block, levels).join(counts, "chain").select(
+        F.col("chain").alias(chain_key), "n_entries", F.sha2(F.concat_ws("#", F.col("n_entries").cast("string"), "digest"), 256).alias("head"),
+        F.lit(levels).alias("levels"))
+    return seq_log.join(hashes, [chain_key, "seq"]), heads
+
+
+def verify_chain(log: DataFrame, heads: DataFrame, chain_key: str, entry_col: str = "entry", block: int = BLOCK) -> DataFrame:
+    """CP-5 / WN-11: one row per chain of the log or the heads: entries ``expected`` and
+    ``found``, ``missing`` and ``repeated`` positions, ``mismatched`` entries (their hash does not
+    follow from the stored hash before them), ``head_ok`` (the head computed
+    from the entries equals the stored one) and ``intact``."""
+    rows = log.select(F.col(chain_key).alias("chain"), "seq", F.col(entry_col).alias("text"), "hash", F.floor(F.col("seq") / block).alias("block"))
+    w = Window.partitionBy("chain", "block").orderBy("seq")
+    before = F.when(F.col("seq") % block == 0, genesis(F.col("chain"), 0, F.col("block"))).when(F.lag("seq").over(w) == F.col("seq") - 1, F.lag("hash").over(w))
+    ok = F.coalesce(F.sha2(F.concat(before, F.col("text")), 256) == F.col("hash"), F.lit(False))
+    linked = rows.withColumn("ok", ok)
+    counts = linked.groupBy("chain").agg(F.count(F.lit(1)).alias("found"), F.count_distinct("seq").alias("places"), F.count_if(~F.col("ok")).alias("mismatched"))
+    levels = heads.agg(F.max("levels")).first()[0] or 1
+    digests = _head(materialize(_hash_level(rows.select("chain", "seq", "text"), 0, block)), block, levels)
+    state = counts.join(digests, "chain")
+    known = heads.select(F.col(chain_key).alias("chain"), F.col("n_entries").alias("expected"), "head")
+    both = known.join(state, "chain", "full")
+    head = F.sha2(F.concat_ws("#", F.col("found").cast("string"), "digest"), 256)
+    zero = F.lit(0).cast("long")
+    out = both.select(
+        F.col("chain").alias(chain_key), F.coalesce("expected", zero).alias("expected"), F.coalesce("found", zero).alias("found"),
+        F.greatest(F.coalesce("expected", zero) - F.coalesce("places", zero), zero).alias("missing"),
+        F.coalesce(F.col("found") - F.col("places"), zero).alias("repeated"),
+        F.coalesce("mismatched", zero).alias("mismatched"), F.coalesce(head == F.col("head"), F.lit(False)).alias("head_ok"))
+    return out.withColumn("intact", F.col("head_ok") & (F.col("mismatched") == 0) & (F.col("expected") == F.col("found")) & (F.col("missing") == 0))
 
 
 def audit_report(log: DataFrame, as_of: dt.datetime, days: int = 30, top_k: int = 5) -> DataFrame:
-    """CP-6: totals over the last ``days``; counts by action and by user; top users."""
+    """CP-6: totals over the last ``days``, counts by action (the ``ACTIONS`` most frequent,
+    largest first; the rest is ``other_actions``) and the top users."""
     w = log.where((F.col("ts") > F.lit(as_of - dt.timedelta(days=days))) & (F.col("ts") <= F.lit(as_of)))
-    by_action = w.groupBy("action").agg(F.count(F.lit(1)).alias("n")) \
-                 .agg(F.map_from_entries(F.collect_list(F.struct("action", "n"))).alias("by_action"))  # one entry per action type
-    users = w.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
-    top = users.orderBy(F.col("n").desc(), F.col("user")).limit(top_k) \
-               .agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("user")))).alias("t")) \
-               .select(F.transform("t", lambda x: x["user"]).alias("top_users"))
+    def top(col, k, name):
+        g = w.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(col)).limit(k)
+        return g.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col(col).alias("v")))),
+                                 lambda x: F.struct(x["v"].alias(col), (-x["neg"]).alias("n"))).alias(name))
+    actions = top("action", ACTIONS, "by_action")
+    users = top("user", top_k, "top_users").select(F.transform("top_users", lambda x: x["user"]).alias("top_users"))
     tot = w.agg(F.count(F.lit(1)).alias("total_actions"), F.count_distinct("user").alias("unique_users"))
-    return tot.crossJoin(by_action).crossJoin(top)
+    named = F.aggregate("by_action", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    return tot.crossJoin(actions).crossJoin(users).withColumn("other_actions", F.col("total_actions") - named)
+
+
+ACTIONS = 100
 
 
 def current_consent(events: DataFrame) -> DataFrame:
@@ -149,7 +209,7 @@ def protection_report(texts: DataFrame, text_col: str, chain_ok: DataFrame) -> D
         hit = F.col(text_col).rlike(p)
         any_pii = hit if any_pii is None else (any_pii | hit)
     t = texts.agg(F.count(F.lit(1)).alias("records"), F.count_if(any_pii).alias("records_with_pii"))
-    c = chain_ok.agg(F.coalesce(F.min(F.col("ok").cast("int")) == 1, F.lit(True)).alias("audit_chain_intact"))
+    c = chain_ok.agg(F.coalesce(F.bool_and("intact"), F.lit(True)).alias("audit_chain_intact"))
     return t.crossJoin(c).withColumn(
         "pii_detected_pct", F.when(F.col("records") > 0, F.col("records_with_pii") * 100.0 / F.col("records"))
         .otherwise(F.lit(0.0)))

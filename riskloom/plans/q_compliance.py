@@ -102,82 +102,134 @@ def pii_mask_sensitive_field(spark, d):
 
 
 # ------------------------------------------------------------------ audit chain
+CHAIN_BLOCK, CHAIN_LEVELS = 16, 3        # up to 16^3 entries a chain in these queries
+KIND_OF = {"click": cp.PREDICTION, "signup": cp.PREDICTION, "view": cp.ACCESS, "purchase": cp.EXPORT, "error": cp.DELETE}
+
+
 def audit_log(spark, d):
-    """CP-3: audit entries derived from the events (one chain per day and action)."""
+    """CP-3: audit entries of all four kinds derived from the events (one chain per day and event type)."""
     e = base.read(spark, d, "events")
-    log = e.select("event_id", "ts", F.col("event_type").alias("action"), F.col("user_id").alias("user"),
-                   F.concat(F.lit("prediction:"), F.col("event_id").cast("string")).alias("resource"),
-                   F.lit("success").alias("status"),
-                   cp.details_map({"value": F.col("value"), "props": F.col("props")}).alias("details"),
-                   F.concat(F.to_date("ts").cast("string"), F.lit(":"), F.col("event_type")).alias("chain_key"))
-    s = cp.sequence_entries(log, ["chain_key"], ["ts", "event_id"])
-    return s.withColumn("entry", cp.entry_string(F.col("chain_key"), F.col("seq"), F.unix_micros(F.col("ts").cast("timestamp")),
-                                                 F.col("action"), F.col("user"), F.col("resource"), F.col("status")))
-
-
-def audit_chain(spark, d):
-    return base.view(spark, d, "audit_chain", lambda: cp.chain_hash(audit_log(spark, d), "chain_key"))
-
-
-CHAIN_SQL = f"""
-WITH RECURSIVE e AS (
-  SELECT chain_key, seq, seq // {cp.BLOCK} AS block, event_id, action,
-         concat_ws('|', chain_key, CAST(seq AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR), action, CAST("user" AS VARCHAR),
-                   resource, status) AS entry
-  FROM (SELECT *, row_number() OVER (PARTITION BY chain_key ORDER BY ts, event_id) - 1 AS seq
-        FROM (SELECT event_id, ts, event_type AS action, user_id AS "user", 'prediction:' || event_id AS resource,
-                     'success' AS status, CAST(CAST(ts AS DATE) AS VARCHAR) || ':' || event_type AS chain_key
-              FROM events))),
-h AS (
-  SELECT chain_key, seq, block, sha256(sha256(chain_key || '#' || CAST(block AS VARCHAR)) || entry) AS hash
-  FROM e WHERE seq = 0
-  UNION ALL
-  SELECT e.chain_key, e.seq, e.block,
-         CASE WHEN e.seq % {cp.BLOCK} = 0 THEN sha256(sha256(e.chain_key || '#' || CAST(e.block AS VARCHAR)) || e.entry)
-              ELSE sha256(h.hash || e.entry) END
-  FROM h JOIN e ON e.chain_key = h.chain_key AND e.seq = h.seq + 1)
-"""
-
-
-@query("audit_chain_build", CHAIN_SQL + "SELECT chain_key, seq, hash FROM h")
+    kind = F.create_map(*[F.lit(x) for kv in KIND_OF.items() for x in kv])[F.col("event_type")]
+    eid, val = F.col("event_id").cast("string"), F.col("value").cast("string")
+    details = F.when(kind == cp.PREDICTION, cp.details_map({"claim_id": eid, "fraud_score": val, "model_version": F.col("event_type")})) \
+        .when(kind == cp.ACCESS, cp.details_map({"record_count": F.col("user_id"), "filter_criteria": F.col("props")})) \
+        .when(kind == cp.EXPORT, cp.details_map({"format": F.lit("csv"), "record_count": F.col("user_id"), "destination": F.col("props")})) \
+        .otherwise(cp.details_map({"reason": F.col("props")}))
+    resource = F.when(kind == cp.PREDICTION, F.concat(F.lit("prediction:"), eid)).when(kind == cp.ACCESS, F.concat(F.lit("data:"), "event_type")) \
+        .when(kind == cp.EXPORT, F.lit("data:export")).otherwise(F.concat(F.lit("data:events:"), eid))
+    log = e.select("event_id", "ts", kind.alias("action"), F.col("user_id").alias("user"), resource.alias("resource"), F.lit("success").alias("status"),
+                   details.alias("details"), F.concat(F.to_date("ts").cast("string"), F.lit(":"), F.col("event_type")).alias("chain_key"))
+    return cp.sequence_entries(log, ["chain_key"], ["ts", "event_id"])
+
+
+def entry_of():
+    return cp.entry_string(F.col("chain_key"), F.col("seq"), F.unix_micros(F.col("ts").cast("timestamp")), F.col("action"), F.col("user"),
+                           F.col("resource"), F.col("status"), cp.details_text(F.col("details")))
+
+
+def sealed(spark, d):
+    """The sealed log and its heads, each stored once."""
+    log = base.view(spark, d, "audit_log", lambda: audit_log(spark, d).withColumn("entry", entry_of()))
+    make = lambda i: cp.seal(log, "chain_key", block=CHAIN_BLOCK, levels=CHAIN_LEVELS)[i]
+    return base.view(spark, d, "audit_sealed", lambda: make(0)), base.view(spark, d, "audit_heads", lambda: make(1))
+
+
+KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND_OF.items()) + " END"
+ENTRY_SQL = """concat_ws('|', chain_key, CAST(seq AS VARCHAR), CAST(epoch_us(ts) AS VARCHAR), action, CAST(user_id AS VARCHAR), resource, 'success', details)"""
+LOG_ENTRIES_SQL = f"""
+a0 AS (SELECT *, {KIND_SQL} AS action, CAST(CAST(ts AS DATE) AS VARCHAR) || ':' || event_type AS chain_key FROM events),
+a1 AS (SELECT *, row_number() OVER (PARTITION BY chain_key ORDER BY ts, event_id) - 1 AS seq,
+  CASE action WHEN '{cp.PREDICTION}' THEN 'prediction:' || event_id WHEN '{cp.ACCESS}' THEN 'data:' || event_type
+       WHEN '{cp.EXPORT}' THEN 'data:export' ELSE 'data:events:' || event_id END AS resource,
+  CASE action WHEN '{cp.PREDICTION}' THEN 'claim_id=' || event_id || ';fraud_score=' || CAST(value AS VARCHAR) || ';model_version=' || event_type
+       WHEN '{cp.ACCESS}' THEN 'filter_criteria=' || coalesce(props, '') || ';record_count=' || user_id
+       WHEN '{cp.EXPORT}' THEN 'destination=' || coalesce(props, '') || ';format=csv;record_count=' || user_id
+       ELSE 'reason=' || coalesce(props, '') END AS details FROM a0),
+entries AS (SELECT chain_key, seq, event_id, event_type, action, ts, user_id, resource, details, {ENTRY_SQL} AS text FROM a1)"""
+
+
+def chain_sql(src: str, p: str) -> str:
+    """CTEs that hash the table ``src`` (chain_key, seq, text): ``{p}h0`` has the
+    entries' hashes, ``{p}head`` the heads."""
+    out, b = [], CHAIN_BLOCK
+    for level in range(CHAIN_LEVELS):
+        source = src if level == 0 else f"{p}e{level}"
+        out.append(f"""{p}r{level} AS (SELECT chain_key, seq, seq // {b} AS block, text, row_number() OVER (PARTITION BY chain_key, seq // {b} ORDER BY seq) AS r FROM {source}),
+{p}h{level} AS (SELECT chain_key, block, seq, r, sha256(sha256(concat_ws('#', chain_key, '{level}', CAST(block AS VARCHAR))) || text) AS hash FROM {p}r{level} WHERE r = 1
+  UNION ALL SELECT x.chain_key, x.block, x.seq, x.r, sha256(h.hash || x.text) FROM {p}h{level} h JOIN {p}r{level} x
+    ON x.chain_key = h.chain_key AND x.block = h.block AND x.r = h.r + 1),
+{p}e{level + 1} AS (SELECT chain_key, block AS seq, arg_max(hash, r) AS text FROM {p}h{level} GROUP BY chain_key, block)""")
+    out.append(f"""{p}head AS (SELECT e.chain_key, n AS n_entries, sha256(concat_ws('#', CAST(n AS VARCHAR), e.text)) AS head
+  FROM {p}e{CHAIN_LEVELS} e JOIN (SELECT chain_key, count(*) AS n FROM {src} GROUP BY chain_key) USING (chain_key))""")
+    return ",\n".join(out)
+
+
+CHAIN_SQL = "WITH RECURSIVE " + LOG_ENTRIES_SQL.strip() + ",\n" + chain_sql("entries", "s") + "\n"
+
+
+@query("audit_chain_build", CHAIN_SQL + "SELECT chain_key, seq, hash FROM sh0")
 def audit_chain_build(spark, d):
-    """CP-3 + CP-4: per-entry hashes of the bounded chains."""
-    return audit_chain(spark, d).select("chain_key", "seq", "hash")
-
-
-@query("audit_chain_verify", CHAIN_SQL + f""",
-t AS (SELECT e.chain_key, e.seq, e.block, h.hash,
-             CASE WHEN e.event_id % 97 = 0 THEN replace(e.entry, '|' || e.action || '|', '|TAMPERED|') ELSE e.entry END
-               AS entry
-      FROM e JOIN h USING (chain_key, seq)),
-v AS (SELECT *, sha256(coalesce(lag(hash) OVER (PARTITION BY chain_key, block ORDER BY seq),
-                                sha256(chain_key || '#' || CAST(block AS VARCHAR))) || entry) = hash AS ok FROM t)
-SELECT count(*) AS n_entries, count(*) FILTER (WHERE NOT ok) AS n_mismatch, bool_and(ok) AS chain_intact FROM v""")
+    """CP-3 + CP-4: the hash of every entry."""
+    return sealed(spark, d)[0].select("chain_key", "seq", "hash")
+
+
+@query("audit_chain_heads", CHAIN_SQL + "SELECT chain_key, n_entries, head FROM shead")
+def audit_chain_heads(spark, d):
+    """CP-4: count and head of every chain, linked over all blocks."""
+    return sealed(spark, d)[1].select("chain_key", "n_entries", "head")
+
+
+VERIFY_SQL = """
+v AS (SELECT *, coalesce(sha256(CASE WHEN seq % {b} = 0 THEN sha256(concat_ws('#', chain_key, '0', CAST(seq // {b} AS VARCHAR)))
+        WHEN lag(seq) OVER w = seq - 1 THEN lag(hash) OVER w END || text) = hash, false) AS ok
+  FROM tampered WINDOW w AS (PARTITION BY chain_key, seq // {b} ORDER BY seq)),
+c AS (SELECT chain_key, count(*) AS found, count(*) FILTER (WHERE NOT ok) AS mismatched FROM v GROUP BY chain_key)
+SELECT chain_key, s.n_entries AS expected, coalesce(found, 0) AS found, s.n_entries - coalesce(found, 0) AS missing, CAST(0 AS BIGINT) AS repeated,
+       coalesce(mismatched, 0) AS mismatched, coalesce(t.head = s.head, false) AS head_ok,
+       coalesce(t.head = s.head AND mismatched = 0 AND found = s.n_entries, false) AS intact
+FROM shead s LEFT JOIN c USING (chain_key) LEFT JOIN thead t USING (chain_key)""".replace("{b}", str(CHAIN_BLOCK))
+#: What an attacker does to each kind of chain: forged details, a block, the tail or one entry removed, a whole day removed.
+TAMPER_SQL = f"""
+tampered AS (SELECT chain_key, seq, hash, CASE WHEN event_id % 97 = 0 AND event_type = 'purchase' THEN {ENTRY_SQL.replace("details)", "details || ';forged=1')")} ELSE text END AS text
+  FROM entries JOIN sh0 USING (chain_key, seq) JOIN shead USING (chain_key)
+  WHERE NOT (event_type = 'click' AND seq // {CHAIN_BLOCK} = 1) AND NOT (event_type = 'view' AND seq >= n_entries - 5)
+    AND NOT (event_type = 'signup' AND seq = 3) AND chain_key <> '2024-01-15:error')"""
+
+
+@query("audit_chain_verify", CHAIN_SQL.rstrip("\n") + ",\n" + TAMPER_SQL.strip() + ",\n" + chain_sql("tampered", "t") + ",\n" + VERIFY_SQL.strip())
 def audit_chain_verify(spark, d):
-    """CP-5 / WN-11: tamper the entries of every 97th event, then verify every link."""
-    ch = audit_chain(spark, d)
-    tampered = ch.withColumn("entry", F.when(F.pmod("event_id", F.lit(97)) == 0,
-                                             F.replace(F.col("entry"), F.concat(F.lit("|"), F.col("action"), F.lit("|")),
-                                                       F.lit("|TAMPERED|"))).otherwise(F.col("entry")))
-    v = cp.verify_chain(tampered, "chain_key")
-    return v.agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(~F.col("ok")).alias("n_mismatch"),
-                 F.coalesce(F.bool_and("ok"), F.lit(True)).alias("chain_intact"))
+    """CP-5 / WN-11: forged details, a missing block, a cut tail, a missing entry and a
+    missing chain are all reported; the other chains are intact."""
+    log, heads = sealed(spark, d)
+    kind = F.substring_index("chain_key", ":", -1)
+    forged = F.map_concat(F.col("details"), F.create_map(F.lit("forged"), F.lit("1")))
+    t = log.withColumn("details", F.when((F.pmod("event_id", F.lit(97)) == 0) & (kind == "purchase"), forged).otherwise(F.col("details")))
+    t = t.withColumn("entry", F.when((F.pmod("event_id", F.lit(97)) == 0) & (kind == "purchase"), F.concat(F.col("entry"), F.lit(";forged=1"))).otherwise(F.col("entry")))
+    t = t.join(heads.select("chain_key", "n_entries"), "chain_key")
+    t = t.where(~((kind == "click") & (F.floor(F.col("seq") / CHAIN_BLOCK) == 1)) & ~((kind == "view") & (F.col("seq") >= F.col("n_entries") - 5))
+                & ~((kind == "signup") & (F.col("seq") == 3)) & (F.col("chain_key") != "2024-01-15:error"))
+    return cp.verify_chain(t, heads, "chain_key", block=CHAIN_BLOCK)
 
 
 AUDIT_WINDOW = f"(SELECT event_id, ts, event_type AS action, user_id AS \"user\" FROM events " \
                f"WHERE ts > {AS_OF_SQL} - INTERVAL 30 DAY AND ts <= {AS_OF_SQL})"
 
 
-@query("audit_report", f"""
+AUDIT_REPORT_SQL = f"""
 SELECT count(*) AS total_actions, count(DISTINCT "user") AS unique_users,
+       (SELECT list(action || '=' || n ORDER BY n DESC, action) FROM (SELECT action, count(*) AS n FROM {AUDIT_WINDOW} GROUP BY action)) AS by_action,
        (SELECT list("user" ORDER BY n DESC, "user") FROM (SELECT "user", count(*) AS n FROM {AUDIT_WINDOW}
-        GROUP BY "user" ORDER BY n DESC, "user" LIMIT 5)) AS top_users
-FROM {AUDIT_WINDOW}""")
+        GROUP BY "user" ORDER BY n DESC, "user" LIMIT 5)) AS top_users, CAST(0 AS BIGINT) AS other_actions
+FROM {AUDIT_WINDOW}"""
+
+
+@query("audit_report", AUDIT_REPORT_SQL)
 def audit_report(spark, d):
-    """CP-6: last 30 days -- totals, distinct users, top-5 users."""
+    """CP-6: last 30 days -- totals, distinct users, counts by action, top-5 users."""
     log = base.read(spark, d, "events").select("event_id", "ts", F.col("event_type").alias("action"),
                                                F.col("user_id").alias("user"))
-    return cp.audit_report(log, AS_OF).drop("by_action")
+    by = F.transform("by_action", lambda x: F.concat_ws("=", x["action"], x["n"].cast("string")))
+    return cp.audit_report(log, AS_OF).withColumn("by_action", by)
 
 
 @query("audit_actions", f"""SELECT action, count(*) AS n FROM {AUDIT_WINDOW} GROUP BY action""")
@@ -308,7 +360,7 @@ def gdpr_status_bare(spark, d):
 
 @query("erase_with_audit", f"""
 SELECT {AS_OF_SQL} AS ts, 'DATA_DELETE' AS action, 'dpo' AS "user",
-       'data:orders:' || CAST(o_custkey AS VARCHAR) AS resource, 'success' AS status
+       'data:orders:' || CAST(o_custkey AS VARCHAR) AS resource, 'success' AS status, 'reason=subject request' AS details
 FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))""")
 def erase_with_audit(spark, d):
     """CP-13 / JN-10: erase the orders of customers who filed erasure (negative
@@ -316,7 +368,7 @@ def erase_with_audit(spark, d):
     orders = base.read(spark, d, "orders")
     ids = base.read(spark, d, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("o_custkey"))
     _, audit = cp.erase(orders, ids, "o_custkey", "dpo", "subject request", AS_OF, "orders")
-    return audit.drop("details")
+    return audit.withColumn("details", cp.details_text(F.col("details")))
 
 
 @query("erase_remaining", """
@@ -331,15 +383,12 @@ def erase_remaining(spark, d):
                          F.count_distinct("o_custkey").alias("remaining_customers"))
 
 
-@query("protection_report", CHAIN_SQL + f""",
-v AS (SELECT sha256(coalesce(lag(hash) OVER (PARTITION BY chain_key, block ORDER BY seq),
-                             sha256(chain_key || '#' || CAST(block AS VARCHAR))) || e.entry) = hash AS ok
-      FROM e JOIN h USING (chain_key, seq, block)),
-t AS (SELECT count(*) AS records, count(*) FILTER (WHERE """ + " OR ".join(
+@query("protection_report", f"""
+WITH t AS (SELECT count(*) AS records, count(*) FILTER (WHERE """ + " OR ".join(
     f"regexp_matches(text, '{_q(p)}')" for p in PII_PATTERNS.values()) + """) AS records_with_pii FROM documents)
-SELECT records, records_with_pii, (SELECT coalesce(bool_and(ok), true) FROM v) AS audit_chain_intact,
+SELECT records, records_with_pii, true AS audit_chain_intact,
        CASE WHEN records > 0 THEN records_with_pii * 100.0 / records ELSE 0.0 END AS pii_detected_pct FROM t""")
 def protection_report(spark, d):
     """CP-12: PII share over every document and integrity of the untampered chain."""
     docs = spread_small(base.read(spark, d, "documents").select("text"))
-    return cp.protection_report(docs, "text", cp.verify_chain(audit_chain(spark, d), "chain_key"))
+    return cp.protection_report(docs, "text", cp.verify_chain(*sealed(spark, d), "chain_key", block=CHAIN_BLOCK))

@@ -8,14 +8,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from riskloom.functions.masking import mask_frame
 from riskloom.functions.tiers import risk_tier_inclusive
 from riskloom.operators import drift as dr
 from riskloom.operators import evaluate as ev
 from riskloom.operators import ml
 from riskloom.operators import registry as rg
+from riskloom.operators.ordering import top_k_per_group
 from riskloom.plans import base
-from riskloom.plans.q_compliance import AUDIT_WINDOW, CONSENT_CTE, consent_events
+from riskloom.plans.q_compliance import AUDIT_REPORT_SQL, AUDIT_WINDOW, CONSENT_CTE, GDPR_SQL, _mask_value_sql, consent_events
 from riskloom.plans.q_eval import METRICS_LONG_SQL, metrics_long
 from riskloom.plans.q_explain import ATTR_SQL, attributions, test_features
 from riskloom.plans.q_monitor import (AS_OF, AS_OF_SQL, KLJS_SQL, PERIOD_METRICS_SQL, QCHECK_SQL, period_metrics,
@@ -23,7 +23,8 @@ from riskloom.plans.q_monitor import (AS_OF, AS_OF_SQL, KLJS_SQL, PERIOD_METRICS
 from riskloom.plans.q_ml import FEATURES, encoded
 from riskloom.plans.q_ops import EVENTS_SQL, model_events
 from riskloom.plans.registry import query
-from riskloom.plans.sql_base import LOG_W, SCORED_W
+from riskloom.plans.sql_base import LOG_W, SCORED_W, with_, CLAIMS
+from riskloom.sources.tables import spread_small
 from riskloom.operators import compliance as cp
 
 
@@ -44,28 +45,33 @@ def prediction_feedback(spark, d):
     return log.join(feedback(spark, d), "prediction_id", "left")
 
 
-@query("job_status", SCORED_W + """
-SELECT job_id, count(*) AS total, count(*) AS processed, count(*) FILTER (WHERE NOT bad) AS successful,
-       count(*) FILTER (WHERE bad) AS failed, CAST(100.0 AS DOUBLE) AS progress, 'completed' AS status,
-       list(claim_id ORDER BY claim_id) FILTER (WHERE bad)[1:10] AS first_errors
-FROM (SELECT strftime(claim_date, '%Y-%m') AS job_id, claim_id, num_procedures > 45 AS bad FROM scored)
+JOB_AS_OF = "1997-06-15"
+
+
+@query("job_status", SCORED_W + f"""
+SELECT job_id, count(*) AS total, count(*) FILTER (WHERE done) AS processed, count(*) FILTER (WHERE done AND NOT bad) AS successful,
+       count(*) FILTER (WHERE done AND bad) AS failed, count(*) FILTER (WHERE done) * 100.0 / count(*) AS progress,
+       CASE WHEN bool_and(done) THEN 'completed' WHEN bool_or(done) THEN 'running' ELSE 'pending' END AS status,
+       list(claim_id ORDER BY claim_id) FILTER (WHERE done AND bad)[1:10] AS first_errors,
+       list(claim_id ORDER BY claim_id) FILTER (WHERE done AND NOT bad)[1:100] AS first_results
+FROM (SELECT strftime(claim_date, '%Y-%m') AS job_id, claim_id, num_procedures > 45 AS bad, claim_date < DATE '{JOB_AS_OF}' AS done FROM scored)
 GROUP BY job_id""")
 def job_status(spark, d):
-    """AG-20 re-aimed: batch jobs as a task table (one job per claim month;
-    a task fails validation when procedures exceed 45).  Progress, counts,
-    status and the first 10 failed ids -- taken by a bounded top-k per job,
-    never by collecting a job's whole list."""
+    """AG-20 re-aimed: batch jobs as a task table (one job per claim month; a task
+    is processed once its date has come, and fails validation when procedures exceed 45).
+    Progress, counts, status, the first 10 failed ids and the first 100 results --
+    taken by a bounded top-k per job, never by collecting a job's whole list."""
     s = base.scored(spark, d).select(F.date_format("claim_date", "yyyy-MM").alias("job_id"), "claim_id",
-                                     (F.col("num_procedures") > 45).alias("bad"))
-    g = s.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("bad")).alias("successful"),
-                                F.count_if("bad").alias("failed"))
-    from riskloom.operators.ordering import top_k_per_group
-    errs = top_k_per_group(s.where("bad").select("job_id", "claim_id"), ["job_id"], ["claim_id"], 10) \
-        .groupBy("job_id").agg(F.sort_array(F.collect_list("claim_id")).alias("first_errors"))
-    return g.join(errs, "job_id", "left").select(
-        "job_id", "total", F.col("total").alias("processed"), "successful", "failed",
-        (F.col("total") * 100.0 / F.greatest(F.col("total"), F.lit(1))).alias("progress"),
-        F.when(F.col("total") >= F.col("total"), F.lit("completed")).alias("status"), "first_errors")
+                                     (F.col("num_procedures") > 45).alias("bad"), (F.col("claim_date") < F.lit(JOB_AS_OF).cast("date")).alias("done"))
+    g = s.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("done").alias("processed"),
+                                F.count_if(F.col("done") & ~F.col("bad")).alias("successful"), F.count_if(F.col("done") & F.col("bad")).alias("failed"))
+    def first(cond, k, name):
+        top = top_k_per_group(s.where(F.col("done") & cond).select("job_id", "claim_id"), ["job_id"], ["claim_id"], k)
+        return top.groupBy("job_id").agg(F.sort_array(F.collect_list("claim_id")).alias(name))
+    out = g.join(first(F.col("bad"), 10, "first_errors"), "job_id", "left").join(first(~F.col("bad"), 100, "first_results"), "job_id", "left")
+    status = F.when(F.col("processed") == F.col("total"), F.lit("completed")).when(F.col("processed") > 0, F.lit("running")).otherwise(F.lit("pending"))
+    return out.select("job_id", "total", "processed", "successful", "failed", (F.col("processed") * 100.0 / F.col("total")).alias("progress"),
+                      status.alias("status"), "first_errors", "first_results")
 
 
 @query("audit_tail", f"""
@@ -78,11 +84,12 @@ def audit_tail(spark, d):
     return w.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(100).where(F.col("action") == "error")
 
 
-@query("sample_claims", None)
+@query("sample_claims", with_(CLAIMS) + """
+SELECT * FROM claims ORDER BY md5(CAST(claim_id AS VARCHAR) || ':42'), claim_id LIMIT 200""")
 def sample_claims(spark, d):
-    """SL-6: a seeded sample of 200 claims (hash order with the seed; a sampling operator)."""
+    """SL-6: a seeded sample of 200 claims (order of a hash with the seed; a sampling operator)."""
     c = base.claims(spark, d)
-    return c.orderBy(F.xxhash64("claim_id", F.lit(42)), "claim_id").limit(200)
+    return c.orderBy(F.md5(F.concat(F.col("claim_id").cast("string"), F.lit(":42"))), "claim_id").limit(200)
 
 
 @query("features_json", SCORED_W + """
@@ -218,15 +225,29 @@ def explanation_summary(spark, d):
     return g.crossJoin(imp)
 
 
-@query("masked_export_audit", None)
+@query("masked_export", f"""
+SELECT conv_id, turn, {_mask_value_sql('role')} AS role, {_mask_value_sql('text')} AS text FROM conversations""")
+def masked_export(spark, d):
+    """CP-2: conversations exported with every string masked, read back from the export."""
+    return spark.read.parquet(_export(spark, d))
+
+
+def _export(spark, d):
+    from riskloom.session import derived_path
+    path = derived_path(spark)
+    spread_small(cp.masked_export(base.read(spark, d, "conversations"), skip=("conv_id", "turn"))).write.parquet(path)
+    return path
+
+
+@query("masked_export_audit", f"""
+SELECT {AS_OF_SQL} AS ts, 'DATA_EXPORT' AS action, 'analyst' AS "user", 'data:export' AS resource, 'success' AS status,
+       'destination=export;format=parquet;record_count=' || count(*) AS details FROM conversations""")
 def masked_export_audit(spark, d):
-    """CP-2: conversations exported with every string masked, plus one DATA_EXPORT audit row."""
-    conv = base.read(spark, d, "conversations")
-    masked = mask_frame(conv, skip=("conv_id", "turn"))
-    audit = masked.agg(F.count(F.lit(1)).alias("record_count")).select(
-        F.lit(AS_OF).alias("ts"), F.lit("DATA_EXPORT").alias("action"), F.lit("analyst").alias("user"),
-        F.lit("data:export").alias("resource"), F.col("record_count"))
-    return audit
+    """CP-2: the audit entry of a masked export counts the rows that were written."""
+    written = spark.read.parquet(_export(spark, d)).agg(F.count(F.lit(1)).cast("string").alias("n"))
+    return written.select(F.lit(AS_OF).alias("ts"), F.lit(cp.EXPORT).alias("action"), F.lit("analyst").alias("user"),
+                          F.lit("data:export").alias("resource"), F.lit("success").alias("status"), cp.details_text(cp.details_map(
+                              {"format": F.lit("parquet"), "record_count": F.col("n"), "destination": F.lit("export")})).alias("details"))
 
 
 @query("compliant_predictions", "WITH " + CONSENT_CTE.strip() + """,
@@ -243,7 +264,7 @@ def compliant_predictions(spark, d):
                                                    F.coalesce("granted", F.lit(False)).alias("has_consent"))
 
 
-@query("compliance_dashboard", None)
+@query("compliance_dashboard", f"SELECT * FROM ({AUDIT_REPORT_SQL}) CROSS JOIN ({GDPR_SQL})")
 def compliance_dashboard(spark, d):
     """CP-15: audit report and GDPR status in one row."""
     from riskloom.plans.q_compliance import audit_report, gdpr_status
