@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.quality import DRIFT_THRESHOLD
 from riskloom.plans import base
+from riskloom.plans.q_scoring import TTL_CTE
 from riskloom.plans.registry import query
 from riskloom.plans.sql_base import SCORED_W
 from riskloom.streaming import ops as sm
@@ -39,27 +40,31 @@ def stream_score_log(spark, d):
 
 
 @query("stream_alert_sink", SCORED_W + """
-SELECT claim_id, fraud_score AS fraud_probability, risk_level FROM scored WHERE fraud_score >= 0.45""")
+SELECT claim_id, fraud_score AS fraud_probability, CASE WHEN fraud_score >= 0.75 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level,
+       CASE WHEN fraud_score >= 0.75 THEN 'BLOCK_AND_REVIEW' ELSE 'MANUAL_REVIEW' END AS recommended_action
+FROM scored WHERE fraud_score >= 0.45""")
 def stream_alert_sink(spark, d):
-    """SO-4 / SO-3: HIGH and MEDIUM alerts appended as JSON lines by the scoring
-    stream, read back with an explicit schema (malformed lines dropped)."""
+    """SO-4 / SO-3: HIGH and MEDIUM alerts with their action as JSON lines, written by the
+    scoring stream and read back with an explicit schema (malformed lines dropped)."""
     split = base.claims_split(spark, d)
     src = sm.file_stream(spark, _source_dir(split), split.schema, max_files=4)
     log, alerts = sm._scratch(spark, "log"), sm._scratch(spark, "alerts")
     sm.stream_score(src, base.profile(spark, d), log, alerts, sm._scratch(spark, "score-ckpt")).awaitTermination()
-    schema = "claim_id long, fraud_probability double, risk_level string, batch_id long"
+    schema = "claim_id long, fraud_probability double, risk_level string, recommended_action string, ts timestamp"
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(alerts) \
-                .select("claim_id", "fraud_probability", "risk_level")
+                .select("claim_id", "fraud_probability", "risk_level", "recommended_action")
 
 
-@query("stream_feed_tiles", None)
+@query("stream_feed_tiles", SCORED_W + """
+SELECT count(*) AS total, count(*) FILTER (WHERE fraud_prediction) AS flagged, max(fraud_score) AS max_score FROM scored""")
 def stream_feed_tiles(spark, d):
-    """SM-6 + AG-22: live tiles per micro-batch of the scored stream."""
+    """SM-6 + AG-22: live tiles per micro-batch of the scored stream, added up."""
     sc = base.scored(spark, d)
     src = sm.file_stream(spark, _source_dir(sc), sc.schema, max_files=2)
     tiles = sm._scratch(spark, "tiles")
     sm.stream_feed(src, tiles, sm._scratch(spark, "tiles-ckpt")).awaitTermination()
-    return spark.read.parquet(tiles)
+    t = spark.read.parquet(tiles)
+    return t.agg(F.sum("n").alias("total"), F.sum("flagged").alias("flagged"), F.max("max_score").alias("max_score"))
 
 
 @query("stream_ops_hourly", """
@@ -86,13 +91,16 @@ def stream_quality_sliding(spark, d):
     return sm.run_to_table(sm.stream_windows(events_stream(spark, d), "60 minutes", "5 minutes"), "quality")
 
 
-@query("stream_dedup_requests", None)
+def _requests(events):
+    return events.select(F.col("event_id").alias("prediction_id"), "ts",
+                         F.md5(F.concat_ws("|", F.col("user_id").cast("string"), F.col("event_type"))).alias("request_key"))
+
+
+@query("stream_dedup_requests", TTL_CTE + "SELECT prediction_id, request_key FROM walk WHERE is_new")
 def stream_dedup_requests(spark, d):
-    """SM-5: requests with a repeated key inside the 600 s watermark are dropped."""
-    s = events_stream(spark, d).select(
-        F.col("event_id").alias("prediction_id"), "ts",
-        F.md5(F.concat_ws("|", F.col("user_id").cast("string"), F.col("event_type"))).alias("request_key"))
-    return sm.run_to_table(sm.stream_dedup(s), "dedup")
+    """SM-5: the requests that the 600 s result cache cannot answer, from the stream."""
+    s = sm.stream_dedup(_requests(events_stream(spark, d)), "prediction_id")
+    return sm.run_to_table(s, "dedup").select("prediction_id", "request_key")
 
 
 @query("stream_rolling_drift", """

@@ -51,15 +51,19 @@ def load_provider_tables(spark: SparkSession, folder: str, patterns: Mapping[str
     return out
 
 
-def write_alerts(scored: DataFrame, path: str, as_of: dt.datetime | None = None) -> None:
-    """SO-4: append HIGH and MEDIUM alerts as JSON lines."""
+def alert_rows(scored: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
+    """The HIGH and MEDIUM alerts of scored claims, with their action."""
     from riskloom.functions.tiers import alert_action, alert_level
     s = F.col("fraud_score")
-    a = scored.where(alert_level(s) != "LOW").select(
+    return scored.where(alert_level(s) != "LOW").select(
         "claim_id", s.alias("fraud_probability"), alert_level(s).alias("risk_level"),
         alert_action(s).alias("recommended_action"),
         (F.lit(as_of) if as_of else F.current_timestamp()).cast("timestamp").alias("ts"))
-    a.write.mode("append").json(path)
+
+
+def write_alerts(scored: DataFrame, path: str, as_of: dt.datetime | None = None) -> None:
+    """SO-4: append HIGH and MEDIUM alerts as JSON lines."""
+    alert_rows(scored, as_of).write.mode("append").json(path)
 
 
 def read_alerts(spark: SparkSession, path: str, n: int = 50) -> DataFrame:

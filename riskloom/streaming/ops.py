@@ -9,9 +9,11 @@ ring buffer.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.operators.scoring import feed_summary, score_claims
 from riskloom.session import ensure_checkpoint_dir, ship_package
+from riskloom.sources.sinks import alert_rows
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -45,18 +48,23 @@ def run_to_table(sdf: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.parquet(out)
 
 
-def stream_score(claims: DataFrame, profile: DataFrame, log_path: str, alert_path: str, ckpt: str):
+def _replace_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
+    """Write one micro-batch into its own partition folder: a batch that is retried
+    replaces what it wrote before, so the sink holds every row once."""
+    df.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
+
+
+def stream_score(claims: DataFrame, profile: DataFrame, log_path: str, alert_path: str, ckpt: str, as_of: dt.datetime | None = None):
     """SM-1 + SO-4 + SO-10: score arriving claims against a static (broadcast)
-    profile; every micro-batch appends to the prediction log and the HIGH /
-    MEDIUM alerts to a JSON-lines sink."""
+    profile; every micro-batch goes to the prediction log, and its HIGH and
+    MEDIUM alerts (alert tiers, with the action) to JSON lines.  The batch is scored once."""
     scored = score_claims(claims, profile)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("batch_id", F.lit(batch_id))
-        b.write.mode("append").parquet(log_path)
-        b.where(F.col("fraud_score") >= 0.45) \
-         .select("claim_id", F.col("fraud_score").alias("fraud_probability"), "risk_level", "batch_id") \
-         .write.mode("append").json(alert_path)
+        own = batch.persist()
+        _replace_batch(own, log_path, batch_id)
+        _replace_batch(alert_rows(own, as_of), alert_path, batch_id, "json")
+        own.unpersist()
 
     return scored.writeStream.option("checkpointLocation", ckpt).foreachBatch(sink) \
                  .trigger(availableNow=True).start()
@@ -65,7 +73,7 @@ def stream_score(claims: DataFrame, profile: DataFrame, log_path: str, alert_pat
 def stream_feed(scored: DataFrame, tiles_path: str, ckpt: str):
     """SM-6 + AG-22: per micro-batch tiles (count, flagged, max score)."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        feed_summary(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(tiles_path)
+        _replace_batch(feed_summary(batch), tiles_path, batch_id)
     return scored.writeStream.option("checkpointLocation", ckpt).foreachBatch(sink) \
                  .trigger(availableNow=True).start()
 
@@ -80,9 +88,45 @@ def stream_windows(events: DataFrame, size: str, slide: str | None, delay: str =
                          "event_type", "n", "avg_value")
 
 
-def stream_dedup(requests: DataFrame, key_col: str = "request_key", delay: str = "600 seconds") -> DataFrame:
-    """SM-5: drop repeated requests of a key within the watermark delay."""
-    return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key_col])
+DEDUP_STATE = "scored_at long"
+
+
+def _keep_scored(ttl: int):
+    """Arriving requests of a key in event-time order; the state is the time at
+    which the key was last scored.  A request is scored if that was more than ``ttl`` seconds before."""
+    limit = ttl * 1_000_000
+
+    def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "row_id"], kind="mergesort")
+        last = state.get[0] if state.exists else None
+        t = rows["t"].to_numpy()
+        keep, at = [], 0
+        while at < len(t):                  # jump from one scored request to the next
+            if last is not None:
+                at = int(np.searchsorted(t, last + limit, side="right"))
+            if at < len(t):
+                keep.append(at)
+                last = int(t[at])
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + ttl * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if keep:
+            yield pd.DataFrame({"row_id": rows["row_id"].to_numpy()[keep], "ts": rows["ts"].to_numpy()[keep], "request_key": key[0]})
+    return run
+
+
+def stream_dedup(requests: DataFrame, row_id: str, key_col: str = "request_key", ttl: int = 600) -> DataFrame:
+    """SM-5: of the requests of a key, those that the result cache cannot answer
+    (the streaming twin of ``ttl.mark_scored``).  State per key: the time of the
+    last scored request, dropped when the watermark has passed its expiry."""
+    own = requests.select(F.col(row_id).cast("long").alias("row_id"), "ts", F.unix_micros("ts").alias("t"), F.col(key_col).alias("request_key")) \
+        .withWatermark("ts", f"{ttl} seconds")
+    ship_package(requests.sparkSession)
+    return own.groupBy("request_key").applyInPandasWithState(
+        _keep_scored(ttl), "row_id long, ts timestamp, request_key string", DEDUP_STATE, "append", GroupStateTimeout.EventTimeTimeout) \
+        .withColumnRenamed("row_id", row_id)
 
 
 RING = 20
@@ -91,25 +135,20 @@ ROLL_STATE = "vals array<double>"
 
 
 def _ring_roll(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """SM-3 state function: keep the last 20 values of the stream, emit the
+    """SM-3 state function: keep the last 19 values of the stream, emit the
     trailing-20 count / mean / sample stdev for every arriving row."""
-    buf = list(state.get[0]) if state.exists else []
     parts = [p for p in pdfs if len(p)]
     if not parts:
         return
     rows = pd.concat(parts, ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-    out_n, out_m, out_s = [], [], []
-    for v in rows["value"].tolist():
-        buf.append(float(v))
-        if len(buf) > RING:
-            buf.pop(0)
-        s = pd.Series(buf)
-        out_n.append(len(buf))
-        out_m.append(float(s.mean()))
-        out_s.append(float(s.std(ddof=1)) if len(buf) > 1 else None)
-    state.update((buf,))
-    yield pd.DataFrame({"event_id": rows["event_id"].astype("int64").values, "event_type": key[0],
-                        "roll_n": out_n, "roll_mean": out_m, "roll_std": out_s})
+    before = np.array(state.get[0] if state.exists else [], dtype=float)
+    vals = pd.Series(np.concatenate([before, rows["value"].to_numpy(dtype=float)]))
+    roll = vals.rolling(RING, min_periods=1)
+    own = slice(len(before), None)
+    state.update((vals.to_numpy()[-(RING - 1):].tolist(),))
+    yield pd.DataFrame({"event_id": rows["event_id"].astype("int64").to_numpy(), "event_type": key[0],
+                        "roll_n": np.minimum(np.arange(1, len(vals) + 1), RING)[own],
+                        "roll_mean": roll.mean().to_numpy()[own], "roll_std": roll.std(ddof=1).to_numpy()[own]})
 
 
 def stream_rolling(events: DataFrame) -> DataFrame:
