@@ -1,8 +1,5 @@
-"""The range-bucketed exact paths (used above the size check) against brute force.
-
-``riskloom.exact.smallLimit = 0`` forces every size-checked operator onto the
-distributed path, with few buckets so groups straddle bucket borders.
-"""
+"""The range-bucketed exact operators against brute force, with few buckets so
+groups straddle bucket borders."""
 
 import datetime as dt
 
@@ -20,10 +17,8 @@ from riskloom.operators.split import temporal_split
 
 @pytest.fixture()
 def distributed(spark):
-    spark.conf.set("riskloom.exact.smallLimit", "0")
     spark.conf.set("spark.sql.shuffle.partitions", "5")
     yield spark
-    spark.conf.set("riskloom.exact.smallLimit", "1000000")
     spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
@@ -126,3 +121,41 @@ def test_top_k_per_group_matches_window_on_hot_group(spark):
     ref = sorted((r["g"], r["rank"], r["v"], r["id"]) for r in
                  df.withColumn("rank", F.row_number().over(w)).where("rank <= 5").collect())
     assert got == ref
+
+
+@pytest.mark.parametrize("parts", ["8", "200"])
+def test_exact_operators_on_empty_null_and_int_input(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        empty = spark.createDataFrame([], "v int, g int")
+        nulls = spark.createDataFrame([(None, 1), (None, 2)], "v int, g int")
+        for df in (empty, nulls):
+            assert [tuple(r) for r in quantiles(df, "v", {"m": 0.5}).collect()] == [(None,)]
+            assert [tuple(r) for r in kth_values(df, "v", {"m": F.floor(F.col("n") / 2)}).collect()] == [(0, None)]
+            assert quantiles(df, "v", {"m": 0.5}, ["g"]).collect() == []
+        ints = spark.createDataFrame([(3, None), (1, None), (2, 7)], "v int, g int")
+        k = kth_values(ints, "v", {"m": F.floor(F.col("n") / 2)}, ["g"])
+        assert dict(k.dtypes)["m"] == "int" and sorted((r["g"] is None, r["n"], r["m"]) for r in k.collect()) == [(False, 1, 2), (True, 2, 3)]
+        q = quantiles(ints, "v", {"m": 0.5})
+        assert q.dtypes == [("m", "double")] and q.first()["m"] == 2.0
+        assert global_index(empty, ["v"]).collect() == []
+        assert running_totals(empty, ["g"], ["v"], ["v"]).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_many_groups(spark):
+    df = spark.range(200_000).select((F.col("id") % 100_000).alias("g"), F.col("id").alias("v"))
+    out = with_previous(df, ["g"], ["v"], ["v"])
+    assert out.where("prev_v IS NOT NULL").count() == 100_000
+    r = rolling_rows(df, ["g"], ["v"], "v", 20).agg(F.max("roll_n"), F.count("*")).first()
+    assert tuple(r) == (2, 200_000)
+
+
+def test_rolling_rows_with_many_tiny_buckets(distributed):
+    rows = [(i, "ab"[i % 2], float((i * 31) % 17)) for i in range(120)]
+    df = distributed.createDataFrame(rows, "id long, s string, x double")
+    got = {r["id"]: (r["roll_n"], r["roll_mean"]) for r in rolling_rows(df, ["s"], ["id"], "x", 20, n_buckets=40).collect()}
+    w = Window.partitionBy("s").orderBy("id").rowsBetween(-19, 0)
+    for r in df.select("id", F.count("x").over(w).alias("n"), F.avg("x").over(w).alias("m")).collect():
+        assert got[r["id"]] == (r["n"], pytest.approx(r["m"], rel=1e-12))
