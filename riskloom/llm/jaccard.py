@@ -11,9 +11,11 @@ Documents with the same word sequence are one *node*.  For a similarity ``t``:
    its prefix n-grams.  The links found join most copies at a linear cost.
 3. What is left are n-grams that connect different components.  Their nodes are
    sorted into tiles of one size band; a pair of tiles is compared by
-   bitmaps (the parity of hashed n-grams, as wide as the band's sets need): the bits that
+   bitmaps (the parity of hashed n-grams, as wide as the sets need): the bits that
    differ bound the overlap from above.  Pairs inside one component are not looked at.
-4. Surviving pairs are decided by intersecting the sorted arrays of both sets.
+4. Surviving pairs are decided by intersecting the sorted arrays of both sets, the
+   most promising pair of every two components first, then all that are left.
+   Only the sets of nodes in such pairs are ever sent.
 
 No step caps partners: tiles of a large group go to different tasks.  Nodes are
 64-bit hashes of whole word sequences, n-grams 64-bit hashes of their words.
@@ -47,7 +49,7 @@ def shingle_sets(arr, words: int = WORDS):
     h, first = word_hashes(*text_buffer(arr))
     count = np.diff(first)
     rows = len(count)
-    row = np.repeat(np.arange(rows), count)
+    row = np.repeat(np.arange(rows), count)      # words = 0: only the sequence hash is wanted
     place = np.arange(len(h)) - first[row]
     mult = np.uint64(0x9E3779B97F4A7C15)
     # sequence hash: sum of words mixed with their places
@@ -56,6 +58,8 @@ def shingle_sets(arr, words: int = WORDS):
         spot = mix(h + mix(place.astype(np.uint64) + np.uint64(1)))
         has = np.flatnonzero(count)
         seq[has] = mix(np.add.reduceat(spot, first[has]) + count[has].astype(np.uint64))
+    if not words:
+        return h[:0], first[:0], seq
     n = len(h) - words + 1
     if n > 0:
         gram = h[:n].copy()
@@ -67,7 +71,8 @@ def shingle_sets(arr, words: int = WORDS):
         gram, grow = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     short = np.flatnonzero((count > 0) & (count < words))
     gram, grow = np.concatenate((gram, mix(seq[short] + mult))), np.concatenate((grow, short))
-    order = np.lexsort((gram, grow))
+    order = np.argsort(gram)
+    order = order[_stable(grow[order], rows)]
     gram, grow = gram[order], grow[order]
     keep = np.ones(len(gram), bool)
     keep[1:] = (gram[1:] != gram[:-1]) | (grow[1:] != grow[:-1])
@@ -75,6 +80,11 @@ def shingle_sets(arr, words: int = WORDS):
     return gram, np.searchsorted(grow, np.arange(rows + 1)), seq
 
 
+def _stable(values: np.ndarray, limit: int) -> np.ndarray:
+    """Stable order; numpy sorts small integers by radix."""
+    return np.argsort(values.astype(np.uint16) if limit < 1 << 16 else values, kind="stable")
+
+
 def overlap_needed(a, b, similar: int = SIMILAR):
     """Least intersection for 100 * common >= similar * union."""
     return -(-(similar * (a + b)) // (100 + similar))
@@ -85,6 +95,12 @@ def prefix_length(n, similar: int = SIMILAR):
     return n - (-(-(similar * n) // 100)) + 1
 
 
+def index_length(n, similar: int = SIMILAR):
+    """With a set that is no smaller, a linked set shares one of so many first
+    n-grams (and one of the other's ``prefix_length``)."""
+    return n - (-(-(2 * similar * n) // (100 + similar))) + 1
+
+
 def band(n: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
     """Size band: sets that link are in the same band or in neighbouring ones."""
     return np.floor(np.log(n) / math.log(100 / similar) + 1e-9).astype(np.int64)
@@ -115,27 +131,29 @@ def _chunks(batches, *columns):
             yield part
 
 
-def _describe(words: int):
-    def run(batches):
-        for part in _chunks(batches):
-            gram, first, seq = shingle_sets(part.column("text"), words)
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "node": seq.view(np.int64), "n": np.diff(first)})
-    return run
+ABOUT = "node long, n long, bits binary, slice int, part int, counts binary"
 
 
-def _sketch(words: int):
+def _describe(words: int):
+    """Rows of documents (id, node, set size, bitmap), and at the end of a
+    partition its sketch counters in slices."""
     def run(batches):
-        counts, any_rows = np.zeros(SKETCH, np.uint32), False
+        counts, kind = np.zeros(SKETCH, np.uint32), None
         for part in _chunks(batches):
+            kind = part.column("doc_id").type
             gram, first, seq = shingle_sets(part.column("text"), words)
-            own = np.unique(seq, return_index=True)[1]          # copies in this chunk count once
-            once = np.zeros(len(seq), bool)
-            once[own] = True
-            counts += np.bincount((gram[np.repeat(once, np.diff(first))] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-            any_rows = True
-        if any_rows:
-            size = SKETCH // SLICES
-            yield pa.record_batch({"slice": np.arange(SLICES, dtype=np.int32), "part": np.full(SLICES, int(counts.sum() % 1021), np.int32),
+            n = np.diff(first)
+            own = np.zeros(len(seq), bool)
+            own[np.unique(seq, return_index=True)[1]] = True         # copies in this chunk count once
+            counts += np.bincount((gram[np.repeat(own, n)] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            none = pa.nulls(len(n), pa.int32())
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "node": seq.view(np.int64), "n": n,
+                                   "bits": pa.array([bitmap(gram[first[i]:first[i + 1]]) if own[i] and n[i] else None for i in range(len(n))], pa.binary()),
+                                   "slice": none, "part": none, "counts": pa.nulls(len(n), pa.binary())})
+        if kind is not None:
+            size, none = SKETCH // SLICES, pa.nulls(SLICES, pa.int64())
+            yield pa.record_batch({"doc_id": pa.nulls(SLICES, kind), "node": none, "n": none, "bits": pa.nulls(SLICES, pa.binary()),
+                                   "slice": np.arange(SLICES, dtype=np.int32), "part": np.full(SLICES, int(counts.sum() % 1021), np.int32),
                                    "counts": pa.array([counts[i * size:(i + 1) * size].astype(np.uint64).tobytes() for i in range(SLICES)], pa.binary())})
     return run
 
@@ -145,14 +163,14 @@ def _add_sketches(table):
     return pa.table({"slice": table.column("slice").slice(0, 1), "part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def frequency_classes(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+def frequency_classes(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Per sketch counter: its class (0: not above chance) and its count.  SKETCH
     counters reach the driver, whatever the input."""
     schema = "slice int, part int, counts binary"
-    parts = docs.select("text").mapInArrow(_sketch(words), schema).groupBy("slice", "part").applyInArrow(_add_sketches, schema)
     total = np.zeros(SKETCH, np.uint64)
     size = SKETCH // SLICES
-    for r in parts.groupBy("slice").applyInArrow(_add_sketches, schema).collect():
+    # two levels, so that no task adds up all partitions
+    for r in sketches.groupBy("slice", "part").applyInArrow(_add_sketches, schema).groupBy("slice").applyInArrow(_add_sketches, schema).collect():
         total[r["slice"] * size:(r["slice"] + 1) * size] = np.frombuffer(bytes(r["counts"]), np.uint64)
     mean = total.mean()
     chance = mean + 6 * math.sqrt(mean) + 2
@@ -173,16 +191,18 @@ def _send_prefixes(shared, ranges: int, words: int, similar: int):
             own &= n > 0
             row = np.repeat(np.arange(len(n)), n)
             slot = (gram & np.uint64(SKETCH - 1)).astype(np.int64)
-            order = np.lexsort((mix(gram), classes[slot], row))
+            order = np.argsort(classes[slot], kind="stable")            # rare first, then by hash
+            order = order[_stable(row[order], len(n))]
             gram, row, slot = gram[order], row[order], slot[order]
             place = np.arange(len(gram)) - first[row]
             use = (place < prefix_length(n, similar)[row]) & own[row]
             gram, row, slot = gram[use], row[use], slot[use]
+            indexed = place[use] < index_length(n, similar)[row]
             salts = np.where(classes[slot] > 0, 1 + counts[slot] // PREFIX_HOT, 1).astype(np.uint64)
             salt = mix(seq[row]) % salts
             to = (mix(gram + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            gram, row, salts, to = gram[order], row[order], salts[order], to[order]
+            order = _stable(to, ranges)
+            gram, row, salts, to, indexed = gram[order], row[order], salts[order], to[order], indexed[order]
             cuts = np.searchsorted(to, np.arange(ranges + 1))
             own_ranges = np.flatnonzero(np.diff(cuts))
             spans = [slice(cuts[i], cuts[i + 1]) for i in own_ranges]
@@ -193,30 +213,38 @@ def _send_prefixes(shared, ranges: int, words: int, similar: int):
                 "size": pa.array([n[np.unique(row[s])].astype(np.uint32).tobytes() for s in spans], pa.binary()),
                 "at": pa.array([np.searchsorted(np.unique(row[s]), row[s]).astype(np.uint16 if len(n) < 65536 else np.uint32).tobytes() for s in spans], pa.binary()),
                 "wide": pa.array([len(n) >= 65536] * len(spans), pa.bool_()),
+                "indexed": pa.array([np.packbits(indexed[s]).tobytes() for s in spans], pa.binary()),
                 "frequent": pa.array([np.packbits(salts[s] > 1).tobytes() for s in spans], pa.binary())})
     return run
 
 
-def _shared_prefixes(table):
-    """N-grams of one hash range that several nodes have in their prefixes (and
-    all frequent ones, whose nodes are spread)."""
-    grams, nodes, sizes, frequent = [], [], [], []
-    for g, s, z, at, wide, f in zip(*(table.column(c).to_pylist() for c in ("grams", "seq", "size", "at", "wide", "frequent"))):
-        own = np.frombuffer(g, np.uint64)
-        where = np.frombuffer(at, np.uint32 if wide else np.uint16)
-        grams.append(own)
-        nodes.append(np.frombuffer(s, np.uint64)[where])
-        sizes.append(np.frombuffer(z, np.uint32)[where])
-        frequent.append(np.unpackbits(np.frombuffer(f, np.uint8))[:len(own)].astype(bool))
-    gram, node, size, often = map(np.concatenate, (grams, nodes, sizes, frequent))
-    order = np.lexsort((node, gram))
-    gram, node, size, often = gram[order], node[order], size[order], often[order]
-    fresh = np.ones(len(gram), bool)
-    fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])     # copies from several chunks
-    gram, node, size, often = gram[fresh], node[fresh], size[fresh], often[fresh]
-    same = gram[1:] == gram[:-1]
-    several = np.concatenate((same, [False])) | np.concatenate(([False], same)) | often
-    return pa.table({"gram": gram[several].view(np.int64), "node": node[several].view(np.int64), "n": size[several].astype(np.int64)})
+def _shared_prefixes(similar: int):
+    """N-grams of one hash range that several nodes of like size have in their
+    prefixes (and all frequent ones, whose nodes are spread)."""
+    def run(table):
+        parts = []
+        for g, s, z, at, wide, i, f in zip(*(table.column(c).to_pylist() for c in ("grams", "seq", "size", "at", "wide", "indexed", "frequent"))):
+            own = np.frombuffer(g, np.uint64)
+            where = np.frombuffer(at, np.uint32 if wide else np.uint16)
+            flags = [np.unpackbits(np.frombuffer(x, np.uint8))[:len(own)].astype(bool) for x in (i, f)]
+            parts.append((own, np.frombuffer(s, np.uint64)[where], np.frombuffer(z, np.uint32)[where], *flags))
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        order = np.argsort(cols[0], kind="stable")
+        cols = [c[order] for c in cols]
+        gram, often = cols[0], cols[4]
+        same = gram[1:] == gram[:-1]
+        several = np.concatenate((same, [False])) | np.concatenate(([False], same)) | often
+        gram, node, size, indexed, often = (c[several] for c in cols)
+        order = np.lexsort((node, size, gram))
+        gram, node, size, indexed, often = gram[order], node[order], size[order], indexed[order], often[order]
+        fresh = np.ones(len(gram), bool)
+        fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])     # copies from several chunks
+        gram, node, size, indexed, often = gram[fresh], node[fresh], size[fresh], indexed[fresh], often[fresh]
+        # in order of size, the nearest sizes are neighbours
+        near = (gram[1:] == gram[:-1]) & (100 * size[:-1].astype(np.int64) >= similar * size[1:].astype(np.int64))
+        use = np.concatenate((near, [False]))[:len(gram)] | np.concatenate(([False], near))[:len(gram)] | often
+        return pa.table({"gram": gram[use].view(np.int64), "node": node[use].view(np.int64), "n": size[use].astype(np.int64), "indexed": pa.array(indexed[use], pa.bool_())})
+    return run
 
 
 def _bloom(nodes: DataFrame, count: int) -> tuple[np.ndarray, int]:
@@ -230,23 +258,31 @@ def _bloom(nodes: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def _active_sets(shared, words: int):
-    """(node, grams, bits): sorted n-grams and bitmap of each node in the filter, once per chunk."""
+def _chosen_sets(shared, words: int):
+    """(node, grams): sorted n-grams of each node in the filter, once per chunk."""
     def run(batches):
         table, bits = shared.value
         for part in _chunks(batches):
-            gram, first, seq = shingle_sets(part.column("text"), words)
-            hit = np.diff(first) > 0
+            seq = shingle_sets(part.column("text"), 0)[2]
+            hit = np.ones(len(seq), bool)
             for at in (seq & np.uint64(bits - 1), (seq >> np.uint64(32)) & np.uint64(bits - 1)):
                 hit &= (table[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
             own = np.unique(seq, return_index=True)[1]
             own = own[hit[own]]
-            sets = [gram[first[i]:first[i + 1]] for i in own]
-            yield pa.record_batch({"node": seq[own].view(np.int64), "grams": pa.array([s.tobytes() for s in sets], pa.binary()),
-                                   "bits": pa.array([bitmap(s) for s in sets], pa.binary())})
+            if len(own):
+                gram, first, seq = shingle_sets(part.column("text").take(pa.array(own)), words)
+                yield pa.record_batch({"node": seq.view(np.int64), "grams": pa.array([gram[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())})
     return run
 
 
+def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, grams) of at least these nodes, in one pass over the texts that sends nothing but their sets."""
+    nodes = stored(nodes)
+    filter_ = docs.sparkSession.sparkContext.broadcast(_bloom(nodes, nodes.count()))
+    found = docs.select("text").mapInArrow(_chosen_sets(filter_, words), "node long, grams binary")
+    return stored(found.groupBy("node").agg(F.first("grams").alias("grams")))
+
+
 def _linked(similar: int):
     """Pairs whose sorted arrays intersect enough."""
     def run(batches):
@@ -302,47 +338,67 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
 
 
+def may_link(maps_a: list, maps_b: list, n_a: np.ndarray, n_b: np.ndarray, similar: int) -> np.ndarray:
+    """For pairs of sets (bitmaps and sizes): whether the bits that differ leave room for enough overlap."""
+    out = np.zeros(len(n_a), bool)
+    width = np.minimum([len(m) for m in maps_a], [len(m) for m in maps_b])
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        x, y = (np.concatenate([fold(np.frombuffer(maps[i], np.uint64)[None, :], w // 8) for i in own]) for maps in (maps_a, maps_b))
+        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        out[own] = (n_a[own] + n_b[own] - differ) // 2 >= overlap_needed(n_a[own], n_b[own], similar)
+    return out
+
+
+def _prune(similar: int):
+    def run(batches):
+        for b in batches:
+            ok = may_link(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), similar)
+            take = pa.array(np.flatnonzero(ok))
+            yield pa.record_batch({"a": b.column("a").take(take), "b": b.column("b").take(take)})
+    return run
+
+
 def _compare_tiles(similar: int):
-    """Pairs of different components in a task's tile pairs that the size and bitmap bounds leave."""
+    """Pairs of different components in a task's tile pairs that the prefix, size
+    and bitmap bounds leave, with the bound of their similarity."""
     def run(table):
-        gram, chunk_a, chunk_b, side = (table.column(c).to_numpy() for c in ("gram", "tile_a", "tile_b", "side"))
-        node, n, root = (table.column(c).to_numpy() for c in ("node", "n", "root"))
+        gram, tile_a, tile_b, side = (table.column(c).to_numpy() for c in ("gram", "tile_a", "tile_b", "side"))
+        node, n, root, indexed = (table.column(c).to_numpy() for c in ("node", "n", "root", "indexed"))
         maps = table.column("bits").to_pylist()
-        order = np.lexsort((n, chunk_b, chunk_a, gram))
-        key = np.stack([gram, chunk_a, chunk_b])[:, order]
+        wide = np.array([len(m) // 8 for m in maps])
+        order = np.lexsort((n, tile_b, tile_a, gram))
+        key = np.stack([gram, tile_a, tile_b])[:, order]
         cuts = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
-        out_a, out_b = [], []
+        found = [np.zeros((3, 0), np.int64)]
         for s, e in zip(cuts, cuts[1:]):
             own = order[s:e]
-            left = own[side[own] != 1]
-            right = own[side[own] != 0]
+            left, right = own[side[own] != 1], own[side[own] != 0]
             if not len(left) or not len(right):
                 continue
-            size_l, size_r = n[left][:, None], n[right][None, :]
-            small, big = np.minimum(size_l, size_r), np.maximum(size_l, size_r)
-            ok = (100 * small >= similar * big) & (root[left][:, None] != root[right][None, :])
-            if not ok.any():
-                continue
-            width = min(len(maps[i]) for i in own) // 8
-            unit = {i: fold(np.frombuffer(maps[i], np.uint64)[None, :], width)[0] for i in own}
-            x, y = np.stack([unit[i] for i in left]), np.stack([unit[i] for i in right])
-            differ = np.zeros(ok.shape, np.int64)
-            for w in range(width):
-                differ += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None, :])
-            ok &= (size_l + size_r - differ) // 2 >= overlap_needed(size_l, size_r, similar)
-            i, j = np.nonzero(ok)
-            a, b = node[left[i]], node[right[j]]
-            out_a.append(np.minimum(a, b))
-            out_b.append(np.maximum(a, b))
-        a = np.concatenate([*out_a, np.zeros(0, np.int64)])
-        b = np.concatenate([*out_b, np.zeros(0, np.int64)])
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            l, r = left[:, None], right[None, :]
+            small, big = np.minimum(n[l], n[r]), np.maximum(n[l], n[r])
+            ok = (100 * small >= similar * big) & (root[l] != root[r]) & np.where(n[l] < n[r], indexed[l], np.where(n[r] < n[l], indexed[r], indexed[l] | indexed[r]))
+            pair_width = np.minimum(wide[l], wide[r])
+            for w in np.unique(pair_width[ok]):
+                here = ok & (pair_width == w)
+                i, j = np.flatnonzero(here.any(axis=1)), np.flatnonzero(here.any(axis=0))
+                x, y = (np.concatenate([fold(np.frombuffer(maps[k], np.uint64)[None, :], w) for k in side_[at]]) for side_, at in ((left, i), (right, j)))
+                differ = np.zeros((len(i), len(j)), np.int64)
+                for c in range(w):
+                    differ += np.bitwise_count(x[:, c][:, None] ^ y[:, c][None, :])
+                total = n[left[i]][:, None] + n[right[j]][None, :]
+                room = (total - differ) // 2
+                p, q = np.nonzero(here[np.ix_(i, j)] & (100 * room >= similar * (total - room)))
+                a, b = node[left[i[p]]], node[right[j[q]]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), 1000 * room[p, q] // (total - room)[p, q]]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1], "bound": pairs[2]})
     return run
 
 
-def tile_candidates(rows: DataFrame, sets: DataFrame, tasks: int, similar: int = SIMILAR) -> DataFrame:
-    """Pairs (a, b) that may link, from rows (gram, node, n, root).
+def tile_candidates(rows: DataFrame, bits: DataFrame, tasks: int, similar: int = SIMILAR) -> DataFrame:
+    """Pairs (a, b, bound) that may link, from rows (gram, node, n, indexed, root).
 
     An n-gram's nodes form tiles by size band and hash; every pair of tiles of
     the same or of neighbouring bands is compared in one place.
@@ -351,23 +407,26 @@ def tile_candidates(rows: DataFrame, sets: DataFrame, tasks: int, similar: int =
     split = F.ceil(F.col("nodes") / TILE)
     log = math.log(100 / similar)
     own = (rows.join(groups.select("gram", "nodes"), "gram")
-           .join(sets.select("node", "bits"), "node")
+           .join(bits.select("node", "bits"), "node")
            .withColumn("band", F.when(split > 1, F.floor(F.log(F.col("n").cast("double")) / log + 1e-9)).otherwise(0))
            .withColumn("split", split).withColumn("part", F.pmod(F.xxhash64("node"), split)))
     tile = lambda b, p: (b * F.col("split") + p).cast("long")
     # a node is on the left of the pairs with later parts of its band and all parts of the next one
     me = tile(F.col("band"), F.col("part"))
-    same = F.transform(F.sequence(F.lit(0).cast("long"), F.col("split") - 1), lambda p: F.struct(
+    parts = F.sequence(F.lit(0).cast("long"), F.col("split") - 1)
+    same = F.transform(parts, lambda p: F.struct(
         F.least(me, tile(F.col("band"), p)).alias("tile_a"), F.greatest(me, tile(F.col("band"), p)).alias("tile_b"),
         F.when(p == F.col("part"), 2).when(p > F.col("part"), 0).otherwise(1).alias("side")))
-    up = F.transform(F.sequence(F.lit(0).cast("long"), F.col("split") - 1), lambda p: F.struct(
-        me.alias("tile_a"), tile(F.col("band") + 1, p).alias("tile_b"), F.lit(0).alias("side")))
-    down = F.transform(F.sequence(F.lit(0).cast("long"), F.col("split") - 1), lambda p: F.struct(
-        tile(F.col("band") - 1, p).alias("tile_a"), me.alias("tile_b"), F.lit(1).alias("side")))
+    up = F.transform(parts, lambda p: F.struct(me.alias("tile_a"), tile(F.col("band") + 1, p).alias("tile_b"), F.lit(0).alias("side")))
+    down = F.transform(parts, lambda p: F.struct(tile(F.col("band") - 1, p).alias("tile_a"), me.alias("tile_b"), F.lit(1).alias("side")))
     places = F.when(F.col("split") > 1, F.concat(same, up, down)).otherwise(same)
-    placed = own.select("gram", "node", "n", "root", "bits", F.inline(places))
+    placed = own.select("gram", "node", "n", "indexed", "root", "bits", F.inline(places))
     dealt = placed.withColumn("task", F.pmod(F.xxhash64("gram", "tile_a", "tile_b"), tasks))
-    return dealt.groupBy("task").applyInArrow(_compare_tiles(similar), "a long, b long").distinct()
+    return dealt.groupBy("task").applyInArrow(_compare_tiles(similar), "a long, b long, bound long").distinct()
+
+
+def _named(roots: DataFrame, side: str) -> DataFrame:
+    return roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -383,35 +442,51 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = dict(rows.dtypes)["doc_id"]
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    meta = stored(rows.mapInArrow(_describe(words), f"doc_id {id_type}, node long, n long"))
+    about = stored(rows.mapInArrow(_describe(words), f"doc_id {id_type}, " + ABOUT))
+    meta = about.where("slice IS NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(parallelism(spark), math.ceil(size / RANGE_BYTES))
 
-    shared = spark.sparkContext.broadcast(frequency_classes(known, words))
+    shared = spark.sparkContext.broadcast(frequency_classes(about.where("slice IS NOT NULL").select("slice", "part", "counts")))
     sent = known.select("text").mapInArrow(
         _send_prefixes(shared, ranges, words, similar),
-        "range int, grams binary, seq binary, size binary, at binary, wide boolean, frequent binary")
-    common = stored(sent.groupBy("range").applyInArrow(_shared_prefixes, "gram long, node long, n long"))
+        "range int, grams binary, seq binary, size binary, at binary, wide boolean, indexed binary, frequent binary")
+    common = stored(sent.groupBy("range").applyInArrow(_shared_prefixes(similar), "gram long, node long, n long, indexed boolean"))
+    active = common.select("node").distinct()
+    bits = stored(meta.where("bits IS NOT NULL").join(active, "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n")))
 
     # each node and the leader with which it shares most prefix n-grams
     leaders = common.groupBy("gram").agg(F.min(F.struct("n", "node")).alias("leader"), F.count("*").alias("nodes")).where("nodes > 1")
     votes = (common.join(leaders.select("gram", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")), "gram")
              .where("node <> leader").where(100 * F.col("leader_n") >= similar * F.col("n"))
              .groupBy(F.col("node").alias("b"), F.col("leader").alias("a")).count())
-    chosen = stored(votes.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")))
-    active = common.join(leaders.select("gram"), "gram", "left_semi").select("node").distinct()
-    active = stored(active)
-    bloom = spark.sparkContext.broadcast(_bloom(active, active.count()))
-    found = known.select("text").mapInArrow(_active_sets(bloom, words), "node long, grams binary, bits binary")
-    sets = stored(found.groupBy("node").agg(F.first("grams").alias("grams"), F.first("bits").alias("bits")))
-    links = stored(verify(chosen.select("a", "b"), sets, similar))
+    chosen = votes.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+    one, two = (bits.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    chosen = stored(chosen.join(two, "b").join(one, "a").select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(_prune(similar), "a long, b long"))
+    sets = node_sets(known, chosen.select(F.col("a").alias("node")).union(chosen.select("b")).distinct(), words)
+    links = stored(verify(chosen, sets, similar))
     roots = stored(components(links))
 
-    rooted = common.join(roots, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
-    more = tile_candidates(rooted, sets, ranges, similar)
-    tried = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    extra = verify(stored(more.join(tried, ["a", "b"], "left_anti")), sets, similar)
-    final = components(links.union(extra))
+    # n-grams that connect different components
+    rooted = common.join(roots, "node", "left").select("gram", "node", "n", "indexed", F.coalesce("root", "node").alias("root"))
+    left = stored(tile_candidates(rooted, bits, ranges, similar).join(
+        chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    needed = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    sets = sets.union(node_sets(known, needed.join(sets, "node", "left_anti"), words).join(sets, "node", "left_anti"))
+    for last in (False, False, True):
+        # one pair of each two components first: most links join the same components
+        rank = F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p")
+        tried = left if last else left.join(_named(roots, "a"), "a", "left").join(_named(roots, "b"), "b", "left").groupBy(
+            F.least(F.coalesce("root_a", "a"), F.coalesce("root_b", "b")).alias("r"), F.greatest(F.coalesce("root_a", "a"), F.coalesce("root_b", "b")).alias("s")
+        ).agg(rank).select("p.a", "p.b")
+        tried = stored(tried.select("a", "b"))
+        links = stored(links.union(verify(tried, sets, similar)))
+        roots = stored(components(links))
+        if last:
+            break
+        left = stored(left.join(tried, ["a", "b"], "left_anti").join(_named(roots, "a"), "a", "left").join(_named(roots, "b"), "b", "left")
+                      .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "bound"))
+    final = roots
 
     nodes = meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
     labelled = final.join(nodes, "node")
