@@ -23,57 +23,79 @@ def label_correlation(df: DataFrame, cols: Sequence[str], label: str = "fraud_la
     return one.unpivot([], list(cols), "feature", "corr")
 
 
-def linear_attributions(df: DataFrame, key: str, cols: Sequence[str], weights: DataFrame) -> DataFrame:
-    """IX-14 re-aimed: exact linear attribution ``w_f * (x_f - mean_f) / std_f``
-    (population std, zero -> 1) per row and feature; ``weights`` is (feature, w)."""
-    stats = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in cols],
-                   *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in cols])
-    wide_w = weights.agg(*[F.max(F.when(F.col("feature") == c, F.col("w"))).alias(f"w_{c}") for c in cols])
-    x = df.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(wide_w))
-    items = []
+def attribution_stats(train: DataFrame, cols: Sequence[str], weights: DataFrame) -> DataFrame:
+    """One row: training mean ``m_``, population std ``s_`` (zero or null: 1) and
+    weight ``w_`` (missing: 0) of each feature.  ``weights`` is (feature, w)."""
+    stats = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in cols],
+                      *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in cols])
+    stats = stats.withColumns({f"s_{c}": F.when(F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col(f"s_{c}")) for c in cols})
+    return stats.crossJoin(weights.agg(*[F.coalesce(F.max(F.when(F.col("feature") == c, F.col("w"))), F.lit(0.0)).alias(f"w_{c}") for c in cols]))
+
+
+def linear_attributions(df: DataFrame, key: str, cols: Sequence[str], stats: DataFrame) -> DataFrame:
+    """IX-14 re-aimed: exact linear attribution ``w_f * (x_f - mean_f) / std_f`` with the
+    training statistics (one row of ``attribution_stats``).  One row per
+    prediction: ``prediction_id, parts array<struct<feature,value,importance>>``;
+    everything below works inside this row, so no explanation needs a shuffle."""
+    x = df.crossJoin(F.broadcast(stats))
+    parts = []
     for c in cols:
-        sd = F.col(f"s_{c}")
-        z = (F.col(c).cast("double") - F.col(f"m_{c}")) / F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd)
-        items.append(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
-                              (F.coalesce(F.col(f"w_{c}"), F.lit(0.0)) * z).alias("importance")))
-    return x.select(F.col(key).alias("prediction_id"), F.explode(F.array(*items)).alias("a")) \
-            .select("prediction_id", "a.feature", "a.value", "a.importance")
+        v = F.col(c).cast("double")
+        parts.append(F.struct(F.lit(c).alias("feature"), v.alias("value"), (F.col(f"w_{c}") * (v - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias("importance")))
+    return x.select(F.col(key).alias("prediction_id"), F.array(*parts).alias("parts"))
+
+
+def attribution_rows(wide: DataFrame) -> DataFrame:
+    """(prediction_id, feature, value, importance)."""
+    return wide.select("prediction_id", F.inline("parts"))
+
 
+def _ranked(parts: Column, field: str) -> Column:
+    """Parts by decreasing absolute ``field``, then feature name; nulls last."""
+    size = lambda t: F.coalesce(F.abs(t[field]), F.lit(-1.0))
+    return F.array_sort(parts, lambda x, y: F.when(size(x) > size(y), -1).when(size(x) < size(y), 1)
+                        .when(x["feature"] < y["feature"], -1).when(x["feature"] > y["feature"], 1).otherwise(0))
 
-def scaled_attribution(long: DataFrame, baseline: DataFrame) -> DataFrame:
+
+def scaled_attribution(wide: DataFrame, baseline: DataFrame) -> DataFrame:
     """IX-1: importance / sum |importance| (0 -> 1) times the span of the
     baseline score (1 - b when b < 0.5, else b).  ``baseline``: (prediction_id, baseline)."""
-    w = Window.partitionBy("prediction_id")
-    tot = F.sum(F.abs("importance")).over(w)
     b = F.col("baseline")
     span = F.when(b < 0.5, F.lit(1.0) - b).otherwise(b)
-    return long.join(baseline, "prediction_id") \
-               .withColumn("shap_value", F.col("importance") / F.when(tot == 0, F.lit(1.0)).otherwise(tot) * span)
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, t: acc + F.coalesce(F.abs(t["importance"]), F.lit(0.0)))
+    x = wide.join(baseline, "prediction_id").withColumn("_scale", span / F.when(total == 0, F.lit(1.0)).otherwise(total))
+    return x.select("prediction_id", F.transform("parts", lambda t: F.struct(
+        t["feature"], t["value"], (t["importance"] * F.col("_scale")).alias("shap_value"))).alias("parts"))
 
 
 def contribution_breakdown(scaled: DataFrame) -> DataFrame:
     """IX-2 + WN-4: rank by |shap| (desc, feature name breaks ties), running
     sum of |shap|, direction."""
-    w = Window.partitionBy("prediction_id").orderBy(F.abs("shap_value").desc(), F.col("feature"))
-    return scaled.select("prediction_id", "feature", "value", "shap_value",
-                         F.row_number().over(w).alias("rank"),
-                         F.sum(F.abs("shap_value")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-                          .alias("cumulative_contribution"),
-                         F.when(F.col("shap_value") > 0, F.lit("increases fraud"))
-                          .otherwise(F.lit("decreases fraud")).alias("direction"))
+    x = scaled.withColumn("parts", _ranked(F.col("parts"), "shap_value"))
+    rows = F.transform("parts", lambda t, i: F.struct(
+        t["feature"], t["value"], t["shap_value"], (i + 1).cast("int").alias("rank"),
+        F.aggregate(F.slice("parts", 1, i + 1), F.lit(0.0), lambda acc, u: acc + F.abs(u["shap_value"])).alias("cumulative_contribution"),
+        F.when(t["shap_value"] > 0, F.lit("increases fraud")).otherwise(F.lit("decreases fraud")).alias("direction")))
+    return x.select("prediction_id", F.inline(rows))
+
+
+def top_parts(wide: DataFrame, k: int = 5) -> DataFrame:
+    """WN-5: the ``k`` parts of largest |importance| (name breaks ties), in order."""
+    return wide.withColumn("parts", F.slice(_ranked(F.col("parts"), "importance"), 1, k))
 
 
-def top_contributions(long: DataFrame, k: int = 5) -> DataFrame:
-    """WN-5: top-k features per prediction by |importance| (name breaks ties)."""
-    w = Window.partitionBy("prediction_id").orderBy(F.abs("importance").desc(), F.col("feature"))
-    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def top_contributions(wide: DataFrame, k: int = 5) -> DataFrame:
+    """WN-5 as rows: (prediction_id, feature, value, importance, rank)."""
+    ranked = F.transform("parts", lambda t, i: F.struct(t["feature"], t["value"], t["importance"], (i + 1).cast("int").alias("rank")))
+    return top_parts(wide, k).select("prediction_id", F.inline(ranked))
 
 
 def partial_dependence(df: DataFrame, feature: str, pred: str, max_bins: int = 10) -> DataFrame:
     """IX-3: up to 10 equal-width bins over [min, max]; bin mid-point, mean
     prediction, count; a constant feature gives a single point."""
-    st = df.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi"), F.count_distinct(feature).alias("nd"),
-                F.avg(pred).alias("all_avg"), F.count(pred).alias("all_n"))
+    # only whether there are max_bins distinct values matters: a distinct limit, not a full count
+    few = df.where(F.col(feature).isNotNull()).select(feature).distinct().limit(max_bins).agg(F.count(F.lit(1)).alias("nd"))
+    st = df.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi"), F.avg(pred).alias("all_avg"), F.count(pred).alias("all_n")).crossJoin(few)
     nb = F.least(F.lit(max_bins), F.col("nd"))
     width = (F.col("hi") - F.col("lo")) / nb
     x = df.where(F.col(feature).isNotNull()).crossJoin(F.broadcast(st))
@@ -110,19 +132,15 @@ def range_impact(df: DataFrame, feature: str, pred: str) -> DataFrame:
                     F.when(low.isNotNull() & high.isNotNull(), high - low).otherwise(F.lit(0.0)).alias("impact"))
 
 
-def interactions(long: DataFrame, k: int = 5, min_strength: float = 0.01) -> DataFrame:
+def interactions(wide: DataFrame, k: int = 5, min_strength: float = 0.01) -> DataFrame:
     """IX-5: pairs among each prediction's top-k features (by |importance|):
     strength = i1*i2 / (max(|i1|, |i2|) + 1e-4), kept when |strength| > 0.01.
-    At most k(k-1)/2 pairs per prediction -- never all pairs of a group."""
-    t = top_contributions(long, k).select("prediction_id", "feature", "importance", "rank")
-    a = t.select("prediction_id", F.col("feature").alias("feature1"), F.col("importance").alias("i1"),
-                 F.col("rank").alias("r1"))
-    b = t.select("prediction_id", F.col("feature").alias("feature2"), F.col("importance").alias("i2"),
-                 F.col("rank").alias("r2"))
-    j = a.join(b, "prediction_id").where(F.col("r1") < F.col("r2"))
-    s = (F.col("i1") * F.col("i2")) / (F.greatest(F.abs("i1"), F.abs("i2")) + F.lit(1e-4))
-    return j.select("prediction_id", "feature1", "feature2", s.alias("interaction_strength")) \
-            .where(F.abs("interaction_strength") > min_strength)
+    At most k(k-1)/2 pairs per prediction, made inside its row."""
+    pairs = F.flatten(F.transform("parts", lambda x, i: F.transform(F.slice("parts", i + 2, k), lambda y: F.struct(
+        x["feature"].alias("feature1"), y["feature"].alias("feature2"),
+        (x["importance"] * y["importance"] / (F.greatest(F.abs(x["importance"]), F.abs(y["importance"])) + F.lit(1e-4))).alias("interaction_strength")))))
+    strong = F.filter(pairs, lambda p: F.abs(p["interaction_strength"]) > min_strength)
+    return top_parts(wide, k).select("prediction_id", F.inline(strong))
 
 
 def cooccurrence(df: DataFrame, pairs: Sequence[tuple[str, str]], medians: DataFrame) -> DataFrame:
@@ -176,10 +194,10 @@ def features_by_score_bin(top_long: DataFrame, scores: DataFrame, size: float =
             .select(lab.alias("score_bin"), "feature", "count", "rank")
 
 
-def explanation_rows(scored: DataFrame, top_long: DataFrame, key: str = "prediction_id") -> DataFrame:
-    """IX-7: label, confidence = 2|s - 0.5| and a sentence from the top factors."""
-    tops = top_long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "feature"))).alias("t")) \
-                   .select(key, F.transform("t", lambda x: x["feature"]).alias("top_factors"))
+def explanation_rows(scored: DataFrame, top: DataFrame, key: str = "prediction_id") -> DataFrame:
+    """IX-7: label, confidence = 2|s - 0.5| and a sentence from the top factors
+    (``top``: rows of ``top_parts``)."""
+    tops = top.select(key, F.transform("parts", lambda t: t["feature"]).alias("top_factors"))
     s = F.col("fraud_score")
     label = F.when(s > 0.5, F.lit("FRAUD")).otherwise(F.lit("LEGITIMATE"))
     return scored.join(tops, key, "left").select(
@@ -203,7 +221,7 @@ def counterfactual(df: DataFrame, key: str, score: str, cols: Sequence[str], ran
     range minimum or min + 25 % of the range (largest move, first wins ties;
     moves <= 0.01 are not candidates).  The greedy loop takes features by
     decreasing move (first feature wins ties) and multiplies the score by 0.7
-    per step while it is above ``target`` -- so the changed set is the top-k
+    per step while it is above ``target`` -- so, inside one row, the changed set is the top-k
     features by move, k = min(eligible, steps needed, 50).  ``ranges``: one
     row with ``{c}__min`` / ``{c}__max``."""
     x = df.crossJoin(F.broadcast(ranges))
@@ -217,24 +235,18 @@ def counterfactual(df: DataFrame, key: str, score: str, cols: Sequence[str], ran
         best_t = F.when(g2 > g1, t2).otherwise(t1)
         items.append(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"), v.alias("old"),
                               best_t.alias("new"), F.greatest(g1, g2).alias("gain")))
-    long = x.select(key, F.col(score).alias("_s"), F.explode(F.array(*items)).alias("f")).select(key, "_s", "f.*")
-    w = Window.partitionBy(key).orderBy(F.col("gain").desc(), F.col("pos"))
-    long = long.withColumn("rank", F.row_number().over(w))
+    moves = F.array_sort(F.array(*items), lambda x, y: F.when(x["gain"] > y["gain"], -1).when(x["gain"] < y["gain"], 1).otherwise(x["pos"] - y["pos"]))
     n_steps = F.aggregate(F.sequence(F.lit(0), F.lit(max_steps - 1)), F.lit(0),
                           lambda acc, j: acc + F.when(F.col("_s") * F.pow(F.lit(0.7), j) > F.lit(target), 1)
                           .otherwise(0))
-    per = long.groupBy(key, "_s").agg(F.count_if(F.col("gain") > 0).alias("eligible"))
-    per = per.withColumn("k", F.least(F.col("eligible"), n_steps))
-    j = long.join(per.select(key, "k"), key).where(F.col("rank") <= F.col("k"))
-    changed = j.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "feature"))).alias("_c"),
-        F.sum(F.abs(F.col("new") - F.col("old"))).alias("_dist"))
-    out = per.join(changed, key, "left")
-    return out.select(key, F.col("_s").alias("original_score"), F.col("k").alias("num_changes"),
-                      F.coalesce(F.transform("_c", lambda s: s["feature"]), F.array().cast("array<string>"))
-                      .alias("changed_features"),
-                      (F.coalesce(F.col("_dist"), F.lit(0.0)) / len(cols)).alias("change_distance"),
-                      F.greatest(F.lit(0.5), F.lit(1.0) - F.col("k") * 0.15).alias("confidence"))
+    x = x.select(key, F.col(score).alias("_s"), moves.alias("_m"))
+    x = x.withColumn("k", F.least(F.size(F.filter("_m", lambda t: t["gain"] > 0)), n_steps))
+    x = x.withColumn("_c", F.slice("_m", 1, F.col("k")))
+    distance = F.aggregate("_c", F.lit(0.0), lambda acc, t: acc + F.abs(t["new"] - t["old"]))
+    return x.select(key, F.col("_s").alias("original_score"), F.col("k").alias("num_changes"),
+                    F.transform("_c", lambda t: t["feature"]).alias("changed_features"),
+                    (distance / len(cols)).alias("change_distance"),
+                    F.greatest(F.lit(0.5), F.lit(1.0) - F.col("k") * 0.15).alias("confidence"))
 
 
 def what_if(df: DataFrame, key: str, score: str, factors: dict[str, float]) -> DataFrame:

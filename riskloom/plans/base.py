@@ -53,7 +53,12 @@ def train_rows(split: DataFrame) -> DataFrame:
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    """EN-5 wide table before encoding: every split, train-only statistics."""
+    """EN-5 wide table before encoding: every split, train-only statistics;
+    stored, since most explanation and model queries start from it."""
+    return view(spark, d, "features", lambda: _features(spark, d))
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
     s = claims_split(spark, d)
     f = apply_entity_stats(s, train_rows(s))
     f = enrich_dimensions(f, patients_view(spark, d), doctors_view(spark, d), hospitals_view(spark, d),

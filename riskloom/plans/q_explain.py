@@ -11,18 +11,24 @@ from riskloom.plans.q_core import FEATURES_SQL
 from riskloom.plans.registry import query
 from riskloom.plans.sql_base import SCORED_W, SPLIT_W
 
-XCOLS = ["claim_amount", "num_procedures", "days_in_hospital", "patient_avg_amount", "doctor_avg_amount"]
-GROUPS = {"claim": ["claim_amount", "num_procedures", "days_in_hospital"],
-          "entity": ["patient_avg_amount", "doctor_avg_amount"]}
-
-_FEAT_CTES = FEATURES_SQL[len(SPLIT_W.rstrip("\n")) + 1:].strip("\n")
+#: The numeric features of the model.
+XCOLS = ["claim_amount", "num_procedures", "days_in_hospital", "patient_total_claims", "patient_total_amount",
+         "patient_avg_amount", "patient_max_amount", "doctor_total_claims", "doctor_total_amount", "doctor_avg_amount",
+         "hosp_total_claims", "hosp_avg_amount", "years_experience", "num_beds",
+         "amount_vs_patient_avg", "amount_vs_doctor_avg", "amount_vs_hosp_avg", "claim_month", "claim_dayofweek", "claim_day"]
+GROUPS = {"claim": XCOLS[:3], "patient": XCOLS[3:7], "provider": XCOLS[7:14], "ratio": XCOLS[14:17]}
+
+_FEAT_CTES = FEATURES_SQL[len(SPLIT_W.rstrip("\n")) + 1:].strip("\n") + """,
+ff AS (SELECT *, claim_amount / (patient_avg_amount + 1) AS amount_vs_patient_avg, claim_amount / (doctor_avg_amount + 1) AS amount_vs_doctor_avg,
+              claim_amount / (hosp_avg_amount + 1) AS amount_vs_hosp_avg, month(claim_date) AS claim_month,
+              isodow(claim_date) - 1 AS claim_dayofweek, day(claim_date) AS claim_day FROM f)"""
 ATTR_SQL = SCORED_W.rstrip("\n") + ",\n" + _FEAT_CTES + """,
 tf AS (SELECT f.claim_id AS prediction_id, """ + ", ".join(f"f.{c}" for c in XCOLS) + """, s.fraud_score
-       FROM f JOIN scored s USING (claim_id) WHERE f.split = 'test'),
+       FROM ff f JOIN scored s USING (claim_id) WHERE f.split = 'test'),
 wts AS (SELECT """ + ", ".join(f"corr(CAST({c} AS DOUBLE), CAST(fraud_label AS DOUBLE)) AS w_{c}" for c in XCOLS) + """
-        FROM f WHERE split = 'train'),
+        FROM ff WHERE split = 'train'),
 stt AS (SELECT """ + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}"
-                               for c in XCOLS) + """ FROM tf),
+                               for c in XCOLS) + """ FROM ff WHERE split = 'train'),
 al AS (SELECT prediction_id, v.feature, v.value, v.importance FROM tf CROSS JOIN stt CROSS JOIN wts
        CROSS JOIN LATERAL (VALUES """ + ", ".join(
     f"('{c}', CAST({c} AS DOUBLE), coalesce(w_{c}, 0.0) * (CAST({c} AS DOUBLE) - m_{c}) / "
@@ -39,17 +45,18 @@ def test_features(spark, d):
 
 
 def attributions(spark, d):
-    """(prediction_id, feature, value, importance) for every test claim."""
+    """One row of attributions for every test claim, with training statistics."""
     def build():
         f = base.features(spark, d)
-        w = ix.label_correlation(f.where("split = 'train'"), XCOLS).withColumnRenamed("corr", "w")
-        return ix.linear_attributions(test_features(spark, d), "claim_id", XCOLS, w)
+        tr = f.where("split = 'train'")
+        w = ix.label_correlation(tr, XCOLS).withColumnRenamed("corr", "w")
+        return ix.linear_attributions(test_features(spark, d), "claim_id", XCOLS, ix.attribution_stats(tr, XCOLS, w))
     return base.view(spark, d, "attributions", build)
 
 
 @query("label_correlation", SPLIT_W.rstrip("\n") + ",\n" + _FEAT_CTES + "\nSELECT * FROM (SELECT " + ", ".join(
     f"corr(CAST({c} AS DOUBLE), CAST(fraud_label AS DOUBLE)) AS {c}" for c in XCOLS) +
-    " FROM f WHERE split = 'train') UNPIVOT (corr FOR feature IN (" + ", ".join(XCOLS) + "))")
+    " FROM ff WHERE split = 'train') UNPIVOT (corr FOR feature IN (" + ", ".join(XCOLS) + "))")
 def label_correlation(spark, d):
     """AG-13 on the training rows."""
     return ix.label_correlation(base.features(spark, d).where("split = 'train'"), XCOLS)
@@ -58,7 +65,7 @@ def label_correlation(spark, d):
 @query("attributions_long", ATTR_SQL + "SELECT prediction_id, feature, value, importance FROM al")
 def attributions_long(spark, d):
     """IX-14 re-aimed: exact linear (correlation-weighted, standardised) attributions."""
-    return attributions(spark, d)
+    return ix.attribution_rows(attributions(spark, d))
 
 
 @query("contribution_breakdown", ATTR_SQL + """,
@@ -157,21 +164,20 @@ def importance_rank(spark, d):
 SELECT feature, avg(abs(importance)) AS mean_abs FROM al GROUP BY feature ORDER BY mean_abs DESC, feature LIMIT 10""")
 def global_importance(spark, d):
     """IX-12: mean |attribution| per feature, top 10."""
-    top, _ = ix.global_importance(attributions(spark, d), GROUPS)
+    top, _ = ix.global_importance(ix.attribution_rows(attributions(spark, d)), GROUPS)
     return top
 
 
 @query("importance_group_shares", ATTR_SQL + """,
 per AS (SELECT feature, avg(abs(importance)) AS mean_abs FROM al GROUP BY feature),
-grp AS (SELECT CASE WHEN feature IN ('claim_amount', 'num_procedures', 'days_in_hospital') THEN 'claim'
-                  WHEN feature IN ('patient_avg_amount', 'doctor_avg_amount') THEN 'entity' ELSE 'other' END AS "group",
+grp AS (SELECT CASE """ + " ".join(f"WHEN feature IN ({', '.join(repr(x) for x in fs)}) THEN '{g}'" for g, fs in GROUPS.items()) + """ ELSE 'other' END AS "group",
              mean_abs FROM per)
 SELECT "group", CASE WHEN (SELECT sum(mean_abs) FROM per) > 0
                      THEN sum(mean_abs) * 100.0 / (SELECT sum(mean_abs) FROM per) ELSE 0.0 END AS share_pct
 FROM grp GROUP BY "group\"""")
 def importance_group_shares(spark, d):
     """IX-12: share of each named feature group (by name, not column position)."""
-    _, shares = ix.global_importance(attributions(spark, d), GROUPS)
+    _, shares = ix.global_importance(ix.attribution_rows(attributions(spark, d)), GROUPS)
     return shares
 
 
@@ -198,7 +204,7 @@ FROM tf LEFT JOIN tops USING (prediction_id)""")
 def explanations(spark, d):
     """IX-7: explanation rows for every test claim."""
     sc = test_features(spark, d).select(F.col("claim_id").alias("prediction_id"), "fraud_score")
-    return ix.explanation_rows(sc, ix.top_contributions(attributions(spark, d), 5))
+    return ix.explanation_rows(sc, ix.top_parts(attributions(spark, d), 5))
 
 
 # ---------------------------------------------------------------- rule-based explainers (IX-15 .. IX-19)
@@ -228,10 +234,10 @@ def ranges(spark, d):
 
 SCALED_SQL = SCORED_W.rstrip("\n") + ",\n" + _FEAT_CTES + """,
 scs AS (SELECT """ + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}"
-                               for c in XF) + """ FROM f WHERE split = 'train'),
+                               for c in XF) + """ FROM ff WHERE split = 'train'),
 xs AS (SELECT claim_id, split, """ + ", ".join(
     f"(CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END AS {c}"
-    for c in XF) + """ FROM f CROSS JOIN scs),
+    for c in XF) + """ FROM ff CROSS JOIN scs),
 rng AS (SELECT """ + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in XF) + """ FROM xs WHERE split = 'train'),
 tst AS (SELECT xs.*, s.fraud_score FROM xs JOIN scored s USING (claim_id) WHERE xs.split = 'test')
 """
@@ -338,9 +344,7 @@ SELECT list_sort(list_intersect(a.f, b.f)) AS common_factors,
 FROM a CROSS JOIN b""")
 def explanation_compare(spark, d):
     """IX-9 / IX-20 / ST-4: top-3 factors of the first and last test claims compared."""
-    t = ix.top_contributions(attributions(spark, d), 3)
-    tops = t.groupBy("prediction_id").agg(F.sort_array(F.collect_list(F.struct("rank", "feature"))).alias("x")) \
-            .select("prediction_id", F.transform("x", lambda s: s["feature"]).alias("top_factors"))
+    tops = ix.top_parts(attributions(spark, d), 3).select("prediction_id", F.transform("parts", lambda t: t["feature"]).alias("top_factors"))
     ends = tops.agg(F.min("prediction_id").alias("lo"), F.max("prediction_id").alias("hi"))
     x = tops.crossJoin(F.broadcast(ends))
     return ix.factor_overlap(x.withColumn("is_a", F.col("prediction_id") == F.col("lo")),
