@@ -14,6 +14,9 @@ from riskloom.sources.tables import (claims_view, doctors_view, hospitals_view,
                                      patients_view, prediction_log_view, read_table)
 
 
+#: Partitions for regex work on the fixture tables, which have one row group each.
+SPREAD = 8
+
 _VIEWS: dict = {}
 
 

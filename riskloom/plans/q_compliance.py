@@ -10,7 +10,7 @@ from riskloom.functions.masking import PII_PATTERNS, SPAN_TOKENS, mask_frame, ma
 from riskloom.operators import compliance as cp
 from riskloom.plans import base
 from riskloom.plans.registry import query
-from riskloom.sources.tables import spread_small
+from riskloom.sources.tables import spread
 
 AS_OF = dt.datetime(2024, 1, 31)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -27,7 +27,7 @@ def _q(s: str) -> str:
     for k, p in PII_PATTERNS.items()) + ")")
 def pii_counts_documents(spark, d):
     """CP-1: matches and matching documents per PII type over every document."""
-    docs = spread_small(base.read(spark, d, "documents").select("text"))
+    docs = spread(base.read(spark, d, "documents").select("text"), base.SPREAD)
     c = docs.select(*pii_counts(F.col("text")))
     one = c.agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)).cast("long").alias(f"m_{k}") for k in PII_PATTERNS],
                 *[F.count_if(F.col(f"n_{k}") > 0).alias(f"d_{k}") for k in PII_PATTERNS])
@@ -72,7 +72,7 @@ def _mask_value_sql(s: str) -> str:
 SELECT conv_id, turn, {_mask_value_sql('role')} AS role, {_mask_value_sql('text')} AS text FROM conversations""")
 def pii_mask_fields(spark, d):
     """FN-1..FN-5: every string field of the conversations masked as a whole value."""
-    conv = spread_small(base.read(spark, d, "conversations"))
+    conv = spread(base.read(spark, d, "conversations"), base.SPREAD)
     return mask_frame(conv, skip=("conv_id", "turn"))
 
 
@@ -86,7 +86,7 @@ def _spans_sql(s: str) -> str:
 @query("pii_mask_spans", f"SELECT doc_id, {_spans_sql('text')} AS text FROM documents")
 def pii_mask_spans(spark, d):
     """Free-text masking: PII spans of every document replaced by type tokens."""
-    docs = spread_small(base.read(spark, d, "documents").select("doc_id", "text"))
+    docs = spread(base.read(spark, d, "documents").select("doc_id", "text"), base.SPREAD)
     return docs.select("doc_id", mask_spans(F.col("text")).alias("text"))
 
 
@@ -390,5 +390,5 @@ SELECT records, records_with_pii, true AS audit_chain_intact,
        CASE WHEN records > 0 THEN records_with_pii * 100.0 / records ELSE 0.0 END AS pii_detected_pct FROM t""")
 def protection_report(spark, d):
     """CP-12: PII share over every document and integrity of the untampered chain."""
-    docs = spread_small(base.read(spark, d, "documents").select("text"))
+    docs = spread(base.read(spark, d, "documents").select("text"), base.SPREAD)
     return cp.protection_report(docs, "text", cp.verify_chain(*sealed(spark, d), "chain_key", block=CHAIN_BLOCK))

@@ -24,7 +24,7 @@ from riskloom.plans.q_ml import FEATURES, encoded
 from riskloom.plans.q_ops import EVENTS_SQL, model_events
 from riskloom.plans.registry import query
 from riskloom.plans.sql_base import LOG_W, SCORED_W, with_, CLAIMS
-from riskloom.sources.tables import spread_small
+from riskloom.sources.tables import spread
 from riskloom.operators import compliance as cp
 
 
@@ -235,7 +235,7 @@ def masked_export(spark, d):
 def _export(spark, d):
     from riskloom.session import derived_path
     path = derived_path(spark)
-    spread_small(cp.masked_export(base.read(spark, d, "conversations"), skip=("conv_id", "turn"))).write.parquet(path)
+    cp.masked_export(spread(base.read(spark, d, "conversations"), base.SPREAD), skip=("conv_id", "turn")).write.parquet(path)
     return path
 
 

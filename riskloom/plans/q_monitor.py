@@ -73,14 +73,25 @@ def kl_js_drift(spark, d):
     return dr.prediction_drift(base.prediction_log(spark, d), AS_OF)
 
 
-@query("drift_alert_rows", KLJS_SQL + f"""
+#: Injected drift: scores of the current week are pulled up.
+SHIFTED_SQL = KLJS_SQL.replace("b AS (SELECT period,", "w2 AS (SELECT * REPLACE (CASE WHEN period = 'current' THEN least(fraud_score * 0.5 + 0.5, 1.0) ELSE fraud_score END AS fraud_score) FROM w),\nb AS (SELECT period,").replace(
+    "AS bin FROM w)", "AS bin FROM w2)")
+
+
+def shifted_log(spark, d):
+    log = base.prediction_log(spark, d)
+    late = F.col("ts") >= F.lit(AS_OF - dt.timedelta(days=7))
+    return log.withColumn("fraud_score", F.when(late, F.least(F.col("fraud_score") * 0.5 + 0.5, F.lit(1.0))).otherwise(F.col("fraud_score")))
+
+
+@query("drift_alert_rows", SHIFTED_SQL + f"""
 SELECT {AS_OF_SQL} AS ts, 'concept_drift' AS drift_type, 'prediction_distribution' AS drift_metric,
        kl AS drift_score, CAST(0.15 AS DOUBLE) AS threshold, ['fraud_score'] AS affected_features, 'alert_sent' AS action_taken,
        false AS resolved
 FROM r WHERE enough AND (kl > 0.15 OR js > 0.10)""")
 def drift_alert_rows(spark, d):
-    """DR-5."""
-    return dr.drift_alerts(dr.prediction_drift(base.prediction_log(spark, d), AS_OF))
+    """DR-5 on a log whose last week has drifted."""
+    return dr.drift_alerts(dr.prediction_drift(shifted_log(spark, d), AS_OF))
 
 
 KS_COLS = ["claim_amount", "num_procedures", "days_in_hospital"]
@@ -255,11 +266,25 @@ def _anomaly_sql(c: str) -> str:
     WHERE (p.q3 - p.q1) > 0 AND ({c} < p.q1 - 1.5 * (p.q3 - p.q1) OR {c} > p.q3 + 1.5 * (p.q3 - p.q1))"""
 
 
-@query("zscore_iqr_outliers", QPROFILE_SQL + " UNION ALL ".join(_anomaly_sql(c) for c in QCOLS))
+#: Injected dirt: every 23rd claim's amount and every 31st stay are far out.
+OUTLIER_SQL = QPROFILE_SQL.rstrip("\n") + """,
+odd AS (SELECT claim_id, CASE WHEN claim_id % 23 = 0 THEN claim_amount * 9 ELSE claim_amount END AS claim_amount, num_procedures,
+               CASE WHEN claim_id % 31 = 0 THEN days_in_hospital + 40 ELSE days_in_hospital END AS days_in_hospital FROM split)
+"""
+
+
+def with_outliers(df):
+    k = F.col("claim_id")
+    return df.withColumns({"claim_amount": F.when(F.pmod(k, F.lit(23)) == 0, F.col("claim_amount") * 9).otherwise(F.col("claim_amount")),
+                           "days_in_hospital": F.when(F.pmod(k, F.lit(31)) == 0, F.col("days_in_hospital") + 40).otherwise(F.col("days_in_hospital"))})
+
+
+@query("zscore_iqr_outliers", OUTLIER_SQL + " UNION ALL ".join(_anomaly_sql(c) for c in QCOLS).replace("FROM split CROSS", "FROM odd CROSS"))
 def zscore_iqr_outliers(spark, d):
-    """DQ-2 + DQ-3: anomaly alerts of every claim against the training profile."""
-    s = base.claims_split(spark, d)
-    prof = dq.fit_profile(base.train_rows(s), QCOLS)
+    """DQ-2 + DQ-3: anomaly alerts of every claim (with injected outliers) against the clean training profile."""
+    clean = base.claims_split(spark, d)
+    prof = dq.fit_profile(base.train_rows(clean), QCOLS)
+    s = with_outliers(clean)
     a = dq.attach_profile(s, prof, QCOLS).select("claim_id", F.explode(F.array_compact(
         dq.anomaly_alerts(s, prof, QCOLS))).alias("a"))
     return a.select("claim_id", F.when(F.col("a.message").startswith("Z-score"), F.lit("zscore"))

@@ -126,10 +126,8 @@ def prediction_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has
-    cores (e.g. one large row group) before CPU-heavy per-row work such as
-    regex scanning.  Large inputs already have many splits and are returned
-    untouched, so no shuffle is added at scale."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Round-robin a scan over ``parts`` partitions before CPU-heavy per-row work.
+    ``None`` leaves the scan's own splits, which is right for inputs of many files or row
+    groups; a table in one row group needs a number."""
+    return df.repartition(parts) if parts else df
