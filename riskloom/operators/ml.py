@@ -1,15 +1,16 @@
 """Model training, tuning and scoring with Spark ML (ML-1 .. ML-5, ML-8, IX-13).
 
-Features arrive as the train-fitted encoded/standardised table; a
-``VectorAssembler`` builds the vector, classes are balanced with a weight
-column N / (2 N_c) (AG-23), and every result keeps the claim key.
+Features arrive as the train-fitted encoded and standardised table.  Loops over
+models, grid points, folds and seeds are driver control loops; the data stays in
+Spark, and every result keeps the claim key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,15 +20,25 @@ from pyspark.sql import functions as F
 from riskloom.operators.evaluate import binary_metrics, roc_auc
 from riskloom.operators.explore import class_weights
 
-# The reference's baseline hyperparameters.
-#   logistic regression  (balanced weights)
-#   random forest        200 trees, depth 12
-#   gradient boosting    150 rounds, depth 5, learning rate 0.1
+# Baseline hyperparameters and tuning grids (names as the estimators here call them).
 BASELINE_PARAMS = {
-    "logistic_regression": {"maxIter": 1000},
+    "logistic_regression": {"C": 1.0, "penalty": "l2", "maxIter": 3000},
     "random_forest": {"numTrees": 200, "maxDepth": 12},
-    "gradient_boosting": {"maxIter": 150, "maxDepth": 5, "stepSize": 0.1},
+    "gradient_boosting": {"maxIter": 150, "stepSize": 0.1, "maxDepth": 5},
 }
+GRIDS = {
+    "gradient_boosting": {"maxIter": [100, 150, 200], "stepSize": [0.05, 0.1, 0.15], "maxDepth": [3, 5, 7], "subsamplingRate": [0.7, 0.8, 0.9]},
+    "random_forest": {"numTrees": [100, 200, 300], "maxDepth": [8, 12, 16]},
+    "logistic_regression": {"C": [0.1, 1.0, 10.0], "penalty": ["l1", "l2"]},
+}
+#: Balanced class weights are used by these models only.
+WEIGHTED = ("logistic_regression", "random_forest")
+
+
+def grid_points(name: str, grid: dict | None = None) -> list[dict]:
+    """All combinations of a model's grid, in grid order."""
+    grid = grid or GRIDS[name]
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
 def with_weights(df: DataFrame, label: str = "fraud_label") -> DataFrame:
@@ -36,20 +47,37 @@ def with_weights(df: DataFrame, label: str = "fraud_label") -> DataFrame:
     return df.join(F.broadcast(w), label)
 
 
-def estimator(name: str, seed: int = 0, label: str = "fraud_label", **overrides):
+def estimator(name: str, rows: int, seed: int = 42, label: str = "fraud_label", **overrides):
+    """The unfitted classifier.  ``C`` is the inverse penalty of a summed loss; the
+    penalty here belongs to a mean loss over ``rows``, hence 1 / (C * rows)."""
     p = {**BASELINE_PARAMS[name], **overrides}
-    common = dict(featuresCol="features", labelCol=label, weightCol="class_weight")
+    common = dict(featuresCol="features", labelCol=label)
+    if name in WEIGHTED:
+        common["weightCol"] = "class_weight"
     if name == "logistic_regression":
-        return LogisticRegression(**common, **p)
+        strength = 1.0 / (p.pop("C") * max(rows, 1))
+        l1 = 1.0 if p.pop("penalty") == "l1" else 0.0
+        return LogisticRegression(**common, regParam=strength, elasticNetParam=l1, standardization=False, tol=1e-4, **p)
     if name == "random_forest":
         return RandomForestClassifier(**common, seed=seed, **p)
     return GBTClassifier(**common, seed=seed, **p)
 
 
-def fit(train: DataFrame, features: Sequence[str], name: str, seed: int = 0, **overrides):
-    """ML-1 / ML-4: assembler + classifier pipeline fitted on weighted train rows."""
+def fit(train: DataFrame, features: Sequence[str], name: str, seed: int = 42, **overrides) -> PipelineModel:
+    """ML-1: assembler + classifier pipeline fitted on the training rows."""
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[asm, estimator(name, seed, **overrides)]).fit(with_weights(train))
+    rows = train.count() if name == "logistic_regression" else 0
+    return Pipeline(stages=[asm, estimator(name, rows, seed, **overrides)]).fit(with_weights(train) if name in WEIGHTED else train)
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """ML-4: write a fitted pipeline (any Hadoop path)."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    """ML-4: read a fitted pipeline."""
+    return PipelineModel.load(path)
 
 
 def model_score(model, df: DataFrame, key: str = "claim_id", threshold: float = 0.5) -> DataFrame:
@@ -67,21 +95,66 @@ def evaluate(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     return m.join(a, list(group_cols)) if group_cols else m.crossJoin(a)
 
 
-def tune(train: DataFrame, val: DataFrame, features: Sequence[str], name: str, grid: Sequence[dict],
-         seed: int = 0):
-    """ML-2: each grid point fitted on train and scored (F1) on the predefined
-    validation split; the best (first on ties) is refitted on train + val.
-    Returns (best params, per-point table rows, refitted model)."""
+def _f1(model, df: DataFrame, key: str) -> float:
+    scored = model_score(model, df, key)
+    return float(binary_metrics(scored, F.col("fraud_label"), F.col("ml_prediction")).select("f1").first()[0])
+
+
+def tune(train: DataFrame, val: DataFrame, features: Sequence[str], name: str, grid: dict | None = None, seed: int = 42, key: str = "claim_id"):
+    """ML-2: each point of the model's grid (``GRIDS`` unless given) fitted on train and
+    scored (F1) on the predefined validation split; the best (first on ties) is
+    refitted on train + val.  Returns (best params, per-point table rows, refitted model)."""
     rows = []
     best, best_f1 = None, -1.0
-    for params in grid:
-        m = fit(train, features, name, seed, **params)
-        f1 = evaluate(model_score(m, val)).select("f1").first()[0]
-        rows.append((name, str(sorted(params.items())), float(f1)))
+    for params in grid_points(name, grid):
+        f1 = _f1(fit(train, features, name, seed, **params), val, key)
+        rows.append((name, str(sorted(params.items())), f1))
         if f1 > best_f1:
             best, best_f1 = params, f1
-    refit = fit(train.unionByName(val), features, name, seed, **best)
-    return best, rows, refit
+    return best, rows, fit(train.unionByName(val), features, name, seed, **best)
+
+
+def stratified_folds(df: DataFrame, key: str, folds: int = 5, label: str = "fraud_label") -> DataFrame:
+    """Adds ``fold``: each class is dealt to the folds in the order of a hash of the
+    key, so every fold has the same share of each class (to one row)."""
+    from riskloom.operators.ordering import running_totals
+    one = "_rl_one"
+    h = df.withColumn("_rl_h", F.xxhash64(key)).withColumn(one, F.lit(1).cast("long"))
+    placed = running_totals(h, [label], ["_rl_h", key], [one])
+    return placed.withColumn("fold", F.pmod(F.col(f"cum_{one}") - 1, F.lit(folds)).cast("int")).drop("_rl_h", one, f"cum_{one}")
+
+
+def cross_validate(pool: DataFrame, features: Sequence[str], name: str, key: str, grid: dict | None = None, folds: int = 5, seed: int = 42):
+    """ML-3: stratified k-fold grid search on F1 over train + validation, refitted on
+    the whole pool with the best point.  Returns (best params, table rows, model)."""
+    dealt = stratified_folds(pool, key, folds).persist()
+    rows, best, best_f1 = [], None, -1.0
+    for params in grid_points(name, grid):
+        f1s = [_f1(fit(dealt.where(F.col("fold") != i), features, name, seed, **params), dealt.where(F.col("fold") == i), key) for i in range(folds)]
+        mean = sum(f1s) / folds
+        rows.append((name, str(sorted(params.items())), mean))
+        if mean > best_f1:
+            best, best_f1 = params, mean
+    model = fit(dealt, features, name, seed, **best)
+    dealt.unpersist()
+    return best, rows, model
+
+
+def seed_refits(pool: DataFrame, test: DataFrame, features: Sequence[str], params: dict[str, dict], seeds: Sequence[int]) -> DataFrame:
+    """ML-5: every model refitted on train + validation with fixed parameters and each
+    seed, evaluated on test: (model, seed, metric, value), ``ring_recall``
+    being the share of fraudulent ring claims that are caught (0 without any)."""
+    out = None
+    ring = test.select("claim_id", "ring_id")
+    for name, own in params.items():
+        for seed in seeds:
+            scored = model_score(fit(pool, features, name, seed, **own), test).join(ring, "claim_id")
+            rare = (F.col("ring_id") > 0) & (F.col("fraud_label") == 1)
+            caught = scored.agg(F.coalesce(F.try_divide(F.count_if(rare & F.col("ml_prediction")), F.count_if(rare)), F.lit(0.0)).alias("ring_recall"))
+            m = evaluate(scored).select("accuracy", "precision", "recall", "f1", "roc_auc").crossJoin(caught)
+            m = m.select(F.lit(name).alias("model"), F.lit(seed).alias("seed"), *[F.col(c).cast("double").alias(c) for c in m.columns])
+            out = m if out is None else out.unionByName(m)
+    return out.unpivot(["model", "seed"], ["accuracy", "precision", "recall", "f1", "roc_auc", "ring_recall"], "metric", "value")
 
 
 def importances(model, features: Sequence[str], top: int = 20) -> list[tuple[str, float]]:
