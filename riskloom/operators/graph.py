@@ -104,7 +104,7 @@ def sample_neighbors(edges: DataFrame, seeds: DataFrame, relation: str, fanout:
     """
     e = edges.where(F.col("relation") == relation).select(F.col("src").alias("node"), F.col("dst").alias("nbr"))
     j = seeds.select("node").distinct().join(e, "node") \
-             .withColumn("_h", F.xxhash64(F.col("node"), F.col("nbr"), F.lit(seed_salt)))
+             .withColumn("_h", F.md5(F.concat_ws(":", F.col("node").cast("string"), F.col("nbr").cast("string"), F.lit(str(seed_salt)))))
     return top_k_per_group(j, ["node"], ["_h", "nbr"], fanout, salts).select("node", "nbr", "rank")
 
 

@@ -75,12 +75,19 @@ def claim_node_features(spark, d):
     return gr.zscore_columns(c, ["claim_amount", "num_procedures", "days_in_hospital"])
 
 
-@query("node_id_map", with_(CLAIMS) + """
-SELECT 'doctor' AS node_type, doctor_id AS id, row_number() OVER (ORDER BY doctor_id) - 1 AS idx
-FROM (SELECT DISTINCT doctor_id FROM claims)""")
+NODE_KEYS = {"claim": "claim_id", "patient": "patient_id", "doctor": "doctor_id", "hospital": "hospital_id"}
+
+
+@query("node_id_map", with_(CLAIMS) + " UNION ALL ".join(f"""
+SELECT '{t}' AS node_type, CAST({k} AS BIGINT) AS id, row_number() OVER (ORDER BY {k}) - 1 AS idx
+FROM (SELECT DISTINCT {k} FROM claims WHERE {k} IS NOT NULL)""" for t, k in NODE_KEYS.items()))
 def node_id_map(spark, d):
-    """WN-12: contiguous doctor ids in id order."""
-    return gr.build_id_map(base.claims(spark, d), "doctor", "doctor_id")
+    """WN-12 / SO-14: contiguous ids of all four node types in id order."""
+    out = None
+    for t, k in NODE_KEYS.items():
+        m = gr.build_id_map(base.claims(spark, d).where(F.col(k).isNotNull()), t, k).withColumn("id", F.col("id").cast("long"))
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 SEEDS_SQL = """
@@ -138,7 +145,11 @@ def neighbor_features(spark, d):
     return s.select("claim_id", "doctor_id").join(doc, "doctor_id", "left").join(r2, "doctor_id", "left").drop("doctor_id")
 
 
-@query("neighbor_sample", None)
+@query("neighbor_sample", SCORED_W.rstrip("\n") + "," + SEEDS_SQL + """,
+sd AS (SELECT DISTINCT c.doctor_id AS node FROM seeds s JOIN claims c ON c.claim_id = s.seed)
+SELECT node, nbr, rank FROM (
+  SELECT sd.node, c.claim_id AS nbr, CAST(row_number() OVER (PARTITION BY sd.node ORDER BY md5(concat_ws(':', CAST(sd.node AS VARCHAR), CAST(c.claim_id AS VARCHAR), '0')), c.claim_id) AS INTEGER) AS rank
+  FROM sd JOIN claims c ON c.doctor_id = sd.node) WHERE rank <= 10""")
 def neighbor_sample(spark, d):
     """GR-5: fan-out 10 doctors' claims per seed doctor (hash order, salted two-level top-f)."""
     sd = seeds(spark, d).join(base.claims(spark, d).select(F.col("claim_id").alias("node"), "doctor_id"), "node") \

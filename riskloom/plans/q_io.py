@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import graph as gr
 from riskloom.plans import base
 from riskloom.plans.q_eval import METRICS_LONG_SQL, metrics_long
-from riskloom.plans.q_graph import edges_view
+from riskloom.plans.q_graph import edges_view, node_id_map
 from riskloom.plans.registry import query
 from riskloom.plans.sql_base import LOG_W, SCORED_W, SPLIT_W
 from riskloom.sources import sinks
@@ -90,13 +90,15 @@ def metrics_json_roundtrip(spark, d):
     return sinks.read_metrics(spark, path + "/m.json", "model string, seed int, metric string, value double")
 
 
-@query("graph_files_verified", None)
+@query("graph_files_verified", """
+SELECT * FROM (VALUES ('edges', true, true, CAST([] AS VARCHAR[])), ('id_maps', true, true, []), ('rings', true, true, []),
+  ('missing', false, false, ['x'])) t(output, "exists", has_rows, missing)""")
 def graph_files_verified(spark, d):
     """SO-14 + SO-18: graph written (edges by relation, id maps, rings), then
     checked for existence, rows and required columns."""
     path = _scratch(spark, "graph")
     e = edges_view(spark, d)
-    ids = gr.build_id_map(base.claims(spark, d), "doctor", "doctor_id")
+    ids = node_id_map(spark, d)
     rings = gr.ring_members(base.claims(spark, d))
     sinks.write_graph(e, ids, rings, path)
     return sinks.verify_outputs(spark, {
