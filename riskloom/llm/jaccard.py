@@ -7,8 +7,9 @@ Documents with the same word sequence are one *node*.  For a similarity ``t``:
    ``n - ceil(t n) + 1`` of each (prefix filter), so only n-grams that occur in the prefixes of several
    nodes matter; they are found per hash range, very frequent ones over several
    tasks, since the sketch tells which they are.
-2. Every node is compared with one *leader*, the smallest node that shares most of
-   its prefix n-grams.  The links found join most copies at a linear cost.
+2. Every node is compared with a few *leaders*: in each of ``STARS`` hash orders the
+   first node of an n-gram leads it, and a node's leader is the one that shares most of its prefix
+   n-grams.  The links found join most copies at a linear cost.
 3. What is left are n-grams that connect different components.  Their nodes are
    sorted into tiles of one size band; a pair of tiles is compared by
    bitmaps (the parity of hashed n-grams, as wide as the sets need): the bits that
@@ -39,6 +40,8 @@ SLICES = 64
 RANGE_BYTES = 8 << 20       # text bytes whose prefixes one hash range serves
 TILE = 256                  # nodes of a tile
 BLOOM_BITS = 1 << 28        # most bits of the filter of active nodes
+STARS = 6                   # leaders that a node is compared with, in different hash orders
+FIRST_STARS = 2             # the others only while the node is still apart from them
 PREFIX_HOT = 2000           # estimated occurrences of an n-gram per task
 
 
@@ -312,8 +315,8 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFra
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root: the smallest node of its
-    component.  Large-star and small-star steps until nothing changes; every
-    step is stored, and only its checksum reaches the driver."""
+    component.  Large-star and small-star steps until all edges point to roots;
+    every step is stored."""
     def stars(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
         if not large:
@@ -328,13 +331,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     # a > b in all edges from here on
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
     while True:
         e = stored(stars(stars(e, True), False))
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == mark:
+        # done when every node points to one node and that one points to none
+        twice = e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        if twice.union(e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_semi")).isEmpty():
             break
-        mark = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
 
 
@@ -355,7 +357,7 @@ def _prune(similar: int):
         for b in batches:
             ok = may_link(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), similar)
             take = pa.array(np.flatnonzero(ok))
-            yield pa.record_batch({"a": b.column("a").take(take), "b": b.column("b").take(take)})
+            yield pa.record_batch({c: b.column(c).take(take) for c in ("a", "b", "star")})
     return run
 
 
@@ -429,6 +431,12 @@ def _named(roots: DataFrame, side: str) -> DataFrame:
     return roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    both = pairs.join(_named(roots, "a"), "a", "left").join(_named(roots, "b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(pairs.columns)
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -455,37 +463,47 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     active = common.select("node").distinct()
     bits = stored(meta.where("bits IS NOT NULL").join(active, "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n")))
 
-    # each node and the leader with which it shares most prefix n-grams
-    leaders = common.groupBy("gram").agg(F.min(F.struct("n", "node")).alias("leader"), F.count("*").alias("nodes")).where("nodes > 1")
-    votes = (common.join(leaders.select("gram", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")), "gram")
-             .where("node <> leader").where(100 * F.col("leader_n") >= similar * F.col("n"))
-             .groupBy(F.col("node").alias("b"), F.col("leader").alias("a")).count())
-    chosen = votes.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+    # each node and, for each of STARS hash orders, the leader that shares most of its prefix n-grams
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n")) for r in range(STARS)]
+    leaders = common.groupBy("gram").agg(F.array(*first).alias("leaders"), F.count("*").alias("nodes")).where("nodes > 1")
+    votes = (common.join(leaders, "gram").select("node", "n", F.posexplode("leaders").alias("star", "l")).where(F.col("l.node") != F.col("node"))
+             .where(100 * F.least("n", "l.n") >= similar * F.greatest("n", "l.n"))
+             .groupBy("node", "star", F.col("l.node").alias("leader")).count())
+    chosen = votes.groupBy("node", "star").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    chosen = chosen.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.min("star").alias("star"))
     one, two = (bits.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
-    chosen = stored(chosen.join(two, "b").join(one, "a").select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(_prune(similar), "a long, b long"))
+    chosen = stored(chosen.join(two, "b").join(one, "a").select("a", "b", "star", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(_prune(similar), "a long, b long, star int"))
     sets = node_sets(known, chosen.select(F.col("a").alias("node")).union(chosen.select("b")).distinct(), words)
-    links = stored(verify(chosen, sets, similar))
+    links = stored(verify(chosen.where(F.col("star") < FIRST_STARS), sets, similar))
     roots = stored(components(links))
+    later = _apart(chosen.where(F.col("star") >= FIRST_STARS), roots)
+    more = stored(verify(later.select("a", "b"), sets, similar))
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = stored(components(links))
 
     # n-grams that connect different components
     rooted = common.join(roots, "node", "left").select("gram", "node", "n", "indexed", F.coalesce("root", "node").alias("root"))
     left = stored(tile_candidates(rooted, bits, ranges, similar).join(
-        chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        chosen.select("a", "b"), ["a", "b"], "left_anti"))
     needed = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
     sets = sets.union(node_sets(known, needed.join(sets, "node", "left_anti"), words).join(sets, "node", "left_anti"))
-    for last in (False, False, True):
+    for last in (False, True):
+        if left.isEmpty():
+            break
         # one pair of each two components first: most links join the same components
         rank = F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p")
         tried = left if last else left.join(_named(roots, "a"), "a", "left").join(_named(roots, "b"), "b", "left").groupBy(
             F.least(F.coalesce("root_a", "a"), F.coalesce("root_b", "b")).alias("r"), F.greatest(F.coalesce("root_a", "a"), F.coalesce("root_b", "b")).alias("s")
         ).agg(rank).select("p.a", "p.b")
         tried = stored(tried.select("a", "b"))
-        links = stored(links.union(verify(tried, sets, similar)))
-        roots = stored(components(links))
+        more = stored(verify(tried, sets, similar))
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = stored(components(links))
         if last:
             break
-        left = stored(left.join(tried, ["a", "b"], "left_anti").join(_named(roots, "a"), "a", "left").join(_named(roots, "b"), "b", "left")
-                      .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "bound"))
+        left = stored(_apart(left.join(tried, ["a", "b"], "left_anti"), roots))
     final = roots
 
     nodes = meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
