@@ -53,6 +53,16 @@ def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n"))
 
 
+def class_report(df: DataFrame, label: Column, pred: Column) -> DataFrame:
+    """EV-5: precision, recall, F1 (0 on empty denominators) and support per class."""
+    x = df.select(label.cast("int").alias("y"), pred.cast("int").alias("p"))
+    one = x.agg(*[F.count_if(cond).alias(f"{n}{k}") for k in (0, 1) for n, cond in (
+        ("tp", (F.col("y") == k) & (F.col("p") == k)), ("fp", (F.col("y") != k) & (F.col("p") == k)), ("fn", (F.col("y") == k) & (F.col("p") != k)))])
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"tp{k}").alias("tp"), F.col(f"fp{k}").alias("fp"), F.col(f"fn{k}").alias("fn")) for k in (0, 1)])))
+    r = rows.select("class", (F.col("tp") + F.col("fn")).alias("support"), _div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+    return r.withColumn("f1", _div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
 def score_table(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Distinct scores with positive/negative counts and inclusive cumulative
     counts in *descending* score order (``ctp``, ``cfp``)."""

@@ -23,6 +23,15 @@ def label_correlation(df: DataFrame, cols: Sequence[str], label: str = "fraud_la
     return one.unpivot([], list(cols), "feature", "corr")
 
 
+def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """AG-13: Pearson correlation of every two columns, in one aggregation -> (feature1, feature2, corr)."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+    cell = lambda a, b, c: F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(f"`{c}`").alias("corr"))
+    rows = [cell(a, b, f"{a}|{b}") for a, b in pairs] + [cell(b, a, f"{a}|{b}") for a, b in pairs if a != b]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def attribution_stats(train: DataFrame, cols: Sequence[str], weights: DataFrame) -> DataFrame:
     """One row: training mean ``m_``, population std ``s_`` (zero or null: 1) and
     weight ``w_`` (missing: 0) of each feature.  ``weights`` is (feature, w)."""

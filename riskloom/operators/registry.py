@@ -55,6 +55,16 @@ def compare_versions(state: DataFrame, a: str, b: str) -> DataFrame:
                                  F.when(F.col("f1_b") > F.col("f1_a"), F.lit(b)).otherwise(F.lit(a)).alias("better"))
 
 
+def task_log(tasks: DataFrame) -> DataFrame:
+    """RG-6: task results (task_id, task, ts, ok) as log rows, appended like model events."""
+    return tasks.select("task_id", "task", "ts", F.when(F.col("ok"), F.lit("completed")).otherwise(F.lit("failed")).alias("status"))
+
+
+def newest_tasks(log: DataFrame, n: int) -> DataFrame:
+    """RG-6: the newest ``n`` task results (the id breaks ties)."""
+    return log.orderBy(F.col("ts").desc(), F.col("task_id").desc()).limit(n)
+
+
 def record_drift(events: DataFrame, drift: DataFrame, version_col: str = "active_version") -> DataFrame:
     """DR-14: append a drift event for the active version (latest wins when read)."""
     return drift.select(F.col(version_col).alias("version"), F.lit("drift").alias("event"),

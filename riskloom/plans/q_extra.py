@@ -17,7 +17,8 @@ from riskloom.operators.ordering import top_k_per_group
 from riskloom.plans import base
 from riskloom.plans.q_compliance import AUDIT_REPORT_SQL, AUDIT_WINDOW, CONSENT_CTE, GDPR_SQL, _mask_value_sql, consent_events
 from riskloom.plans.q_eval import METRICS_LONG_SQL, metrics_long
-from riskloom.plans.q_explain import ATTR_SQL, attributions, test_features
+from riskloom.operators import explain as ix
+from riskloom.plans.q_explain import ATTR_SQL, XCOLS, _FEAT_CTES, attributions, test_features
 from riskloom.plans.q_monitor import (AS_OF, AS_OF_SQL, KLJS_SQL, PERIOD_METRICS_SQL, QCHECK_SQL, period_metrics,
                                       quality_checked)
 from riskloom.plans.q_ops import EVENTS_SQL, model_events
@@ -25,11 +26,14 @@ from riskloom.operators.encode import apply_scaler, fit_scaler
 from riskloom.operators.provider import FEATURE_COLUMNS as PROVIDER_FEATURES
 from riskloom.plans.q_provider import provider_features
 from riskloom.plans.registry import query
-from riskloom.plans.sql_base import LOG_W, SCORED_W, with_, CLAIMS
+from riskloom.plans.sql_base import LOG_W, SCORED_W, SPLIT_W, with_, CLAIMS
 from riskloom.sources.tables import spread
 from riskloom.operators import compliance as cp
 
 
+ATTR_BASE_SQL = SPLIT_W.rstrip("\n") + ",\n" + _FEAT_CTES + "\n"
+
+
 def feedback(spark, d):
     """Late labels: every third prediction later receives a label (value > 250)."""
     e = base.read(spark, d, "events").where(F.pmod("event_id", F.lit(3)) == 0)
@@ -175,15 +179,79 @@ def registry_drift(spark, d):
 
 @query("latest_quality_alerts", QCHECK_SQL + """,
 lastn AS (SELECT * FROM qs ORDER BY claim_date DESC, claim_id DESC LIMIT 50)
-SELECT CASE WHEN crit > 0 THEN 'critical' ELSE 'warning' END AS severity, count(*) AS records
-FROM lastn WHERE crit + warn > 0 GROUP BY 1""")
+SELECT * FROM (SELECT 'critical' AS severity, CAST(sum(crit) AS BIGINT) AS alerts, count(*) FILTER (WHERE crit > 0) AS records FROM lastn
+  UNION ALL SELECT 'warning', CAST(sum(warn) AS BIGINT), count(*) FILTER (WHERE warn > 0) FROM lastn) WHERE alerts > 0""")
 def latest_quality_alerts(spark, d):
-    """DQ-11: severity counts over the newest 50 checked records that raised alerts."""
+    """DQ-11: alerts by severity, and records that have them, of the newest 50 checked records."""
     q = quality_checked(spark, d)
     last = q.orderBy(F.col("ts").desc(), F.col("record_id").desc()).limit(50)
-    return last.where(F.size("alerts") > 0).groupBy(
-        F.when(F.col("critical_alerts") > 0, F.lit("critical")).otherwise(F.lit("warning")).alias("severity")) \
-        .agg(F.count(F.lit(1)).alias("records"))
+    return last.select("record_id", F.explode("alerts").alias("a")).groupBy(F.col("a.severity").alias("severity")) \
+        .agg(F.count(F.lit(1)).alias("alerts"), F.count_distinct("record_id").alias("records"))
+
+
+@query("quality_alert_feed", QCHECK_SQL + """,
+lastn AS (SELECT * FROM qs WHERE crit + warn > 0 ORDER BY claim_date DESC, claim_id DESC LIMIT 50)
+SELECT claim_id AS record_id, field, CAST(n AS BIGINT) AS alerts FROM (
+  SELECT claim_id, crit + f_claim_amount AS claim_amount, f_num_procedures AS num_procedures, f_days_in_hospital AS days_in_hospital,
+         f_insurance_type AS insurance_type FROM lastn)
+UNPIVOT (n FOR field IN (claim_amount, num_procedures, days_in_hospital, insurance_type)) WHERE n > 0""")
+def quality_alert_feed(spark, d):
+    """DQ-11: the alerts of the newest 50 records that raised any, per record and field."""
+    q = quality_checked(spark, d).where(F.size("alerts") > 0)
+    last = q.orderBy(F.col("ts").desc(), F.col("record_id").desc()).limit(50)
+    return last.select("record_id", F.explode("alerts").alias("a")).groupBy("record_id", F.col("a.field").alias("field")).agg(F.count(F.lit(1)).alias("alerts"))
+
+
+@query("class_report", SCORED_W + """,
+t AS (SELECT fraud_label AS y, CAST(fraud_prediction AS INTEGER) AS p FROM scored WHERE split = 'test'),
+c AS (SELECT k AS class, count(*) FILTER (WHERE y = k AND p = k) AS tp, count(*) FILTER (WHERE y <> k AND p = k) AS fp,
+             count(*) FILTER (WHERE y = k AND p <> k) AS fn, count(*) FILTER (WHERE y = k) AS support FROM t CROSS JOIN (VALUES (0), (1)) v(k) GROUP BY k),
+r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall FROM c)
+SELECT class, support, precision, recall, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM r""")
+def class_report(spark, d):
+    """EV-5: precision, recall, F1 and support of each class on the test claims."""
+    t = base.scored(spark, d).where("split = 'test'")
+    return ev.class_report(t, F.col("fraud_label"), F.col("fraud_prediction").cast("int"))
+
+
+@query("two_hop_groups", SCORED_W + """
+SELECT claim_id, doctor_id, count(*) OVER w - 1 AS others, avg(fraud_score) OVER w AS group_score, max(claim_amount) OVER w AS group_max_amount
+FROM scored WINDOW w AS (PARTITION BY doctor_id)""")
+def two_hop_groups(spark, d):
+    """GR-4 for every claim: its two-hop neighbours are the other claims of its doctor,
+    described by the group (id, size, aggregates) and never listed as pairs."""
+    s = base.scored(spark, d)
+    g = s.groupBy("doctor_id").agg((F.count(F.lit(1)) - 1).alias("others"), F.avg("fraud_score").alias("group_score"), F.max("claim_amount").alias("group_max_amount"))
+    return s.select("claim_id", "doctor_id").join(g, "doctor_id")
+
+
+@query("task_history", """
+SELECT event_id AS task_id, event_type AS task, ts, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 20""")
+def task_history(spark, d):
+    """RG-6: task results appended to a log (here one per event); the newest 20."""
+    e = base.read(spark, d, "events")
+    log = rg.task_log(e.select(F.col("event_id").alias("task_id"), F.col("event_type").alias("task"), "ts", (F.col("event_type") != "error").alias("ok")))
+    return rg.newest_tasks(log, 20)
+
+
+CORR12 = XCOLS[:12]
+
+
+@query("correlation_matrix", ATTR_BASE_SQL + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature1, '{b}' AS feature2, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS corr FROM ff WHERE split = 'train'" for a in CORR12 for b in CORR12))
+def correlation_matrix(spark, d):
+    """AG-13: the 12 x 12 correlation matrix of the training features, in one aggregation."""
+    return ix.correlation_matrix(base.features(spark, d).where("split = 'train'"), CORR12)
+
+
+@query("label_correlation_top", ATTR_BASE_SQL + "SELECT * FROM (SELECT * FROM (SELECT " + ", ".join(
+    f"corr(CAST({c} AS DOUBLE), CAST(fraud_label AS DOUBLE)) AS {c}" for c in XCOLS) +
+    " FROM ff WHERE split = 'train') UNPIVOT (corr FOR feature IN (" + ", ".join(XCOLS) + "))) ORDER BY abs(corr) DESC, feature LIMIT 20")
+def label_correlation_top(spark, d):
+    """AG-13: the 20 features of largest absolute correlation with the label."""
+    c = ix.label_correlation(base.features(spark, d).where("split = 'train'"), XCOLS)
+    return c.where("corr IS NOT NULL").orderBy(F.abs("corr").desc(), "feature").limit(20)
 
 
 @query("explanation_lookup", ATTR_SQL + """

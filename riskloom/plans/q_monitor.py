@@ -334,25 +334,29 @@ dirty AS (SELECT claim_id, claim_date,
                  num_procedures, days_in_hospital,
                  CASE WHEN claim_id % 37 = 0 THEN 'X-UNKNOWN' ELSE insurance_type END AS insurance_type
           FROM split),
-al AS (
+al0 AS (
   SELECT d.claim_id, d.claim_date,
     (CASE WHEN d.claim_amount IS NULL THEN 1 ELSE 0 END) AS crit,
     (CASE WHEN d.claim_amount < 0.0 THEN 1 ELSE 0 END) + (CASE WHEN d.claim_amount > 100000.0 THEN 1 ELSE 0 END)
-    + (CASE WHEN d.num_procedures < 1.0 THEN 1 ELSE 0 END) + (CASE WHEN d.num_procedures > 50.0 THEN 1 ELSE 0 END)
-    + (CASE WHEN NOT list_contains(cats.allowed, d.insurance_type) THEN 1 ELSE 0 END)
     + (CASE WHEN p1.stdev > 0 AND abs((d.claim_amount - p1.mean) / p1.stdev) > 3.0 THEN 1 ELSE 0 END)
     + (CASE WHEN p1.q3 - p1.q1 > 0 AND (d.claim_amount < p1.q1 - 1.5 * (p1.q3 - p1.q1)
-                                      OR d.claim_amount > p1.q3 + 1.5 * (p1.q3 - p1.q1)) THEN 1 ELSE 0 END)
+                                      OR d.claim_amount > p1.q3 + 1.5 * (p1.q3 - p1.q1)) THEN 1 ELSE 0 END) AS f_claim_amount,
+    (CASE WHEN d.num_procedures < 1.0 THEN 1 ELSE 0 END) + (CASE WHEN d.num_procedures > 50.0 THEN 1 ELSE 0 END)
     + (CASE WHEN p2.stdev > 0 AND abs((d.num_procedures - p2.mean) / p2.stdev) > 3.0 THEN 1 ELSE 0 END)
     + (CASE WHEN p2.q3 - p2.q1 > 0 AND (d.num_procedures < p2.q1 - 1.5 * (p2.q3 - p2.q1)
-                                      OR d.num_procedures > p2.q3 + 1.5 * (p2.q3 - p2.q1)) THEN 1 ELSE 0 END)
-    + (CASE WHEN p3.stdev > 0 AND abs((d.days_in_hospital - p3.mean) / p3.stdev) > 3.0 THEN 1 ELSE 0 END)
+                                      OR d.num_procedures > p2.q3 + 1.5 * (p2.q3 - p2.q1)) THEN 1 ELSE 0 END) AS f_num_procedures,
+    (CASE WHEN p3.stdev > 0 AND abs((d.days_in_hospital - p3.mean) / p3.stdev) > 3.0 THEN 1 ELSE 0 END)
     + (CASE WHEN p3.q3 - p3.q1 > 0 AND (d.days_in_hospital < p3.q1 - 1.5 * (p3.q3 - p3.q1)
-                                      OR d.days_in_hospital > p3.q3 + 1.5 * (p3.q3 - p3.q1)) THEN 1 ELSE 0 END) AS warn
+                                      OR d.days_in_hospital > p3.q3 + 1.5 * (p3.q3 - p3.q1)) THEN 1 ELSE 0 END) AS f_days_in_hospital,
+    (CASE WHEN NOT list_contains(cats.allowed, d.insurance_type) THEN 1 ELSE 0 END) AS f_insurance_type
   FROM dirty d CROSS JOIN cats
   CROSS JOIN (SELECT * FROM qp WHERE feature = 'claim_amount') p1
   CROSS JOIN (SELECT * FROM qp WHERE feature = 'num_procedures') p2
   CROSS JOIN (SELECT * FROM qp WHERE feature = 'days_in_hospital') p3),
+al AS (SELECT *, f_claim_amount + f_num_procedures + f_days_in_hospital + f_insurance_type AS warn FROM al0),
+fields AS (SELECT * FROM (SELECT sum(crit + f_claim_amount) AS claim_amount, sum(f_num_procedures) AS num_procedures,
+                                 sum(f_days_in_hospital) AS days_in_hospital, sum(f_insurance_type) AS insurance_type FROM al)
+           UNPIVOT (n FOR field IN (claim_amount, num_procedures, days_in_hospital, insurance_type))),
 qs AS (SELECT *, least(greatest(100 - 20 * crit - 5 * warn, 0), 100) AS quality_score FROM al)
 """
 
@@ -392,15 +396,12 @@ SELECT count(*) AS total_records_checked, coalesce(avg(quality_score), 100.0) AS
             WHEN (SELECT avg(quality_score) FROM (SELECT quality_score FROM qs ORDER BY claim_date DESC, claim_id DESC
                                                 LIMIT 100)) >= 70 THEN 'watch' ELSE 'degrading' END AS quality_trend,
        CASE WHEN avg(quality_score) >= 90 THEN 'A' WHEN avg(quality_score) >= 80 THEN 'B'
-            WHEN avg(quality_score) >= 70 THEN 'C' ELSE 'D' END AS grade
+            WHEN avg(quality_score) >= 70 THEN 'C' ELSE 'D' END AS grade,
+       (SELECT list(field ORDER BY n DESC, field) FROM (SELECT * FROM fields WHERE n > 0 ORDER BY n DESC, field LIMIT 5)) AS top_issue_fields
 FROM qs""")
 def quality_score_summary(spark, d):
     """DQ-10 + DQ-12 (no 100-row cap on the batch; recent = newest 100)."""
-    return quality_summary_without_fields(quality_checked(spark, d))
-
-
-def quality_summary_without_fields(checked):
-    return dq.quality_summary(checked).drop("top_issue_fields")
+    return dq.quality_summary(quality_checked(spark, d))
 
 
 @query("table_expectations", with_(CLAIMS) + """
