@@ -10,7 +10,7 @@ Documents with the same word sequence are one *node*.  For a similarity ``t``:
 2. Every node is compared with a few *leaders*: in each of ``STARS`` hash orders the
    first node of an n-gram leads it, and a node's leader is the one that shares most of its prefix
    n-grams.  The links found join most copies at a linear cost.
-3. What is left are n-grams that connect different components.  Their nodes are
+3. What is left are leaders whose nodes are in different components.  These nodes are
    sorted into tiles of one size band; a pair of tiles is compared by
    bitmaps (the parity of hashed n-grams, as wide as the sets need): the bits that
    differ bound the overlap from above.  Pairs inside one component are not looked at.
@@ -365,12 +365,12 @@ def _compare_tiles(similar: int):
     """Pairs of different components in a task's tile pairs that the prefix, size
     and bitmap bounds leave, with the bound of their similarity."""
     def run(table):
-        gram, tile_a, tile_b, side = (table.column(c).to_numpy() for c in ("gram", "tile_a", "tile_b", "side"))
+        leader, tile_a, tile_b, side = (table.column(c).to_numpy() for c in ("leader", "tile_a", "tile_b", "side"))
         node, n, root, indexed = (table.column(c).to_numpy() for c in ("node", "n", "root", "indexed"))
         maps = table.column("bits").to_pylist()
         wide = np.array([len(m) // 8 for m in maps])
-        order = np.lexsort((n, tile_b, tile_a, gram))
-        key = np.stack([gram, tile_a, tile_b])[:, order]
+        order = np.lexsort((n, tile_b, tile_a, leader))
+        key = np.stack([leader, tile_a, tile_b])[:, order]
         cuts = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
         found = [np.zeros((3, 0), np.int64)]
         for s, e in zip(cuts, cuts[1:]):
@@ -400,15 +400,15 @@ def _compare_tiles(similar: int):
 
 
 def tile_candidates(rows: DataFrame, bits: DataFrame, tasks: int, similar: int = SIMILAR) -> DataFrame:
-    """Pairs (a, b, bound) that may link, from rows (gram, node, n, indexed, root).
+    """Pairs (a, b, bound) that may link, from rows (leader, node, n, indexed, root).
 
-    An n-gram's nodes form tiles by size band and hash; every pair of tiles of
+    A leader's nodes form tiles by size band and hash; every pair of tiles of
     the same or of neighbouring bands is compared in one place.
     """
-    groups = rows.groupBy("gram").agg(F.count("*").alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    groups = rows.groupBy("leader").agg(F.count("*").alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     split = F.ceil(F.col("nodes") / TILE)
     log = math.log(100 / similar)
-    own = (rows.join(groups.select("gram", "nodes"), "gram")
+    own = (rows.join(groups.select("leader", "nodes"), "leader")
            .join(bits.select("node", "bits"), "node")
            .withColumn("band", F.when(split > 1, F.floor(F.log(F.col("n").cast("double")) / log + 1e-9)).otherwise(0))
            .withColumn("split", split).withColumn("part", F.pmod(F.xxhash64("node"), split)))
@@ -422,8 +422,8 @@ def tile_candidates(rows: DataFrame, bits: DataFrame, tasks: int, similar: int =
     up = F.transform(parts, lambda p: F.struct(me.alias("tile_a"), tile(F.col("band") + 1, p).alias("tile_b"), F.lit(0).alias("side")))
     down = F.transform(parts, lambda p: F.struct(tile(F.col("band") - 1, p).alias("tile_a"), me.alias("tile_b"), F.lit(1).alias("side")))
     places = F.when(F.col("split") > 1, F.concat(same, up, down)).otherwise(same)
-    placed = own.select("gram", "node", "n", "indexed", "root", "bits", F.inline(places))
-    dealt = placed.withColumn("task", F.pmod(F.xxhash64("gram", "tile_a", "tile_b"), tasks))
+    placed = own.select("leader", "node", "n", "indexed", "root", "bits", F.inline(places))
+    dealt = placed.withColumn("task", F.pmod(F.xxhash64("leader", "tile_a", "tile_b"), tasks))
     return dealt.groupBy("task").applyInArrow(_compare_tiles(similar), "a long, b long, bound long").distinct()
 
 
@@ -482,8 +482,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         links = links.union(more)
         roots = stored(components(links))
 
-    # n-grams that connect different components
-    rooted = common.join(roots, "node", "left").select("gram", "node", "n", "indexed", F.coalesce("root", "node").alias("root"))
+    # nodes that share an n-gram share its leader: one row per leader and node instead of one per n-gram
+    led = (common.join(leaders.select("gram", F.col("leaders")[0]["node"].alias("leader")), "gram")
+           .groupBy("leader", "node").agg(F.first("n").alias("n"), F.bool_or("indexed").alias("indexed")))
+    rooted = led.join(roots, "node", "left").select("leader", "node", "n", "indexed", F.coalesce("root", "node").alias("root"))
     left = stored(tile_candidates(rooted, bits, ranges, similar).join(
         chosen.select("a", "b"), ["a", "b"], "left_anti"))
     needed = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
