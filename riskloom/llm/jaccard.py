@@ -255,7 +255,7 @@ def _bloom(nodes: DataFrame, count: int) -> tuple[np.ndarray, int]:
     bits = min(max(64, 1 << (16 * max(count, 1) - 1).bit_length()), BLOOM_BITS)
     where = F.explode(F.array(F.col("node").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("node", 32).bitwiseAND(F.lit(bits - 1))))
     words = (nodes.select(where.alias("at")).groupBy(F.shiftright("at", 5).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 AS INT))")).alias("bits")).toPandas())
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 AS INT))")).alias("bits")).toArrow().to_pandas())
     out = np.zeros(bits // 32, np.uint32)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
     return out, bits

@@ -201,9 +201,9 @@ def train(docs: DataFrame, lang: Column, text: Column, calibrate: Column) -> Lan
     grams = stored(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     keyed = _tables_of(grams).mapInArrow(_hash_keys, "lang string, kind string, key int, value double")
     # at most 2^KEY_BITS rows per language and kind reach the driver
-    entries = keyed.groupBy("lang", "kind", "key").agg(F.max("value").cast("float").alias("value")).toPandas()
-    model = LanguageModel(langs=sorted(entries["lang"].unique()))
-    for (name, kind), part in entries.groupby(["lang", "kind"], sort=False):
+    entries = keyed.groupBy("lang", "kind", "key").agg(F.max("value").cast("float").alias("value")).toArrow().to_pandas(strings_to_categorical=True)
+    model = LanguageModel(langs=sorted(map(str, entries["lang"].unique())))
+    for (name, kind), part in entries.groupby(["lang", "kind"], sort=False, observed=True):
         key = part["key"].to_numpy().astype(np.uint32)
         o = np.argsort(key)
         model.tables[name, kind] = (key[o], part["value"].to_numpy()[o].astype(np.float64))

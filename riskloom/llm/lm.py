@@ -200,7 +200,7 @@ def score(docs: DataFrame, held_out: Column, fold: Column, id_col: str = "doc_id
 
     answered = answers.where("block >= 0")
     bins = (dealt.where(F.col("role") == TUNE).groupBy("block").cogroup(answered.where(F.col("block") % 3 == TUNE).groupBy("block"))
-            .applyInArrow(tune, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas())
+            .applyInArrow(tune, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow().to_pandas())
     weights = learn_weights(bins["code"].to_numpy().astype(np.int64), bins["n"].to_numpy().astype(float), vocabulary)
 
     def final(left, right):
