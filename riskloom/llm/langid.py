@@ -3,9 +3,13 @@
 Training counts every character 4-gram of every training text, per language:
 workers pre-aggregate whole partitions with numpy, Spark sums them, and the
 Kneser-Ney quantities (continuation counts, discounts, back-off masses) are
-DataFrame aggregations over the distinct n-grams.  For the workers, each
-language and order becomes a sorted array of hashed n-grams with its values; a
-hash has ``KEY_BITS`` bits, so a model is bounded whatever the corpus.
+DataFrame aggregations over the distinct n-grams.  The model is a stored table
+of whole n-grams (16 bits a character; letters beyond the first 65,536 code points are
+folded into them) with their values.  A table of at most ``HELD_ENTRIES`` rows
+goes to the workers as sorted arrays per language and order.  A larger one stays
+where it is: texts are dealt to blocks, and each block's distinct n-grams are
+joined with the table, so a worker holds only the entries that its block needs.
+Both ways look up the same entries and give the same results.
 
 A text gets the language of the lowest cross-entropy per character.  A
 held-out tenth of the training documents calibrates the softmax temperature of
@@ -16,17 +20,20 @@ Texts are lower-cased; letters stay, every other run is one space.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskloom.llm.common import mix, row_groups, stored, text_buffer
+from riskloom.llm.common import row_groups, stored, text_buffer
 
 ORDER = 4
-KEY_BITS = 21
+HELD_ENTRIES = 1 << 21     # largest model that is sent to the workers whole
+BLOCK_BYTES = 8 << 20      # text joined at once with a larger one
 CHUNK = 2 << 20            # characters scored at once
 CALIBRATION_PARTS = 10     # one of so many training documents calibrates
 FALSE_REJECTS = 0.001      # share of good texts that may lie above the threshold
@@ -117,44 +124,61 @@ def _count_grams(batches):
     yield from flush()
 
 
-def _hash_keys(batches):
-    for b in batches:
-        gram = b.column("gram").to_numpy(zero_copy_only=False).view(np.uint64)
-        key = (mix(gram) >> np.uint64(64 - KEY_BITS)).astype(np.int32)
-        yield pa.record_batch({"lang": b.column("lang"), "kind": b.column("kind"), "key": key, "value": b.column("value")})
+def _kinds(gram: np.ndarray) -> dict:
+    """Kind of entry -> the n-gram that a packed 4-gram looks up there."""
+    out = {}
+    for k in range(1, ORDER + 1):
+        tail = gram & np.uint64((1 << 16 * k) - 1)
+        out[f"a{k}"] = tail
+        if k > 1:
+            out[f"g{k}"] = tail >> np.uint64(16)
+    return out
+
+
+def _sorted_tables(entries: pa.Table) -> dict:
+    """(lang, kind) -> (sorted n-grams, values) of rows (lang, kind, gram, value)."""
+    frame = entries.select(["lang", "kind", "gram", "value"]).to_pandas(strings_to_categorical=True)
+    out = {}
+    for (lang, kind), part in frame.groupby(["lang", "kind"], sort=False, observed=True):
+        key = part["gram"].to_numpy().astype(np.int64).view(np.uint64)
+        o = np.argsort(key)
+        out[lang, kind] = (key[o], part["value"].to_numpy()[o].astype(np.float64))
+    return out
 
 
 @dataclass
 class LanguageModel:
-    """Per language: sorted key arrays with values for each kind of entry.
+    """Per language: sorted n-grams with values for each kind of entry.
     Kind ``a<k>``: discounted probability of a k-gram; ``g<k>``: back-off mass
-    of its context.  ``floor``: probability of an unseen character."""
+    of its context.  ``floor``: probability of an unseen character.  A model with
+    ``entries`` has no arrays of its own; each block of texts gets those it needs."""
 
     langs: list = field(default_factory=list)
-    tables: dict = field(default_factory=dict)   # (lang, kind) -> (keys, values)
+    tables: dict | None = field(default_factory=dict)   # (lang, kind) -> (n-grams, values)
+    entries: DataFrame | None = None                    # (lang, kind, gram, value)
     floor: dict = field(default_factory=dict)
     temperature: float = 8.0
     mean: dict = field(default_factory=dict)
     threshold: dict = field(default_factory=dict)
 
     def _look(self, lang: str, kind: str, gram: np.ndarray, missing: float) -> np.ndarray:
-        keys, values = self.tables.get((lang, kind), (np.zeros(0, np.uint32), np.zeros(0)))
+        if self.tables is None:
+            raise ValueError("the model's entries are in a table: use predict")
+        keys, values = self.tables.get((lang, kind), (np.zeros(0, np.uint64), np.zeros(0)))
         if not len(keys):
             return np.full(len(gram), missing)
-        key = (mix(gram) >> np.uint64(64 - KEY_BITS)).astype(np.uint32)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(keys[at] == key, values[at], missing)
+        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        return np.where(keys[at] == gram, values[at], missing)
 
     def log_probs(self, gram: np.ndarray) -> np.ndarray:
         """(languages, n-grams) natural log of the interpolated probability."""
-        masks = [np.uint64((1 << 16 * k) - 1) for k in range(ORDER + 1)]
+        wanted = _kinds(gram)
         out = np.empty((len(self.langs), len(gram)))
         for i, lang in enumerate(self.langs):
             p = np.full(len(gram), self.floor[lang])
             for k in range(1, ORDER + 1):
-                tail = gram & masks[k]
-                mass = self._look(lang, f"g{k}", tail >> np.uint64(16), 1.0) if k > 1 else 1.0
-                p = self._look(lang, f"a{k}", tail, 0.0) + mass * p
+                mass = self._look(lang, f"g{k}", wanted[f"g{k}"], 1.0) if k > 1 else 1.0
+                p = self._look(lang, f"a{k}", wanted[f"a{k}"], 0.0) + mass * p
             out[i] = np.log(np.maximum(p, 1e-12))
         return out
 
@@ -199,46 +223,87 @@ def train(docs: DataFrame, lang: Column, text: Column, calibrate: Column) -> Lan
     rows = docs.select(lang.alias("lang"), text.alias("text"), calibrate.alias("hold")).where("lang IS NOT NULL AND text IS NOT NULL")
     counted = rows.where("NOT hold").select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
     grams = stored(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    keyed = _tables_of(grams).mapInArrow(_hash_keys, "lang string, kind string, key int, value double")
-    # at most 2^KEY_BITS rows per language and kind reach the driver
-    entries = keyed.groupBy("lang", "kind", "key").agg(F.max("value").cast("float").alias("value")).toArrow().to_pandas(strings_to_categorical=True)
-    model = LanguageModel(langs=sorted(map(str, entries["lang"].unique())))
-    for (name, kind), part in entries.groupby(["lang", "kind"], sort=False, observed=True):
-        key = part["key"].to_numpy().astype(np.uint32)
-        o = np.argsort(key)
-        model.tables[name, kind] = (key[o], part["value"].to_numpy()[o].astype(np.float64))
-    for name in model.langs:
-        symbols = len(model.tables[name, "a1"][0])
-        model.floor[name] = float(model.tables[name, "g1"][1][0]) / (symbols + 1)
+    entries = stored(_tables_of(grams).withColumn("value", F.col("value").cast("float")))
+    size = entries.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "a1", 1)).alias("symbols"),
+                                       F.max(F.when(F.col("kind") == "g1", F.col("value"))).alias("mass")).collect()
+    model = LanguageModel(langs=sorted(r["lang"] for r in size), floor={r["lang"]: r["mass"] / (r["symbols"] + 1) for r in size})
+    if sum(r["n"] for r in size) <= HELD_ENTRIES:
+        model.tables = _sorted_tables(entries.toArrow())
+    else:
+        model.tables, model.entries = None, entries
     if model.langs:
         _calibrate(model, rows.where("hold"))
     return model
 
 
+def _ask(table):
+    """The distinct entries that one block's texts look up."""
+    found: dict = {}
+    _, off = text_buffer(table.column("text"))
+    for part in row_groups(table, np.diff(off), CHUNK):
+        gram, _ = char_grams(part.column("text").to_pylist())
+        found.setdefault("gram", []).append(np.unique(gram))
+    gram = np.unique(np.concatenate(found["gram"]))
+    wanted = {kind: np.unique(keys).view(np.int64) for kind, keys in _kinds(gram).items()}
+    return pa.table({"block": pa.array(np.full(sum(map(len, wanted.values())), table.column("block_")[0].as_py()), pa.int64()),
+                     "kind": pa.array([kind for kind, keys in wanted.items() for _ in range(len(keys))], pa.string()),
+                     "gram": np.concatenate(list(wanted.values()))})
+
+
+def _with_model(rows: DataFrame, model: LanguageModel, run, schema: str, deal: list) -> DataFrame:
+    """``run(model, batch)`` over all ``rows`` (with ``text``), its batches as ``schema``.
+    The columns ``deal`` tell rows apart and decide their block."""
+    # the table's handle stays here; workers get arrays
+    shared = rows.sparkSession.sparkContext.broadcast(replace(model, entries=None))
+
+    def groups(m, data):
+        _, off = text_buffer(data.column("text"))
+        for part in row_groups(data, np.diff(off), CHUNK):
+            yield run(m, part)
+
+    def held(batches):
+        for batch in batches:
+            yield from groups(shared.value, batch)
+
+    if model.entries is None:
+        return rows.mapInArrow(held, schema)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.withColumn("block_", F.pmod(F.xxhash64(*deal), F.lit(max(1, math.ceil(size / BLOCK_BYTES)))))
+    # the same columns as below, so that the texts are dealt out once for both
+    asked = dealt.groupBy("block_").applyInArrow(_ask, "block long, kind string, gram long")
+    found = asked.join(model.entries, ["kind", "gram"]).select("block", "lang", "kind", "gram", "value")
+
+    def joined(left, right):
+        m = replace(shared.value, tables=_sorted_tables(right) if right.num_rows else {})
+        out = [pa.Table.from_batches([b]) for b in groups(m, left.drop_columns(["block_"]))]
+        return pa.concat_tables(out) if out else empty
+
+    empty = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema).empty_table()
+    return dealt.groupBy("block_").cogroup(found.groupBy("block")).applyInArrow(joined, schema)
+
+
 def _calibrate(model: LanguageModel, rows: DataFrame) -> None:
     """Temperature by likelihood, rejection thresholds by quantile; the driver
     gets one histogram per language, not documents."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batches):
-        m = shared.value
-        for batch in batches:
-            _, off = text_buffer(batch.column("text"))
-            for part in row_groups(batch, np.diff(off), CHUNK):
-                ce, n = m.cross_entropy(part.column("text").to_pylist())
-                true = np.array([m.langs.index(x) if x in m.langs else -1 for x in part.column("lang").to_pylist()])
-                use = (n > 0) & (true >= 0)
-                best = np.argmin(ce, axis=0)
-                nll = []
-                for t in TEMPERATURES:
-                    z = -t * (ce - ce.min(axis=0))
-                    nll.append(np.log(np.exp(z).sum(axis=0)) - z[true, np.arange(len(true))])
-                cols = {"lang": pa.array([m.langs[b] for b in best[use]], pa.string()), "ce": ce.min(axis=0)[use], "chars": n[use], "right": (best == true)[use]}
-                cols |= {f"nll{i}": x[use] for i, x in enumerate(nll)}
-                yield pa.record_batch(cols)
+    def measure(m, part):
+        ce, n = m.cross_entropy(part.column("text").to_pylist())
+        true = np.array([m.langs.index(x) if x in m.langs else -1 for x in part.column("lang").to_pylist()])
+        use = (n > 0) & (true >= 0)
+        best = np.argmin(ce, axis=0)
+        nll = []
+        for t in TEMPERATURES:
+            z = -t * (ce - ce.min(axis=0))
+            nll.append(np.log(np.exp(z).sum(axis=0)) - z[true, np.arange(len(true))])
+        cols = {"lang": pa.array([m.langs[b] for b in best[use]], pa.string()), "ce": ce.min(axis=0)[use], "chars": n[use], "right": (best == true)[use]}
+        cols |= {f"nll{i}": x[use] for i, x in enumerate(nll)}
+        return pa.record_batch(cols)
 
     schema = "lang string, ce double, chars long, right boolean, " + ", ".join(f"nll{i} double" for i in range(len(TEMPERATURES)))
-    found = stored(rows.select("lang", "text").mapInArrow(measure, schema))
+    texts = rows.select("lang", "text")
+    if model.entries is not None:
+        # equal texts are dealt by their place, which storing keeps
+        texts = stored(texts.withColumn("place", F.monotonically_increasing_id()))
+    found = stored(_with_model(texts, model, measure, schema, ["place"]))
     nll = found.agg(*[F.sum(f"nll{i}") for i in range(len(TEMPERATURES))]).first()
     if nll[0] is not None:
         model.temperature = TEMPERATURES[int(np.argmin(list(nll)))]
@@ -267,36 +332,32 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     every text if no language was learned.  Equal cross-entropies go to the
     first language in name order.  ``keep`` names further columns to pass on.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in keep or [] if c != id_col]
     source = {c: "text" if c == text_col else f"k_{c}" for c in kept}
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *[F.col(c).alias(k) for c, k in source.items() if k != "text"])
     id_type = dict(rows.dtypes)["_id"]
 
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            _, off = text_buffer(batch.column("text"))
-            for part in row_groups(batch, np.diff(off), CHUNK):
-                n_rows = part.num_rows
-                if m.langs:
-                    ce, n = m.cross_entropy(part.column("text").to_pylist())
-                else:
-                    ce, n = np.zeros((1, n_rows)), np.zeros(n_rows, np.int64)
-                best, low = np.argmin(ce, axis=0), ce.min(axis=0)
-                score = 1.0 / np.exp(-m.temperature * (ce - low)).sum(axis=0)
-                names = [m.langs[b] if k else "und" for b, k in zip(best, n)]
-                smooth = [(c * k + m.mean.get(x, c) * PSEUDO_CHARS) / (k + PSEUDO_CHARS) for c, k, x in zip(low, n, names)]
-                reject = [k == 0 or s > m.threshold.get(x, np.inf) for s, k, x in zip(smooth, n, names)]
-                out = {"doc_id": part.column("_id"), "lang_pred": pa.array(names, pa.string()), "score": np.where(n > 0, score, 0.0),
-                       "rejected": pa.array(reject, pa.bool_()), "cross_entropy": low}
-                for c in kept:
-                    out[f"k_{c}"] = part.column(source[c])
-                yield pa.record_batch(out)
+    def run(m, part):
+        n_rows = part.num_rows
+        if m.langs:
+            ce, n = m.cross_entropy(part.column("text").to_pylist())
+        else:
+            ce, n = np.zeros((1, n_rows)), np.zeros(n_rows, np.int64)
+        best, low = np.argmin(ce, axis=0), ce.min(axis=0)
+        score = 1.0 / np.exp(-m.temperature * (ce - low)).sum(axis=0)
+        names = [m.langs[b] if k else "und" for b, k in zip(best, n)]
+        smooth = [(c * k + m.mean.get(x, c) * PSEUDO_CHARS) / (k + PSEUDO_CHARS) for c, k, x in zip(low, n, names)]
+        reject = [k == 0 or s > m.threshold.get(x, np.inf) for s, k, x in zip(smooth, n, names)]
+        whole = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        out = {"doc_id": whole(part.column("_id")), "lang_pred": pa.array(names, pa.string()), "score": np.where(n > 0, score, 0.0),
+               "rejected": pa.array(reject, pa.bool_()), "cross_entropy": low}
+        for c in kept:
+            out[f"k_{c}"] = whole(part.column(source[c]))
+        return pa.record_batch(out)
 
     schema = f"doc_id {id_type}, lang_pred string, score double, rejected boolean, cross_entropy double"
     schema += "".join(f", `k_{c}` {dict(rows.dtypes)[source[c]]}" for c in kept)
-    done = rows.mapInArrow(run, schema)
+    done = _with_model(rows, model, run, schema, ["_id", "text"])
     return done.select("doc_id", "lang_pred", "score", "rejected", "cross_entropy", *[F.col(f"k_{c}").alias(c) for c in kept])
 
 

@@ -80,3 +80,27 @@ def test_empty_tables(spark):
     assert langid.predict(empty, model).collect() == []
     out = langid.predict(documents(spark, [(1, "abc")]), model).first()
     assert out.lang_pred == "und" and out.rejected
+
+
+def test_unseen_grams_of_a_large_alphabet_stay_unseen(spark):
+    """With 300,000 distinct 4-grams the probabilities after a seen context still
+    sum to at most 1: no n-gram takes another one's entry."""
+    rng = random.Random(3)
+    symbols = [chr(0x4E00 + i) for i in range(5000)]
+    texts = ["".join(rng.choice(symbols) for _ in range(3000)) for _ in range(100)]
+    model = langid.train(documents(spark, [(i, t, "zh") for i, t in enumerate(texts)]), F.col("lang"), F.col("text"), F.lit(False))
+    for context in (texts[0][:3], texts[1][10:13], "".join(symbols[:3])):
+        gram = np.array([sum(ord(c) << s for c, s in zip(context + x, (48, 32, 16, 0))) for x in symbols], np.uint64)
+        assert np.exp(model.log_probs(gram)).sum() < 1.0001
+
+
+def test_joined_tables_give_the_same_rows(spark, monkeypatch):
+    rows = corpus() + [(500, None, None), (501, "12", "en"), (None, "the shing", "en"), (502, "привет мир", None), (502, "привет мир", None)]
+    docs = documents(spark, rows, extra=True)
+    want = langid.predict(docs, langid.fit_documents(docs, F.lit(False)), keep=["text", "source", "block"]).collect()
+    monkeypatch.setattr(langid, "HELD_ENTRIES", 0)
+    monkeypatch.setattr(langid, "BLOCK_BYTES", 4000)
+    model = langid.fit_documents(docs, F.lit(False))
+    assert model.tables is None
+    got = langid.predict(docs, model, keep=["text", "source", "block"]).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
