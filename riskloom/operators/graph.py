@@ -108,6 +108,25 @@ def sample_neighbors(edges: DataFrame, seeds: DataFrame, relation: str, fanout:
     return top_k_per_group(j, ["node"], ["_h", "nbr"], fanout, salts).select("node", "nbr", "rank")
 
 
+def sample_hops(edges: DataFrame, seeds: DataFrame, fanouts: Sequence[int], seed_salt: int = 0) -> DataFrame:
+    """GR-5 for any number of seeds (node_type, node): up to ``fanouts[h]``
+    neighbours per node and relation, both directions, then the same from the
+    nodes sampled.  A node has one sample per hop, whichever seeds reach it."""
+    both = edges.select("src_type", "src", "relation", "dst_type", "dst").unionByName(edges.select(
+        F.col("dst_type").alias("src_type"), F.col("dst").alias("src"), F.concat(F.lit("rev_"), "relation").alias("relation"),
+        F.col("src_type").alias("dst_type"), F.col("src").alias("dst")))
+    both = both.select(F.col("src_type").alias("node_type"), F.col("src").alias("node"), "relation", F.col("dst_type").alias("nbr_type"), F.col("dst").alias("nbr"))
+    out, frontier = None, seeds.select("node_type", "node").distinct()
+    for hop, fanout in enumerate(fanouts, 1):
+        j = frontier.join(both, ["node_type", "node"]) \
+                    .withColumn("_h", F.md5(F.concat_ws(":", F.col("node").cast("string"), F.col("nbr").cast("string"), F.lit(str(seed_salt)))))
+        top = top_k_per_group(j, ["node_type", "node", "relation"], ["_h", "nbr"], fanout, 16)
+        found = materialize(top.select(F.lit(hop).alias("hop"), "node_type", "node", "relation", "nbr_type", "nbr", "rank"))
+        out = found if out is None else out.unionByName(found)
+        frontier = found.select(F.col("nbr_type").alias("node_type"), F.col("nbr").alias("node")).distinct()
+    return out
+
+
 def entity_degree(edges: DataFrame) -> DataFrame:
     """GR-9: degree of every destination node per relation."""
     return edges.groupBy("dst_type", "dst", "relation").agg(F.count(F.lit(1)).alias("degree"))

@@ -160,6 +160,27 @@ def neighbor_sample(spark, d):
     return gr.sample_neighbors(rev, sd, "treats", 10)
 
 
+def _hop_sql(hop: int, seeds: str, fanout: int) -> str:
+    return f"""
+h{hop} AS (SELECT {hop} AS hop, node_type, node, relation, nbr_type, nbr, rank FROM (
+  SELECT s.node_type, s.node, e.relation, e.dst_type AS nbr_type, e.dst AS nbr, CAST(row_number() OVER (PARTITION BY e.relation, s.node
+    ORDER BY md5(concat_ws(':', CAST(s.node AS VARCHAR), CAST(e.dst AS VARCHAR), '0')), e.dst) AS INTEGER) AS rank
+  FROM ({seeds}) s JOIN both_ways e ON e.src_type = s.node_type AND e.src = s.node) WHERE rank <= {fanout})"""
+
+
+@query("neighbor_sample_hops", SPLIT_W.rstrip("\n") + "," + EDGES_CTE + """,
+both_ways AS (SELECT src_type, src, relation, dst_type, dst FROM edges
+  UNION ALL SELECT dst_type, dst, 'rev_' || relation, src_type, src FROM edges),"""
+       + _hop_sql(1, "SELECT 'claim' AS node_type, claim_id AS node FROM split WHERE split IN ('train', 'val', 'test')", 10) + ","
+       + _hop_sql(2, "SELECT DISTINCT nbr_type AS node_type, nbr AS node FROM h1", 5) + """
+SELECT * FROM h1 UNION ALL SELECT * FROM h2""")
+def neighbor_sample_hops(spark, d):
+    """GR-5 for every claim of the three masks: fan-out 10, then 5, over all
+    relations in both directions (``neighbor_sample`` is the report on 20 claims)."""
+    claims = base.claims_split(spark, d).where(F.col("split").isin("train", "val", "test"))
+    return gr.sample_hops(edges_view(spark, d), claims.select(F.lit("claim").alias("node_type"), F.col("claim_id").alias("node")), [10, 5])
+
+
 @query("entity_degree", with_(CLAIMS, EDGES_CTE) + """
 SELECT dst_type, dst, relation, count(*) AS degree FROM edges GROUP BY ALL""")
 def entity_degree(spark, d):
