@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value):
+    """Broadcast ``value`` as bytes that carry the code of its classes: executors
+    need no copy of the library.  Workers read it with ``held``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def held(shared):
+    """The value of a ``share``d broadcast, unpickled once per worker."""
+    if not hasattr(shared, "_held"):
+        shared._held = cloudpickle.loads(shared.value)
+    return shared._held
+
+
 def crc_mod(col, n: int):
     """crc32 of the id written as text, modulo n (null id: null)."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % n
