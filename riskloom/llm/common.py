@@ -133,8 +133,8 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _windows(white: np.ndarray):
-    """Cut positions at white space, about WINDOW bytes apart."""
+def windows(white: np.ndarray):
+    """Cut positions behind marked bytes, about WINDOW bytes apart."""
     n, at = len(white), 0
     while at < n:
         to = min(at + WINDOW, n)
@@ -171,7 +171,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[n
     A-Z are lower-cased first if ``lower``."""
     parts, starts = [], []
     white = _table("white")[raw]
-    for a, b in _windows(white):
+    for a, b in windows(white):
         i, j = np.searchsorted(off, [a, b])
         inner = np.unique(np.clip(off[max(0, i - 1):j + 1], a, b)) - a
         piece = _table("lower")[raw[a:b]] if lower else raw[a:b]
