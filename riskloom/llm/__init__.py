@@ -10,7 +10,7 @@ import importlib
 
 from pyspark import cloudpickle
 
-_MODULES = ("common", "pieces", "exactdedup", "langid", "quality", "packing", "bpe", "chat", "linededup", "ann", "lm", "jaccard", "hardneg", "divergence")
+_MODULES = ("common", "pieces", "exactdedup", "langid", "quality", "packing", "bpe", "chat", "linededup", "ann", "lm", "jaccard", "hardneg", "divergence", "toxicity")
 
 for _m in _MODULES:
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_m}"))

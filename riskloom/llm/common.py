@@ -1,12 +1,13 @@
 """Helpers shared by the training-data operators.
 
 Word hashing works on whole Arrow string buffers with numpy: white space and
-word borders come from one byte table, word hashes from prefix sums of a
-polynomial in 2^64 arithmetic, so there is no Python loop over words.
+word borders come from one byte table, and all words are hashed eight bytes at a
+time side by side, so there is no Python loop over words.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -21,9 +22,10 @@ from riskloom.session import ensure_checkpoint_dir
 WHITE = "[\\x20\\x09-\\x0D]"
 #: Bytes handled at once by the numpy code; bounds a worker's temporary arrays.
 WINDOW = 1 << 20
+#: Spans above this many bytes are hashed and compared one by one.
+LONG_SPAN = 256
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _tables: dict = {}
 
 
@@ -109,28 +111,63 @@ def _table(name: str):
         lower[65:91] += 32
         white = np.zeros(256, bool)
         white[[9, 10, 11, 12, 13, 32]] = True
-        _tables.update(lower=lower, white=white, weight=mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)))
+        _tables.update(lower=lower, white=white)
     return _tables[name]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _tables.get("powers")
-    if have is None or len(have[0]) < n:
-        size = max(n, WINDOW + 1)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        have = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-        if size == WINDOW + 1:
-            _tables["powers"] = have
-    return have
+def eight_bytes(raw: np.ndarray) -> np.ndarray:
+    """View of the eight bytes that begin at each position, zeros behind the end (len + 1 rows)."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate((raw, np.zeros(8, np.uint8))), 8)
+
+
+#: Masks that keep the first k of eight bytes read as a little-endian number.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _chunk(eight: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from ``at`` as numbers; ``left`` bytes count."""
+    return eight[at].view("<u8").ravel() & _KEEP[np.clip(left, 0, 8)]
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span of ``raw`` (length included)."""
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_table("weight")[raw] * up[:len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hash of each byte span of ``raw`` (length included).
+
+    Eight bytes at a time are mixed into the state by a non-linear finaliser; spans
+    above LONG_SPAN bytes go through a cryptographic hash.
+    """
+    size = end - start
+    eight = eight_bytes(raw)
+    state = mix(size.astype(np.uint64) * np.uint64(_BASE) + _chunk(eight, start, size))
+    rest = np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    depth = 8
+    while len(rest):
+        state[rest] = mix((state[rest] ^ _chunk(eight, start[rest] + depth, size[rest] - depth)) * np.uint64(_BASE) + np.uint64(depth))
+        depth += 8
+        rest = rest[size[rest] > depth]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        state[i] = np.frombuffer(hashlib.blake2b(raw[start[i]:end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return state
+
+
+def spans_equal(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each span of ``raw`` has the same bytes as its span of ``other``."""
+    size = end - start
+    same = size == other_end - other_start
+    a, b = eight_bytes(raw), eight_bytes(other)
+    rest, depth = np.flatnonzero(same & (size > 0) & (size <= LONG_SPAN)), 0
+    while len(rest):
+        ok = _chunk(a, start[rest] + depth, size[rest] - depth) == _chunk(b, other_start[rest] + depth, size[rest] - depth)
+        same[rest[~ok]] = False
+        depth += 8
+        rest = rest[ok & (size[rest] > depth)]
+    for i in np.flatnonzero(same & (size > LONG_SPAN)):
+        same[i] = np.array_equal(raw[start[i]:end[i]], other[other_start[i]:other_end[i]])
+    return same
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _table("lower")[raw]
 
 
 def windows(white: np.ndarray):
@@ -181,7 +218,3 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[n
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     return np.concatenate(parts), np.searchsorted(np.concatenate(starts), off)
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import row_groups, stored, text_buffer, windows
+from riskloom.llm.common import lowered, row_groups, stored, text_buffer, windows
 
 SHARD = 12 << 20          # bytes of text whose pointers are sorted together
 TILE_SOURCES = 64         # sources of a tile's side, about
@@ -102,16 +102,10 @@ def _gather(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
 
 
-def _lower(raw: np.ndarray) -> np.ndarray:
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    return table[raw]
-
-
 def count_runs(raw: np.ndarray, off: np.ndarray, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(terms, groups, occurrences, documents): one entry for each term and group
     of a shard's documents, in term order."""
-    raw = _lower(raw)
+    raw = lowered(raw)
     start, end = term_spans(raw, off)
     if not len(start):
         return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from riskloom.llm import ann, bpe, chat, divergence, hardneg, jaccard, langid, linededup, lm, packing, quality
+from riskloom.llm import ann, bpe, chat, divergence, hardneg, jaccard, langid, linededup, lm, packing, quality, toxicity
 from riskloom.llm.common import crc_mod, read
 from riskloom.llm.exactdedup import exact_dedup
 
@@ -178,3 +178,11 @@ WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))
 @query("op13_source_divergence", OP13_SQL)
 def op13_source_divergence(spark, sf_dir):
     return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 4) == 2
+    net = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held)
+    return toxicity.predict(docs, net).withColumn("held_out", F.coalesce(held, F.lit(False)))
