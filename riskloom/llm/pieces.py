@@ -4,7 +4,8 @@ encoded pieces.
 ``piece_starts`` finds the matches of the public split pattern (contractions,
 then runs of letters, numbers or other characters with one leading space, then
 white space) from character classes, without a regular-expression engine.
-``PieceCoder`` encodes every distinct piece once and maps the rest by array look-ups.
+``PieceCoder`` encodes every distinct piece once and maps the rest by array look-ups, which
+are confirmed by comparing bytes; a piece whose hash belongs to another piece is encoded on its own.
 It is broadcast: workers keep their copy, and so its cache, between tasks.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from riskloom.llm.common import span_hashes
+from riskloom.llm.common import span_hashes, spans_equal
 
 CHUNK = 1 << 20                 # bytes of text handled at once
 CACHE = 1_500_000               # pieces kept by a worker
@@ -82,10 +83,12 @@ class PieceCoder:
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.text = np.zeros(0, np.uint8)            # the pieces' bytes, one after the other
+        self.text_end = np.zeros(1, np.int64)
 
     def __getstate__(self):
         state = dict(self.__dict__)
-        for k in ("known", "slot", "begin", "size", "pool"):
+        for k in ("known", "slot", "begin", "size", "pool", "text", "text_end"):
             state.pop(k, None)
         return state
 
@@ -105,6 +108,8 @@ class PieceCoder:
         slot = len(self.begin) + np.arange(len(found))
         self.begin, self.size = np.concatenate((self.begin, begin)), np.concatenate((self.size, size))
         self.pool = np.concatenate((self.pool, np.fromiter((t for ids in found for t in ids), np.uint32, int(size.sum()))))
+        self.text = np.concatenate((self.text, np.frombuffer(b"".join(pieces), np.uint8)))
+        self.text_end = np.concatenate((self.text_end, self.text_end[-1] + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))))
         at = np.searchsorted(self.known, hashes)
         self.known, self.slot = np.insert(self.known, at, hashes), np.insert(self.slot, at, slot)
 
@@ -122,6 +127,23 @@ class PieceCoder:
             self._learn(distinct[new], [data[start[i]:end[i]] for i in index[new]])
         slot = self.slot[np.searchsorted(self.known, distinct)][inverse]
         size = self.size[slot]
-        before = np.concatenate(([0], np.cumsum(size)))
-        ids = self.pool[np.repeat(self.begin[slot] - before[:-1], size) + np.arange(before[-1])] if len(slot) else np.zeros(0, np.uint32)
+        # equal hashes are not enough
+        other = np.flatnonzero(~spans_equal(raw, start, end, self.text, self.text_end[slot], self.text_end[slot + 1]))
+        own = [self.encode_piece(raw[start[i]:end[i]].tobytes()) for i in other]
+        size[other] = [len(x) for x in own]
+        before = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+        if len(other):
+            ids = self._mixed(slot, size, before, other, own)
+        else:
+            ids = self.pool[np.repeat(self.begin[slot] - before[:-1], size) + np.arange(before[-1])]
         return ids, before[np.searchsorted(start, off)]
+
+    def _mixed(self, slot, size, before, other, own) -> np.ndarray:
+        """Ids in which the pieces ``other`` have ids of their ``own``."""
+        ids = np.empty(before[-1], np.uint32)
+        known = np.setdiff1d(np.arange(len(slot)), other)
+        within = np.arange(size[known].sum()) - np.repeat(np.concatenate(([0], np.cumsum(size[known])))[:-1], size[known])
+        ids[np.repeat(before[known], size[known]) + within] = self.pool[np.repeat(self.begin[slot[known]], size[known]) + within]
+        for i, x in zip(other, own):
+            ids[before[i]:before[i + 1]] = x
+        return ids
