@@ -8,6 +8,7 @@ Spark, and every result keeps the claim key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.evaluate import binary_metrics, roc_auc
 from riskloom.operators.explore import class_weights
+from riskloom.operators.ordering import materialize
+from riskloom.operators.trees import read_trees, staged_scores
+from riskloom.session import derived_path
 
 # Baseline hyperparameters and tuning grids (names as the estimators here call them).
 BASELINE_PARAMS = {
@@ -114,6 +118,34 @@ def tune(train: DataFrame, val: DataFrame, features: Sequence[str], name: str, g
     return best, rows, fit(train.unionByName(val), features, name, seed, **best)
 
 
+def tune_trees(train: DataFrame, val: DataFrame, features: Sequence[str], name: str, grid: dict | None = None, seed: int = 42, key: str = "claim_id",
+               side_by_side: int = 4, label: str = "fraud_label"):
+    """ML-2 for a forest or boosted model: the result of ``tune``, with fewer fits.  The trees that a
+    smaller model would have are the first of a larger one, so one fit with the most trees scores every
+    tree count of the grid; ``side_by_side`` candidates are fitted at once on one stored table."""
+    grid = dict(grid or GRIDS[name])
+    count = "maxIter" if name == "gradient_boosting" else "numTrees"
+    sizes = sorted(grid[count])
+    train, val = materialize(train.select(key, label, *features)), materialize(val.select(key, label, *features))
+
+    def candidate(params: dict) -> list:
+        folder = derived_path(train.sparkSession)
+        model = fit(train, features, name, seed, **params, **{count: sizes[-1]})
+        save(model, folder)
+        stage = f"{folder}/stages/{len(model.stages) - 1}_{model.stages[-1].uid}"
+        ensemble = read_trees(train.sparkSession, stage, features, name == "gradient_boosting")
+        scored = staged_scores(val, key, label, ensemble, sizes).withColumn("ml_prediction", F.col("ml_probability") > 0.5)
+        return [({**params, count: r["trees"]}, float(r["f1"] or 0.0)) for r in binary_metrics(scored, F.col(label), F.col("ml_prediction"), ["trees"]).select("trees", "f1").collect()]
+
+    others = [dict(zip([k for k in grid if k != count], values)) for values in product(*(grid[k] for k in grid if k != count))]
+    with ThreadPoolExecutor(side_by_side) as pool:
+        found = [x for rows in pool.map(candidate, others) for x in rows]
+    f1 = {tuple(sorted(p.items())): v for p, v in found}
+    rows = [(name, str(sorted(p.items())), f1[tuple(sorted(p.items()))]) for p in grid_points(name, grid)]
+    best = max(grid_points(name, grid), key=lambda p: f1[tuple(sorted(p.items()))])
+    return best, rows, fit(train.unionByName(val), features, name, seed, **best)
+
+
 def stratified_folds(df: DataFrame, key: str, folds: int = 5, label: str = "fraud_label") -> DataFrame:
     """Adds ``fold``: each class is dealt to the folds in the order of a hash of the
     key, so every fold has the same share of each class (to one row)."""
