@@ -191,17 +191,15 @@ def _pair_sums(shares: DataFrame, sources: DataFrame) -> DataFrame:
     """``lang, source, item, value, seen``: for pairs of sources, the sum of |p - p'| over
     ``seen`` terms, among them all that one of the two has.
 
-    ``shares``: lang, source, term, p.  ``sources``: lang, source, base (the share of a term that the source lacks).
+    ``shares``: lang, source, term, p.  ``sources``: lang, source, base (the share of a term that the source lacks).  Both carry
+    ``sides`` and ``blocks``, the numbers of source groups and term blocks of the language.
     A task holds a block of terms for two groups of sources and gives one row per pair.
     """
-    sides = sources.groupBy("lang").agg(F.ceil(F.count("*") / F.lit(TILE_SOURCES)).alias("sides"))
-    size = shares.groupBy("lang").agg(F.ceil(F.count("*") / F.lit(TILE_ROWS)).alias("blocks")).join(sides, "lang")
-    side = F.pmod(F.xxhash64("source"), F.col("sides"))
     # a source meets its own group and every other
-    tile = lambda df: (df.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    tile = lambda df: (df.withColumn("side", F.pmod(F.xxhash64("source"), F.col("sides"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
                        .withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")}))
-    dealt = tile(shares.join(size, "lang")).withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
-    known = tile(sources.join(size, "lang")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = tile(shares).withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
+    known = tile(sources).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["lang", "x", "y", "block"]
     schema = pa.schema({"lang": pa.string(), "a": pa.string(), "b": pa.string(), "value": pa.int64(), "seen": pa.int64()})
 
@@ -242,15 +240,16 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, lang_col: s
     terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all")).where(F.col("docs") >= min_docs).select("lang", "term", "all")
     kept = stored(counts.join(terms, ["lang", "term"]).select("lang", "source", "term", "n", "all"))
     # occurrences of kept terms per source and language, and how many terms are kept
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own_terms"))
     langs = kept.select("lang", "term", "all").distinct().groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all").alias("lang_total"))
-    sources = stored(groups.join(langs, "lang", "left").join(totals, ["lang", "source"], "left").fillna(0, ["total", "terms", "lang_total"])
-                     .withColumn("base", F.when(F.col("terms") > 0, _share("0", "total", "terms"))))
-    shares = stored(kept.join(sources, ["lang", "source"]).select("lang", "source", "term", _share("n", "total", "terms").alias("p"), _share("`all`", "lang_total", "terms").alias("q")))
+    found = groups.join(langs, "lang", "left").join(totals, ["lang", "source"], "left").fillna(0, ["total", "own_terms", "terms", "lang_total"])
+    tiles = found.groupBy("lang").agg(F.ceil(F.count("*") / F.lit(TILE_SOURCES)).alias("sides"), F.ceil((F.sum("own_terms") + 1) / F.lit(TILE_ROWS)).alias("blocks"))
+    sources = stored(found.join(tiles, "lang").withColumn("base", F.when(F.col("terms") > 0, _share("0", "total", "terms"))))
+    shares = stored(kept.join(sources, ["lang", "source"]).select("lang", "source", "term", "sides", "blocks", _share("n", "total", "terms").alias("p"), _share("`all`", "lang_total", "terms").alias("q")))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     over = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     over = over.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    sums = _pair_sums(shares.select("lang", "source", "term", "p"), sources.where("terms > 0").select("lang", "source", "base"))
+    sums = _pair_sums(shares.drop("q"), sources.where("terms > 0").select("lang", "source", "base", "sides", "blocks"))
     others = sources.select("lang", F.col("source").alias("item"), F.col("base").alias("other_base"))
     pairs = sources.join(others, "lang").where("source <> item").join(sums, ["lang", "source", "item"], "left")
     # terms that neither has differ by the base shares
