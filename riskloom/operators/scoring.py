@@ -80,17 +80,6 @@ def scoring_summary(scored: DataFrame, score_col: str = "fraud_score", threshold
         F.coalesce(F.sum(F.when(flagged, F.col("claim_amount"))), F.lit(0.0)).alias("flagged_amount"))
 
 
-def batch_summary(scored: DataFrame) -> DataFrame:
-    """AG-18: ok / failed counts, mean score and flagged count of a scored batch."""
-    ok = F.col("status") == "ok"
-    return scored.agg(
-        F.count(F.lit(1)).alias("total_processed"),
-        F.count_if(ok).alias("successful"),
-        F.count_if(~ok).alias("failed"),
-        F.avg(F.when(ok, F.col("fraud_score"))).alias("avg_fraud_score"),
-        F.count_if(ok & F.col("fraud_prediction")).alias("fraud_detected"))
-
-
 def prediction_summary(log: DataFrame) -> DataFrame:
     """AG-19: counts, mean score, rate and mean latency; empty input -> zeros."""
     fraud = F.col("fraud_prediction")
