@@ -39,8 +39,13 @@ def global_stats(train: DataFrame) -> DataFrame:
                      F.max("num_procedures").alias("global_max_procedures"))
 
 
-def apply_entity_stats(df: DataFrame, train: DataFrame) -> DataFrame:
-    """JN-1 + JN-4: attach train-only entity stats to every split.
+def entity_stats(train: DataFrame) -> dict[str, DataFrame]:
+    """The train-fitted tables that ``apply_entity_stats`` joins."""
+    return {"patient": patient_stats(train), "doctor": doctor_stats(train), "hospital": hospital_stats(train), "all": global_stats(train)}
+
+
+def apply_entity_stats(df: DataFrame, train: DataFrame, fitted: dict[str, DataFrame] | None = None) -> DataFrame:
+    """JN-1 + JN-4: attach train-only entity stats to every split, those of ``train`` unless ``fitted`` has them.
 
     Unseen entity defaults: count -> 1, sum -> 0, mean/max -> global train mean.
     The stats tables have one row per entity and grow with the data, so they
@@ -48,11 +53,11 @@ def apply_entity_stats(df: DataFrame, train: DataFrame) -> DataFrame:
     only when the measured stats side is small, and splits skewed keys of the
     claims side.  The global row is one row: always broadcast.
     """
-    g = F.broadcast(global_stats(train))
-    out = (df.join(patient_stats(train), "patient_id", "left")
-             .join(doctor_stats(train), "doctor_id", "left")
-             .join(hospital_stats(train), "hospital_id", "left")
-             .crossJoin(g))
+    fitted = fitted or entity_stats(train)
+    out = (df.join(fitted["patient"], "patient_id", "left")
+             .join(fitted["doctor"], "doctor_id", "left")
+             .join(fitted["hospital"], "hospital_id", "left")
+             .crossJoin(F.broadcast(fitted["all"])))
     gavg = F.col("global_avg_claim")
     return out.select(
         *df.columns,

@@ -63,7 +63,11 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
     s = claims_split(spark, d)
-    f = apply_entity_stats(s, train_rows(s))
+    return wide(spark, d, apply_entity_stats(s, train_rows(s)))
+
+
+def wide(spark: SparkSession, d: str, f: DataFrame) -> DataFrame:
+    """Claims with entity statistics -> the wide table: entity attributes, ratios, calendar."""
     f = enrich_dimensions(f, patients_view(spark, d), doctors_view(spark, d), hospitals_view(spark, d),
                           parts_view(spark, d))
     return ratio_and_calendar(f)
