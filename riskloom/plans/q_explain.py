@@ -121,11 +121,11 @@ def range_impact(spark, d):
     return ix.range_impact(base.scored(spark, d), "claim_amount", "fraud_score")
 
 
-@query("feature_interactions", ATTR_SQL + """
-SELECT a.prediction_id, a.feature AS feature1, b.feature AS feature2,
-       (a.importance * b.importance) / (greatest(abs(a.importance), abs(b.importance)) + 1e-4) AS interaction_strength
-FROM top5 a JOIN top5 b ON a.prediction_id = b.prediction_id AND a.rank < b.rank
-WHERE abs((a.importance * b.importance) / (greatest(abs(a.importance), abs(b.importance)) + 1e-4)) > 0.01""")
+@query("feature_interactions", ATTR_SQL + """,
+ls AS (SELECT prediction_id, list(struct_pack(f := feature, v := importance) ORDER BY rank) AS xs FROM top5 GROUP BY prediction_id),
+pr AS (SELECT prediction_id, xs[i] AS a, xs[j] AS b FROM ls CROSS JOIN (SELECT i, j FROM range(1, 6) x(i) CROSS JOIN range(1, 6) y(j) WHERE i < j) WHERE j <= len(xs))
+SELECT prediction_id, a.f AS feature1, b.f AS feature2, (a.v * b.v) / (greatest(abs(a.v), abs(b.v)) + 1e-4) AS interaction_strength
+FROM pr WHERE abs((a.v * b.v) / (greatest(abs(a.v), abs(b.v)) + 1e-4)) > 0.01""")
 def feature_interactions(spark, d):
     """IX-5: pairs among each prediction's top-5 features (at most 10 per prediction)."""
     return ix.interactions(attributions(spark, d))
