@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import row_groups, text_buffer
+from riskloom.llm.common import row_groups, share, text_buffer, unpacked
 from riskloom.llm.pieces import CHUNK, PieceCoder, character_classes
 
 PAIRS = 2_000_000        # pair answers that a worker keeps
@@ -123,15 +123,15 @@ def read_ranks(path: str) -> RankCoder:
 
 def encode(docs: DataFrame, coder: RankCoder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` (array of int) for every row; null or empty text: no ids.
-    Extra columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(coder)
+    Repeated rows are encoded each; an empty table gives no rows; extra columns are ignored."""
+    shared = share(docs.sparkSession, coder)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
             _, off = text_buffer(batch.column("text"))
             for part in row_groups(batch, np.diff(off), CHUNK):
-                ids, first = shared.value.encode(*text_buffer(part.column("text")))
+                ids, first = unpacked(shared).encode(*text_buffer(part.column("text")))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": pa.ListArray.from_arrays(first.astype(np.int32), ids.astype(np.int32))})
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")

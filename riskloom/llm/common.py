@@ -8,7 +8,6 @@ time side by side, so there is no Python loop over words.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.session import ensure_checkpoint_dir
+from riskloom.session import derived_path
 
 #: ASCII white space of all contracts: 0x20 and 0x09-0x0D.
 WHITE = "[\\x20\\x09-\\x0D]"
@@ -34,8 +33,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir`` (shared by driver and executors)."""
-    return f"{ensure_checkpoint_dir(spark)}/riskloom-llm-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir`` (shared by driver and executors), deleted with
+    the application's other derived tables when it ends."""
+    return derived_path(spark)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -49,15 +49,22 @@ def stored(df: DataFrame) -> DataFrame:
 
 def share(spark: SparkSession, value):
     """Broadcast ``value`` as bytes that carry the code of its classes: executors
-    need no copy of the library.  Workers read it with ``held``."""
+    need no copy of the library.  Workers read it with ``unpacked``."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
-def held(shared):
+def unpacked(shared):
     """The value of a ``share``d broadcast, unpickled once per worker."""
-    if not hasattr(shared, "_held"):
-        shared._held = cloudpickle.loads(shared.value)
-    return shared._held
+    if not hasattr(shared, "_unpacked"):
+        shared._unpacked = cloudpickle.loads(shared.value)
+    return shared._unpacked
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """``docs`` with the columns c0, c1, ... and each column's new name: names that
+    clash with nothing, whatever the table calls its own."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
 
 
 def crc_mod(col, n: int):

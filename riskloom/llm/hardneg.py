@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import held, share, stored
+from riskloom.llm.common import share, stored, unpacked
 
 PASS_BYTES = 32 << 20     # of anchor vectors broadcast at once
 BLOCK = 512               # anchors of one tree
@@ -277,7 +277,7 @@ def _one_pass(own: DataFrame, anchors: Anchors, seeds: list, low: int, high: int
     first = share(spark, anchors)
 
     def positives(batches):
-        a = held(first)
+        a = unpacked(first)
         lists, _ = a.find_positives(batches)
         for i, (score, ids) in lists.found.items():
             yield pa.record_batch({"anchor_id": np.full(len(ids), a.ids[i]), "positive_id": ids, "positive_score": score.astype(np.int64)})
@@ -290,7 +290,7 @@ def _one_pass(own: DataFrame, anchors: Anchors, seeds: list, low: int, high: int
     second = share(spark, anchors)
 
     def negatives(batches):
-        a = held(second)
+        a = unpacked(second)
         lists, _ = a.find_negatives(batches)
         for i, (score, ids) in lists.found.items():
             anchor, positive, of = a.pairs[i]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WINDOW, _table, mix, parallelism, row_groups, span_hashes, stored, text_buffer
+from riskloom.llm.common import WINDOW, _table, mix, parallelism, row_groups, share, span_hashes, stored, text_buffer, unpacked
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -118,9 +118,6 @@ class TwiceSeen:
     def __init__(self, slices: int, filters: dict[int, bytes]):
         self.slices, self.filters = slices, filters
 
-    def __contains__(self, _):
-        raise TypeError("use test()")
-
     def test(self, hashes: np.ndarray) -> np.ndarray:
         part_of = (((hashes >> np.uint64(32)) * np.uint64(self.slices)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(part_of, kind="stable")
@@ -145,7 +142,7 @@ def _mark(shared, min_chars: int):
                 row, h, long_enough = line_hashes(*text_buffer(part.column("text")), min_chars)
                 n_lines = np.bincount(row, minlength=part.num_rows)
                 hit = np.zeros(len(h), bool)
-                hit[long_enough] = shared.value.test(h[long_enough])
+                hit[long_enough] = unpacked(shared).test(h[long_enough])
                 first = np.concatenate(([0], np.cumsum(n_lines)))
                 keys: list = [[] for _ in range(part.num_rows)]
                 for r in np.unique(row[hit]):
@@ -186,7 +183,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     filters = sent.groupBy("slice").applyInArrow(_fill_filters(slices), "slice int, twice binary")
     # at most TWICE_BITS / 8 bytes in all
     found = {r["slice"]: bytes(r["twice"]) for r in filters.collect()}
-    shared = spark.sparkContext.broadcast(TwiceSeen(slices, found))
+    shared = share(spark, TwiceSeen(slices, found))
     marked = rows.mapInArrow(_mark(shared, min_chars), f"doc_id {id_type}, text string, n_lines long, keys array<string>")
     clean = marked.where(F.size("keys") == 0).select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), "text")
     suspects = stored(marked.where(F.size("keys") > 0))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import row_groups, text_buffer
+from riskloom.llm.common import row_groups, share, text_buffer, unpacked
 from riskloom.llm.pieces import CHUNK, PieceCoder, character_classes
 
 CAPACITY = 2048
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, coder: ModelCoder, id_col: str = "doc_id", text_col: s
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    shared = docs.sparkSession.sparkContext.broadcast(coder)
+    shared = share(docs.sparkSession, coder)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = dict(rows.dtypes)["doc_id"]
 
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, coder: ModelCoder, id_col: str = "doc_id", text_col: s
             _, off = text_buffer(batch.column("text"))
             for part in row_groups(batch, np.diff(off), CHUNK):
                 raw, o = text_buffer(part.column("text"))
-                ids, first = shared.value.encode(raw, o)
+                ids, first = unpacked(shared).encode(raw, o)
                 found = []
                 for i, doc in enumerate(part.column("doc_id").to_pylist()):
                     own = np.append(ids[first[i]:first[i + 1]], END_ID).astype("<u4").tobytes()

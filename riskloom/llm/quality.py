@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WINDOW, row_groups, text_buffer, word_hashes
+from riskloom.llm.common import WINDOW, row_groups, share, text_buffer, unpacked, word_hashes
 
 SAMPLE = 40_000
 BINS = 48
@@ -163,7 +163,7 @@ def grow(x: np.ndarray, y: np.ndarray) -> Trees:
 def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:
     """Fit on at most ``sample`` labelled rows for which ``use`` holds, those of
     the smallest id hash.  Null labels and labels without a document are ignored; an id
-    with several labels gives an example for each."""
+    with several labels gives an example for each, one with several texts the example of the smallest statistics."""
     chosen = (labels.where(use).where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
               .select(F.col(id_col).alias("lid"), (F.col(label_col) > 0).cast("int").alias("y"))
               .orderBy(F.xxhash64("lid"), "lid", "y").limit(sample))
@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id",
                 yield pa.record_batch({"lid": part.column("lid"), "y": part.column("y"),
                                        "x": pa.FixedSizeListArray.from_arrays(x.ravel(), x.shape[1]).cast(pa.list_(pa.float64()))})
 
-    got = rows.mapInArrow(run, f"lid {dict(rows.dtypes)['lid']}, y int, x array<double>").toArrow().sort_by([("lid", "ascending"), ("y", "ascending")])
+    found = rows.mapInArrow(run, f"lid {dict(rows.dtypes)['lid']}, y int, x array<double>")
+    got = found.groupBy("lid", "y").agg(F.min("x").alias("x")).toArrow().sort_by([("lid", "ascending"), ("y", "ascending")])
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return grow(x.reshape(got.num_rows, FEATURES), got.column("y").to_numpy().astype(float))
 
@@ -185,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id",
 def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``doc_id, score, predicted`` for every row (null text: empty text).
     ``keep`` names further columns to pass on."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = share(docs.sparkSession, trees)
     kept = [c for c in keep or [] if c != id_col]
     source = {c: "_text" if c == text_col else f"k_{c}" for c in kept}
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in source.items() if k != "_text"])
@@ -194,7 +195,7 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
         for batch in batches:
             _, off = text_buffer(batch.column("_text"))
             for part in row_groups(batch, np.diff(off), WINDOW):
-                score = shared.value.score(statistics(part.column("_text")))
+                score = unpacked(shared).score(statistics(part.column("_text")))
                 out = {"doc_id": part.column("_id"), "score": score, "predicted": (score >= 0.5).astype(np.int32)}
                 yield pa.record_batch(out | {f"k_{c}": part.column(source[c]) for c in kept})
 

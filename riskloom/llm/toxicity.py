@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WINDOW, held, lowered, mix, row_groups, share, span_hashes, text_buffer
+from riskloom.llm.common import WINDOW, lowered, mix, row_groups, share, span_hashes, text_buffer, unpacked
 
 WINDOW_WORDS = 32
 STRIDE = 24
@@ -386,7 +386,7 @@ def predict(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             _, off = text_buffer(batch.column("text"))
             for part in row_groups(batch, np.diff(off), WINDOW):
-                score = held(shared).score(part.column("text"))
+                score = unpacked(shared).score(part.column("text"))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "score": score, "predicted": (score >= THRESHOLD).astype(np.int32)})
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int")
