@@ -255,9 +255,9 @@ def _bloom(nodes: DataFrame, count: int) -> tuple[np.ndarray, int]:
     bits = min(max(64, 1 << (16 * max(count, 1) - 1).bit_length()), BLOOM_BITS)
     where = F.explode(F.array(F.col("node").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("node", 32).bitwiseAND(F.lit(bits - 1))))
     words = (nodes.select(where.alias("at")).groupBy(F.shiftright("at", 5).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 AS INT))")).alias("bits")).toArrow().to_pandas())
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 AS INT))")).alias("bits")).toArrow())
     out = np.zeros(bits // 32, np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     return out, bits
 
 
@@ -283,7 +283,9 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     nodes = stored(nodes)
     filter_ = docs.sparkSession.sparkContext.broadcast(_bloom(nodes, nodes.count()))
     found = docs.select("text").mapInArrow(_chosen_sets(filter_, words), "node long, grams binary")
-    return stored(found.groupBy("node").agg(F.first("grams").alias("grams")))
+    sets = stored(found.groupBy("node").agg(F.first("grams").alias("grams")))
+    filter_.destroy()
+    return sets
 
 
 def _linked(similar: int):
@@ -317,27 +319,30 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root: the smallest node of its
     component.  Large-star and small-star steps until all edges point to roots;
     every step is stored."""
-    def stars(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
-        if not large:
-            both = both.where("v < u")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        out = both.join(low, "u")
-        if large:
-            out = out.where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b"))
-        else:
-            out = out.select(F.col("v").alias("a"), F.col("low").alias("b")).union(low.select(F.col("u").alias("a"), F.col("low").alias("b")))
-        return out.where("a <> b").distinct()
-
-    # a > b in all edges from here on
+    # a > b in all edges
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
-        e = stored(stars(stars(e, True), False))
+        # every node's larger neighbours move to its smallest one
+        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        large = stored(both.join(low, "u").where("v > u AND v <> low").select(F.col("v").alias("a"), F.col("low").alias("b")))
+        # then every node and its smaller neighbours to the smallest of them
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").union(low.select("a", F.col("low").alias("b")))
+        e = stored(small.distinct())
         # done when every node points to one node and that one points to none
-        twice = e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-        if twice.union(e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_semi")).isEmpty():
-            break
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
+        ends = e.select(F.col("a").alias("u"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(e.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 OR (out > 0 AND in > 0)").isEmpty():
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more links: only the components that these touch are looked at."""
+    ends = links.join(_named(roots, "a"), "a", "left").join(_named(roots, "b"), "b", "left")
+    merged = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    known = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return known.union(merged.join(roots, "node", "left_anti").select("node", "root"))
 
 
 def may_link(maps_a: list, maps_b: list, n_a: np.ndarray, n_b: np.ndarray, similar: int) -> np.ndarray:
@@ -460,6 +465,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _send_prefixes(shared, ranges, words, similar),
         "range int, grams binary, seq binary, size binary, at binary, wide boolean, indexed binary, frequent binary")
     common = stored(sent.groupBy("range").applyInArrow(_shared_prefixes(similar), "gram long, node long, n long, indexed boolean"))
+    shared.destroy()
     active = common.select("node").distinct()
     bits = stored(meta.where("bits IS NOT NULL").join(active, "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n")))
 
@@ -479,8 +485,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = _apart(chosen.where(F.col("star") >= FIRST_STARS), roots)
     more = stored(verify(later.select("a", "b"), sets, similar))
     if not more.isEmpty():
-        links = links.union(more)
-        roots = stored(components(links))
+        roots = stored(joined(roots, more))
 
     # nodes that share an n-gram share its leader: one row per leader and node instead of one per n-gram
     led = (common.join(leaders.select("gram", F.col("leaders")[0]["node"].alias("leader")), "gram")
@@ -501,8 +506,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tried = stored(tried.select("a", "b"))
         more = stored(verify(tried, sets, similar))
         if not more.isEmpty():
-            links = links.union(more)
-            roots = stored(components(links))
+            roots = stored(joined(roots, more))
         if last:
             break
         left = stored(_apart(left.join(tried, ["a", "b"], "left_anti"), roots))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskloom.llm.common import row_groups, stored, text_buffer
+from riskloom.llm.common import row_groups, share, stored, text_buffer, unpacked
 
 ORDER = 4
 HELD_ENTRIES = 1 << 21     # largest model that is sent to the workers whole
@@ -137,13 +137,14 @@ def _kinds(gram: np.ndarray) -> dict:
 
 def _sorted_tables(entries: pa.Table) -> dict:
     """(lang, kind) -> (sorted n-grams, values) of rows (lang, kind, gram, value)."""
-    frame = entries.select(["lang", "kind", "gram", "value"]).to_pandas(strings_to_categorical=True)
-    out = {}
-    for (lang, kind), part in frame.groupby(["lang", "kind"], sort=False, observed=True):
-        key = part["gram"].to_numpy().astype(np.int64).view(np.uint64)
-        o = np.argsort(key)
-        out[lang, kind] = (key[o], part["value"].to_numpy()[o].astype(np.float64))
-    return out
+    lang, kind = (entries.column(c).combine_chunks().dictionary_encode() for c in ("lang", "kind"))
+    names = [(x, k) for x in lang.dictionary.to_pylist() for k in kind.dictionary.to_pylist()]
+    of = lang.indices.to_numpy().astype(np.int64) * len(kind.dictionary) + kind.indices.to_numpy()
+    key = entries.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.lexsort((key, of))
+    key, value = key[order], entries.column("value").to_numpy()[order].astype(np.float64)
+    cuts = np.searchsorted(of[order], np.arange(len(names) + 1))
+    return {name: (key[a:b], value[a:b]) for name, a, b in zip(names, cuts, cuts[1:]) if a < b}
 
 
 @dataclass
@@ -198,22 +199,22 @@ class LanguageModel:
 
 
 def _tables_of(grams: DataFrame) -> DataFrame:
-    """(lang, kind, gram, value): discounted probabilities and back-off masses."""
-    out = None
-    level = grams                       # counts at the top, continuation counts below
+    """(lang, kind, gram, value): discounted probabilities and back-off masses.  Each order is stored."""
+    out, level = None, grams            # counts at the top, continuation counts below
     for k in range(ORDER, 0, -1):
         disc = level.groupBy("lang").agg(F.sum((F.col("n") == 1).cast("double")).alias("n1"), F.sum((F.col("n") == 2).cast("double")).alias("n2"))
         disc = disc.select("lang", F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.try_divide("n1", F.col("n1") + 2 * F.col("n2")))).alias("d"))
         ctx_key = F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long")
-        level = level.withColumn("ctx", ctx_key)
-        ctx = level.groupBy("lang", "ctx").agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("types"))
+        own = level.withColumn("ctx", ctx_key)
+        ctx = own.groupBy("lang", "ctx").agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("types"))
         ctx = ctx.join(F.broadcast(disc), "lang").select("lang", "ctx", "total", "d", (F.col("d") * F.col("types") / F.col("total")).alias("mass"))
-        a = level.join(ctx, ["lang", "ctx"]).select("lang", F.lit(f"a{k}").alias("kind"), "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("value"))
-        g = ctx.select("lang", F.lit(f"g{k}").alias("kind"), F.col("ctx").alias("gram"), F.col("mass").alias("value"))
-        out = a.unionByName(g) if out is None else out.unionByName(a).unionByName(g)
+        a = own.join(ctx, ["lang", "ctx"]).select("lang", F.lit(f"a{k}").alias("kind"), "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).cast("float").alias("value"))
+        g = ctx.select("lang", F.lit(f"g{k}").alias("kind"), F.col("ctx").alias("gram"), F.col("mass").cast("float").alias("value"))
+        entries = stored(a.unionByName(g))
+        out = entries if out is None else out.unionByName(entries)
         if k > 1:
             mask = (1 << 16 * (k - 1)) - 1
-            level = level.select("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+            level = stored(level.select("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")))
     return out
 
 
@@ -223,7 +224,7 @@ def train(docs: DataFrame, lang: Column, text: Column, calibrate: Column) -> Lan
     rows = docs.select(lang.alias("lang"), text.alias("text"), calibrate.alias("hold")).where("lang IS NOT NULL AND text IS NOT NULL")
     counted = rows.where("NOT hold").select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
     grams = stored(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    entries = stored(_tables_of(grams).withColumn("value", F.col("value").cast("float")))
+    entries = _tables_of(grams)
     size = entries.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "a1", 1)).alias("symbols"),
                                        F.max(F.when(F.col("kind") == "g1", F.col("value"))).alias("mass")).collect()
     model = LanguageModel(langs=sorted(r["lang"] for r in size), floor={r["lang"]: r["mass"] / (r["symbols"] + 1) for r in size})
@@ -254,7 +255,7 @@ def _with_model(rows: DataFrame, model: LanguageModel, run, schema: str, deal: l
     """``run(model, batch)`` over all ``rows`` (with ``text``), its batches as ``schema``.
     The columns ``deal`` tell rows apart and decide their block."""
     # the table's handle stays here; workers get arrays
-    shared = rows.sparkSession.sparkContext.broadcast(replace(model, entries=None))
+    shared = share(rows.sparkSession, replace(model, entries=None))
 
     def groups(m, data):
         _, off = text_buffer(data.column("text"))
@@ -263,7 +264,7 @@ def _with_model(rows: DataFrame, model: LanguageModel, run, schema: str, deal: l
 
     def held(batches):
         for batch in batches:
-            yield from groups(shared.value, batch)
+            yield from groups(unpacked(shared), batch)
 
     if model.entries is None:
         return rows.mapInArrow(held, schema)
@@ -274,7 +275,7 @@ def _with_model(rows: DataFrame, model: LanguageModel, run, schema: str, deal: l
     found = asked.join(model.entries, ["kind", "gram"]).select("block", "lang", "kind", "gram", "value")
 
     def joined(left, right):
-        m = replace(shared.value, tables=_sorted_tables(right) if right.num_rows else {})
+        m = replace(unpacked(shared), tables=_sorted_tables(right) if right.num_rows else {})
         out = [pa.Table.from_batches([b]) for b in groups(m, left.drop_columns(["block_"]))]
         return pa.concat_tables(out) if out else empty
 
