@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WHITE, parallelism, stored
+from riskloom.llm.common import WHITE, numbered, parallelism, stored
 
 
 HEAD = 24      # characters of a splitter; whole texts are compared all the same
@@ -85,12 +85,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``exact_dedup`` keeps, with all their columns."""
-    cols = docs.columns
-    runs, _, order = _sorted_runs(docs, id_col, text_col, cols)
+    """The rows that ``exact_dedup`` keeps, with all their columns, whatever their names.
+
+    Null texts are copies of empty ones; of equal texts the smallest id stays, a null id only if the
+    group has no other, and one row if several have that id.  An empty table gives no rows."""
+    rows, own = numbered(docs)
+    cols = rows.columns
+    runs, _, order = _sorted_runs(rows, own[id_col], own[text_col], cols)
     first = runs.withColumn("_place", F.row_number().over(order)).where("_place = 1")
     # salted texts still have one row per salt
     again = Window.partitionBy("_norm").orderBy(F.col("_id").asc_nulls_last(), "_salt")
     merged = first.where("_salts IS NOT NULL").withColumn("_place", F.row_number().over(again)).where("_place = 1")
     both = first.where("_salts IS NULL").unionByName(merged)
-    return both.select(*[F.col(f"k_{c}").alias(c) for c in cols])
+    return both.select(*[f"k_{c}" for c in cols]).toDF(*docs.columns)

@@ -1,12 +1,15 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 
 from riskloom.llm.common import stored
+from tests.llm.conftest import words
 
 
 def test_stages_equal_plain_python(spark, sf):
@@ -60,6 +63,38 @@ def test_stages_take_an_empty_table_and_nulls(spark, sf):
         assert stage(spark, odd, sf).count() >= 1
 
 
+def test_clashing_column_names(spark, sf):
+    """Extra columns called like anything the operators make, or with dots, pass through."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plain = docs
+    names = ["rejected", "score", "predicted", "lang_pred", "cross_entropy", "row", "group", "c0", "k_text", "_id", "a.b", "_norm", "held_out", "n", "text_"]
+    for c in names:
+        docs = docs.withColumn(c, F.lit(c))
+    for name, stage in P.STAGES[:-1]:
+        out = stored(stage(spark, docs, sf))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows[:5] for c in names)
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, plain, sf).collect()), name
+    assert P.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
+def test_repeated_and_null_ids(spark, sf):
+    """Rows are judged, not ids: a repeated id loses only its copies, and copies with a null id go too."""
+    rng = random.Random(3)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    near = lambda t: t + " w1"
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    row = lambda i, t: (i, t, "en", "s", 1)
+    docs = spark.createDataFrame([row(5, a), row(5, b), row(2, near(a)), row(7, near(b)), row(None, near(c)), row(None, c), row(9, None), row(9, ""), row(9, "w1")], schema)
+    out = sorted(((r.doc_id, r.text) for r in P.no_near_copies(spark, docs, sf).collect()), key=str)
+    got = [x for x in out if x[0] is not None and x[1]]
+    assert sorted(got) == [(2, near(a)), (5, b), (9, "w1")] and (9, None) in out and (9, "") in out
+    assert len([x for x in out if x[0] is None]) == 1
+    first = sorted(((r.doc_id, r.text) for r in P.no_copies(spark, docs.unionByName(docs), sf).collect()), key=str)
+    assert len(first) == 8 and sum(1 for _, t in first if not t) == 1
+
+
 def test_run_is_the_stages(spark, sf):
     out = P.run(spark, sf)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
