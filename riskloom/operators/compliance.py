@@ -15,13 +15,14 @@ chain key never lands in one task, and a group that is gathered has at most ``BL
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.functions.masking import PII_PATTERNS, mask_frame
+from riskloom.functions.masking import PII_PATTERNS, mask_frame, mask_value
 from riskloom.operators.ordering import materialize, running_totals
 
 BLOCK = 512
@@ -203,16 +204,15 @@ def gdpr_recommendations(status: DataFrame) -> DataFrame:
 
 
 def protection_report(texts: DataFrame, text_col: str, chain_ok: DataFrame) -> DataFrame:
-    """CP-12: share of texts with detected PII (they are masked on export) and chain integrity."""
-    any_pii = None
-    for p in PII_PATTERNS.values():
-        hit = F.col(text_col).rlike(p)
-        any_pii = hit if any_pii is None else (any_pii | hit)
-    t = texts.agg(F.count(F.lit(1)).alias("records"), F.count_if(any_pii).alias("records_with_pii"))
+    """CP-12: share of texts with detected PII, share of these in which the mask of an export leaves none, and chain integrity."""
+    found = lambda c: functools.reduce(Column.__or__, [c.rlike(p) for p in PII_PATTERNS.values()])
+    t = texts.select(found(F.col(text_col)).alias("hit"), F.coalesce(found(mask_value(F.col(text_col))), F.lit(False)).alias("left")).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("hit").alias("records_with_pii"), F.count_if(F.col("hit") & ~F.col("left")).alias("records_masked"))
     c = chain_ok.agg(F.coalesce(F.bool_and("intact"), F.lit(True)).alias("audit_chain_intact"))
     return t.crossJoin(c).withColumn(
         "pii_detected_pct", F.when(F.col("records") > 0, F.col("records_with_pii") * 100.0 / F.col("records"))
-        .otherwise(F.lit(0.0)))
+        .otherwise(F.lit(0.0))).withColumn(
+        "pii_masked_pct", F.when(F.col("records_with_pii") > 0, F.col("records_masked") * 100.0 / F.col("records_with_pii")).otherwise(F.lit(100.0)))
 
 
 def erase(df: DataFrame, ids: DataFrame, key: str, user: str, reason: str, as_of: dt.datetime,

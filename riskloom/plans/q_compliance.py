@@ -383,11 +383,15 @@ def erase_remaining(spark, d):
                          F.count_distinct("o_custkey").alias("remaining_customers"))
 
 
+_HIT_SQL = lambda c: "(" + " OR ".join(f"regexp_matches({c}, '{_q(p)}')" for p in PII_PATTERNS.values()) + ")"
+
+
 @query("protection_report", f"""
-WITH t AS (SELECT count(*) AS records, count(*) FILTER (WHERE """ + " OR ".join(
-    f"regexp_matches(text, '{_q(p)}')" for p in PII_PATTERNS.values()) + """) AS records_with_pii FROM documents)
-SELECT records, records_with_pii, true AS audit_chain_intact,
-       CASE WHEN records > 0 THEN records_with_pii * 100.0 / records ELSE 0.0 END AS pii_detected_pct FROM t""")
+WITH m AS (SELECT text, {_mask_value_sql('text')} AS masked FROM documents),
+t AS (SELECT count(*) AS records, count(*) FILTER (WHERE {_HIT_SQL('text')}) AS records_with_pii,
+  count(*) FILTER (WHERE {_HIT_SQL('text')} AND NOT coalesce({_HIT_SQL('masked')}, false)) AS records_masked FROM m)
+SELECT *, true AS audit_chain_intact, CASE WHEN records > 0 THEN records_with_pii * 100.0 / records ELSE 0.0 END AS pii_detected_pct,
+  CASE WHEN records_with_pii > 0 THEN records_masked * 100.0 / records_with_pii ELSE 100.0 END AS pii_masked_pct FROM t""")
 def protection_report(spark, d):
     """CP-12: PII share over every document and integrity of the untampered chain."""
     docs = spread(base.read(spark, d, "documents").select("text"), base.SPREAD)
