@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators.drift import LATENCY_BUCKETS, SCORE_BUCKETS
+from riskloom.operators.ordering import materialize
 from riskloom.plans import base
+from riskloom.plans.q_monitor import EV_BASE
 from riskloom.plans.q_stream import events_stream
 from riskloom.plans.registry import query
 from riskloom.session import derived_path
@@ -81,6 +83,23 @@ def request_totals(spark, d):
     return mt.request_totals(requests(base.read(spark, d, "events")))
 
 
+@query("stream_rolling_alerts", "WITH " + EV_BASE + """
+SELECT event_id, event_type, roll_n, roll_mean, roll_std,
+       coalesce(CASE WHEN roll_n >= 20 AND mean <> 0 THEN abs(roll_mean - mean) / abs(mean) END > 0.2, false) AS mean_alert,
+       coalesce(CASE WHEN roll_n >= 20 AND stdev > 0 AND roll_std > 0 THEN abs(roll_std - stdev) / stdev END > 0.2, false) AS stdev_alert
+FROM rl JOIN ev USING (event_type)""")
+def stream_rolling_alerts(spark, d):
+    """SM-3: mean and stdev alerts of the last 20 values per stream, from four files in time order with 19 rows of state."""
+    e = base.read(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    profile = materialize(e.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("stdev")))
+    files, folder = derived_path(spark), derived_path(spark)
+    for part in range(FILES):
+        e.where(F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(FILES - 1)) == part).coalesce(1).write.mode("append").parquet(files)
+    sm.stream_rolling_drift(sm.file_stream(spark, files, e.schema), profile, folder, derived_path(spark)).awaitTermination()
+    out = spark.read.parquet(f"{folder}/rolled")
+    return out.select("event_id", "event_type", "roll_n", "roll_mean", "roll_std", "mean_alert", "stdev_alert")
+
+
 ALERTS = """
 al AS (SELECT ts, 'value' AS field, CASE WHEN value > 400 THEN 'critical' ELSE 'warning' END AS severity FROM events WHERE value > 100
   UNION ALL SELECT ts, 'user_id', 'warning' FROM events WHERE user_id % 7 = 0

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from riskloom.operators.ordering import materialize, top_k_per_group
+from riskloom.operators.quality import rolling_drift
 from riskloom.operators.scoring import feed_summary, score_claims
 from riskloom.session import ensure_checkpoint_dir, ship_package
 from riskloom.sources.sinks import alert_rows
@@ -129,6 +131,29 @@ def stream_dedup(requests: DataFrame, row_id: str, key_col: str = "request_key",
         .withColumnRenamed("row_id", row_id)
 
 
+def stream_rolling_drift(events: DataFrame, profile: DataFrame, folder: str, ckpt: str, key: str = "event_type", order: tuple = ("ts", "event_id"),
+                         value: str = "value", frame: int = 20, expire: str = "30 days"):
+    """SM-3 in two phases, for streams of which one may hold most rows: a micro-batch goes through the batch operator, whose
+    buckets spread a hot stream over all cores, together with each stream's last ``frame - 1`` rows, which are all the state
+    there is.  Results go to ``folder/rolled``, the tails to ``folder/tail``, a folder per micro-batch that a retry replaces.
+
+    Equals the batch operator if files arrive in event-time order; a late row rolls with the rows it finds.  A stream without
+    rows for ``expire`` before the newest row of a batch is forgotten."""
+    spark, columns = events.sparkSession, [key, *order, value]
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        own = batch.select(*columns).withColumn("is_new", F.lit(True))
+        if batch_id:
+            own = own.unionByName(spark.read.schema(own.schema).parquet(f"{folder}/tail/batch_id={batch_id - 1}").withColumn("is_new", F.lit(False)))
+        rows = materialize(own)
+        _replace_batch(rolling_drift(rows, profile, key, list(order), value).where("is_new").drop("is_new"), f"{folder}/rolled", batch_id)
+        tail = top_k_per_group(rows.drop("is_new"), [key], [F.desc(c) for c in order], frame - 1)
+        alive = rows.groupBy(key).agg(F.max(order[0]).alias("_last")).crossJoin(F.broadcast(rows.agg(F.max(order[0]).alias("_now")))).where(F.expr(f"_last >= _now - interval {expire}"))
+        _replace_batch(tail.join(alive.select(key), key, "left_semi").select(*columns), f"{folder}/tail", batch_id)
+
+    return events.writeStream.option("checkpointLocation", ckpt).foreachBatch(sink).trigger(availableNow=True).start()
+
+
 RING = 20
 ROLL_OUT = "event_id long, event_type string, roll_n long, roll_mean double, roll_std double"
 ROLL_STATE = "vals array<double>"

@@ -62,3 +62,22 @@ def test_quality_windows_equal_counting(spark):
         count = {f: sum(r[1] == f for r in own) for _, f, _ in own}
         assert out[end].top_fields == ",".join(f"{f}:{n}" for f, n in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:5])
     assert set(out) == set(ends)
+
+
+def test_rolling_stream_keeps_tails_only_and_forgets_silent_streams(spark):
+    import random
+    from riskloom.operators.quality import rolling_drift
+    rng, start = random.Random(2), dt.datetime(2024, 1, 1)
+    rows = [(i, "hot" if i % 4 else f"k{i % 3}", start + dt.timedelta(minutes=i), rng.random() * 100) for i in range(400)]
+    rows += [(1000 + i, "hot", start + dt.timedelta(days=90, minutes=i), 1.0) for i in range(3)]
+    schema, files, folder = "event_id long, event_type string, ts timestamp, value double", derived_path(spark), derived_path(spark)
+    whole = spark.createDataFrame(rows, schema)
+    profile = whole.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("stdev"))
+    for a, b in ((0, 150), (150, 155), (155, 400), (400, 403)):
+        spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").parquet(files)
+    sm.stream_rolling_drift(sm.file_stream(spark, files, whole.schema), profile, folder, derived_path(spark)).awaitTermination()
+    key = lambda r: (r.event_id, r.roll_n, round(r.roll_mean, 9), r.mean_alert, r.stdev_alert)
+    got = sorted(map(key, spark.read.parquet(f"{folder}/rolled").collect()))
+    assert got == sorted(map(key, rolling_drift(whole, profile, "event_type", ["ts", "event_id"], "value").collect()))
+    tails = {r.batch_id: r.n for r in spark.read.parquet(f"{folder}/tail").groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
+    assert tails[2] == 4 * 19 and tails[3] == 19            # silent streams are gone
