@@ -39,16 +39,18 @@ def _extend(rows: DataFrame, edge: DataFrame, level: int, block: int, top: bool)
         "chain", "block", F.arrays_zip(F.col("xs.seq").alias("seq"), F.slice(hashes, 2, F.size("xs")).alias("hash")).alias("entries"))
 
 
-def append_entries(entries: DataFrame, edge: DataFrame, chain_key: str, entry_col: str = "entry", block: int = BLOCK, levels: int = 3) -> tuple[DataFrame, DataFrame]:
+def append_entries(entries: DataFrame, edge: DataFrame, chain_key: str, entry_col: str = "entry", block: int = BLOCK, levels: int = 3,
+                   sections: bool = False) -> tuple[DataFrame, DataFrame]:
     """CP-4: (new entries with ``hash``, new edge).
 
     ``entries`` carry their ``seq``, which goes on from the edge's count of level 0.  A chain may hold at most
-    block ** levels entries; more is an error.  No entries leave the edge as it is.
+    block ** levels entries; more is an error, unless ``sections``: then the top level has blocks too, and the edge keeps the
+    last hash of every full one (level ``levels``), the end of a section.  No entries leave the edge as it is.
     """
     rows = entries.select(F.col(chain_key).cast("string").alias("chain"), "seq", F.col(entry_col).alias("text"))
     hashes, parts = None, []
     for level in range(levels):
-        top = level == levels - 1
+        top = level == levels - 1 and not sections
         done = materialize(_extend(rows, edge, level, block, top))
         last = F.element_at("entries", -1)
         if level == 0:
@@ -61,15 +63,18 @@ def append_entries(entries: DataFrame, edge: DataFrame, chain_key: str, entry_co
     for part in parts[1:]:
         found = found.unionByName(part)
     found = materialize(found)
-    too_long = found.where(F.col("count") > F.lit(block) ** (F.lit(levels) - F.col("level")))
-    if not too_long.isEmpty():
+    if sections:
+        ended = rows.select("chain", F.lit(levels).alias("level"), (F.col("seq") + 1).alias("count"), F.col("text").alias("hash"))
+        found = found.unionByName(ended)
+    elif not found.where(F.col("count") > F.lit(block) ** (F.lit(levels) - F.col("level"))).isEmpty():
         raise ValueError(f"a chain holds more than {block} ** {levels} entries")
-    kept = edge.join(found.select("chain", "level"), ["chain", "level"], "left_anti")
+    kept = edge.join(found.where(F.col("level") < levels).select("chain", "level"), ["chain", "level"], "left_anti")
     return entries.join(hashes.withColumnRenamed(chain_key, "_chain"), (F.col(chain_key).cast("string") == F.col("_chain")) & (entries["seq"] == hashes["seq"])).drop("_chain").drop(hashes["seq"]), found.unionByName(kept)
 
 
-def edge_heads(edge: DataFrame, chain_key: str, block: int = BLOCK, levels: int = 3) -> DataFrame:
-    """``chain_key, n_entries, head, levels`` as ``compliance.seal`` gives them."""
+def edge_heads(edge: DataFrame, chain_key: str, block: int = BLOCK, levels: int = 3, sections: bool = False) -> DataFrame:
+    """``chain_key, n_entries, head, levels`` as ``compliance.seal`` gives them; with ``sections`` one row and ``section`` for every
+    block ** levels entries of a chain."""
     by = edge.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("level", "count", "hash"))).alias("at"))
     n = F.col("at")[0]["count"]
 
@@ -77,7 +82,7 @@ def edge_heads(edge: DataFrame, chain_key: str, block: int = BLOCK, levels: int
         """Digest of the last block of a level; ``digest``: that of the open block below, null if there is none."""
         own = F.get(F.col("at"), level)
         count = F.coalesce(own["count"], F.lit(0).cast("long"))
-        top = level == levels - 1
+        top = level == levels - 1 and not sections
         begun = count > 0 if top else count % block > 0
         before = F.when(begun, own["hash"]).otherwise(genesis(F.col("chain"), level, F.lit(0).cast("long") if top else F.floor(count / block)))
         return F.when(digest.isNotNull(), F.sha2(F.concat(before, digest), 256)).when(begun, own["hash"])
@@ -85,7 +90,13 @@ def edge_heads(edge: DataFrame, chain_key: str, block: int = BLOCK, levels: int
     digest = F.lit(None).cast("string")
     for level in range(levels):
         digest = step(digest, level)
-    return by.select(F.col("chain").alias(chain_key), n.alias("n_entries"), F.sha2(F.concat_ws("#", n.cast("string"), digest), 256).alias("head"), F.lit(levels).alias("levels"))
+    if not sections:
+        return by.select(F.col("chain").alias(chain_key), n.alias("n_entries"), F.sha2(F.concat_ws("#", n.cast("string"), digest), 256).alias("head"), F.lit(levels).alias("levels"))
+    ended = F.transform(F.filter("at", lambda x: x["level"] == levels), lambda x: F.struct((x["count"] - 1).alias("section"), x["hash"].alias("digest")))
+    ends = F.concat(ended, F.filter(F.array(F.struct(F.floor(n / block ** levels).alias("section"), digest.alias("digest"))), lambda x: x["digest"].isNotNull()))
+    return by.select("chain", n.alias("n_entries"), F.explode(ends).alias("e")).select(
+        F.col("chain").alias(chain_key), "n_entries", F.sha2(F.concat_ws("#", F.col("n_entries").cast("string"), "e.digest"), 256).alias("head"),
+        F.lit(levels).alias("levels"), "e.section")
 
 
 def _batches(spark: SparkSession, folder: str, name: str, before: int | None = None) -> DataFrame:
@@ -98,7 +109,8 @@ def read_edge(spark: SparkSession, folder: str, batch: int) -> DataFrame:
     return _batches(spark, folder, "edge", batch - 1).drop("batch") if batch else empty_edge(spark)
 
 
-def append_batch(log: DataFrame, folder: str, batch: int, chain_col: str, order_cols: list[str], entry: Column, block: int = BLOCK, levels: int = 3) -> None:
+def append_batch(log: DataFrame, folder: str, batch: int, chain_col: str, order_cols: list[str], entry: Column, block: int = BLOCK, levels: int = 3,
+                 sections: bool = False) -> None:
     """Append the rows of ``log`` as batch number ``batch`` (0, 1, 2, ... in turn) of the store in ``folder``.
 
     Rows of a chain are placed by ``order_cols`` behind those of earlier batches; ``entry`` is their canonical text (it may use
@@ -108,7 +120,7 @@ def append_batch(log: DataFrame, folder: str, batch: int, chain_col: str, order_
     had = edge.where("level = 0").select(F.col("chain").alias("_chain"), F.col("count").alias("_had"))
     new = sequence_entries(log, [chain_col], order_cols).join(had, F.col(chain_col).cast("string") == F.col("_chain"), "left")
     new = new.withColumn("seq", F.col("seq") + F.coalesce("_had", F.lit(0))).drop("_chain", "_had")
-    sealed, edge = append_entries(new.withColumn("entry", entry), edge, chain_col, block=block, levels=levels)
+    sealed, edge = append_entries(new.withColumn("entry", entry), edge, chain_col, block=block, levels=levels, sections=sections)
     sealed.write.mode("overwrite").parquet(f"{folder}/log/batch={batch}")
     edge.write.mode("overwrite").parquet(f"{folder}/edge/batch={batch}")
 

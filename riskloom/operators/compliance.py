@@ -63,11 +63,11 @@ def _hash_level(rows: DataFrame, level: int, block: int) -> DataFrame:
 
 
 def _head(blocks: DataFrame, block: int, levels: int) -> DataFrame:
-    """(chain, digest) from the blocks of level 0."""
+    """(chain, section, digest) from the blocks of level 0; a section is a block of the top level."""
     for level in range(1, levels):
         rows = blocks.select("chain", F.col("block").alias("seq"), F.element_at("entries", -1)["hash"].alias("text"))
         blocks = _hash_level(rows, level, block)
-    return blocks.select("chain", F.element_at("entries", -1)["hash"].alias("digest"))
+    return blocks.select("chain", F.col("block").alias("section"), F.element_at("entries", -1)["hash"].alias("digest"))
 
 
 def chain_levels(longest: int, block: int = BLOCK) -> int:
@@ -98,7 +98,7 @@ def verify_chain(log: DataFrame, heads: DataFrame, chain_key: str, entry_col: st
     """CP-5 / WN-11: one row per chain of the log or the heads: entries ``expected`` and
     ``found``, ``missing`` and ``repeated`` positions, ``mismatched`` entries (their hash does not
     follow from the stored hash before them), ``head_ok`` (the head computed
-    from the entries equals the stored one) and ``intact``."""
+    from the entries equals the stored one) and ``intact``.  Heads with a ``section`` are held against that section's."""
     rows = log.select(F.col(chain_key).alias("chain"), "seq", F.col(entry_col).alias("text"), "hash", F.floor(F.col("seq") / block).alias("block"))
     w = Window.partitionBy("chain", "block").orderBy("seq")
     before = F.when(F.col("seq") % block == 0, genesis(F.col("chain"), 0, F.col("block"))).when(F.lag("seq").over(w) == F.col("seq") - 1, F.lag("hash").over(w))
@@ -107,9 +107,9 @@ def verify_chain(log: DataFrame, heads: DataFrame, chain_key: str, entry_col: st
     counts = linked.groupBy("chain").agg(F.count(F.lit(1)).alias("found"), F.count_distinct("seq").alias("places"), F.count_if(~F.col("ok")).alias("mismatched"))
     levels = heads.agg(F.max("levels")).first()[0] or 1
     digests = _head(materialize(_hash_level(rows.select("chain", "seq", "text"), 0, block)), block, levels)
-    state = counts.join(digests, "chain")
-    known = heads.select(F.col(chain_key).alias("chain"), F.col("n_entries").alias("expected"), "head")
-    both = known.join(state, "chain", "full")
+    by = ["chain", "section"] if "section" in heads.columns else ["chain"]
+    known = heads.select(F.col(chain_key).alias("chain"), *by[1:], F.col("n_entries").alias("expected"), "head")
+    both = known.join(digests.where(F.col("chain").isNotNull()), by, "full").join(counts, "chain", "left")
     head = F.sha2(F.concat_ws("#", F.col("found").cast("string"), "digest"), 256)
     zero = F.lit(0).cast("long")
     out = both.select(

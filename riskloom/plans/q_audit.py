@@ -23,7 +23,7 @@ def appended(spark, d) -> str:
         log = base.view(spark, d, "audit_log", lambda: audit_log(spark, d).withColumn("entry", entry_of())).drop("seq", "entry")
         log = log.withColumn("part", F.floor(F.hour("ts") / 8))
         for batch in (0, 1, 2, 2):
-            st.append_batch(log.where(F.col("part") == batch).drop("part"), folder, batch, "chain_key", ["ts", "event_id"], entry_of(), CHAIN_BLOCK, CHAIN_LEVELS)
+            st.append_batch(log.where(F.col("part") == batch).drop("part"), folder, batch, "chain_key", ["ts", "event_id"], entry_of(), CHAIN_BLOCK, CHAIN_LEVELS, sections=True)
         _STORES[key] = folder
     return _STORES[key]
 
@@ -31,7 +31,7 @@ def appended(spark, d) -> str:
 @query("audit_chain_append", CHAIN_SQL + "SELECT chain_key, n_entries, head FROM shead")
 def audit_chain_append(spark, d):
     """CP-4: heads of the log after its batches; the SQL builds them from the whole log."""
-    return st.edge_heads(st.read_edge(spark, appended(spark, d), 3), "chain_key", CHAIN_BLOCK, CHAIN_LEVELS).select("chain_key", "n_entries", "head")
+    return st.edge_heads(st.read_edge(spark, appended(spark, d), 3), "chain_key", CHAIN_BLOCK, CHAIN_LEVELS, sections=True).select("chain_key", "n_entries", "head")
 
 
 @query("audit_chain_append_entries", CHAIN_SQL + "SELECT chain_key, seq, hash FROM sh0")
@@ -45,7 +45,7 @@ CAST(0 AS BIGINT) AS mismatched, true AS head_ok, true AS intact FROM shead""")
 def audit_chain_append_verified(spark, d):
     """CP-5: the appended log, verified from its entries against the heads of the edge."""
     folder = appended(spark, d)
-    heads = st.edge_heads(st.read_edge(spark, folder, 3), "chain_key", CHAIN_BLOCK, CHAIN_LEVELS)
+    heads = st.edge_heads(st.read_edge(spark, folder, 3), "chain_key", CHAIN_BLOCK, CHAIN_LEVELS, sections=True)
     return cp.verify_chain(spark.read.parquet(f"{folder}/log"), heads, "chain_key", block=CHAIN_BLOCK)
 
 
