@@ -58,3 +58,10 @@ def test_tables_for_fits_are_cut_into_files(spark):
     stored = materialize(spark.range(0, 100, 1, 1), 20)
     files = [f for f in os.listdir(stored.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]) if f.endswith(".parquet")]
     assert len(files) == 5 and stored.count() == 100
+
+
+def test_small_passes_grow_the_same_forest(claims):
+    usual = ml.fit(claims, X, "random_forest", numTrees=4, maxDepth=5, cacheNodeIds=False, maxMemoryInMB=256)
+    ours = ml.fit(claims, X, "random_forest", numTrees=4, maxDepth=5)
+    trees = lambda m: m.stages[-1].toDebugString.split("\n", 1)[1]
+    assert trees(ours) == trees(usual)
