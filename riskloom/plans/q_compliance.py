@@ -127,11 +127,20 @@ def entry_of():
                            F.col("resource"), F.col("status"), cp.details_text(F.col("details")))
 
 
+def seal_log(spark, d):
+    """The log with its hashes and the heads, from one sealing; ``cp.seal`` stores the hashed blocks, neither result."""
+    log = base.view(spark, d, "audit_log", lambda: audit_log(spark, d).withColumn("entry", entry_of()))
+    return base.derived(spark, d, "audit_seal", lambda: cp.seal(log, "chain_key", block=CHAIN_BLOCK, levels=CHAIN_LEVELS))
+
+
+def heads(spark, d):
+    """The heads of the log, stored once: they follow from the hashed blocks."""
+    return base.view(spark, d, "audit_heads", lambda: seal_log(spark, d)[1])
+
+
 def sealed(spark, d):
     """The sealed log and its heads, each stored once."""
-    log = base.view(spark, d, "audit_log", lambda: audit_log(spark, d).withColumn("entry", entry_of()))
-    make = lambda i: cp.seal(log, "chain_key", block=CHAIN_BLOCK, levels=CHAIN_LEVELS)[i]
-    return base.view(spark, d, "audit_sealed", lambda: make(0)), base.view(spark, d, "audit_heads", lambda: make(1))
+    return base.view(spark, d, "audit_sealed", lambda: seal_log(spark, d)[0]), heads(spark, d)
 
 
 KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND_OF.items()) + " END"
@@ -176,7 +185,7 @@ def audit_chain_build(spark, d):
 @query("audit_chain_heads", CHAIN_SQL + "SELECT chain_key, n_entries, head FROM shead")
 def audit_chain_heads(spark, d):
     """CP-4: count and head of every chain, linked over all blocks."""
-    return sealed(spark, d)[1].select("chain_key", "n_entries", "head")
+    return heads(spark, d).select("chain_key", "n_entries", "head")
 
 
 VERIFY_SQL = """
