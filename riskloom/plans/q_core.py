@@ -115,7 +115,7 @@ FEATURE_OUT = ["claim_id", "split", "fraud_label", "claim_amount", "num_procedur
 @query("entity_features_all_splits", FEATURES_SQL + FEATURE_SELECT)
 def entity_features_all_splits(spark, d):
     """JN-1, JN-2, JN-4, PR-14, PR-16: the wide feature table (EN-5 before encoding)."""
-    return base.features(spark, d).select(*FEATURE_OUT)
+    return base.features_once(spark, d).select(*FEATURE_OUT)
 
 
 @query("rule_score_tiers", SCORED_W + """
@@ -167,8 +167,8 @@ SELECT claim_id, CAST(month(claim_date) AS INTEGER) AS claim_month, CAST(isodow(
        claim_amount / (hosp_avg_amount + 1) AS amount_vs_hosp_avg
 FROM f""")
 def calendar_and_ratio_features(spark, d):
-    return base.features(spark, d).select("claim_id", "claim_month", "claim_dayofweek", "claim_day",
-                                          "amount_vs_patient_avg", "amount_vs_doctor_avg", "amount_vs_hosp_avg")
+    return base.features_once(spark, d).select("claim_id", "claim_month", "claim_dayofweek", "claim_day",
+                                               "amount_vs_patient_avg", "amount_vs_doctor_avg", "amount_vs_hosp_avg")
 
 
 @query("claim_validation_errors", CLAIMS_W.rstrip("\n") + """,
