@@ -40,7 +40,7 @@ top5 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY predictio
 
 def test_features(spark, d):
     f = base.features(spark, d)
-    s = base.scored(spark, d).select("claim_id", "fraud_score")
+    s = base.scores(spark, d)
     return f.where("split = 'test'").join(s, "claim_id")
 
 
@@ -225,7 +225,7 @@ def scaled(spark, d):
 
 
 def scaled_test(spark, d):
-    s = base.scored(spark, d).select("claim_id", "fraud_score")
+    s = base.scores(spark, d)
     return scaled(spark, d).where("split = 'test'").join(s, "claim_id")
 
 
