@@ -81,7 +81,8 @@ def chain_levels(longest: int, block: int = BLOCK) -> int:
 def seal(seq_log: DataFrame, chain_key: str, entry_col: str = "entry", block: int = BLOCK, levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """CP-4: the log with each entry's ``hash``, and the heads (chain_key, n_entries, head).
 
-    ``levels`` is fixed for all chains by the longest one, unless given (it must suffice)."""
+    ``levels`` is fixed for all chains by the longest one, unless given; a chain that needs more then has a
+    head for each ``part`` of block ** levels entries, which ``whole_heads`` links."""
     rows = seq_log.select(F.col(chain_key).alias("chain"), "seq", F.col(entry_col).alias("text"))
     if levels is None:
         levels = chain_levels((seq_log.agg(F.max("seq")).first()[0] or 0) + 1, block)
@@ -90,10 +91,23 @@ def seal(seq_log: DataFrame, chain_key: str, entry_col: str = "entry", block: in
     counts = rows.groupBy("chain").agg(F.count(F.lit(1)).alias("n_entries"))
     heads = _head(blocks, block, levels).join(counts, "chain").select(
         F.col("chain").alias(chain_key), "n_entries", F.sha2(F.concat_ws("#", F.col("n_entries").cast("string"), "digest"), 256).alias("head"),
-        F.lit(levels).alias("levels"))
+        F.lit(levels).alias("levels"), F.col("section").alias("part"), "digest")
     return seq_log.join(hashes, [chain_key, "seq"]), heads
 
 
+def whole_heads(heads: DataFrame, chain_key: str, block: int = BLOCK) -> DataFrame:
+    """CP-4: one head per chain (chain_key, n_entries, head) from those of its parts, as ``seal`` gives them:
+    their digests are hashed on, level by level, until the longest chain is one block, however long it is."""
+    level, top = heads.agg(F.max("levels"), F.max("part")).first()
+    rows = heads.select(F.col(chain_key).alias("chain"), F.col("part").alias("seq"), F.col("digest").alias("text"))
+    while top:
+        rows = _hash_level(rows, level, block).select("chain", F.col("block").alias("seq"), F.element_at("entries", -1)["hash"].alias("text"))
+        level, top = level + 1, top // block
+    counts = heads.where("part = 0").select(chain_key, "n_entries")
+    return counts.join(rows.select(F.col("chain").alias(chain_key), "text"), chain_key).select(
+        chain_key, "n_entries", F.sha2(F.concat_ws("#", F.col("n_entries").cast("string"), "text"), 256).alias("head"))
+
+
 def verify_chain(log: DataFrame, heads: DataFrame, chain_key: str, entry_col: str = "entry", block: int = BLOCK) -> DataFrame:
     """CP-5 / WN-11: one row per chain of the log or the heads: entries ``expected`` and
     ``found``, ``missing`` and ``repeated`` positions, ``mismatched`` entries (their hash does not

@@ -102,7 +102,7 @@ def pii_mask_sensitive_field(spark, d):
 
 
 # ------------------------------------------------------------------ audit chain
-CHAIN_BLOCK, CHAIN_LEVELS = 16, 3        # up to 16^3 entries a chain in these queries
+CHAIN_BLOCK, CHAIN_LEVELS = 16, 3        # a part of a chain has up to 16^3 entries; audit_chain_heads links the parts
 KIND_OF = {"click": cp.PREDICTION, "signup": cp.PREDICTION, "view": cp.ACCESS, "purchase": cp.EXPORT, "error": cp.DELETE}
 
 
@@ -134,7 +134,7 @@ def seal_log(spark, d):
 
 
 def heads(spark, d):
-    """The heads of the log, stored once: they follow from the hashed blocks."""
+    """The heads of the log's parts, stored once: they follow from the hashed blocks."""
     return base.view(spark, d, "audit_heads", lambda: seal_log(spark, d)[1])
 
 
@@ -182,10 +182,20 @@ def audit_chain_build(spark, d):
     return sealed(spark, d)[0].select("chain_key", "seq", "hash")
 
 
-@query("audit_chain_heads", CHAIN_SQL + "SELECT chain_key, n_entries, head FROM shead")
+#: The parts' digests hashed on until every chain is one block; ``up`` has the levels from CHAIN_LEVELS on.
+WHOLE_SQL = f"""
+up AS (SELECT {CHAIN_LEVELS} AS level, chain_key, CAST(seq AS BIGINT) AS seq, text FROM se{CHAIN_LEVELS}
+  UNION ALL SELECT level + 1, chain_key, block, list_reduce(list_prepend(sha256(concat_ws('#', chain_key, CAST(level AS VARCHAR), CAST(block AS VARCHAR))),
+    list(text ORDER BY seq)), lambda a, x: sha256(a || x))
+  FROM (SELECT *, seq // {CHAIN_BLOCK} AS block, max(seq) OVER () AS top FROM up) WHERE top > 0 GROUP BY level, chain_key, block)
+SELECT chain_key, n AS n_entries, sha256(concat_ws('#', CAST(n AS VARCHAR), text)) AS head
+FROM up JOIN (SELECT chain_key, count(*) AS n FROM entries GROUP BY chain_key) USING (chain_key) WHERE level = (SELECT max(level) FROM up)"""
+
+
+@query("audit_chain_heads", CHAIN_SQL.rstrip("\n") + ",\n" + WHOLE_SQL.strip())
 def audit_chain_heads(spark, d):
     """CP-4: count and head of every chain, linked over all blocks."""
-    return heads(spark, d).select("chain_key", "n_entries", "head")
+    return cp.whole_heads(heads(spark, d), "chain_key", CHAIN_BLOCK)
 
 
 VERIFY_SQL = """
