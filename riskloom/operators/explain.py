@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -300,9 +300,9 @@ def decision_regions(ranges: DataFrame, feature: str) -> DataFrame:
                      .otherwise(F.lit("High Risk")).alias("region"))
 
 
-def anchor_noise(sample, feature_pos):
+def anchor_noise(sample: int, feature_pos: int) -> float:
     """Deterministic perturbation in [-0.2, 0.2) for (sample, feature position)."""
-    return F.lit(-0.2) + F.lit(0.4) * F.pmod(sample * 31 + feature_pos * 17, F.lit(100)) / 100.0
+    return -0.2 + 0.4 * ((sample * 31 + feature_pos * 17) % 100) / 100.0
 
 
 def anchors(df: DataFrame, key: str, score: str, cols: Sequence[str], threshold: float = 0.5,
@@ -310,7 +310,10 @@ def anchors(df: DataFrame, key: str, score: str, cols: Sequence[str], threshold:
     """IX-15: spread of each feature over the +-10/30 % shifts is 0.6 |v|;
     features with spread > 0.01, top 5 by spread (first wins ties) form the
     anchor; the rule uses the top 3; precision = share of perturbed samples
-    whose mean absolute change stays < 0.15; coverage = min(0.4 + 0.3 p, 1)."""
+    whose mean absolute change stays < 0.15; coverage = min(0.4 + 0.3 p, 1).
+
+    The samples of a row are written out as arithmetic on its features with the noise as
+    constants, which Spark compiles; a lambda over the samples would be interpreted for each."""
     items = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"),
                       (F.abs(F.col(c).cast("double")) * 0.6).alias("spread")) for i, c in enumerate(cols)]
     arr = F.array(*items)
@@ -319,24 +322,24 @@ def anchors(df: DataFrame, key: str, score: str, cols: Sequence[str], threshold:
                                  .when(a["spread"] < b["spread"], 1)
                                  .otherwise(a["pos"] - b["pos"])), 1, 5)
     fraud = F.col("_s") > threshold
-    x = df.select(key, F.col(score).alias("_s"), *[F.col(c).cast("double").alias(c) for c in cols],
+    x = df.select(F.col(key).alias("_k"), F.col(score).alias("_s"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)],
                   top.alias("_top"))
     rule = F.array_join(F.transform(F.slice("_top", 1, 3), lambda t: F.when(
         fraud, F.concat(t["feature"], F.lit(" > "), F.format_string("%.2f", t["v"] * 0.8)))
         .otherwise(F.concat(t["feature"], F.lit(" <= "), F.format_string("%.2f", t["v"] * 1.2)))), " AND ")
-    names = F.transform("_top", lambda t: t["feature"])
-
-    def dev(s):
-        tot = F.lit(0.0)
-        for i, c in enumerate(cols):
-            tot = tot + F.when(F.array_contains(names, F.lit(c)), F.lit(0.0)) \
-                         .otherwise(F.abs(F.col(c) * anchor_noise(s, F.lit(i))))
-        return tot / len(cols)
-    hits = F.aggregate(F.sequence(F.lit(0), F.lit(samples - 1)), F.lit(0),
-                       lambda acc, s: acc + F.when(dev(s) < 0.15, 1).otherwise(0))
-    precision = hits / float(samples)
-    return x.select(key, names.alias("anchor_features"),
-                    F.when(F.size("_top") > 0, rule).otherwise(F.lit("Default rule")).alias("rule"),
+    x = x.select("*", F.transform("_top", lambda t: t["feature"]).alias("_names"))
+    # what a sample moves: the features that are not held by the anchor
+    free = [F.when(F.array_contains("_names", F.lit(c)), F.lit(0.0)).otherwise(F.abs(f"_v{i}")).alias(f"_f{i}") for i, c in enumerate(cols)]
+    x = x.select("_k", "_s", "_top", "_names", *free)
+
+    def dev(s: int) -> Column:
+        return sum((F.col(f"_f{i}") * abs(anchor_noise(s, i)) for i in range(len(cols))), F.lit(0.0)) / len(cols)
+
+    hits = sum((F.when(dev(s) < 0.15, 1).otherwise(0) for s in range(samples)), F.lit(0))
+    # beside the rule's lambda Spark compiles ``hits`` in many small methods; alone it would be one too large to compile
+    x = x.select("_k", "_names", F.when(F.size("_top") > 0, rule).otherwise(F.lit("Default rule")).alias("_rule"), hits.alias("_hits"))
+    precision = F.col("_hits") / float(samples)
+    return x.select(F.col("_k").alias(key), F.col("_names").alias("anchor_features"), F.col("_rule").alias("rule"),
                     precision.alias("precision"), F.least(F.lit(0.4) + precision * 0.3, F.lit(1.0)).alias("coverage"))
 
 
