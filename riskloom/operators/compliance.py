@@ -20,7 +20,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riskloom.functions.masking import PII_PATTERNS, mask_frame, mask_value
 from riskloom.operators.ordering import materialize, running_totals
@@ -52,22 +51,23 @@ def genesis(chain_key: Column, level: int, block: Column) -> Column:
     return F.sha2(F.concat_ws("#", chain_key.cast("string"), F.lit(str(level)), block.cast("string")), 256)
 
 
+def _linked(level: int) -> Column:
+    """Last hash of the block ``xs``, each of its texts hashed over the hash before it."""
+    return F.aggregate("xs", genesis(F.col("chain"), level, F.col("block")), lambda acc, x: F.sha2(F.concat(acc, x["text"]), 256))
+
+
 def _hash_level(rows: DataFrame, level: int, block: int) -> DataFrame:
-    """(chain, seq, text) -> (chain, block, entries: array of (seq, hash)), one row per block."""
+    """(chain, seq, text) -> (chain, block, last): the last hash of every block."""
     grp = rows.withColumn("block", F.floor(F.col("seq") / block)).groupBy("chain", "block").agg(
         F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("xs"))
-    # the hashes of a block, each over the one before it
-    hashes = F.aggregate("xs", F.array(genesis(F.col("chain"), level, F.col("block"))),
-                         lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x["text"]), 256))))
-    return grp.select("chain", "block", F.arrays_zip(F.col("xs.seq").alias("seq"), F.slice(hashes, 2, F.size("xs")).alias("hash")).alias("entries"))
+    return grp.select("chain", "block", _linked(level).alias("last"))
 
 
 def _head(blocks: DataFrame, block: int, levels: int) -> DataFrame:
     """(chain, section, digest) from the blocks of level 0; a section is a block of the top level."""
     for level in range(1, levels):
-        rows = blocks.select("chain", F.col("block").alias("seq"), F.element_at("entries", -1)["hash"].alias("text"))
-        blocks = _hash_level(rows, level, block)
-    return blocks.select("chain", F.col("block").alias("section"), F.element_at("entries", -1)["hash"].alias("digest"))
+        blocks = _hash_level(blocks.select("chain", F.col("block").alias("seq"), F.col("last").alias("text")), level, block)
+    return blocks.select("chain", F.col("block").alias("section"), F.col("last").alias("digest"))
 
 
 def chain_levels(longest: int, block: int = BLOCK) -> int:
@@ -83,29 +83,36 @@ def seal(seq_log: DataFrame, chain_key: str, entry_col: str = "entry", block: in
 
     ``levels`` is fixed for all chains by the longest one, unless given; a chain that needs more then has a
     head for each ``part`` of block ** levels entries, which ``whole_heads`` links."""
-    rows = seq_log.select(F.col(chain_key).alias("chain"), "seq", F.col(entry_col).alias("text"))
     if levels is None:
         levels = chain_levels((seq_log.agg(F.max("seq")).first()[0] or 0) + 1, block)
-    blocks = materialize(_hash_level(rows, 0, block))
-    hashes = blocks.select(F.col("chain").alias(chain_key), F.explode("entries").alias("e")).select(chain_key, "e.seq", "e.hash")
-    counts = rows.groupBy("chain").agg(F.count(F.lit(1)).alias("n_entries"))
+    # whole entries go to their block, so that none has to look for its hash; maps, which have no order, as lists
+    maps = [c for c, kind in seq_log.dtypes if kind.startswith("map")]
+    own = [F.map_entries(c).alias(c) if c in maps else F.col(c) for c in seq_log.columns]
+    rows = seq_log.select(F.col(chain_key).alias("chain"), F.floor(F.col("seq") / block).alias("block"), F.struct("seq", F.col(entry_col).alias("text"), F.struct(*own).alias("own")).alias("x"))
+    grp = rows.groupBy("chain", "block").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    hashes = F.aggregate("xs", F.array(genesis(F.col("chain"), 0, F.col("block"))), lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x["text"]), 256))))
+    blocks = materialize(grp.select("chain", "block", "xs", F.slice(hashes, 2, F.size("xs")).alias("hashes"))
+                         .select("chain", "block", F.size("xs").cast("long").alias("n"), F.element_at("hashes", -1).alias("last"), F.arrays_zip(F.col("xs.own").alias("own"), F.col("hashes").alias("hash")).alias("entries")))
+    whole = blocks.where(F.col("chain").isNotNull() & F.col("block").isNotNull()).select(F.explode("entries").alias("e")).select("e.own.*", "e.hash")
+    log = whole.select(chain_key, "seq", *[F.map_from_entries(c).alias(c) if c in maps else F.col(c) for c in seq_log.columns if c not in (chain_key, "seq")], "hash")
+    counts = blocks.groupBy("chain").agg(F.sum("n").alias("n_entries"))
     heads = _head(blocks, block, levels).join(counts, "chain").select(
         F.col("chain").alias(chain_key), "n_entries", F.sha2(F.concat_ws("#", F.col("n_entries").cast("string"), "digest"), 256).alias("head"),
         F.lit(levels).alias("levels"), F.col("section").alias("part"), "digest")
-    return seq_log.join(hashes, [chain_key, "seq"]), heads
+    return log, heads
 
 
 def whole_heads(heads: DataFrame, chain_key: str, block: int = BLOCK) -> DataFrame:
-    """CP-4: one head per chain (chain_key, n_entries, head) from those of its parts, as ``seal`` gives them:
+    """CP-4: one head per chain (chain_key, n_entries, head, levels) from those of its parts, as ``seal`` gives them:
     their digests are hashed on, level by level, until the longest chain is one block, however long it is."""
     level, top = heads.agg(F.max("levels"), F.max("part")).first()
     rows = heads.select(F.col(chain_key).alias("chain"), F.col("part").alias("seq"), F.col("digest").alias("text"))
     while top:
-        rows = _hash_level(rows, level, block).select("chain", F.col("block").alias("seq"), F.element_at("entries", -1)["hash"].alias("text"))
+        rows = _hash_level(rows, level, block).select("chain", F.col("block").alias("seq"), F.col("last").alias("text"))
         level, top = level + 1, top // block
     counts = heads.where("part = 0").select(chain_key, "n_entries")
     return counts.join(rows.select(F.col("chain").alias(chain_key), "text"), chain_key).select(
-        chain_key, "n_entries", F.sha2(F.concat_ws("#", F.col("n_entries").cast("string"), "text"), 256).alias("head"))
+        chain_key, "n_entries", F.sha2(F.concat_ws("#", F.col("n_entries").cast("string"), "text"), 256).alias("head"), F.lit(level).alias("levels"))
 
 
 def verify_chain(log: DataFrame, heads: DataFrame, chain_key: str, entry_col: str = "entry", block: int = BLOCK) -> DataFrame:
@@ -113,14 +120,20 @@ def verify_chain(log: DataFrame, heads: DataFrame, chain_key: str, entry_col: st
     ``found``, ``missing`` and ``repeated`` positions, ``mismatched`` entries (their hash does not
     follow from the stored hash before them), ``head_ok`` (the head computed
     from the entries equals the stored one) and ``intact``.  Heads with a ``section`` are held against that section's."""
-    rows = log.select(F.col(chain_key).alias("chain"), "seq", F.col(entry_col).alias("text"), "hash", F.floor(F.col("seq") / block).alias("block"))
-    w = Window.partitionBy("chain", "block").orderBy("seq")
-    before = F.when(F.col("seq") % block == 0, genesis(F.col("chain"), 0, F.col("block"))).when(F.lag("seq").over(w) == F.col("seq") - 1, F.lag("hash").over(w))
-    ok = F.coalesce(F.sha2(F.concat(before, F.col("text")), 256) == F.col("hash"), F.lit(False))
-    linked = rows.withColumn("ok", ok)
-    counts = linked.groupBy("chain").agg(F.count(F.lit(1)).alias("found"), F.count_distinct("seq").alias("places"), F.count_if(~F.col("ok")).alias("mismatched"))
+    rows = log.select(F.col(chain_key).alias("chain"), F.floor(F.col("seq") / block).alias("block"), F.struct("seq", F.col(entry_col).alias("text"), "hash").alias("x"))
+    grp = rows.groupBy("chain", "block").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+
+    def bad(x: Column, i: Column) -> Column:
+        last = F.get(F.col("xs"), i - 1)
+        before = F.when(x["seq"] % block == 0, genesis(F.col("chain"), 0, F.col("block"))).when(last["seq"] == x["seq"] - 1, last["hash"])
+        return ~F.coalesce(F.sha2(F.concat(before, x["text"]), 256) == x["hash"], F.lit(False))
+
+    # a block is gathered once, for its own checks and for its digest
+    blocks = materialize(grp.select("chain", "block", _linked(0).alias("last"), F.size("xs").cast("long").alias("found"), F.size(F.array_distinct(F.array_compact("xs.seq"))).cast("long").alias("places"),
+                                    F.size(F.filter("xs", bad)).cast("long").alias("mismatched")))
+    counts = blocks.groupBy("chain").agg(*[F.sum(c).alias(c) for c in ("found", "places", "mismatched")])
     levels = heads.agg(F.max("levels")).first()[0] or 1
-    digests = _head(materialize(_hash_level(rows.select("chain", "seq", "text"), 0, block)), block, levels)
+    digests = _head(blocks, block, levels)
     by = ["chain", "section"] if "section" in heads.columns else ["chain"]
     known = heads.select(F.col(chain_key).alias("chain"), *by[1:], F.col("n_entries").alias("expected"), "head")
     both = known.join(digests.where(F.col("chain").isNotNull()), by, "full").join(counts, "chain", "left")

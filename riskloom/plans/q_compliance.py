@@ -127,20 +127,24 @@ def entry_of():
                            F.col("resource"), F.col("status"), cp.details_text(F.col("details")))
 
 
+def sequenced(spark, d):
+    return audit_log(spark, d).withColumn("entry", entry_of())
+
+
 def seal_log(spark, d):
-    """The log with its hashes and the heads, from one sealing; ``cp.seal`` stores the hashed blocks, neither result."""
-    log = base.view(spark, d, "audit_log", lambda: audit_log(spark, d).withColumn("entry", entry_of()))
-    return base.derived(spark, d, "audit_seal", lambda: cp.seal(log, "chain_key", block=CHAIN_BLOCK, levels=CHAIN_LEVELS))
+    """The log with its hashes and the heads of its parts, from one sealing; ``cp.seal`` reads the log once and stores
+    its hashed blocks, from which both follow."""
+    return base.derived(spark, d, "audit_seal", lambda: cp.seal(base.once(spark, d, "audit_log", sequenced), "chain_key", block=CHAIN_BLOCK, levels=CHAIN_LEVELS))
 
 
 def heads(spark, d):
-    """The heads of the log's parts, stored once: they follow from the hashed blocks."""
-    return base.view(spark, d, "audit_heads", lambda: seal_log(spark, d)[1])
+    """One head per chain, stored: they follow from the hashed blocks."""
+    return base.view(spark, d, "audit_heads", lambda: cp.whole_heads(seal_log(spark, d)[1], "chain_key", CHAIN_BLOCK))
 
 
 def sealed(spark, d):
-    """The sealed log and its heads, each stored once."""
-    return base.view(spark, d, "audit_sealed", lambda: seal_log(spark, d)[0]), heads(spark, d)
+    """The sealed log, read from its hashed blocks, and its heads."""
+    return seal_log(spark, d)[0], heads(spark, d)
 
 
 KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND_OF.items()) + " END"
@@ -195,7 +199,7 @@ FROM up JOIN (SELECT chain_key, count(*) AS n FROM entries GROUP BY chain_key) U
 @query("audit_chain_heads", CHAIN_SQL.rstrip("\n") + ",\n" + WHOLE_SQL.strip())
 def audit_chain_heads(spark, d):
     """CP-4: count and head of every chain, linked over all blocks."""
-    return cp.whole_heads(heads(spark, d), "chain_key", CHAIN_BLOCK)
+    return heads(spark, d).select("chain_key", "n_entries", "head")
 
 
 VERIFY_SQL = """
