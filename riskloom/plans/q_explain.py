@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import explain as ix
-from riskloom.operators.ordering import quantiles
+from riskloom.operators.ordering import materialize, quantiles
 from riskloom.plans import base
 from riskloom.plans.q_core import FEATURES_SQL
 from riskloom.plans.registry import query
@@ -44,16 +44,21 @@ def test_features(spark, d):
     return f.where("split = 'test'").join(s, "claim_id")
 
 
+def _attributed(spark, d, only=None):
+    """One row of attributions for every test claim, or for those of ``only`` (claim_id), with training statistics."""
+    f = base.features(spark, d)
+    tr = f.where("split = 'train'")
+    w = ix.label_correlation(tr, XCOLS).withColumnRenamed("corr", "w")
+    # every claim has a score, and an attribution needs none: only the claims themselves are joined
+    test, claims = f.where("split = 'test'"), base.claims_split(spark, d).select("claim_id")
+    if only is not None:
+        test, claims = (x.join(F.broadcast(only), "claim_id", "left_semi") for x in (test, claims))
+    return ix.linear_attributions(test.join(claims, "claim_id"), "claim_id", XCOLS, ix.attribution_stats(tr, XCOLS, w))
+
+
 def attributions(spark, d):
-    """One row of attributions for every test claim, with training statistics."""
-    def build():
-        f = base.features(spark, d)
-        tr = f.where("split = 'train'")
-        w = ix.label_correlation(tr, XCOLS).withColumnRenamed("corr", "w")
-        # every claim has a score, and an attribution needs none: only the claims themselves are joined
-        test = f.where("split = 'test'").join(base.claims_split(spark, d).select("claim_id"), "claim_id")
-        return ix.linear_attributions(test, "claim_id", XCOLS, ix.attribution_stats(tr, XCOLS, w))
-    return base.view(spark, d, "attributions", build)
+    """The attributions of every test claim, stored."""
+    return base.view(spark, d, "attributions", lambda: _attributed(spark, d))
 
 
 @query("label_correlation", SPLIT_W.rstrip("\n") + ",\n" + _FEAT_CTES + "\nSELECT * FROM (SELECT " + ", ".join(
@@ -346,8 +351,12 @@ SELECT list_sort(list_intersect(a.f, b.f)) AS common_factors,
 FROM a CROSS JOIN b""")
 def explanation_compare(spark, d):
     """IX-9 / IX-20 / ST-4: top-3 factors of the first and last test claims compared."""
-    tops = ix.top_parts(attributions(spark, d), 3).select("prediction_id", F.transform("parts", lambda t: t["feature"]).alias("top_factors"))
-    ends = tops.agg(F.min("prediction_id").alias("lo"), F.max("prediction_id").alias("hi"))
+    ends = materialize(base.claims_split(spark, d).where("split = 'test'").agg(F.min("claim_id").alias("lo"), F.max("claim_id").alias("hi")))
+    ids = ends.select(F.explode(F.array("lo", "hi")).alias("claim_id")).distinct()
+    # only the two claims that are compared are explained, under the statistics of all training claims
+    two = base.once(spark, d, "attributions", lambda s, at: _attributed(s, at, ids)) \
+        .join(F.broadcast(ids), F.col("prediction_id") == F.col("claim_id"), "left_semi")
+    tops = materialize(ix.top_parts(two, 3).select("prediction_id", F.transform("parts", lambda t: t["feature"]).alias("top_factors")))
     x = tops.crossJoin(F.broadcast(ends))
     return ix.factor_overlap(x.withColumn("is_a", F.col("prediction_id") == F.col("lo")),
                              x.withColumn("is_b", F.col("prediction_id") == F.col("hi")), "is_a", "is_b")

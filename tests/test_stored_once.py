@@ -65,3 +65,11 @@ def test_days_that_hold_a_cut_are_split_by_key(spark):
     rows = materialize(spark.range(20).selectExpr("id", "date_add(DATE'2024-01-01', int(id / 7)) day"))
     split = {r.id: r.split for r in temporal_split(rows, "day", "id").collect()}
     assert split == {i: "train" if i < 12 else "val" if i < 16 else "test" for i in range(20)}
+
+
+def test_only_the_compared_claims_are_explained(spark, tmp_path):
+    d = folder(tmp_path, "compare")
+    one = q_explain.explanation_compare(spark, d).collect()
+    assert "attributions" not in stored(spark, d) and len(one) == 1       # before: every test claim was explained and ranked
+    q_explain.attributions(spark, d)
+    assert q_explain.explanation_compare(spark, d).collect() == one
